@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quality import quality_rules
 from .sharding import shard_by_bytes
 
 
@@ -20,8 +21,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_sharding": op7_sharding}
+    return {
+        "op7_sharding": op7_sharding,
+        "op9_quality_rules": op9_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
