@@ -12,6 +12,7 @@ from .decontaminate import find_leaks
 from .mixing import words_taken
 from .quality import quality_rules
 from .rans import encode_and_read
+from .setjoin import near_duplicate_groups
 from .sharding import shard_by_bytes
 from .substrings import without_repeats
 
@@ -29,6 +30,10 @@ def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_taken(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_arc_to_warc": op3_arc_to_warc,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
         "op8_rans_token_ids": op8_rans_token_ids,

@@ -1,30 +1,34 @@
 """Token ids in blocks of a static range asymmetric numeral system (rANS).
 
-One frequency table, counted over the whole corpus and scaled to ``2**SCALE``, is
-shared by all blocks. A block holds whole documents (at least ``block_tokens`` ids
-but for the last of a partition) and decodes on its own: its ids are dealt round
-robin to ``LANES`` interleaved coders whose 63-bit states are the block's
-checkpoint, a CRC-32 guards the words they gave off, and the lengths and ids of its
-documents tell where each begins. Encoding and decoding step through many blocks
-at once, one numpy operation for all lanes of all of them.
-
-File format: ``table/`` (Parquet: ``id, freq``) and ``blocks/`` (Parquet, a row a
-block, partitions in ascending id order): ``part, block`` (its place), ``docs``,
-``lengths``, ``states`` (little-endian uint64), ``words`` (little-endian uint32),
-``crc32`` (of states then words).
+Documents in ascending id order are packed into *segments* of about
+``segment_tokens`` ids. A segment counts its ids, scales the counts to ``2**SCALE``,
+and this one frequency table is shared by all of its blocks. A block holds whole
+documents (``BLOCK_TOKENS`` ids or more, but for a segment's last) and decodes on
+its own: its ids are dealt round robin to ``LANES`` interleaved coders whose 63-bit
+states are its checkpoint, a CRC-32 guards states and words, and the lengths of its
+documents tell where each begins. Encoding and decoding step through many blocks at
+once, one numpy operation for all lanes of all of them. The corpus is tokenized once.
+
+File format (Parquet, a row a segment, files in ascending id order): ``part,
+segment`` (its place), ``n_tokens``, ``table`` (zlib of little-endian uint32
+frequencies by id), ``blocks``: ``docs``, ``lengths``, ``states`` (little-endian
+uint64), ``words`` (little-endian uint32) and ``crc32`` of states then words.
 
 Defined results: a null text is the end id alone; rows with equal ids stand in
-order of their texts; null ids come first; no rows give no blocks.
+order of their texts; null ids come first; a very long text is one block; no rows
+give no segments.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import new_path
@@ -32,73 +36,104 @@ from .scratch import new_path
 SCALE = 20
 LANES = 128
 BLOCK_TOKENS = 1 << 16
-BLOCKS_AT_ONCE = 32
-CACHED_WORDS = 1 << 20
+SEGMENT_TOKENS = 1 << 22
+CACHED_WORDS = 1 << 19
 
 _U = np.uint64
 _LOW = _U(1 << 31)  # a state lies in [2**31, 2**63)
 _MASK = _U((1 << SCALE) - 1)
 
 
+_STOP = b"\xff"  # in no UTF-8 text
+_LETTERS = "abcdefghijklmnopqrstuvwxyz\u00df-\u00f6\u00f8-\u00ff"
+_SIMPLE = re.compile(f"([{_LETTERS}]+)([.,!?;:]*)")
+_PROBES = ("word", "Word,", "t", "don", "ended.", "\u00dcber", "\u00e9t\u00e9!?", "stra\u00dfe;", "ni\u00f1o:", "antidisestablishment", "q" * 300, "aaa...", "x,.")
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that never joins what ASCII white space parts.
 
-    Each word is encoded once by the tokenizers library and remembered (up to
-    ``CACHED_WORDS`` words, then the memory starts anew)."""
+    Each word is encoded once by the tokenizers library and remembered. The memory
+    has two generations of at most ``CACHED_WORDS`` words: when the younger is full
+    the older is forgotten, and words still in use move over. Words of Latin-1
+    letters, with or without sentence marks behind, go straight to the library's
+    model if that gives the ids of its whole chain on a set of probes."""
 
     _loaded: dict = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_as_chars = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.bases: dict[str, list[int]] = {}
+        self.old: dict[bytes, list[int]] = {}
+        self._renew()
+        self.simple = all(self._simple_ids(w) == self._whole_ids(w) for w in _PROBES)
 
     @classmethod
-    def load(cls, path: str) -> WordTokenizer:
+    def load(cls, path: str, end_id: int) -> WordTokenizer:
         """The one of this worker process."""
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
-
-    def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
-        lengths = np.array([len(x) for x in found], np.int64)
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of each text."""
-        split = [(t or "").encode().split() for t in texts]
-        new = {w for words in split for w in words} - self.place.keys()
-        if len(self.place) + len(new) > CACHED_WORDS:
-            self.forget()
-            new = {w for words in split for w in words}
-        if new:
-            self._learn(sorted(new))
-        get = self.place.__getitem__
-        word = np.fromiter((get(w) for words in split for w in words), np.int64)
+        if (path, end_id) not in cls._loaded:
+            cls._loaded[path, end_id] = cls(path, end_id)
+        return cls._loaded[path, end_id]
+
+    def _renew(self) -> None:
+        self.place, self.parts = {_STOP: 0}, [[self.end_id]]
+        self.ids, self.at = np.array([self.end_id], np.uint32), np.array([0, 1], np.int64)
+        self.bases.clear()
+
+    def _whole_ids(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _simple_ids(self, word: str) -> list[int] | None:
+        m = _SIMPLE.fullmatch(word.lower())
+        return None if m is None else [i for part in m.groups() if part for i in self._base(part)]
+
+    def _base(self, part: str) -> list[int]:
+        ids = self.bases.get(part)
+        if ids is None:
+            ids = self.bases[part] = [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else part.translate(self.bytes_as_chars))]
+        return ids
+
+    def _learn(self, words: set[bytes]) -> None:
+        for w in words:
+            ids = self.old.get(w)
+            if ids is None and self.simple:
+                ids = self._simple_ids(w.decode())
+            if ids is None:
+                ids = self._whole_ids(w.decode())
+            self.place[w] = len(self.parts)
+            self.parts.append(ids)
+        fresh = self.parts[len(self.at) - 1 :]
+        self.ids = np.concatenate([self.ids, np.array([i for x in fresh for i in x], np.uint32)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in fresh])])
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, an end id after each text, and the number of each text's ids."""
+        if len(self.place) > CACHED_WORDS:
+            self.old = dict(zip(self.place, self.parts))
+            self._renew()
+        words = b"".join(x for t in texts for x in (t or b"", b" \xff ")).split()
+        word = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(word < 0)
+        if len(missed):
+            self._learn({words[i] for i in missed})
+            word[missed] = [self.place[words[i]] for i in missed]
         n = (self.at[1:] - self.at[:-1])[word]
         end = np.cumsum(n)
         ids = self.ids[np.arange(end[-1] if len(end) else 0) + np.repeat(self.at[word] - (end - n), n)]
-        of = np.repeat(np.arange(len(texts)), [len(words) for words in split])
-        return ids, np.bincount(of, n, len(texts)).astype(np.int64)
+        return ids, np.diff(end[word == 0], prepend=0)
 
 
-def batches_of_texts(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, list]]:
+def batches_of_texts(column: pa.Array, rows: int = 512) -> Iterator[tuple[int, list]]:
+    column = column.cast(pa.binary())
     for lo in range(0, len(column), rows):
         yield lo, column.slice(lo, rows).to_pylist()
 
 
-def with_end(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.insert(ids, np.cumsum(n), end_id), n + 1
-
-
 def scaled(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """Frequencies that sum to ``2**scale``; every id that occurs keeps one at least."""
     total = counts.sum()
@@ -170,114 +205,98 @@ class Coder:
         return [out[:, g].reshape(-1)[:n] for g, n in enumerate(size)]
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "text") -> np.ndarray:
-    """Occurrences of every id in the corpus; the vocabulary bounds the result."""
+_SEGMENT = "part int, segment int, n_tokens long, table binary, blocks array<struct<docs:array<long>,lengths:array<int>,states:binary,words:binary,crc32:long>>"
+_BLOCKS = pa.list_(pa.struct([("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("states", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64())]))
+_ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("table", pa.binary()), ("blocks", _BLOCKS)])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, total = WordTokenizer.load(tokenizer_path), np.zeros(0, np.int64)
-        for batch in batches:
-            for _, texts in batches_of_texts(batch.column(0)):
-                ids, n = with_end(*tokenizer.encode(texts), end_id)
-                more = np.bincount(ids, minlength=len(total))
-                more[: len(total)] += total
-                total = more
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(int(rows.id.max()) + 1 if len(rows) else 0, np.int64)
-    counts[rows.id.to_numpy(int)] = rows.n
-    return counts
+def _even(blocks: list, size: Callable) -> Iterator[list[int]]:
+    """Places of blocks to code together: very long ones alone."""
+    usual = [i for i, b in enumerate(blocks) if size(b) <= 2 * BLOCK_TOKENS]
+    for lo in range(0, len(usual), 64):
+        yield usual[lo : lo + 64]
+    yield from ([i] for i, b in enumerate(blocks) if size(b) > 2 * BLOCK_TOKENS)
 
 
-_BLOCK = "part int, block int, docs array<long>, lengths array<int>, states binary, words binary, crc32 long"
+def _segment(part: int, number: int, blocks: list[tuple[list, list[int], list[np.ndarray]]]) -> pa.RecordBatch:
+    ids = [np.concatenate(t) for _, _, t in blocks]
+    counts = np.bincount(np.concatenate(ids))
+    freq = scaled(counts)
+    coder, out = Coder(freq), [None] * len(blocks)
+    for some in _even(ids, len):
+        for i, (states, words) in zip(some, coder.encode([ids[i] for i in some])):
+            states, words = states.astype("<u8").tobytes(), words.astype("<u4").tobytes()
+            out[i] = {"docs": blocks[i][0], "lengths": blocks[i][1], "states": states, "words": words, "crc32": zlib.crc32(words, zlib.crc32(states))}
+    row = {"part": part, "segment": number, "n_tokens": int(counts.sum()), "table": zlib.compress(freq.astype("<u4").tobytes()), "blocks": out}
+    return pa.RecordBatch.from_pylist([row], _ARROW)
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encode all documents in ascending id order into ``path``."""
-    spark = docs.sparkSession
-    freq = scaled(token_counts(docs, tokenizer_path, end_id, text_col))
-    spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq) if f], "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
-    shared = spark.sparkContext.broadcast(freq)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, coder = WordTokenizer.load(tokenizer_path), Coder(shared.value)
-        ready, part, held, block = [], 0, ([], [], []), 0
-
-        def flush():
-            nonlocal block
-            rows = []
-            for (_, lengths, _), (ids, *_), (states, words) in zip(ready, ready, coder.encode([np.concatenate(t) for _, _, t in ready])):
-                states, words = states.astype("<u8").tobytes(), words.astype("<u4").tobytes()
-                rows.append((part, block, ids, lengths, states, words, zlib.crc32(words, zlib.crc32(states))))
-                block += 1
-            ready.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK_TYPES)], names=_BLOCK_NAMES)
-
+        tokenizer = WordTokenizer.load(tokenizer_path, end_id)
+        part, number, blocks, size = 0, 0, [([], [], [])], 0
+        block_size = 0
         for batch in batches:
             if batch.num_rows:
                 part = batch.column(2)[0].as_py()
             for lo, texts in batches_of_texts(batch.column(1)):
-                ids, n = with_end(*tokenizer.encode(texts), end_id)
-                names, end = batch.column(0).slice(lo, len(texts)).to_pylist(), np.cumsum(n)
-                for name, a, b in zip(names, end - n, end):
-                    held[0].append(name), held[1].append(int(b - a)), held[2].append(ids[a:b])
-                    if sum(held[1]) >= block_tokens:
-                        ready.append(held)
-                        held = ([], [], [])
-                        if len(ready) == BLOCKS_AT_ONCE:
-                            yield flush()
-        if held[0]:
-            ready.append(held)
-        if ready:
-            yield flush()
+                ids, n = tokenizer.encode(texts)
+                end = np.cumsum(n)
+                for name, a, b in zip(batch.column(0).slice(lo, len(texts)).to_pylist(), (end - n).tolist(), end.tolist()):
+                    if block_size >= BLOCK_TOKENS:
+                        blocks.append(([], [], []))
+                        block_size = 0
+                    for held, x in zip(blocks[-1], (name, b - a, ids[a:b])):
+                        held.append(x)
+                    block_size += b - a
+                    size += b - a
+                    if size >= segment_tokens:
+                        yield _segment(part, number, blocks)
+                        number, blocks, size, block_size = number + 1, [([], [], [])], 0, 0
+        if size:
+            yield _segment(part, number, blocks)
 
     ordered = docs.select(id_col, text_col).repartitionByRange(id_col, text_col).sortWithinPartitions(id_col, text_col)
-    ordered.withColumn("__part", F.spark_partition_id()).mapInArrow(encode, _BLOCK).write.parquet(f"{path}/blocks")
-
-
-_BLOCK_NAMES = [x.split()[0] for x in _BLOCK.split(", ")]
-_BLOCK_TYPES = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
+    ordered.withColumn("__part", F.spark_partition_id()).mapInArrow(encode, _SEGMENT).write.parquet(path)
 
 
-def read_ids(spark, path: str, columns: str, document: Callable[[np.ndarray], tuple]) -> DataFrame:
+def read_ids(spark: SparkSession, path: str, columns: str, document: Callable[[np.ndarray], tuple]) -> DataFrame:
     """Decode the blocks of ``path``, each on its own. A row a document: ``doc_id,
     start`` (ids of all documents before it), ``n_tokens``, and ``columns``, which
     ``document`` makes of its ids."""
-    table = spark.read.parquet(f"{path}/table").toPandas()  # at most the vocabulary
-    freq = np.zeros(int(table.id.max()) + 1 if len(table) else 0, np.int64)
-    freq[table.id.to_numpy(int)] = table.freq
-    shared = spark.sparkContext.broadcast(freq)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCKS_AT_ONCE):
-                rows = batch.slice(lo, BLOCKS_AT_ONCE).to_pylist()
-                for r in rows:
-                    if zlib.crc32(r["words"], zlib.crc32(r["states"])) != r["crc32"]:
-                        raise ValueError(f"block {r['block']} of partition {r['part']} is damaged")
-                found = coder.decode([(sum(r["lengths"]), np.frombuffer(r["states"], "<u8"), np.frombuffer(r["words"], "<u4")) for r in rows])
-                out = []
-                for r, ids in zip(rows, found):
-                    at = r["__start"]
-                    for name, n, own in zip(r["docs"], r["lengths"], np.split(ids, np.cumsum(r["lengths"])[:-1])):
+            for row in range(batch.num_rows):
+                segment = batch.slice(row, 1).to_pylist()[0]
+                coder = Coder(np.frombuffer(zlib.decompress(segment["table"]), "<u4").astype(np.int64))
+                blocks, found = segment["blocks"], {}
+                for b in blocks:
+                    if zlib.crc32(b["words"], zlib.crc32(b["states"])) != b["crc32"]:
+                        raise ValueError(f"a block of segment {segment['segment']} of partition {segment['part']} is damaged")
+                for some in _even(blocks, lambda b: sum(b["lengths"])):
+                    parts = [(sum(blocks[i]["lengths"]), np.frombuffer(blocks[i]["states"], "<u8"), np.frombuffer(blocks[i]["words"], "<u4")) for i in some]
+                    found.update(zip(some, coder.decode(parts)))
+                at, out = segment["__start"], []
+                for i, b in enumerate(blocks):
+                    for name, n, own in zip(b["docs"], b["lengths"], np.split(found[i], np.cumsum(b["lengths"])[:-1])):
                         out.append((name, at, n, *document(own)))
                         at += n
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], pa.schema([(k, types[k]) for k in names]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
-    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    sizes = blocks.select("part", "block", size.alias("n"))
+    segments = spark.read.schema(_SEGMENT).parquet(path)
+    sizes = segments.select("part", "segment", "n_tokens")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", "block", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("__own"))
-    starts = starts.join(F.broadcast(parts), "part").select("part", "block", (F.col("__before") + F.col("__own")).alias("__start"))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", "segment", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("__own"))
+    starts = starts.join(parts, "part").select("part", "segment", (F.col("__before") + F.col("__own")).alias("__start"))
     schema = f"doc_id long, start long, n_tokens long, {columns}"
     names = [x.split()[0] for x in schema.split(", ")]
-    types = {n: {"long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for n, x in zip(names, schema.split(", "))}
-    return blocks.join(starts, ["part", "block"]).mapInArrow(decode, schema)
+    types = [{"long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
+    return segments.join(F.broadcast(starts), ["part", "segment"]).mapInArrow(decode, schema)  # a row for each SEGMENT_TOKENS ids
 
 
 def encode_and_read(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
