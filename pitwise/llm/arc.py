@@ -233,9 +233,9 @@ def warc_record(r: dict) -> bytes:
     return f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def _write_bytes(rows: DataFrame, path: str) -> None:
+def _write_bytes(rows: DataFrame, path: str, level: str) -> None:
     """Rows of bytes, each followed by LF, in gzipped files below ``path``."""
-    rows.select(F.col("value").cast("string")).write.option("compression", "gzip").text(path)
+    rows.select(F.col("value").cast("string")).write.option("compression", "gzip").option("zlib.compress.level", level).text(path)
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -246,7 +246,7 @@ def write_warc(records: DataFrame, path: str) -> None:
             for lo in range(0, batch.num_rows, _ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array([warc_record(r)[:-1] for r in batch.slice(lo, _ROWS).to_pylist()], pa.binary())], names=["value"])
 
-    _write_bytes(records.mapInArrow(run, "value binary"), path)
+    _write_bytes(records.mapInArrow(run, "value binary"), path, "THREE")
 
 
 def warc_records(data: bytes, name: str = "") -> Iterator[tuple[dict[str, str], bytes]]:
@@ -321,7 +321,7 @@ def write_pages_as_arc(pages: DataFrame, path: str, id_col: str = "page_id", url
                 yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["value"])
 
     rows = pages.select(id_col, url_col, html_col).withColumn("__part", F.spark_partition_id())
-    _write_bytes(rows.mapInArrow(run, "value binary"), path)
+    _write_bytes(rows.mapInArrow(run, "value binary"), path, "BEST_SPEED")
 
 
 def pages_through_archives(pages: DataFrame) -> DataFrame:
