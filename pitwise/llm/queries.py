@@ -9,18 +9,24 @@ from pyspark.sql import functions as F
 
 from .arc import pages_through_archives
 from .decontaminate import find_leaks
+from .licenses import find_licenses
 from .mixing import words_taken
 from .quality import quality_rules
 from .rans import encode_and_read
 from .setjoin import near_duplicate_groups
 from .sharding import shard_by_bytes
 from .substrings import without_repeats
+from .url_filter import filter_urls, labelled_urls, train
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), train(labelled_urls(spark)))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +40,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_taken(table(spark, sf_dir, "documents"))
 
@@ -71,9 +81,11 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_decontamination": op2_decontamination,
         "op3_arc_to_warc": op3_arc_to_warc,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_license_scan": op5_license_scan,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
         "op8_rans_token_ids": op8_rans_token_ids,
