@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +46,23 @@ _MASK = _U((1 << SCALE) - 1)
 
 _STOP = b"\xff"  # in no UTF-8 text
 _LETTERS = "abcdefghijklmnopqrstuvwxyz\u00df-\u00f6\u00f8-\u00ff"
-_SIMPLE = re.compile(f"([{_LETTERS}]+)([.,!?;:]*)")
-_PROBES = ("word", "Word,", "t", "don", "ended.", "\u00dcber", "\u00e9t\u00e9!?", "stra\u00dfe;", "ni\u00f1o:", "antidisestablishment", "q" * 300, "aaa...", "x,.")
+_SIMPLE = re.compile(f"([{_LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")  # no apostrophe, which may begin a suffix
+_PROBES = ("word", "Word,", "t", "don", "ended.", "\u00dcber", "\u00e9t\u00e9!?", "stra\u00dfe;", "ni\u00f1o:", "antidisestablishment", "q" * 300, "aaa...", "x,.", "b***", "c&|<>", "d.%", "e_-", "f(", "g]{}")
+
+
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype, values):
+        self.room = np.array(values, dtype)
+        self.values = self.room
+
+    def extend(self, more: np.ndarray) -> None:
+        n = len(self.values)
+        if n + len(more) > len(self.room):
+            self.room = np.concatenate([self.values, np.empty(n + len(more), self.room.dtype)])
+        self.room[n : n + len(more)] = more
+        self.values = self.room[: n + len(more)]
 
 
 class WordTokenizer:
@@ -68,10 +83,9 @@ class WordTokenizer:
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_as_chars = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
-        self.bases: dict[str, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
+        self.old: dict[bytes, tuple[int, ...]] = {}
         self._renew()
-        self.simple = all(self._simple_ids(w) == self._whole_ids(w) for w in _PROBES)
+        self.simple = self._simple_ids(list(_PROBES)) == [self._whole_ids(w) for w in _PROBES]
 
     @classmethod
     def load(cls, path: str, end_id: int) -> WordTokenizer:
@@ -81,35 +95,32 @@ class WordTokenizer:
         return cls._loaded[path, end_id]
 
     def _renew(self) -> None:
-        self.place, self.parts = {_STOP: 0}, [[self.end_id]]
-        self.ids, self.at = np.array([self.end_id], np.uint32), np.array([0, 1], np.int64)
-        self.bases.clear()
-
-    def _whole_ids(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _simple_ids(self, word: str) -> list[int] | None:
-        m = _SIMPLE.fullmatch(word.lower())
-        return None if m is None else [i for part in m.groups() if part for i in self._base(part)]
-
-    def _base(self, part: str) -> list[int]:
-        ids = self.bases.get(part)
-        if ids is None:
-            ids = self.bases[part] = [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else part.translate(self.bytes_as_chars))]
-        return ids
-
-    def _learn(self, words: set[bytes]) -> None:
-        for w in words:
-            ids = self.old.get(w)
-            if ids is None and self.simple:
-                ids = self._simple_ids(w.decode())
-            if ids is None:
-                ids = self._whole_ids(w.decode())
-            self.place[w] = len(self.parts)
-            self.parts.append(ids)
-        fresh = self.parts[len(self.at) - 1 :]
-        self.ids = np.concatenate([self.ids, np.array([i for x in fresh for i in x], np.uint32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in fresh])])
+        self.place, self.parts = {_STOP: 0}, [(self.end_id,)]
+        self.ids, self.at = _Grown(np.uint32, [self.end_id]), _Grown(np.int64, [0, 1])
+        self.bases = {"": ()}
+
+    def _whole_ids(self, word: str) -> tuple[int, ...]:
+        return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _simple_ids(self, words: list[str]) -> list[tuple[int, ...] | None]:
+        """Ids of the words that are letters and marks; None for the others."""
+        found = [_SIMPLE.fullmatch(w.lower()) for w in words]
+        bases, tokenize = self.bases, self.tokenizer.model.tokenize
+        for part in {p for m in found if m for p in m.groups()} - bases.keys():
+            bases[part] = tuple([t.id for t in tokenize(part if part.isascii() else part.translate(self.bytes_as_chars))])
+        return [m and bases[m[1]] + bases[m[2]] for m in found]
+
+    def _learn(self, words: list[bytes]) -> None:
+        old = self.old.get
+        fresh = [old(w) for w in words]
+        unknown = [i for i, x in enumerate(fresh) if x is None]
+        text = [words[i].decode() for i in unknown]
+        for i, w, ids in zip(unknown, text, self._simple_ids(text) if self.simple else repeat(None)):
+            fresh[i] = self._whole_ids(w) if ids is None else ids
+        self.place.update(zip(words, range(len(self.parts), len(self.parts) + len(words))))
+        self.parts += fresh
+        self.ids.extend(np.fromiter(chain.from_iterable(fresh), np.uint32))
+        self.at.extend(self.at.values[-1] + np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh))))
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text, and the number of each text's ids."""
@@ -120,15 +131,16 @@ class WordTokenizer:
         word = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         missed = np.flatnonzero(word < 0)
         if len(missed):
-            self._learn({words[i] for i in missed})
+            self._learn(list({words[i] for i in missed}))
             word[missed] = [self.place[words[i]] for i in missed]
-        n = (self.at[1:] - self.at[:-1])[word]
+        at = self.at.values
+        n = at[word + 1] - at[word]
         end = np.cumsum(n)
-        ids = self.ids[np.arange(end[-1] if len(end) else 0) + np.repeat(self.at[word] - (end - n), n)]
+        ids = self.ids.values[np.arange(end[-1] if len(end) else 0) + np.repeat(at[word] - (end - n), n)]
         return ids, np.diff(end[word == 0], prepend=0)
 
 
-def batches_of_texts(column: pa.Array, rows: int = 512) -> Iterator[tuple[int, list]]:
+def batches_of_texts(column: pa.Array, rows: int = 64) -> Iterator[tuple[int, list]]:
     column = column.cast(pa.binary())
     for lo in range(0, len(column), rows):
         yield lo, column.slice(lo, rows).to_pylist()
