@@ -44,46 +44,53 @@ from .words import chunks, mix, shingle_sets
 K = 5
 PERCENT = 80  # of the union
 TILE_SHINGLES = 1 << 21
-_ROUNDS = 2
 
 
-def _scan(docs: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
-    """``key, n, sig`` and ``entries`` (or, if ``whole``, the set) of each text."""
+def _sets(docs: DataFrame, k: int, percent: int, what: str) -> DataFrame:
+    """The columns of ``docs`` (the text last) with, instead of the text, ``n``, ``sig``
+    and, if asked for, ``entries`` (the sketch) or the whole ``set``."""
+    carried = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(len(carried))):
                 h, n = shingle_sets(chunk, k)
                 first = np.cumsum(n) - n
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h.view(np.uint64)))])
-                sig = mix(total[first + n] - total[first] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                size = n if whole else np.minimum(n, n - -(-n * percent // 100) + np.maximum(1, n // 20))
-                at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(h[at]))
-                own = batch.column(0).slice(chunk.row, chunk.docs)
-                yield pa.RecordBatch.from_arrays([own, pa.array(n), pa.array(sig, mask=n == 0), lists], names=["key", "n", "sig", "entries"])
-
-    return docs.mapInArrow(run, "key long, n long, sig long, entries array<long>")
-
-
-def _clusters(entries: DataFrame, percent: int) -> DataFrame:
+                own = [batch.column(i).slice(chunk.row, chunk.docs) for i in range(len(carried))]
+                if what != "set":
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h.view(np.uint64)))])
+                    sig = mix(total[first + n] - total[first] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    own += [pa.array(n), pa.array(sig, mask=n == 0)]
+                if what != "sig":
+                    size = n if what == "set" else np.minimum(n, n - -(-n * percent // 100) + np.maximum(1, n // 20))
+                    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    own.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(h[at])))
+                yield pa.RecordBatch.from_arrays(own, names=names)
+
+    added = {"sig": "n long, sig long", "entries": "n long, sig long, entries array<long>", "set": "set array<long>"}[what]
+    names = [*carried, *(x.split()[0] for x in added.split(", "))]
+    schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried), added])
+    return docs.mapInArrow(run, schema)
+
+
+def _clusters(entries: DataFrame) -> DataFrame:
     """``sig, n, cluster`` of the classes that may link with another."""
     twice = entries.groupBy("h").count().filter("count >= 2").select("h")
-    left = entries.join(twice, "h").distinct()
-    for _ in range(_ROUNDS):
-        left = cut(left, "entries")
-        shared = left.groupBy("h").count().filter("count >= 2").select("h")
-        left = left.join(shared, "h")
-        able = left.groupBy("sig", "n").agg(F.count("*").alias("found"))
-        able = able.filter(F.col("found") >= F.greatest(F.lit(1), F.expr("n * 4 div 100"))).select("sig")
-        left = left.join(able, "sig")
-    left = cut(left.select("h", "sig", "n"), "entries")
-    hubs = left.groupBy("h").agg(F.min("sig").alias("hub"), F.max("sig").alias("last")).filter("hub <> last").select("h", "hub")
-    edges = left.join(hubs, "h").filter("sig <> hub").select(F.col("sig").alias("u"), F.col("hub").alias("v"))
-    named = components(edges)
+    met = entries.join(twice, "h").distinct()  # copies go; their lists may be of one class now
+    met = cut(_listed(met).select("h", "sig", "n"), "entries")
+    able = met.groupBy("sig", "n").agg(F.count("*").alias("found"))
+    able = able.filter(F.col("found") >= F.greatest(F.lit(1), F.expr("n * 4 div 100"))).select("sig")
+    left = cut(_listed(met.join(able, "sig")).select("sig", "n", "hub"), "edges")
+    named = components(left.filter("sig <> hub").select(F.col("sig").alias("u"), F.col("hub").alias("v")))
     return left.select("sig", "n").distinct().join(named.withColumnRenamed("node", "sig").withColumnRenamed("component", "cluster"), "sig")
 
 
+def _listed(entries: DataFrame) -> DataFrame:
+    """The entries whose list has two classes or more, with the list's least, ``hub``."""
+    hubs = entries.groupBy("h").agg(F.min("sig").alias("hub"), F.max("sig").alias("last")).filter("hub <> last").select("h", "hub")
+    return entries.join(hubs, "h")
+
+
 def _tiles(classes: DataFrame, tile_shingles: int) -> DataFrame:
     """``sig, tile, side``: where each class is searched. ``side`` 0 and 1 meet only
     each other; 2 meets all of its tile."""
@@ -177,7 +184,7 @@ def t_occurrence_links(sig: np.ndarray, side: np.ndarray, n: np.ndarray, values:
 
 
 def _search(table: pa.Table, percent: int) -> pa.Table:
-    sets = table.column("entries").combine_chunks()
+    sets = table.column("set").combine_chunks()
     sig, side = (table.column(c).to_numpy() for c in ("sig", "side"))
     n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     values = sets.flatten().to_numpy(zero_copy_only=False)
@@ -193,14 +200,15 @@ def _search(table: pa.Table, percent: int) -> pa.Table:
 def _grouped(docs: DataFrame, k: int, percent: int, tile_shingles: int) -> DataFrame:
     """``key, doc_id, n, group``: ``group`` is null for documents without shingles.
     ``docs`` has ``key, doc_id, text``."""
-    scanned = cut(_scan(docs.select("key", "text"), k, percent, False), "sketches")
-    entries = scanned.filter("n > 0").select("sig", "n", F.explode("entries").alias("h"))
-    classes = cut(_clusters(entries, percent), "clusters")
-    where = cut(_tiles(classes, tile_shingles), "tiles")
-    one = scanned.join(classes.select("sig"), "sig").groupBy("sig").agg(F.min("key").alias("key"))
-    texts = docs.join(one.select("key"), "key").select("key", "text")
-    sets = _scan(texts, k, percent, True).select("sig", "entries")
-    tiles = sets.join(where, "sig").groupBy("tile").applyInArrow(lambda tile: _search(tile, percent), "u long, v long")
+    texts = docs.select("key", "text")
+    scanned = cut(_sets(texts, k, percent, "sig"), "classes")
+    entries = _sets(docs.select("text"), k, percent, "entries").select("sig", "n", F.explode("entries").alias("h"))
+    classes = cut(_clusters(entries), "clusters")
+    where = _tiles(classes, tile_shingles).groupBy("sig").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
+    one = scanned.join(classes.select("sig"), "sig").groupBy("sig").agg(F.min("key").alias("key")).join(where, "sig")
+    near = texts.join(cut(one, "tiles"), "key").select("sig", "tiles", "text")
+    sets = _sets(near, k, percent, "set").select("sig", "set", F.explode("tiles").alias("t")).select("sig", "set", "t.tile", "t.side")
+    tiles = sets.groupBy("tile").applyInArrow(lambda tile: _search(tile, percent), "u long, v long")
     groups = components(tiles).withColumnRenamed("node", "sig")
     named = scanned.select("key", "n", "sig").distinct().join(groups, "sig", "left")
     return docs.select("key", "doc_id").join(named.select("key", "n", F.coalesce("component", "sig").alias("group")), "key")
