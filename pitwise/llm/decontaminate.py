@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import cut
 from .words import Chunk, chunks, shingle_sets, window_hashes, window_starts
 
 K = 5
@@ -164,7 +165,9 @@ def _by_shuffle(docs: DataFrame, sets: DataFrame, k: int, threshold: float) -> D
     return shared.filter(F.col("n_shared") >= need)
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item, all columns as they are."""
-    leaks = find_leaks(docs, items, **options).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, broadcast_ids: int = 1_000_000, **options) -> DataFrame:
+    """The documents that hold no item, all columns as they are. The ids to drop are
+    broadcast if there are no more than ``broadcast_ids``, else joined by shuffles."""
+    leaks = cut(find_leaks(docs, items, **options).select(F.col("doc_id").alias("__id")).distinct(), "leaks")
+    few = leaks.limit(broadcast_ids + 1).count() <= broadcast_ids
+    return docs.join(F.broadcast(leaks) if few else leaks, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")

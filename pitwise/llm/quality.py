@@ -227,27 +227,36 @@ def quality_rules(
     ``carry`` names further columns to hand on unchanged."""
     # at most len(CLASSES) + 1 / common_share rows for each language
     judge = docs.sparkSession.sparkContext.broadcast(Judge(references(docs, lang_col, text_col, common_share).toPandas()))
-    carried = [id_col, *carry]
+    carried = list(dict.fromkeys([id_col, *carry]))
 
     def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_langs = np.array(batch.column(0).fill_null("").to_pylist(), object)
-            for chunk in chunks(batch.column(1)):
+            all_langs = np.array(batch.column(lang_at).fill_null("").to_pylist(), object)
+            for chunk in chunks(batch.column(text_at)):
                 base, classes, _ = _base(chunk)
                 langs = all_langs[chunk.row : chunk.row + chunk.docs]
                 char, word, support = judge.value.distances(chunk, langs, classes)
                 able = support >= min_reference_words
                 odd = able & (base["word_chars"] >= min_chars) & (char > max_char_distance)
                 odd |= able & (base["n_words"] >= min_words) & (word > max_word_distance + word_noise / np.sqrt(np.maximum(base["n_words"], 1)))
-                own = [batch.column(2 + i).slice(chunk.row, chunk.docs) for i in range(len(carried))]
+                own = [batch.column(i).slice(chunk.row, chunk.docs) for i in range(len(carried))]
                 result = [*base.values(), *(pa.array(x, from_pandas=True) for x in (char, word)), ~base["base_failed"] & ~odd]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(x) for x in result)], names=names)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     names = [*carried, *base_names(), "char_distance", "word_distance", "kept"]
-    rows = docs.select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), *carried)
+    rows = docs.select(*dict.fromkeys([*carried, lang_col, text_col]))
+    lang_at, text_at = rows.columns.index(lang_col), rows.columns.index(text_col)
     return rows.mapInArrow(rule, f"{schema}, {BASE}, char_distance double, word_distance double, kept boolean")
 
 
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", **options) -> DataFrame:
+    """The documents that the rules keep, all columns as they are."""
+    hidden = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*hidden.values())
+    judged = quality_rules(rows, hidden[id_col], hidden[lang_col], hidden[text_col], carry=tuple(hidden.values()), **options)
+    return judged.filter("kept").select(*[F.col(h).alias(c) for c, h in hidden.items()])
+
+
 def base_names() -> list[str]:
     return [x.split()[0] for x in BASE.split(", ")]
