@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from pitwise.plans import core
+from pitwise.plans.catalog import QUERIES, SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return core.latest_standing(spark, sf_dir)
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
