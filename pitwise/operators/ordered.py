@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _order(key: str, season: str):
@@ -81,7 +82,7 @@ def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def isotonic(rows: DataFrame, keys: list[str], order: str, value: str, weight: str, name: str) -> DataFrame:
     """``pool_adjacent`` within each entity's few ordered points."""
-    schema = rows.schema.add(name, "double")
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
 
     def project(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)

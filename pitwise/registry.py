@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitwise.plans import core
+from pitwise.plans import analysis, core
 from pitwise.plans.catalog import QUERIES, SQL
 
 
@@ -13,6 +13,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
+    assert analysis and core
     return dict(QUERIES)
 
 
