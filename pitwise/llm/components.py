@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, forget
 
 MAX_ROUNDS = 60
 
@@ -46,7 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        edges = cut(_star(_star(edges, True), False), "edges")
+        last, edges = edges, cut(_star(_star(edges, True), False), "edges")
+        forget(last)
         now = _mark(edges)
         if now == before:
             break

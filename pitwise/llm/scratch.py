@@ -5,11 +5,14 @@ back: the lineage ends there, so a lost executor costs no recomputation of what
 came before, and a value such as a partition number is fixed once for all
 readers. The folder is read from the session and only set (to a local temporary
 folder) where it is unset, as in tests. Tables lie in a folder named after the
-application, to be removed with it.
+application, to be removed with it. With ``release`` the driver also collects
+garbage, on which Spark's cleaner removes the shuffle files of the plans before the
+cut, so that a long job holds those of one step at a time on its disks.
 """
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,8 +33,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if release:
+        gc.collect()
+        spark._jvm.System.gc()
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables made by ``cut`` on which nothing depends any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

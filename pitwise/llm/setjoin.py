@@ -8,9 +8,11 @@ components of the links.
    copies never meet each other.
 2. *Sketches.* Linked sets of sizes ``a <= b`` share ``T = ceil(threshold * b)``
    shingles, so the first ``n - T + l`` hashes of both, in hash order, share at least
-   ``l``. A class keeps these entries with ``l = n / 20``. An entry that no other class
-   has is dropped, and so is a class with fewer than ``0.04 n`` entries left, which no
-   linked pair can have; documents that only share a passage end here.
+   ``l``. A class keeps these entries with ``l`` some per cent of ``n``. An entry that no
+   other class has is dropped, and so is a class with fewer than ``threshold * l``
+   entries left, which no linked pair can have. A first sieve of 5 per cent is cheap and
+   leaves near copies and documents that share passages; a second of 40 per cent, over
+   what is left, keeps only those that share more than half of what they have.
 3. *Clusters.* Classes that share an entry are joined to the least class of that
    entry's list (a star, not pairs), and the components of the stars are clusters:
    links lie inside them.
@@ -38,17 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut
+from .scratch import cut, forget
 from .words import chunks, mix, shingle_sets
 
 K = 5
 PERCENT = 80  # of the union
+SIEVES = (5, 40)  # per cent
 TILE_SHINGLES = 1 << 21
 
 
-def _sets(docs: DataFrame, k: int, percent: int, what: str) -> DataFrame:
+def _sets(docs: DataFrame, k: int, percent: int, what: str, more: int = 0) -> DataFrame:
     """The columns of ``docs`` (the text last) with, instead of the text, ``n``, ``sig``
-    and, if asked for, ``entries`` (the sketch) or the whole ``set``."""
+    and, if asked for, ``entries`` (the sketch, ``more`` per cent over the least) or the whole
+    ``set``."""
     carried = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +66,7 @@ def _sets(docs: DataFrame, k: int, percent: int, what: str) -> DataFrame:
                     sig = mix(total[first + n] - total[first] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                     own += [pa.array(n), pa.array(sig, mask=n == 0)]
                 if what != "sig":
-                    size = n if what == "set" else np.minimum(n, n - -(-n * percent // 100) + np.maximum(1, n // 20))
+                    size = n if what == "set" else np.minimum(n, n - -(-n * percent // 100) + np.maximum(1, n * more // 100))
                     at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
                     own.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(h[at])))
                 yield pa.RecordBatch.from_arrays(own, names=names)
@@ -73,16 +77,37 @@ def _sets(docs: DataFrame, k: int, percent: int, what: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _clusters(entries: DataFrame) -> DataFrame:
-    """``sig, n, cluster`` of the classes that may link with another."""
+def _sieved(entries: DataFrame, percent: int, more: int) -> tuple[DataFrame, DataFrame]:
+    """``h, sig, n``: shared entries of the classes that have enough of them; and the
+    table that this reads."""
     twice = entries.groupBy("h").count().filter("count >= 2").select("h")
     met = entries.join(twice, "h").distinct()  # copies go; their lists may be of one class now
-    met = cut(_listed(met).select("h", "sig", "n"), "entries")
+    met = cut(_listed(met).select("h", "sig", "n"), "entries", release=True)
     able = met.groupBy("sig", "n").agg(F.count("*").alias("found"))
-    able = able.filter(F.col("found") >= F.greatest(F.lit(1), F.expr("n * 4 div 100"))).select("sig")
-    left = cut(_listed(met.join(able, "sig")).select("sig", "n", "hub"), "edges")
-    named = components(left.filter("sig <> hub").select(F.col("sig").alias("u"), F.col("hub").alias("v")))
-    return left.select("sig", "n").distinct().join(named.withColumnRenamed("node", "sig").withColumnRenamed("component", "cluster"), "sig")
+    able = able.filter(F.col("found") >= F.greatest(F.lit(1), F.expr(f"n * {more * percent} div 10000"))).select("sig")
+    return met.join(able, "sig"), met
+
+
+def _clusters(texts: DataFrame, scanned: DataFrame, k: int, percent: int) -> DataFrame:
+    """``sig, n, cluster`` of the classes that may link with another."""
+    entries = _sets(texts.select("text"), k, percent, "entries", SIEVES[0])
+    left, first = _sieved(entries.select("sig", "n", F.explode("entries").alias("h")), percent, SIEVES[0])
+    some = cut(_documents(scanned, left.select("sig").distinct()), "representatives")
+    forget(first)
+    entries = _sets(texts.join(some.select("key"), "key").select("text"), k, percent, "entries", SIEVES[1])
+    left, second = _sieved(entries.select("sig", "n", F.explode("entries").alias("h")), percent, SIEVES[1])
+    stars = cut(_listed(left).select("sig", "n", "hub"), "stars", release=True)
+    forget(some, second)
+    named = components(stars.filter("sig <> hub").select(F.col("sig").alias("u"), F.col("hub").alias("v")))
+    named = named.withColumnRenamed("node", "sig").withColumnRenamed("component", "cluster")
+    clusters = cut(stars.select("sig", "n").distinct().join(named, "sig"), "clusters", release=True)
+    forget(stars)
+    return clusters
+
+
+def _documents(scanned: DataFrame, classes: DataFrame) -> DataFrame:
+    """``sig, key``: a document of each class."""
+    return scanned.join(classes, "sig").groupBy("sig").agg(F.min("key").alias("key"))
 
 
 def _listed(entries: DataFrame) -> DataFrame:
@@ -202,14 +227,14 @@ def _grouped(docs: DataFrame, k: int, percent: int, tile_shingles: int) -> DataF
     ``docs`` has ``key, doc_id, text``."""
     texts = docs.select("key", "text")
     scanned = cut(_sets(texts, k, percent, "sig"), "classes")
-    entries = _sets(docs.select("text"), k, percent, "entries").select("sig", "n", F.explode("entries").alias("h"))
-    classes = cut(_clusters(entries), "clusters")
+    classes = _clusters(texts, scanned, k, percent)
     where = _tiles(classes, tile_shingles).groupBy("sig").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
-    one = scanned.join(classes.select("sig"), "sig").groupBy("sig").agg(F.min("key").alias("key")).join(where, "sig")
-    near = texts.join(cut(one, "tiles"), "key").select("sig", "tiles", "text")
+    one = cut(_documents(scanned, classes.select("sig")).join(where, "sig"), "tiles")
+    near = texts.join(one, "key").select("sig", "tiles", "text")
     sets = _sets(near, k, percent, "set").select("sig", "set", F.explode("tiles").alias("t")).select("sig", "set", "t.tile", "t.side")
     tiles = sets.groupBy("tile").applyInArrow(lambda tile: _search(tile, percent), "u long, v long")
-    groups = components(tiles).withColumnRenamed("node", "sig")
+    groups = components(tiles).withColumnRenamed("node", "sig")  # done here, so what led to it can go
+    forget(classes, one)
     named = scanned.select("key", "n", "sig").distinct().join(groups, "sig", "left")
     return docs.select("key", "doc_id").join(named.select("key", "n", F.coalesce("component", "sig").alias("group")), "key")
 

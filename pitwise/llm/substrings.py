@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, forget
 from .words import Chunk, chunks, mix, window_hashes, window_starts
 
 WINDOW = 35
@@ -100,9 +100,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         own = rows.join(twice, keys).select("doc_id", F.shiftrightunsigned("mark", 32).alias("half"), F.col("mark").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
         return own.groupBy("doc_id", "half").agg(F.collect_set("place").alias(name))
 
-    found = cut(marked(docs.mapInArrow(anchors, f"h long, doc_id {_id(docs)}, mark long"), ["h"], "places"), "anchors")
+    found = cut(marked(docs.mapInArrow(anchors, f"h long, doc_id {_id(docs)}, mark long"), ["h"], "places"), "anchors", release=True)
     near = _left(docs, found, "inner").select("doc_id", "half", "text", "places")
-    return cut(marked(near.mapInArrow(windows, f"h long, more int, doc_id {_id(docs)}, mark long"), ["h", "more"], "starts"), "windows")
+    starts = cut(marked(near.mapInArrow(windows, f"h long, more int, doc_id {_id(docs)}, mark long"), ["h", "more"], "starts"), "windows", release=True)
+    forget(found)
+    return starts
 
 
 def _id(docs: DataFrame) -> str:
