@@ -185,19 +185,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: for each round through its
     source, a row with the words taken of a document in it, joined by one space, and
     ``n_chars``, if there is such a column, set anew. A document that a round takes
-    whole keeps its text. Documents of which nothing is taken are left out."""
+    whole keeps its text. Documents of which nothing is taken are left out. Rows equal
+    in id, source and text are taken each for itself but share their other columns."""
     known, pieces = mix_sources(docs, **options)
     ranges = pieces.groupBy("idx", "round").agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("__ranges"))
-    same = Window.partitionBy("doc_id", "text_hash").orderBy("idx")
-    twin = F.row_number().over(same)  # rows equal in id and text are interchangeable
-    taken = known.withColumn("__twin", twin).join(ranges, "idx").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__twin", "size", "__ranges")
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    keyed = keyed.withColumn("__twin", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy(F.col("source").asc_nulls_last())))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (keyed["__hash"] == taken["__hash"]) & (keyed["__twin"] == taken["__twin"])
-    joined = keyed.join(taken, on)
+
+    def key(text_hash):
+        return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", text_hash)
+
+    taken = known.join(ranges, "idx").select(key("text_hash").alias("__key"), F.col("size").alias("__size"), "__ranges")
+    once = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))  # of rows equal in id, source and text
+    joined = docs.withColumn("__key", key(F.xxhash64("text"))).withColumn("__once", once).filter("__once = 1").join(taken, "__key")
     words = F.filter(F.split(F.regexp_replace("text", r"[ \t-\r]+", " "), " "), lambda x: x != "")
     part = F.concat_ws(" ", F.flatten(F.transform("__ranges", lambda r: F.slice(words, (r["from_word"] + 1).cast("int"), (r["to_word"] - r["from_word"]).cast("int")))))
     got = F.aggregate("__ranges", F.lit(0).cast("long"), lambda a, r: a + r["to_word"] - r["from_word"])
-    text = F.when(got == F.col("size"), F.col("text")).otherwise(part)
+    text = F.when(got == F.col("__size"), F.col("text")).otherwise(part)
     fresh = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return joined.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
