@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitwise.plans import analysis, core
+from pitwise.plans import analysis, core, learned
 from pitwise.plans.catalog import QUERIES, SQL
 
 
@@ -13,7 +13,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    assert analysis and core
+    assert analysis and core and learned  # they fill the register
     return dict(QUERIES)
 
 
