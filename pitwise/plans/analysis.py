@@ -378,7 +378,7 @@ def proper_scores(spark, sf):
     return _scored(spark, sf).groupBy("lang").agg(r6(metrics.brier(p, y)).alias("brier"), r6(metrics.log_loss(p, y)).alias("log_loss"))
 
 
-@query(f"WITH {_SCORED} SELECT a.lang, round(avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END), 6) AS auc FROM scored a JOIN scored b ON a.lang = b.lang AND a.y = 1 AND b.y = 0 GROUP BY 1")
+@query(f"WITH {_SCORED}, w AS (SELECT a.lang, round(avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END), 6) AS auc FROM scored a JOIN scored b ON a.lang = b.lang AND a.y = 1 AND b.y = 0 GROUP BY 1) SELECT g.lang, w.auc FROM (SELECT DISTINCT lang FROM scored) g LEFT JOIN w ON w.lang = g.lang")
 def roc_auc(spark, sf):
     return metrics.auc(_scored(spark, sf), ["lang"], "p", "y").select("lang", r6("auc").alias("auc"))
 
