@@ -92,9 +92,10 @@ def _clusters(texts: DataFrame, scanned: DataFrame, k: int, percent: int) -> Dat
     """``sig, n, cluster`` of the classes that may link with another."""
     entries = _sets(texts.select("text"), k, percent, "entries", SIEVES[0])
     left, first = _sieved(entries.select("sig", "n", F.explode("entries").alias("h")), percent, SIEVES[0])
+    # the tables that pick texts grow with the corpus: they are merged, never broadcast
     some = cut(_documents(scanned, left.select("sig").distinct()), "representatives")
     forget(first)
-    entries = _sets(texts.join(some.select("key"), "key").select("text"), k, percent, "entries", SIEVES[1])
+    entries = _sets(texts.join(some.select("key").hint("merge"), "key").select("text"), k, percent, "entries", SIEVES[1])
     left, second = _sieved(entries.select("sig", "n", F.explode("entries").alias("h")), percent, SIEVES[1])
     stars = cut(_listed(left).select("sig", "n", "hub"), "stars", release=True)
     forget(some, second)
@@ -230,7 +231,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, tile_shingles: int) -> DataF
     classes = _clusters(texts, scanned, k, percent)
     where = _tiles(classes, tile_shingles).groupBy("sig").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
     one = cut(_documents(scanned, classes.select("sig")).join(where, "sig"), "tiles")
-    near = texts.join(one, "key").select("sig", "tiles", "text")
+    near = texts.join(one.hint("merge"), "key").select("sig", "tiles", "text")
     sets = _sets(near, k, percent, "set").select("sig", "set", F.explode("tiles").alias("t")).select("sig", "set", "t.tile", "t.side")
     tiles = sets.groupBy("tile").applyInArrow(lambda tile: _search(tile, percent), "u long, v long")
     groups = components(tiles).withColumnRenamed("node", "sig")  # done here, so what led to it can go
