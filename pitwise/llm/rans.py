@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .scratch import new_path
 
-SCALE = 20
+SCALE = 17
 LANES = 128
 BLOCK_TOKENS = 1 << 16
 SEGMENT_TOKENS = 1 << 22
@@ -84,7 +84,7 @@ class WordTokenizer:
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes_as_chars = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.bytes_as_chars = [chr(c) for c in range(0xDF)] + [level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)]
         self.old: dict[bytes, tuple[int, ...]] = {}
         self._renew()
         self.simple = self._simple_ids(list(_PROBES)) == [self._whole_ids(w) for w in _PROBES]
@@ -108,7 +108,7 @@ class WordTokenizer:
         """Ids of the words that are letters and marks; None for the others."""
         found = _SIMPLE.findall("\n".join(words).lower())
         bases, tokenize = self.bases, self.tokenizer.model.tokenize
-        for part in {p for pair in found for p in pair} - bases.keys():
+        for part in {p for pair in found for p in pair if p not in bases}:
             bases[part] = tuple([t.id for t in tokenize(part if part.isascii() else part.translate(self.bytes_as_chars))])
         return [bases[a] + bases[b] if a else None for a, b in found]
 
@@ -153,6 +153,8 @@ def scaled(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
     total = counts.sum()
     if not total:
         return np.zeros(len(counts), np.int64)
+    if np.count_nonzero(counts) > 1 << scale:
+        raise ValueError(f"more than 2**{scale} ids")
     freq = np.where(counts > 0, np.maximum(1, counts * float(1 << scale) / total).astype(np.int64), 0)
     over = int(freq.sum()) - (1 << scale)
     for i in np.argsort(-freq, kind="stable"):
