@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import let
+
 K = 5
 THRESHOLD = 0.8
 MAX_BANDS = 100_000
@@ -44,11 +46,6 @@ TEMPLATES = {
 }
 
 
-def let(value: Column, make) -> Column:
-    """``make`` of a value that is worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), make), F.lit(0))
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[\\x00-/:-`{-\\x7f]+"), lambda w: w != "")
 

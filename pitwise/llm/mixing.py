@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import let
 from .sharding import with_offsets
 from .words import chunks
 
@@ -194,11 +195,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", text_hash)
 
     taken = known.join(ranges, "idx").select(key("text_hash").alias("__key"), F.col("size").alias("__size"), "__ranges")
-    once = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))  # of rows equal in id, source and text
-    joined = docs.withColumn("__key", key(F.xxhash64("text"))).withColumn("__once", once).filter("__once = 1").join(taken, "__key")
-    words = F.filter(F.split(F.regexp_replace("text", r"[ \t-\r]+", " "), " "), lambda x: x != "")
-    part = F.concat_ws(" ", F.flatten(F.transform("__ranges", lambda r: F.slice(words, (r["from_word"] + 1).cast("int"), (r["to_word"] - r["from_word"]).cast("int")))))
+    again = F.lag(F.lit(1)).over(Window.partitionBy("__key").orderBy("__key"))  # of rows equal in id, source and text one stays
+    once = docs.withColumn("__key", key(F.xxhash64("text"))).withColumn("__again", again).filter("__again is null")
+    joined = once.withColumnRenamed("text", "__text").join(taken, "__key")
+
+    def chosen(words):
+        return F.flatten(F.transform("__ranges", lambda r: F.slice(words, (r["from_word"] + 1).cast("int"), (r["to_word"] - r["from_word"]).cast("int"))))
+
+    words = F.filter(F.split(F.regexp_replace("__text", r"[ \t-\r]+", " "), " "), lambda x: x != "")
     got = F.aggregate("__ranges", F.lit(0).cast("long"), lambda a, r: a + r["to_word"] - r["from_word"])
-    text = F.when(got == F.col("__size"), F.col("text")).otherwise(part)
-    fresh = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
+    mixed = joined.withColumn("text", F.when(got == F.col("__size"), F.col("__text")).otherwise(F.concat_ws(" ", let(words, chosen))))
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return mixed.select(*docs.columns)
