@@ -167,7 +167,7 @@ def mix_sources(
     parts = known.filter("size > 0").select("name", "idx", "at", "size", F.explode(F.sequence(lo, hi)).alias("block"))
     slots = mix_slots(targets, block_tokens, shard_tokens, seed).withColumn("name", name).drop("source")
     start = F.col("block") * block_tokens
-    pieces = parts.join(slots, ["name", "block"]).select(
+    pieces = parts.join(slots.hint("merge"), ["name", "block"]).select(  # both grow with the corpus
         "idx", "shard", "slot", "round",
         F.greatest(F.lit(0), start - F.col("at")).alias("from_word"),
         F.least(F.col("size"), start + F.col("take") - F.col("at")).alias("to_word"),

@@ -15,7 +15,7 @@ frequencies by id), ``blocks``: ``docs``, ``lengths``, ``states`` (little-endian
 uint64), ``words`` (little-endian uint32) and ``crc32`` of states then words.
 
 Defined results: a null text is the end id alone; rows with equal ids stand in
-order of their texts; null ids come first; a very long text is one block; no rows
+order of their texts' hashes; null ids come first; a very long text is one block; no rows
 give no segments.
 """
 
@@ -276,7 +276,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
             yield _segment(part, number, blocks)
         gc.enable()
 
-    ordered = docs.select(id_col, text_col).repartitionByRange(id_col, text_col).sortWithinPartitions(id_col, text_col)
+    # the range bounds are sampled by the driver, so the texts themselves are no part of them
+    order = (id_col, F.xxhash64(text_col))
+    ordered = docs.select(id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order, text_col)
     ordered.withColumn("__part", F.spark_partition_id()).mapInArrow(encode, _SEGMENT).write.parquet(path)
 
 

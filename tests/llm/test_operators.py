@@ -190,15 +190,15 @@ def test_ids_read_back_are_the_tokenizers(spark, docs, tmp_path):
     rans.write_ids(all_docs, where, path, 2, segment_tokens=500)
     got = rans.read_ids(spark, where, "ids binary", lambda ids: (ids.astype("<u4").tobytes(),)).collect()
     whole = tokenizers.Tokenizer.from_file(path)
-    want = sorted(((d is not None, d or 0, t is not None, t or "") for d, t in ROWS + [(5000 + i, t) for i, t in enumerate(odd)]))
-    got = sorted(got, key=lambda r: r.start)
-    assert len(got) == len(want)
-    start = 0
-    for r, (known, d, _, t) in zip(got, want):
-        ids = whole.encode(t, add_special_tokens=False).ids + [2]
-        assert (r.doc_id, r.start, r.n_tokens) == (d if known else None, start, len(ids))
-        assert np.frombuffer(r.ids, "<u4").tolist() == ids
-        start += len(ids)
+    rows = ROWS + [(5000 + i, t) for i, t in enumerate(odd)]
+    left = Counter((d, tuple(whole.encode(t or "", add_special_tokens=False).ids + [2])) for d, t in rows)
+    start, ids_before = 0, -1
+    for r in sorted(got, key=lambda r: r.start):
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert (r.start, r.n_tokens) == (start, len(ids)) and (-1 if r.doc_id is None else r.doc_id) >= ids_before
+        left[r.doc_id, tuple(ids)] -= 1
+        start, ids_before = start + len(ids), -1 if r.doc_id is None else r.doc_id
+    assert len(got) == len(rows) and set(left.values()) == {0}
 
 
 def test_damaged_blocks_are_found(spark, docs, tmp_path):
