@@ -79,6 +79,41 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 """
 
 
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def _shingles(name: str, table: str, key: str) -> str:
+    return f"""{name}_w AS (SELECT {key}, {_WORDS.format(_FOLD)} AS w FROM {table}),
+{name} AS (SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) AS i FROM {name}_w)),
+{name}_n AS (SELECT {key}, count(*) AS n FROM {name} GROUP BY 1)"""
+
+
+OP2 = f"""
+WITH {_shingles("d", "documents", "doc_id")}, {_shingles("b", "benchmark", "item_id")},
+m AS (SELECT d.doc_id, b.item_id, count(*) AS n_shared FROM d JOIN b ON d.s = b.s GROUP BY 1, 2)
+SELECT doc_id, m.item_id, b_n.n AS n_item, n_shared, n_shared / b_n.n AS containment FROM m JOIN b_n ON b_n.item_id = m.item_id WHERE 10 * n_shared >= 8 * b_n.n
+"""
+
+OP4 = f"""
+WITH RECURSIVE {_shingles("d", "documents", "doc_id")},
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM d x JOIN d y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN d_n x ON x.doc_id = a JOIN d_n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.doc_id WHERE r.least < e.b)
+SELECT r.doc_id, coalesce(any_value(d_n.n), 0) AS n_shingles, min(least) AS component_id FROM r LEFT JOIN d_n ON d_n.doc_id = r.doc_id GROUP BY 1
+"""
+
+OP10 = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM p), g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM c WHERE n >= 2),
+u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM w),
+k AS (SELECT u.doc_id, count(g.j) AS n_removed, string_agg(word, ' ' ORDER BY u.j) FILTER (WHERE g.j IS NULL) AS kept FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.j = u.j GROUP BY 1)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -95,4 +130,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_arc_to_warc": OP3}
+    return {"op2_decontamination": OP2, "op3_arc_to_warc": OP3, "op4_ngram_jaccard": OP4, "op10_substring_dedup": OP10}
