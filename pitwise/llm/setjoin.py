@@ -88,14 +88,16 @@ def _sieved(entries: DataFrame, percent: int, more: int) -> tuple[DataFrame, Dat
     return met.join(able, "sig"), met
 
 
-def _clusters(texts: DataFrame, scanned: DataFrame, k: int, percent: int) -> DataFrame:
-    """``sig, n, cluster`` of the classes that may link with another."""
+def _clusters(texts: DataFrame, scanned: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``sig, n, cluster`` of the classes that may link with another; and the texts
+    (``key, text``) that the first sieve left, one a class."""
     entries = _sets(texts.select("text"), k, percent, "entries", SIEVES[0])
     left, first = _sieved(entries.select("sig", "n", F.explode("entries").alias("h")), percent, SIEVES[0])
     # the tables that pick texts grow with the corpus: they are merged, never broadcast
     some = cut(_documents(scanned, left.select("sig").distinct()), "representatives")
     forget(first)
-    entries = _sets(texts.join(some.select("key").hint("merge"), "key").select("text"), k, percent, "entries", SIEVES[1])
+    chosen = cut(texts.join(some.select("key").hint("merge"), "key").select("key", "text"), "chosen", release=True)
+    entries = _sets(chosen.select("text"), k, percent, "entries", SIEVES[1])
     left, second = _sieved(entries.select("sig", "n", F.explode("entries").alias("h")), percent, SIEVES[1])
     stars = cut(_listed(left).select("sig", "n", "hub"), "stars", release=True)
     forget(some, second)
@@ -103,7 +105,7 @@ def _clusters(texts: DataFrame, scanned: DataFrame, k: int, percent: int) -> Dat
     named = named.withColumnRenamed("node", "sig").withColumnRenamed("component", "cluster")
     clusters = cut(stars.select("sig", "n").distinct().join(named, "sig"), "clusters", release=True)
     forget(stars)
-    return clusters
+    return clusters, chosen
 
 
 def _documents(scanned: DataFrame, classes: DataFrame) -> DataFrame:
@@ -228,14 +230,14 @@ def _grouped(docs: DataFrame, k: int, percent: int, tile_shingles: int) -> DataF
     ``docs`` has ``key, doc_id, text``."""
     texts = docs.select("key", "text")
     scanned = cut(_sets(texts, k, percent, "sig"), "classes")
-    classes = _clusters(texts, scanned, k, percent)
+    classes, chosen = _clusters(texts, scanned, k, percent)
     where = _tiles(classes, tile_shingles).groupBy("sig").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
     one = cut(_documents(scanned, classes.select("sig")).join(where, "sig"), "tiles")
-    near = texts.join(one.hint("merge"), "key").select("sig", "tiles", "text")
+    near = chosen.join(one.hint("merge"), "key").select("sig", "tiles", "text")
     sets = _sets(near, k, percent, "set").select("sig", "set", F.explode("tiles").alias("t")).select("sig", "set", "t.tile", "t.side")
     tiles = sets.groupBy("tile").applyInArrow(lambda tile: _search(tile, percent), "u long, v long")
     groups = components(tiles).withColumnRenamed("node", "sig")  # done here, so what led to it can go
-    forget(classes, one)
+    forget(classes, one, chosen)
     named = scanned.select("key", "n", "sig").distinct().join(groups, "sig", "left")
     return docs.select("key", "doc_id").join(named.select("key", "n", F.coalesce("component", "sig").alias("group")), "key")
 
