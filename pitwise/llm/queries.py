@@ -13,7 +13,7 @@ from .licenses import find_licenses
 from .mixing import words_taken
 from .quality import quality_rules
 from .rans import encode_and_read
-from .setjoin import near_duplicate_groups
+from .setjoin import near_duplicate_groups, near_duplicate_links
 from .sharding import shard_by_bytes
 from .substrings import without_repeats
 from .url_filter import filter_urls, labelled_urls, train
@@ -40,6 +40,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_links(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_licenses(table(spark, sf_dir, "documents"))
 
@@ -120,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_arc_to_warc": op3_arc_to_warc,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op4_ngram_jaccard_links": op4_ngram_jaccard_links,
         "op5_license_scan": op5_license_scan,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,

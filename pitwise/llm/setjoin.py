@@ -22,6 +22,9 @@ components of the links.
    that can still reach ``T`` are probed by binary search in the long ones, and pairs
    with the required overlap link. A tile gives off only links that join two groups
    for the first time there, so a group of any density yields no more links than sets.
+   Where links are counted, every candidate is verified and a tile also gives off one
+   number a set: the documents of the sets that it links with there. Two sets meet in
+   one tile only, so the numbers add up, and no pairs are written.
 5. *Components* of the links name the groups.
 
 Defined results: null texts and texts without words have no shingles, link with
@@ -109,8 +112,8 @@ def _clusters(texts: DataFrame, scanned: DataFrame, k: int, percent: int) -> tup
 
 
 def _documents(scanned: DataFrame, classes: DataFrame) -> DataFrame:
-    """``sig, key``: a document of each class."""
-    return scanned.join(classes, "sig").groupBy("sig").agg(F.min("key").alias("key"))
+    """``sig, key, docs``: a document of each class, and how many it has."""
+    return scanned.join(classes, "sig").groupBy("sig").agg(F.min("key").alias("key"), F.count("*").alias("docs"))
 
 
 def _listed(entries: DataFrame) -> DataFrame:
@@ -152,8 +155,11 @@ def _tiles(classes: DataFrame, tile_shingles: int) -> DataFrame:
     return packed.unionByName(spread)
 
 
-def t_occurrence_links(sig: np.ndarray, side: np.ndarray, n: np.ndarray, values: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join the groups of some sets, with each set's values ascending."""
+def t_occurrence_links(
+    sig: np.ndarray, side: np.ndarray, n: np.ndarray, values: np.ndarray, percent: int = PERCENT, docs: np.ndarray | None = None
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join the groups of some sets, with each set's values ascending; and,
+    if the sets' ``docs`` are given, how many documents each set links with (else 0)."""
     first = np.cumsum(n) - n
     order = np.lexsort((sig, n))
     place = np.empty(len(order), np.int64)
@@ -169,7 +175,10 @@ def t_occurrence_links(sig: np.ndarray, side: np.ndarray, n: np.ndarray, values:
     list_of = np.empty(len(values), np.int64)
     list_of[by] = np.cumsum(new) - 1
     lengths = np.diff(starts)
+    flat = (np.cumsum(new) - 1) * len(order) + postings  # ascending
     group = np.arange(len(order))
+    held = None if docs is None else docs[order]
+    count = np.zeros(len(order), np.int64)
 
     def root(i):
         while group[i] != i:
@@ -193,25 +202,33 @@ def t_occurrence_links(sig: np.ndarray, side: np.ndarray, n: np.ndarray, values:
         found, shared = np.unique(merged[(merged > x) & (merged < last)], return_counts=True)
         able = (shared >= t - long) & ((sides[found] != sides[x]) | (sides[found] == 2))
         found, shared = found[able], shared[able]
-        if len(found):
+        if len(found) and held is None:
             mine = root(x)
             apart = np.array([root(y) != mine for y in found])
             found, shared = found[apart], shared[apart]
         if not len(found):
             continue
-        for i in long_lists:
-            whole = postings[starts[i] : starts[i + 1]]
-            at = np.minimum(np.searchsorted(whole, found), len(whole) - 1)
-            shared = shared + (whole[at] == found)
-        for y in found[100 * shared >= percent * (sizes[x] + sizes[found] - shared)]:
+        if 4 * len(found) * long < lengths[long_lists].sum():
+            probes = (long_lists[:, None] * len(order) + found).ravel()
+            at = np.minimum(np.searchsorted(flat, probes), len(flat) - 1)
+            shared = shared + (flat[at] == probes).reshape(long, -1).sum(axis=0)
+        elif long:  # as many candidates as postings: these are counted too
+            whole = np.concatenate([postings[starts[i] : starts[i + 1]] for i in long_lists])
+            shared = shared + np.bincount(whole, minlength=len(order))[found]
+        near = found[100 * shared >= percent * (sizes[x] + sizes[found] - shared)]
+        if held is not None:
+            count[x] += held[near].sum()
+            count[near] += held[x]
+        for y in near[group[near] != root(x)]:
             a, b = root(x), root(y)
             if a != b:
                 group[max(a, b)] = min(a, b)
                 links.append((int(sig[d]), int(sig[order[y]])))
-    return links
+    return links, count[place]
 
 
-def _search(table: pa.Table, percent: int) -> pa.Table:
+def _search(table: pa.Table, percent: int, counted: bool) -> pa.Table:
+    """``u, v``: links that join groups; and ``u, links`` for each set, if counted."""
     sets = table.column("set").combine_chunks()
     sig, side = (table.column(c).to_numpy() for c in ("sig", "side"))
     n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -220,26 +237,36 @@ def _search(table: pa.Table, percent: int) -> pa.Table:
     once.sort()
     keep = np.zeros(len(sig), bool)
     keep[once] = True
-    links = t_occurrence_links(sig[once], side[once], n[once], values[np.repeat(keep, n)], percent)
+    docs = table.column("docs").to_numpy()[once] if counted else None
+    links, count = t_occurrence_links(sig[once], side[once], n[once], values[np.repeat(keep, n)], percent, docs)
     u, v = (np.array([x[i] for x in links], np.int64) for i in (0, 1))
-    return pa.table({"u": u, "v": v})
+    joined = pa.table({"u": u, "v": v, "links": pa.nulls(len(u), pa.int64())})
+    some = np.flatnonzero(count)
+    return pa.concat_tables([joined, pa.table({"u": sig[once][some], "v": pa.nulls(len(some), pa.int64()), "links": count[some]})])
 
 
-def _grouped(docs: DataFrame, k: int, percent: int, tile_shingles: int) -> DataFrame:
-    """``key, doc_id, n, group``: ``group`` is null for documents without shingles.
-    ``docs`` has ``key, doc_id, text``."""
+def _grouped(docs: DataFrame, k: int, percent: int, tile_shingles: int, counted: bool = False) -> DataFrame:
+    """``key, doc_id, n, group``: ``group`` is null for documents without shingles; and
+    ``links``, if counted. ``docs`` has ``key, doc_id, text``."""
     texts = docs.select("key", "text")
     scanned = cut(_sets(texts, k, percent, "sig"), "classes")
     classes, chosen = _clusters(texts, scanned, k, percent)
     where = _tiles(classes, tile_shingles).groupBy("sig").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
     one = cut(_documents(scanned, classes.select("sig")).join(where, "sig"), "tiles")
-    near = chosen.join(one.hint("merge"), "key").select("sig", "tiles", "text")
-    sets = _sets(near, k, percent, "set").select("sig", "set", F.explode("tiles").alias("t")).select("sig", "set", "t.tile", "t.side")
-    tiles = sets.groupBy("tile").applyInArrow(lambda tile: _search(tile, percent), "u long, v long")
-    groups = components(tiles).withColumnRenamed("node", "sig")  # done here, so what led to it can go
+    near = chosen.join(one.hint("merge"), "key").select("sig", "docs", "tiles", "text")
+    sets = _sets(near, k, percent, "set").select("sig", "docs", "set", F.explode("tiles").alias("t")).select("sig", "docs", "set", "t.tile", "t.side")
+    tiles = sets.groupBy("tile").applyInArrow(lambda tile: _search(tile, percent, counted), "u long, v long, links long")
+    if counted:
+        tiles = cut(tiles, "links")
+    groups = components(tiles.filter("v is not null")).withColumnRenamed("node", "sig")  # done here, so what led to it can go
     forget(classes, one, chosen)
+    if counted:  # the other documents of a class, and those of the classes that it links with
+        copies = scanned.filter("sig is not null").groupBy("sig").agg((F.count("*") - 1).alias("links")).filter("links > 0")
+        linked = copies.unionByName(tiles.filter("v is null").select(F.col("u").alias("sig"), "links")).withColumn("component", F.lit(None).cast("long"))
+        groups = linked.unionByName(groups.withColumn("links", F.lit(0).cast("long"))).groupBy("sig").agg(F.max("component").alias("component"), F.sum("links").alias("links"))
     named = scanned.select("key", "n", "sig").distinct().join(groups, "sig", "left")
-    return docs.select("key", "doc_id").join(named.select("key", "n", F.coalesce("component", "sig").alias("group")), "key")
+    more = [F.coalesce("links", F.lit(0).cast("long")).alias("links")] if counted else []
+    return docs.select("key", "doc_id").join(named.select("key", "n", F.coalesce("component", "sig").alias("group"), *more), "key")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -253,9 +280,18 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each document; ``component_id`` is the
     least id of its group."""
-    grouped = _grouped(_keyed(docs, id_col, text_col), k, percent, tile_shingles)
+    return near_duplicate_links(docs, k, percent, tile_shingles, id_col, text_col, counted=False)
+
+
+def near_duplicate_links(
+    docs: DataFrame, k: int = K, percent: int = PERCENT, tile_shingles: int = TILE_SHINGLES, id_col: str = "doc_id", text_col: str = "text", counted: bool = True
+) -> DataFrame:
+    """The columns of ``near_duplicate_groups`` and ``n_links``, the number of other
+    documents (rows) that link with the document, copies among them."""
+    grouped = _grouped(_keyed(docs, id_col, text_col), k, percent, tile_shingles, counted)
     least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")).filter("group is not null")
-    return grouped.join(least, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    more = [F.col("links").alias("n_links")] if counted else []
+    return grouped.join(least, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more)
 
 
 def one_of_each_group(docs: DataFrame, k: int = K, percent: int = PERCENT, tile_shingles: int = TILE_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
