@@ -345,6 +345,16 @@ def manifest_errors(spark, sf):
     return checks.manifest_errors(m, l, "k")
 
 
+@query("""WITH m AS (SELECT o_orderkey AS k, count(*) AS c, CAST(sum(l_quantity) AS BIGINT) AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), d AS (SELECT k, CASE WHEN k % 2 = 0 THEN c + 1 ELSE c END AS c, CASE WHEN k % 5 = 0 THEN b + 1 ELSE b END AS b FROM m),
+l AS (SELECT l_orderkey AS k, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS b, min(l_linenumber - 1) AS lo, max(l_linenumber - 1) AS hi, count(DISTINCT l_linenumber) AS dn FROM lineitem GROUP BY 1),
+e AS (SELECT d.k, concat_ws(',', CASE WHEN NOT coalesce(n = d.c, false) THEN 'count' END, CASE WHEN NOT coalesce(l.b = d.b, false) THEN 'bytes' END, CASE WHEN NOT coalesce(lo = 0 AND hi = n - 1 AND dn = n, false) THEN 'ordinals' END) AS errors FROM d LEFT JOIN l ON l.k = d.k) SELECT k, errors FROM e WHERE errors <> ''""")
+def manifest_errors_all(spark, sf):
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("long").alias("bytes"), (F.col("l_linenumber") - 1).alias("ordinal"))
+    m = l.groupBy("k").agg(F.count("*").alias("c"), F.sum("bytes").alias("b"))
+    m = m.select("k", F.expr("case when k % 2 = 0 then c + 1 else c end").alias("member_count"), F.expr("case when k % 5 = 0 then b + 1 else b end").alias("total_bytes"))
+    return checks.manifest_errors(m, l, "k")
+
+
 @query("""WITH a AS (SELECT value FROM events WHERE ts < TIMESTAMP '2024-01-15'), b AS (SELECT value FROM events WHERE ts >= TIMESTAMP '2024-01-15'), q AS (SELECT quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM a),
 x AS (SELECT CASE WHEN value IS NULL THEN -1 ELSE len(list_filter(e, lambda z: z < value)) END AS bucket, 1 AS side FROM a, q UNION ALL SELECT CASE WHEN value IS NULL THEN -1 ELSE len(list_filter(e, lambda z: z < value)) END, 2 FROM b, q),
 s AS (SELECT CAST(bucket AS INTEGER) AS bucket, count(*) FILTER (WHERE side = 1) / (SELECT count(*) FROM a) AS reference, count(*) FILTER (WHERE side = 2) / (SELECT count(*) FROM b) AS now FROM x GROUP BY 1)

@@ -160,6 +160,12 @@ def merge_missing(spark, sf):
     return identity.merge_missing(c.filter("id % 3 = 0").withColumn("src", F.lit("first")), c.filter("id % 2 = 0").withColumn("src", F.lit("second")), ["id"])
 
 
+@query("SELECT c_custkey AS id, 'first' AS src FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'second' FROM customer WHERE c_custkey % 3 <> 0")
+def merge_missing_all(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return identity.merge_missing(c.filter("id % 3 = 0").withColumn("src", F.lit("first")), c.withColumn("src", F.lit("second")), ["id"])
+
+
 @query("""WITH d AS (SELECT c_mktsegment, c_nationkey, round(avg(c_acctbal), 6) AS v FROM customer GROUP BY 1, 2 HAVING count(*) >= 14), m AS (SELECT c_mktsegment, round(avg(c_acctbal), 6) AS v FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1), g AS (SELECT round(avg(c_acctbal), 6) AS v FROM customer)
 SELECT c_custkey, coalesce(d.v, m.v, g.v) AS expected, CASE WHEN d.v IS NOT NULL THEN 0 WHEN m.v IS NOT NULL THEN 1 ELSE 2 END AS level FROM customer LEFT JOIN d USING (c_mktsegment, c_nationkey) LEFT JOIN m USING (c_mktsegment) CROSS JOIN g""")
 def fallback_lookup(spark, sf):
@@ -186,6 +192,15 @@ def one_to_one(spark, sf):
     return identity.one_to_one(p, "a", "b")
 
 
+_ALL_PAIRS = "p AS (SELECT DISTINCT o_orderkey - CAST(o_orderkey % 4 = 3 AS INT) AS a, o_custkey * 10000 + year(o_orderdate) AS b FROM orders)"
+
+
+@query(f"WITH {_ALL_PAIRS}, a1 AS (SELECT * FROM p WHERE a IN (SELECT a FROM p GROUP BY 1 HAVING count(*) = 1)) SELECT a, b FROM a1 WHERE b IN (SELECT b FROM a1 GROUP BY 1 HAVING count(*) = 1)")
+def one_to_one_all(spark, sf):
+    p = table(spark, sf, "orders").select((F.col("o_orderkey") - (F.col("o_orderkey") % 4 == 3).cast("int")).alias("a"), (F.col("o_custkey") * 10000 + F.year("o_orderdate")).alias("b"))
+    return identity.one_to_one(p, "a", "b")
+
+
 @query("""WITH r AS (SELECT c_custkey, c_custkey % 50 AS k1, c_custkey % 70 AS k2 FROM customer), t1 AS (SELECT k1, min(target) AS target FROM (SELECT DISTINCT s_suppkey % 60 AS k1, s_suppkey AS target FROM supplier) GROUP BY 1 HAVING count(*) = 1), t2 AS (SELECT k2, min(target) AS target FROM (SELECT DISTINCT s_suppkey % 80 AS k2, s_suppkey AS target FROM supplier) GROUP BY 1 HAVING count(*) = 1),
 j AS (SELECT c_custkey, t1.target AS x, t2.target AS y FROM r LEFT JOIN t1 USING (k1) LEFT JOIN t2 USING (k2))
 SELECT c_custkey, CASE WHEN x IS NULL OR y IS NULL OR x = y THEN coalesce(x, y) END AS target, CASE WHEN x <> y THEN 'id_collision' WHEN x IS NOT NULL THEN 'k1' WHEN y IS NOT NULL THEN 'k2' ELSE 'unmatched' END AS match_status FROM j""")
@@ -211,6 +226,23 @@ def resolve_identities(spark, sf):
     return identity.resolve_identities(cur, his, "sid", "tid")
 
 
+#: Open orders are current, the others historical: together all.
+_ALL_IDENT = """cur AS (SELECT DISTINCT o_custkey AS sid, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 400 END AS tid FROM orders WHERE coalesce(o_orderstatus = 'O', false)),
+his AS (SELECT DISTINCT o_custkey AS sid, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 400 END AS tid FROM orders WHERE NOT coalesce(o_orderstatus = 'O', false))"""
+
+
+@query(f"""WITH {_ALL_IDENT}, c AS (SELECT sid, count(DISTINCT tid) AS nc, min(tid) AS tc FROM cur GROUP BY 1), h AS (SELECT sid, count(DISTINCT tid) AS nh, min(tid) AS th FROM his GROUP BY 1),
+b AS (SELECT coalesce(c.sid, h.sid) AS sid, coalesce(nc, 0) AS nc, coalesce(nh, 0) AS nh, tc, th, coalesce(tc, th) AS cand FROM c FULL JOIN h ON c.sid = h.sid),
+k AS (SELECT tid, count(DISTINCT sid) AS n FROM (SELECT * FROM cur UNION ALL SELECT * FROM his) WHERE tid IS NOT NULL GROUP BY 1),
+s AS (SELECT sid, cand, CASE WHEN nc > 1 THEN 'current_tuple_conflict' WHEN nh > 1 THEN 'historical_tuple_conflict' WHEN tc <> th THEN 'current_history_conflict' WHEN k.n > 1 THEN 'historical_census_conflict' WHEN nc = 1 THEN 'current_exact' WHEN nh = 1 THEN 'historical_exact' ELSE 'unresolved' END AS status FROM b LEFT JOIN k ON k.tid = cand)
+SELECT sid, CASE WHEN status IN ('current_exact', 'historical_exact') THEN cand END AS tid, status FROM s""")
+def resolve_identities_all(spark, sf):
+    o, current = table(spark, sf, "orders"), F.coalesce(F.col("o_orderstatus") == "O", F.lit(False))
+    cur = o.filter(current).selectExpr("o_custkey as sid", "case when o_orderkey % 5 = 0 then o_orderkey % 400 end as tid").distinct()
+    his = o.filter(~current).selectExpr("o_custkey as sid", "case when o_orderkey % 3 <> 0 then o_orderkey % 400 end as tid").distinct()
+    return identity.resolve_identities(cur, his, "sid", "tid")
+
+
 @query(f"WITH {SEASONS} SELECT entity, season, CASE WHEN a = b THEN 'agree' WHEN a IS NOT NULL AND b IS NOT NULL THEN 'quarantine' WHEN a IS NOT NULL THEN 'left_only' WHEN b IS NOT NULL THEN 'right_only' ELSE 'none' END AS agreement FROM seasons")
 def dual_source_agreement(spark, sf):
     return seasons(spark, sf).select("entity", "season", identity.agree(F.col("a"), F.col("b")).alias("agreement"))
@@ -276,12 +308,23 @@ def html_table_cells(spark, sf):
     return readers.html_tables(c, "c_custkey", "page")
 
 
+@query()
+def html_table_cells_all(spark, sf):
+    return readers.html_tables(table(spark, sf, "pages"), "page_id", "html")
+
+
 @query("SELECT o_orderkey, o_custkey, CAST(unnest([1, 2]) AS BIGINT) AS x FROM orders WHERE o_orderkey % 10 = 0")
 def json_recordset(spark, sf):
     o = table(spark, sf, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", F.lit('[{"x":1},{"x":2}]').alias("doc"))
     return o.select("o_orderkey", "o_custkey", readers.records(F.col("doc"), "x bigint"))
 
 
+@query("SELECT o_orderkey, o_custkey, CAST(unnest([o_custkey, o_orderkey]) AS BIGINT) AS x FROM orders")
+def json_recordset_all(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.format_string('[{"x":%d},{"x":%d}]', "o_custkey", "o_orderkey").alias("doc"))
+    return o.select("o_orderkey", "o_custkey", readers.records(F.col("doc"), "x bigint"))
+
+
 @query("SELECT n_name AS name, l AS level, CAST(s AS INTEGER) AS season FROM nation CROSS JOIN (VALUES ('a'), ('b')) t(l) CROSS JOIN (VALUES (2020), (2021), (2022)) u(s)")
 def slice_matrix(spark, sf):
     names = [r[0] for r in table(spark, sf, "nation").select("n_name").collect()]  # 25 of them
