@@ -36,30 +36,35 @@ def mid_rank_percentile(rows: DataFrame, keys: list[str], value: str, weight: Co
 
 
 def adaptive_window_percentile(
-    targets: DataFrame, peers: DataFrame, on: list[str], age: str, value: str, entity: str, season: str, windows: tuple[int, ...] = (0, 1, 2, 3), least: int = 100
+    targets: DataFrame, peers: DataFrame, on: list[str], age: str, value: str, entity: str, season: str, windows: tuple[int, ...] = (0, 1, 2, 3), least: int = 100, by_row: bool = False
 ) -> DataFrame:
     """The standing of each target among earlier seasons of others, in the narrowest
-    age window with ``least`` distinct entities; null if none has as many.
+    age window with ``least`` distinct entities; null if none has as many. Each entity
+    in the window weighs the same, however many rows it has there; with ``by_row`` each
+    row does.
 
-    Peers are first summed to one row for each (cohort, season, age, entity, value), and
+    Peers are first counted to one row for each (cohort, age, season, entity, value), and
     targets meet them by age bucket through an equi-join on every age within the widest
     window, so nothing is compared beyond it."""
     widest = max(windows)
-    t = targets.select(*[F.col(c) for c in dict.fromkeys([*on, entity, season, age, value])])
+    keys = list(dict.fromkeys([*on, entity, season, age, value]))
+    t = targets.select(*keys)
     near = t.withColumn("__age", F.explode(F.sequence(F.col(age) - widest, F.col(age) + widest)))
-    p = peers.select(*on, F.col(age).alias("__age"), F.col(entity).alias("__peer"), F.col(season).alias("__season"), F.col(value).alias("__value"))
+    p = peers.select(*on, F.col(age).alias("__age"), F.col(season).alias("__season"), F.col(entity).alias("__peer"), F.col(value).alias("__value"))
+    p = p.groupBy(*on, "__age", "__season", "__peer", "__value").agg(F.count("*").alias("__rows"))
     met = near.join(p, [*on, "__age"]).filter((F.col("__season") < F.col(season)) & (F.col("__peer") != F.col(entity)))
     gap = F.abs(F.col("__age") - F.col(age))
+    score = F.when(F.col("__value") < F.col(value), 1.0).when(F.col("__value") == F.col(value), 0.5).otherwise(0.0)
+    sums = []
+    for w in windows:
+        rows = F.when(gap <= w, F.col("__rows"))
+        sums += [F.sum(rows).alias(f"rows{w}"), F.sum(rows * score).alias(f"score{w}")]
+    each = met.groupBy(*keys, "__peer").agg(*sums)
     aggs = []
     for w in windows:
-        inside = gap <= w
-        aggs += [
-            F.countDistinct(F.when(inside, F.col("__peer"))).alias(f"n{w}"),
-            F.count(F.when(inside, 1)).alias(f"rows{w}"),
-            F.sum(F.when(inside, F.when(F.col("__value") < F.col(value), 1.0).when(F.col("__value") == F.col(value), 0.5).otherwise(0.0))).alias(f"score{w}"),
-        ]
-    keys = list(dict.fromkeys([*on, entity, season, age, value]))
-    found = met.groupBy(*keys).agg(*aggs)
+        share = F.sum(f"score{w}") / F.sum(f"rows{w}") if by_row else F.avg(F.col(f"score{w}") / F.col(f"rows{w}"))
+        aggs += [F.count(f"rows{w}").alias(f"n{w}"), share.alias(f"share{w}")]
+    found = each.groupBy(*keys).agg(*aggs)
     chosen = F.coalesce(*[F.when(F.col(f"n{w}") >= least, F.lit(w)) for w in windows])
-    share = F.coalesce(*[F.when(F.col(f"n{w}") >= least, 100 * F.col(f"score{w}") / F.col(f"rows{w}")) for w in windows])
+    share = F.coalesce(*[F.when(F.col(f"n{w}") >= least, 100 * F.col(f"share{w}")) for w in windows])
     return t.join(found.withColumn("window", chosen).withColumn("percentile", share).select(*keys, "window", "percentile"), keys, "left")

@@ -113,10 +113,30 @@ def adaptive_window_percentile(spark, sf):
     born = s.groupBy("entity").agg(F.min("season").alias("born"))
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("cohort"))
     p = s.join(born, "entity").join(c, "entity").select("entity", "season", (F.col("season") - F.col("born")).alias("age"), "value", "cohort")
-    out = cohorts.adaptive_window_percentile(p.filter("season = 1999"), p, ["cohort"], "age", "value", "entity", "season", least=220)
+    out = cohorts.adaptive_window_percentile(p.filter("season = 1999"), p, ["cohort"], "age", "value", "entity", "season", least=220, by_row=True)
     return out.select("cohort", "entity", "age", "window", r6("percentile").alias("percentile"))
 
 
+_ADAPT_ALL = (
+    _ADAPT.replace(" WHERE season = 1999", "")
+    .replace("f AS (SELECT cohort, entity, season, age, value, w, count(DISTINCT peer) AS n, 100 * sum(score) / count(*) AS pct FROM m JOIN w ON gap <= w GROUP BY ALL)",
+             "g AS (SELECT cohort, entity, season, age, value, w, peer, avg(score) AS share FROM m JOIN w ON gap <= w GROUP BY ALL), f AS (SELECT cohort, entity, season, age, value, w, count(*) AS n, 100 * avg(share) AS pct FROM g GROUP BY ALL)")
+    .replace("n >= 220", "n >= 20")
+    .replace("SELECT t.cohort, t.entity, t.age", "SELECT t.cohort, t.entity, t.season, t.age")
+    .replace("c.entity = t.entity LEFT JOIN f ON f.entity = c.entity AND f.w", "c.entity = t.entity AND c.season = t.season LEFT JOIN f ON f.entity = c.entity AND f.season = c.season AND f.w")
+)
+
+
+@query(_ADAPT_ALL)
+def adaptive_window_percentile_all(spark, sf):
+    s = seasons(spark, sf)
+    born = s.groupBy("entity").agg(F.min("season").alias("born"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("cohort"))
+    p = s.join(born, "entity").join(c, "entity").select("entity", "season", (F.col("season") - F.col("born")).alias("age"), "value", "cohort")
+    out = cohorts.adaptive_window_percentile(p, p, ["cohort"], "age", "value", "entity", "season", least=20)
+    return out.select("cohort", "entity", "season", "age", "window", r6("percentile").alias("percentile"))
+
+
 @query(r"""SELECT event_id, json_extract_string(props, '$.k') AS k_text, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k_number, CASE WHEN regexp_matches(event_type, '^[0-9]+$') THEN 1 END AS digits,
  CASE WHEN event_type NOT IN ('click', 'view') THEN event_type END AS other, coalesce('user:' || user_id, 'event:' || event_id) AS key,
  CAST(4 * (value > 50)::INT + 2 * (user_id > 10)::INT + (event_type = 'click')::INT AS INTEGER) AS quality FROM events""")

@@ -3,6 +3,7 @@ from __future__ import annotations
 from test_oracle import SF
 
 from pitwise import registry
+from pitwise.operators import cohorts
 from pitwise.plans.catalog import table
 
 
@@ -19,3 +20,10 @@ def test_whole_tables_reach_the_queries(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = sorted((r.page_id, r.row, r.cell, r.name, r.value) for r in run("html_table_cells_all", str(tmp_path)).collect())
     assert found == [(1, 0, 0, "", "é"), (1, 0, 0, "a", "A"), (1, 1, 0, "a", "7"), (4, 0, 0, "", "z")]
+
+
+def test_entities_in_the_window_weigh_the_same(spark):
+    rows = [("a", s, 5, 1.0) for s in (1, 2, 3)] + [("b", 1, 5, 9.0), ("t", 9, 5, 4.0)]
+    t = spark.createDataFrame([("c", *r) for r in rows], "g string, e string, s int, age int, v double")
+    standing = lambda **k: cohorts.adaptive_window_percentile(t.filter("e = 't'"), t, ["g"], "age", "v", "e", "s", least=2, **k).first()
+    assert (standing().window, standing().percentile, standing(by_row=True).percentile) == (0, 50.0, 75.0)
