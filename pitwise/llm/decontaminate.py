@@ -7,9 +7,9 @@ length would miss it. The sketch of an item is therefore its *bottom-m* MinHash,
 ``m`` smallest of its shingle hashes, where ``m = q - ceil(threshold * q) + 1``
 follows from its size ``q``: a document that holds enough of the item lacks fewer
 than ``m`` of its shingles, so it holds one of any ``m``, and no match is missed.
-Items are partitioned by size (powers of two); the largest sketch hash of each
-partition bounds what a document of any length has to look up for it. Candidates are
-then verified exactly, by the whole shingle sets.
+Items are partitioned by size (powers of two), each with its largest sketch hash; only
+the largest of these bounds the lookup, so the partitions do not narrow it further.
+Candidates are then verified exactly, by the whole shingle sets.
 
 A benchmark of at most ``broadcast_shingles`` shingles (8 bytes each) is broadcast
 and documents are searched and verified in one scan without a shuffle; a larger one
@@ -17,9 +17,10 @@ is joined with the documents' hashes through shuffles instead. Both give the sam
 rows.
 
 Defined results: null texts and texts without words match nothing; an item of fewer
-than ``k`` words matches documents with just these words; repeated rows give one
-result for each (document id, item id); empty tables give no rows; other columns are
-not looked at.
+than ``k`` words matches documents with just these words; documents and items are
+those of equal id and text, so rows that share an id (or have none) are judged one by
+one; equal results are given once; empty tables give no rows; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import cut
+from .setjoin import _keyed
 from .words import Chunk, chunks, shingle_sets, window_hashes, window_starts
 
 K = 5
@@ -113,27 +115,32 @@ def find_leaks(
     id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, item_id, n_item, n_shared, containment`` of every contained item."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    items = items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null")
-    sets = _sets(items, k, "item_id").distinct()
+    found = _find(_keyed(docs, id_col, text_col), items, k, threshold, broadcast_shingles, item_col, text_col)
+    return found.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()
+
+
+def _find(docs: DataFrame, items: DataFrame, k: int, threshold: float, broadcast_shingles: int, item_col: str, text_col: str) -> DataFrame:
+    """``key, doc_id, item_id, n_item, n_shared``, of ``key, doc_id, text``."""
+    named = _keyed(items, item_col, text_col).select(F.col("key").alias("item"), F.col("doc_id").alias("item_id"), "text")
+    sets = _sets(named.select("item", "text"), k, "item").distinct()
     if sets.limit(broadcast_shingles + 1).count() <= broadcast_shingles:
         found = _by_scan(docs, sets, k, threshold)
     else:
         found = _by_shuffle(docs, sets, k, threshold)
-    return found.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    return found.join(named.select("item", "item_id").distinct(), "item").select("key", "doc_id", "item_id", "n_item", "n_shared")
 
 
 def _by_scan(docs: DataFrame, sets: DataFrame, k: int, threshold: float) -> DataFrame:
     table = sets.toPandas()  # within the checked bound
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {sets.schema['item_id'].dataType.simpleString()}, n_item long, n_shared long"
+    schema = f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, item long, n_item long, n_shared long"
     if table.empty:
         return docs.sparkSession.createDataFrame([], schema)
-    shared = docs.sparkSession.sparkContext.broadcast(Sketches(table.item_id.to_numpy(), table.h.to_numpy(np.int64), threshold))
+    shared = docs.sparkSession.sparkContext.broadcast(Sketches(table.item.to_numpy(np.int64), table.h.to_numpy(np.int64), threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = shared.value
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(2)):
                 h, doc = _raw_hashes(chunk, k)
                 rows, item, n = [], [], []
                 for d in np.unique(doc[sketches.hits(h)]):
@@ -141,9 +148,10 @@ def _by_scan(docs: DataFrame, sets: DataFrame, k: int, threshold: float) -> Data
                     rows += [d + chunk.row] * len(found)
                     item += found.tolist()
                     n += some.tolist()
+                at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sketches.ids[np.array(item, int)]), pa.array(sketches.q[np.array(item, int)]), pa.array(n, pa.int64())],
-                    names=["doc_id", "item_id", "n_item", "n_shared"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(sketches.ids[np.array(item, int)]), pa.array(sketches.q[np.array(item, int)]), pa.array(n, pa.int64())],
+                    names=["key", "doc_id", "item", "n_item", "n_shared"],
                 )
 
     return docs.mapInArrow(run, schema).distinct()
@@ -153,21 +161,27 @@ def _by_shuffle(docs: DataFrame, sets: DataFrame, k: int, threshold: float) -> D
     from pyspark.sql import Window
 
     per = 10_000
-    sized = sets.withColumn("n_item", F.count("*").over(Window.partitionBy("item_id")))  # one item's shingles
+    sized = sets.withColumn("n_item", F.count("*").over(Window.partitionBy("item")))  # one item's shingles
     need = F.expr(f"(n_item * {round(threshold * per)} + {per - 1}) div {per}")
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy("h"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy("h"))
     sketch = sized.withColumn("place", place).filter(F.col("place") <= F.col("n_item") - need + 1)
     largest = sketch.agg(F.max("h")).first()[0]
-    hashes = _sets(docs, k, "doc_id")
-    near = hashes.filter(F.col("h") <= F.lit(largest)).join(sketch.select("h").distinct(), "h").select("doc_id").distinct()
-    own = _sets(docs.join(near.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"), k, "doc_id").distinct()
-    shared = own.join(sized, "h").groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
-    return shared.filter(F.col("n_shared") >= need)
+    texts = docs.select("key", "text")
+    near = _sets(texts, k, "key").filter(F.col("h") <= F.lit(largest)).join(sketch.select("h").distinct(), "h").select("key").distinct()
+    own = _sets(texts.join(near, "key", "left_semi"), k, "key").distinct()
+    shared = own.join(sized, "h").groupBy("key", "item", "n_item").agg(F.count("*").alias("n_shared")).filter(F.col("n_shared") >= need)
+    return shared.join(docs.select("key", "doc_id").distinct(), "key").select("key", "doc_id", "item", "n_item", "n_shared")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, broadcast_ids: int = 1_000_000, **options) -> DataFrame:
-    """The documents that hold no item, all columns as they are. The ids to drop are
-    broadcast if there are no more than ``broadcast_ids``, else joined by shuffles."""
-    leaks = cut(find_leaks(docs, items, **options).select(F.col("doc_id").alias("__id")).distinct(), "leaks")
+def without_leaks(
+    docs: DataFrame, items: DataFrame, broadcast_ids: int = 1_000_000, k: int = K, threshold: float = THRESHOLD, broadcast_shingles: int = BROADCAST_SHINGLES,
+    id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
+) -> DataFrame:
+    """The documents that hold no item, all columns as they are. The keys (of id and
+    text) to drop are broadcast if there are no more than ``broadcast_ids``, else joined
+    by shuffles."""
+    found = _find(_keyed(docs, id_col, text_col), items, k, threshold, broadcast_shingles, item_col, text_col)
+    leaks = cut(found.select(F.col("key").alias("__key")).distinct(), "leaks")
     few = leaks.limit(broadcast_ids + 1).count() <= broadcast_ids
-    return docs.join(F.broadcast(leaks) if few else leaks, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))  # as in _keyed
+    return docs.join(F.broadcast(leaks) if few else leaks, key == F.col("__key"), "left_anti")
