@@ -60,8 +60,3 @@ def bounded_key(text: Column, limit: int = 512) -> Column:
 def row_digest(*columns: str) -> Column:
     """SHA-256 of the row as JSON, columns in name order, nulls left out."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
-
-
-def table_digest(digest: Column) -> Column:
-    """An aggregate: SHA-256 over the sorted row digests, so order does not count."""
-    return F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(digest))), 256)

@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import inspect
+
+from pyspark.sql import functions as F
 from test_oracle import SF
 
 from pitwise import registry
+from pitwise.functions import text
 from pitwise.operators import cohorts
 from pitwise.plans.catalog import table
+from pitwise.sources import sinks
 
 
 def test_whole_tables_reach_the_queries(spark, tmp_path):
@@ -27,3 +32,11 @@ def test_entities_in_the_window_weigh_the_same(spark):
     t = spark.createDataFrame([("c", *r) for r in rows], "g string, e string, s int, age int, v double")
     standing = lambda **k: cohorts.adaptive_window_percentile(t.filter("e = 't'"), t, ["g"], "age", "v", "e", "s", least=2, **k).first()
     assert (standing().window, standing().percentile, standing(by_row=True).percentile) == (0, 50.0, 75.0)
+
+
+def test_the_digest_of_a_table_is_summed_and_gathers_no_rows(spark):
+    t = spark.range(50).withColumn("v", F.col("id") % 7)
+    assert sinks.content_digest(t) == sinks.content_digest(t.repartition(5).orderBy("v"))
+    others = [t.limit(49), t.union(t.limit(1)), t.withColumn("v", F.col("v") + 1), t.limit(0)]
+    assert len({sinks.content_digest(x) for x in [t, *others]}) == 5
+    assert "collect_list" not in inspect.getsource(sinks) + inspect.getsource(text)
