@@ -324,12 +324,6 @@ def page_text(spark, sf):
 
 @query()
 def html_table_cells(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey <= 300").select("c_custkey", F.format_string("<p>x</p><!--<table id='t'><tr><th data-stat='bal'>Bal</th></tr><tr><td data-stat='bal' csk='%s'>shown</td><td>%s</td></tr></table>-->", "c_acctbal", "c_mktsegment").alias("page"))
-    return readers.html_tables(c, "c_custkey", "page")
-
-
-@query()
-def html_table_cells_all(spark, sf):
     return readers.html_tables(table(spark, sf, "pages"), "page_id", "html")
 
 
