@@ -2,30 +2,31 @@
 
 Documents in ascending id order are packed into *segments* of about
 ``segment_tokens`` ids. A segment counts its ids, scales the counts to ``2**SCALE``,
-and this one frequency table is shared by all of its blocks. A block holds whole
-documents (``BLOCK_TOKENS`` ids or more, but for a segment's last) and decodes on
-its own: its ids are dealt round robin to ``LANES`` interleaved coders whose 63-bit
-states are its checkpoint, a CRC-32 guards states and words, and the lengths of its
-documents tell where each begins. Encoding and decoding step through many blocks at
-once, one numpy operation for all lanes of all of them. The corpus is tokenized once.
+and this one frequency table is shared by all of its blocks. A block holds
+``BLOCK_TOKENS`` ids (but for a segment's last), so a long document goes on in the
+blocks that follow, and decodes on its own: its ids are dealt round robin to
+``LANES`` interleaved coders whose 63-bit states are its checkpoint, a CRC-32 guards
+states and words, and the lengths of its documents tell where each begins. Encoding
+and decoding step through many blocks at once, one numpy operation for all lanes of
+all of them. The corpus is tokenized once.
 
 File format (Parquet, a row a segment, files in ascending id order): ``part,
 segment`` (its place), ``n_tokens``, ``table`` (zlib of little-endian uint32
-frequencies by id), ``blocks``: ``docs``, ``lengths``, ``states`` (little-endian
-uint64), ``words`` (little-endian uint32) and ``crc32`` of states then words.
+frequencies by id), ``blocks``: ``docs``, ``lengths``, ``continued`` (its first
+document began in the block before), ``states`` (little-endian uint64), ``words`` (little-endian uint32) and ``crc32`` of states then words.
 
 Defined results: a null text is the end id alone; rows with equal ids stand in
-order of their texts' hashes; null ids come first; a very long text is one block; no rows
-give no segments.
+order of their texts' hashes; null ids come first; a very long text is cut into as many
+blocks as it fills and lies in one segment; no rows give no segments; other columns are
+not looked at.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,23 +34,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import new_path
+from .words import chunks
 
 SCALE = 17
 LANES = 128
 BLOCK_TOKENS = 1 << 16
 SEGMENT_TOKENS = 1 << 22
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 20
+MAX_CACHED = 64  # bytes
 
 _U = np.uint64
 _LOW = _U(1 << 31)  # a state lies in [2**31, 2**63)
 _MASK = _U((1 << SCALE) - 1)
 
 
-_STOP = b"\xff"  # in no UTF-8 text
-_LETTERS = "abcdefghijklmnopqrstuvwxyz\u00df-\u00f6\u00f8-\u00ff"
-#: A line of letters and marks (no apostrophe, which may begin a suffix), or any other.
-_SIMPLE = re.compile(f"^(?:([{_LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)|.*)$", re.M)
-_PROBES = ("word", "Word,", "t", "don", "ended.", "\u00dcber", "\u00e9t\u00e9!?", "stra\u00dfe;", "ni\u00f1o:", "antidisestablishment", "q" * 300, "aaa...", "x,.", "b***", "c&|<>", "d.%", "e_-", "f(", "g]{}")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")  # an apostrophe may begin a suffix
+#: A line of letters, then marks; or any other.
+_SIMPLE = re.compile(f"^(?:([{_LETTERS}]+)([{re.escape(_MARKS)}]*)|.*)$", re.M)
 
 
 class _Grown:
@@ -66,15 +68,64 @@ class _Grown:
         self.room[n : n + len(more)] = more
         self.values = self.room[: n + len(more)]
 
+    def extend_parts(self, parts: list[tuple[int, ...]], ends: _Grown) -> None:
+        """Append the parts, and where each ends to ``ends``."""
+        ends.extend(len(self.values) + np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
+        self.extend(np.fromiter(chain.from_iterable(parts), self.room.dtype))
+
+
+def _runs(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places ``starts[i] .. starts[i] + n[i] - 1`` of all ``i``, one after another."""
+    end = np.cumsum(n)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(starts - (end - n), n)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+class _Table:
+    """Places by 64-bit keys: open addressing, a numpy operation for all keys at once."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
+        self.key, self.place = np.zeros(1 << bits, _U), np.full(1 << bits, -1, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> self.shift).astype(np.int64)
+        out = self.place[at]
+        todo = np.flatnonzero((out >= 0) & (self.key[at] != h))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & self.mask
+            out[todo] = self.place[at]
+            on = (out[todo] >= 0) & (self.key[at] != h[todo])
+            todo, at = todo[on], at[on]
+        return out
+
+    def add(self, h: np.ndarray, place: np.ndarray) -> None:
+        """Keys that are not in the table, each once."""
+        at = (h >> self.shift).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.place[at] < 0)
+            self.place[at[free]] = place[free]
+            won = free[self.place[at[free]] == place[free]]
+            self.key[at[won]] = h[won]
+            left = np.ones(len(h), bool)
+            left[won] = False
+            h, place, at = h[left], place[left], (at[left] + 1) & self.mask
+
 
 class WordTokenizer:
     """Ids of texts by a tokenizer that never joins what ASCII white space parts.
 
-    Each word is encoded once by the tokenizers library and remembered. The memory
-    has two generations of at most ``CACHED_WORDS`` words: when the younger is full
-    the older is forgotten, and words still in use move over. Words of Latin-1
-    letters, with or without sentence marks behind, go straight to the library's
-    model if that gives the ids of its whole chain on a set of probes."""
+    Each word is encoded once and remembered, until ``CACHED_WORDS`` of them fill the
+    memory and it starts anew. Words are found by their hash in a table and compared
+    byte by byte with the word remembered. Words of Latin-1 letters, with or without
+    marks behind, go straight to the library's model if that gives the ids of its
+    whole chain on all pairs of letters and marks; the library encodes all others."""
 
     _loaded: dict = {}
 
@@ -85,9 +136,10 @@ class WordTokenizer:
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_as_chars = [chr(c) for c in range(0xDF)] + [level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)]
-        self.old: dict[bytes, tuple[int, ...]] = {}
         self._renew()
-        self.simple = self._simple_ids(list(_PROBES)) == [self._whole_ids(w) for w in _PROBES]
+        probes = [a + b for a in _LETTERS for b in _LETTERS + _MARKS] + ["x" + a + b for a in _MARKS for b in _MARKS] + [a.upper() + a + "word" for a in _LETTERS] + ["q" * MAX_CACHED]
+        self.simple = self._simple_parts(probes) == self._whole_parts(probes)
+        self._renew()
 
     @classmethod
     def load(cls, path: str, end_id: int) -> WordTokenizer:
@@ -97,55 +149,96 @@ class WordTokenizer:
         return cls._loaded[path, end_id]
 
     def _renew(self) -> None:
-        self.place, self.parts = {_STOP: 0}, [(self.end_id,)]
-        self.ids, self.at = _Grown(np.uint32, [self.end_id]), _Grown(np.int64, [0, 1])
-        self.bases = {"": ()}
-
-    def _whole_ids(self, word: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-
-    def _simple_ids(self, words: list[str]) -> list[tuple[int, ...] | None]:
-        """Ids of the words that are letters and marks; None for the others."""
-        found = _SIMPLE.findall("\n".join(words).lower())
-        bases, tokenize = self.bases, self.tokenizer.model.tokenize
-        for part in {p for pair in found for p in pair if p not in bases}:
-            bases[part] = tuple([t.id for t in tokenize(part if part.isascii() else part.translate(self.bytes_as_chars))])
-        return [bases[a] + bases[b] if a else None for a, b in found]
-
-    def _learn(self, words: list[bytes]) -> None:
-        old = self.old.get
-        fresh = [old(w) for w in words]
-        unknown = [i for i, x in enumerate(fresh) if x is None]
-        text = b"\n".join([words[i] for i in unknown]).decode().split("\n")
-        for i, w, ids in zip(unknown, text, self._simple_ids(text) if self.simple else repeat(None)):
-            fresh[i] = self._whole_ids(w) if ids is None else ids
-        self.place.update(zip(words, range(len(self.parts), len(self.parts) + len(words))))
-        self.parts += fresh
-        self.ids.extend(np.fromiter(chain.from_iterable(fresh), np.uint32))
-        self.at.extend(self.at.values[-1] + np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh))))
-
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, an end id after each text, and the number of each text's ids."""
-        if len(self.place) > CACHED_WORDS:
-            self.old = dict(zip(self.place, self.parts))
-            self._renew()
-        words = b"".join(x for t in texts for x in (t or b"", b" \xff ")).split()
-        word = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        missed = np.flatnonzero(word < 0)
-        if len(missed):
-            self._learn(list({words[i] for i in missed}))
-            word[missed] = [self.place[words[i]] for i in missed]
-        at = self.at.values
-        n = at[word + 1] - at[word]
-        end = np.cumsum(n)
-        ids = self.ids.values[np.arange(end[-1] if len(end) else 0) + np.repeat(at[word] - (end - n), n)]
-        return ids, np.diff(end[word == 0], prepend=0)
-
-
-def batches_of_texts(column: pa.Array, rows: int = 64) -> Iterator[tuple[int, list]]:
-    column = column.cast(pa.binary())
-    for lo in range(0, len(column), rows):
-        yield lo, column.slice(lo, rows).to_pylist()
+        self.table = _Table(CACHED_WORDS.bit_length() + 1)
+        #: ids and bytes of the words by place, and where each ends; place 0 is the end of a text
+        self.ids, self.ids_at = _Grown(np.uint32, [self.end_id]), _Grown(np.int64, [0, 1])
+        self.bytes, self.bytes_at = _Grown(np.uint8, []), _Grown(np.int64, [0, 0])
+        self.bases: dict[str, int] = {"": 0}
+        self.base_ids, self.base_at = _Grown(np.uint32, []), _Grown(np.int64, [0, 0])
+
+    def _whole_parts(self, words: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_bases(self, parts: list[str]) -> None:
+        tokenize = self.tokenizer.model.tokenize
+        ids = [tuple([t.id for t in tokenize(p if p.isascii() else p.translate(self.bytes_as_chars))]) for p in parts]
+        self.bases.update(zip(parts, range(len(self.base_at.values) - 1, len(self.base_at.values) - 1 + len(parts))))
+        self.base_ids.extend_parts(ids, self.base_at)
+
+    def _simple_parts(self, words: list[str]) -> list[tuple[int, ...]]:
+        ids, n = self._ids_of(words)
+        return [tuple(x.tolist()) for x in np.split(ids, np.cumsum(n)[:-1])]
+
+    def _ids_of(self, words: list[str], simple: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, and the number of each word's."""
+        found = _SIMPLE.findall("\n".join(words).lower()) if simple else [("", "")] * len(words)
+        bases = self.bases
+        self._learn_bases([p for p in {p for pair in found for p in pair} if p not in bases])
+        # two parts a word, its letters and its marks; words of another kind have none as yet
+        part = np.fromiter((bases[p] for pair in found for p in pair), np.int64, 2 * len(words))
+        odd = [i for i, pair in enumerate(found) if not pair[0]]
+        at, ids = self.base_at.values, self.base_ids.values
+        if odd:
+            more, ends = _Grown(np.uint32, ids), _Grown(np.int64, at)
+            more.extend_parts(self._whole_parts([words[i] for i in odd]), ends)
+            part[2 * np.array(odd)] = np.arange(len(at) - 1, len(at) - 1 + len(odd))
+            at, ids = ends.values, more.values
+        n = at[part + 1] - at[part]
+        return ids[_runs(at[part], n)], n[::2] + n[1::2]
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Places of words that are not remembered, by their first byte and length."""
+        own = data[_runs(starts, size)]
+        raw, end = own.tobytes(), np.cumsum(size).tolist()
+        words = [raw[a:b].decode() for a, b in zip([0, *end], end)]
+        ids, n = self._ids_of(words, self.simple)
+        first = len(self.ids_at.values) - 1
+        self.ids_at.extend(self.ids_at.values[-1] + np.cumsum(n))
+        self.ids.extend(ids)
+        self.bytes_at.extend(self.bytes_at.values[-1] + np.cumsum(size))
+        self.bytes.extend(own)
+        return np.arange(first, first + len(words))
+
+    def _equal(self, text: np.ndarray, starts: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the words are those remembered at the places."""
+        at, known = self.bytes_at.values, _eights(self.bytes.values)
+        equal = at[place + 1] - at[place] == size
+        todo, k = np.flatnonzero(equal), 0
+        while len(todo):
+            unused = np.maximum(8 - (size[todo] - k), 0).astype(_U) * _U(8)
+            same = (text[starts[todo] + k] << unused) == (known[at[place[todo]] + k] << unused)
+            equal[todo[~same]] = False
+            k += 8
+            todo = todo[same & (size[todo] > k)]
+        return equal
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For some texts at a time: the first one's row, all ids with an end id after
+        each text, and the number of each text's ids."""
+        for chunk in chunks(column):
+            if len(self.ids_at.values) > CACHED_WORDS or len(self.ids.values) > 16 * CACHED_WORDS:
+                self._renew()
+            starts, size, h = chunk.starts, chunk.ends - chunk.starts, chunk.word_hashes()
+            text = _eights(chunk.data)
+            place = self.table.find(h).astype(np.int64)
+            known = np.flatnonzero(place >= 0)
+            clash = known[~self._equal(text, starts[known], size[known], place[known])]
+            new = np.flatnonzero((place < 0) & (size <= MAX_CACHED))
+            keys, first, of = np.unique(h[new], return_index=True, return_inverse=True)
+            if len(new):
+                learnt = self._learn(chunk.data, starts[new[first]], size[new[first]])
+                room = max(0, 2 * CACHED_WORDS - int(learnt[0]))  # one very long text may have more words than the memory
+                self.table.add(keys[:room], learnt[:room].astype(np.int32))
+                place[new] = learnt[of]
+                clash = np.append(clash, new[~self._equal(text, starts[new], size[new], place[new])])
+            alone = np.append(clash, np.flatnonzero((place < 0) & (size > MAX_CACHED)))  # other words of a known hash, and very long ones
+            if len(alone):
+                place[alone] = self._learn(chunk.data, starts[alone], size[alone])
+            place = np.insert(place, chunk.word_at[1:], 0)
+            at = self.ids_at.values
+            n = at[place + 1] - at[place]
+            ends = np.cumsum(n)[chunk.word_at[1:] + np.arange(chunk.docs)]
+            yield chunk.row, self.ids.values[_runs(at[place], n)], np.diff(ends, prepend=0)
 
 
 def scaled(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -221,28 +314,47 @@ class Coder:
         return [out[:, g].reshape(-1)[:n] for g, n in enumerate(size)]
 
 
-_SEGMENT = "part int, segment int, n_tokens long, table binary, blocks array<struct<docs:array<long>,lengths:array<int>,states:binary,words:binary,crc32:long>>"
-_BLOCKS = pa.list_(pa.struct([("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("states", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64())]))
+_SEGMENT = "part int, segment int, n_tokens long, table binary, blocks array<struct<docs:array<long>,lengths:array<int>,continued:boolean,states:binary,words:binary,crc32:long>>"
+_BLOCKS = pa.list_(pa.struct([("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("continued", pa.bool_()), ("states", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64())]))
 _ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("table", pa.binary()), ("blocks", _BLOCKS)])
+_TOGETHER = 64  # blocks in one numpy operation
+
+
+class _Block:
+    """Ids of documents, the first of which may have begun in the block before."""
+
+    def __init__(self, continued: bool = False):
+        self.docs, self.lengths, self.ids, self.size, self.continued = [], [], [], 0, continued
+
+    def add(self, doc, ids: np.ndarray) -> None:
+        self.docs.append(doc)
+        self.lengths.append(len(ids))
+        self.ids.append(ids)
+        self.size += len(ids)
 
 
-def _even(blocks: list, size: Callable) -> Iterator[list[int]]:
-    """Places of blocks to code together: very long ones alone."""
-    usual = [i for i, b in enumerate(blocks) if size(b) <= 2 * BLOCK_TOKENS]
-    for lo in range(0, len(usual), 64):
-        yield usual[lo : lo + 64]
-    yield from ([i] for i, b in enumerate(blocks) if size(b) > 2 * BLOCK_TOKENS)
+def _laid(blocks: list[_Block], doc, ids: np.ndarray) -> None:
+    """Add a document to the last block, and what goes beyond ``BLOCK_TOKENS`` to new ones."""
+    begun = False
+    while True:
+        if blocks[-1].size >= BLOCK_TOKENS:
+            blocks.append(_Block(continued=begun))
+        room = BLOCK_TOKENS - blocks[-1].size
+        blocks[-1].add(doc, ids[:room])
+        ids, begun = ids[room:], True
+        if not len(ids):
+            return
 
 
-def _segment(part: int, number: int, blocks: list[tuple[list, list[int], list[np.ndarray]]]) -> pa.RecordBatch:
-    ids = [np.concatenate(t) for _, _, t in blocks]
+def _segment(part: int, number: int, blocks: list[_Block]) -> pa.RecordBatch:
+    ids = [np.concatenate(b.ids) for b in blocks]
     counts = np.bincount(np.concatenate(ids))
     freq = scaled(counts)
-    coder, out = Coder(freq), [None] * len(blocks)
-    for some in _even(ids, len):
-        for i, (states, words) in zip(some, coder.encode([ids[i] for i in some])):
+    coder, out = Coder(freq), []
+    for lo in range(0, len(blocks), _TOGETHER):
+        for block, (states, words) in zip(blocks[lo : lo + _TOGETHER], coder.encode(ids[lo : lo + _TOGETHER])):
             states, words = states.astype("<u8").tobytes(), words.astype("<u4").tobytes()
-            out[i] = {"docs": blocks[i][0], "lengths": blocks[i][1], "states": states, "words": words, "crc32": zlib.crc32(words, zlib.crc32(states))}
+            out.append({"docs": block.docs, "lengths": block.lengths, "continued": block.continued, "states": states, "words": words, "crc32": zlib.crc32(words, zlib.crc32(states))})
     row = {"part": part, "segment": number, "n_tokens": int(counts.sum()), "table": zlib.compress(freq.astype("<u4").tobytes()), "blocks": out}
     return pa.RecordBatch.from_pylist([row], _ARROW)
 
@@ -252,29 +364,20 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.load(tokenizer_path, end_id)
-        gc.disable()  # no cycles are made here, and passes over the word memory cost a tenth
-        part, number, blocks, size = 0, 0, [([], [], [])], 0
-        block_size = 0
+        part, number, blocks, size = 0, 0, [_Block()], 0
         for batch in batches:
             if batch.num_rows:
                 part = batch.column(2)[0].as_py()
-            for lo, texts in batches_of_texts(batch.column(1)):
-                ids, n = tokenizer.encode(texts)
+            for row, ids, n in tokenizer.encode(batch.column(1)):
                 end = np.cumsum(n)
-                for name, a, b in zip(batch.column(0).slice(lo, len(texts)).to_pylist(), (end - n).tolist(), end.tolist()):
-                    if block_size >= BLOCK_TOKENS:
-                        blocks.append(([], [], []))
-                        block_size = 0
-                    for held, x in zip(blocks[-1], (name, b - a, ids[a:b])):
-                        held.append(x)
-                    block_size += b - a
+                for doc, a, b in zip(batch.column(0).slice(row, len(n)).to_pylist(), (end - n).tolist(), end.tolist()):
+                    _laid(blocks, doc, ids[a:b])
                     size += b - a
                     if size >= segment_tokens:
                         yield _segment(part, number, blocks)
-                        number, blocks, size, block_size = number + 1, [([], [], [])], 0, 0
+                        number, blocks, size = number + 1, [_Block()], 0
         if size:
             yield _segment(part, number, blocks)
-        gc.enable()
 
     # the range bounds are sampled by the driver, so the texts themselves are no part of them
     order = (id_col, F.xxhash64(text_col))
@@ -292,18 +395,25 @@ def read_ids(spark: SparkSession, path: str, columns: str, document: Callable[[n
             for row in range(batch.num_rows):
                 segment = batch.slice(row, 1).to_pylist()[0]
                 coder = Coder(np.frombuffer(zlib.decompress(segment["table"]), "<u4").astype(np.int64))
-                blocks, found = segment["blocks"], {}
+                blocks, found = segment["blocks"], []
                 for b in blocks:
                     if zlib.crc32(b["words"], zlib.crc32(b["states"])) != b["crc32"]:
                         raise ValueError(f"a block of segment {segment['segment']} of partition {segment['part']} is damaged")
-                for some in _even(blocks, lambda b: sum(b["lengths"])):
-                    parts = [(sum(blocks[i]["lengths"]), np.frombuffer(blocks[i]["states"], "<u8"), np.frombuffer(blocks[i]["words"], "<u4")) for i in some]
-                    found.update(zip(some, coder.decode(parts)))
+                for lo in range(0, len(blocks), _TOGETHER):
+                    parts = [(sum(b["lengths"]), np.frombuffer(b["states"], "<u8"), np.frombuffer(b["words"], "<u4")) for b in blocks[lo : lo + _TOGETHER]]
+                    found += coder.decode(parts)
+                whole = []  # documents and the pieces of their ids
+                for b, ids in zip(blocks, found):
+                    for i, (doc, own) in enumerate(zip(b["docs"], np.split(ids, np.cumsum(b["lengths"])[:-1]))):
+                        if i == 0 and b["continued"]:
+                            whole[-1][1].append(own)
+                        else:
+                            whole.append((doc, [own]))
                 at, out = segment["__start"], []
-                for i, b in enumerate(blocks):
-                    for name, n, own in zip(b["docs"], b["lengths"], np.split(found[i], np.cumsum(b["lengths"])[:-1])):
-                        out.append((name, at, n, *document(own)))
-                        at += n
+                for doc, pieces in whole:
+                    own = np.concatenate(pieces)
+                    out.append((doc, at, len(own), *document(own)))
+                    at += len(own)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     segments = spark.read.schema(_SEGMENT).parquet(path)
