@@ -85,7 +85,7 @@ def _sieved(entries: DataFrame, percent: int, more: int) -> tuple[DataFrame, Dat
     table that this reads."""
     twice = entries.groupBy("h").count().filter("count >= 2").select("h")
     met = entries.join(twice, "h").distinct()  # copies go; their lists may be of one class now
-    met = cut(_listed(met).select("h", "sig", "n"), "entries", release=True)
+    met = cut(_listed(met).select("h", "sig", "n"), "entries")
     able = met.groupBy("sig", "n").agg(F.count("*").alias("found"))
     able = able.filter(F.col("found") >= F.greatest(F.lit(1), F.expr(f"n * {more * percent} div 10000"))).select("sig")
     return met.join(able, "sig"), met
@@ -99,14 +99,14 @@ def _clusters(texts: DataFrame, scanned: DataFrame, k: int, percent: int) -> tup
     # the tables that pick texts grow with the corpus: they are merged, never broadcast
     some = cut(_documents(scanned, left.select("sig").distinct()), "representatives")
     forget(first)
-    chosen = cut(texts.join(some.select("key").hint("merge"), "key").select("key", "text"), "chosen", release=True)
+    chosen = cut(texts.join(some.select("key").hint("merge"), "key").select("key", "text"), "chosen")
     entries = _sets(chosen.select("text"), k, percent, "entries", SIEVES[1])
     left, second = _sieved(entries.select("sig", "n", F.explode("entries").alias("h")), percent, SIEVES[1])
-    stars = cut(_listed(left).select("sig", "n", "hub"), "stars", release=True)
+    stars = cut(_listed(left).select("sig", "n", "hub"), "stars")
     forget(some, second)
     named = components(stars.filter("sig <> hub").select(F.col("sig").alias("u"), F.col("hub").alias("v")))
     named = named.withColumnRenamed("node", "sig").withColumnRenamed("component", "cluster")
-    clusters = cut(stars.select("sig", "n").distinct().join(named, "sig"), "clusters", release=True)
+    clusters = cut(stars.select("sig", "n").distinct().join(named, "sig"), "clusters")
     forget(stars)
     return clusters, chosen
 

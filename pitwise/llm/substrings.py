@@ -9,11 +9,13 @@ hashed and counted over the corpus. Around those that occur twice the match is
 extended: every window that holds one is hashed whole and counted, and the windows
 that occur twice or more are removed. No pair of documents is ever made, so a group
 of any size costs what its rows cost; hot keys meet map-side counts and joins that
-Spark can split.
+Spark can split. Texts that are equal as a whole are told first, by hashes of 96 bits
+and their length: of theirs every window occurs elsewhere, so only one of each such group
+is extended, for the sake of others that share a part with it.
 
 Defined results: a null text has no words; documents shorter than a window keep
-everything; repeated rows are each other's copies; a null id is an id; no rows give
-none; other columns are not looked at. Windows are compared by 96-bit hashes.
+everything; repeated rows are each other's copies; a null id is an id; a very long text is
+cut nowhere and hashed in one piece; no rows give none; other columns are not looked at. Windows are compared by 96-bit hashes.
 """
 
 from __future__ import annotations
@@ -55,9 +57,10 @@ def _anchors(chunk: Chunk, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, half, starts``: for each document with windows that start elsewhere
-    too, the places where they start. ``docs`` has ``doc_id, half, text``; ``half``
-    is 32 bits of the text's hash and parts rows with equal ids."""
+    """``doc_id, half, starts, copied``: for each document with windows that start
+    elsewhere too, the places where they start; or that its whole text has a copy.
+    ``docs`` has ``doc_id, half, text``; ``half`` is 32 bits of the text's hash and parts
+    rows with equal ids."""
     if window < PERIOD:
         raise ValueError(f"a window needs {PERIOD} words at least")
 
@@ -95,16 +98,32 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     [pa.array(h.view(np.int64)), pa.array(more), batch.column(0).take(pa.array(doc)), pa.array(_marks(half[doc], at - chunk.word_at[of]))], names=["h", "more", "doc_id", "mark"]
                 )
 
-    def marked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-        twice = rows.groupBy(*keys).count().filter("count >= 2").select(*keys)
-        own = rows.join(twice, keys).select("doc_id", F.shiftrightunsigned("mark", 32).alias("half"), F.col("mark").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
-        return own.groupBy("doc_id", "half").agg(F.collect_set("place").alias(name))
-
-    found = cut(marked(docs.mapInArrow(anchors, f"h long, doc_id {_id(docs)}, mark long"), ["h"], "places"), "anchors", release=True)
-    near = _left(docs, found, "inner").select("doc_id", "half", "text", "places")
-    starts = cut(marked(near.mapInArrow(windows, f"h long, more int, doc_id {_id(docs)}, mark long"), ["h", "more"], "starts"), "windows", release=True)
+    whole = docs.select("doc_id", "half", F.xxhash64("text").alias("hash"), F.crc32(F.col("text").cast("binary")).alias("crc"), F.octet_length("text").alias("bytes"))
+    whole = whole.filter(F.col("bytes") >= 2 * window - 1)  # shorter texts have no window
+    classes = cut(whole.groupBy("hash", "crc", "bytes").agg(F.first("half").alias("half"), F.count("*").alias("rows"), F.min("doc_id").alias("doc_id")), "texts")
+    hashed = docs.mapInArrow(anchors, f"h long, doc_id {_id(docs)}, mark long")
+    found = cut(_places(hashed.join(hashed.groupBy("h").count().filter("count >= 2").select("h"), "h"), "places"), "anchors")
+    one = _left(classes.select("doc_id", "half", (F.col("rows") > 1).alias("copied")), found, "inner").select("doc_id", "half", "copied", "places")
+    one = cut(one, "anchors-of-one")
     forget(found)
-    return starts
+    near = _left(docs, one, "inner").select("doc_id", "half", "text", "places", "copied")
+    twice = near.mapInArrow(windows, _windows(docs)).groupBy("h", "more").count().filter("count >= 2").select("h", "more")
+    own = near.filter("not copied").mapInArrow(windows, _windows(docs))
+    starts = cut(_places(own.join(twice, ["h", "more"]), "starts"), "windows")
+    forget(one)
+    copied = whole.join(classes.filter("rows > 1").select("hash", "crc", "bytes"), ["hash", "crc", "bytes"]).select("doc_id", "half").distinct()
+    copied = cut(copied.withColumn("starts", F.lit(None).cast("array<int>")).withColumn("copied", F.lit(True)), "copies")
+    forget(classes)
+    return starts.withColumn("copied", F.lit(False)).unionByName(copied)
+
+
+def _windows(docs: DataFrame) -> str:
+    return f"h long, more int, doc_id {_id(docs)}, mark long"
+
+
+def _places(rows: DataFrame, name: str) -> DataFrame:
+    own = rows.select("doc_id", F.shiftrightunsigned("mark", 32).alias("half"), F.col("mark").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
+    return own.groupBy("doc_id", "half").agg(F.collect_set("place").alias(name))
 
 
 def _id(docs: DataFrame) -> str:
@@ -126,10 +145,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 out = ([], [], [], [])
-                for text, starts in zip(part.column(1).to_pylist(), part.column(2)):
+                for text, starts, copied in zip(part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist()):
                     words = (text or "").encode().split()
                     step = np.zeros(len(words) + 1, np.int64)
-                    if starts.is_valid:
+                    if copied and len(words) >= window:
+                        covered, kept = np.ones(len(words), bool), b""
+                    elif starts.is_valid:
                         s = starts.values.to_numpy(zero_copy_only=False)
                         np.add.at(step, s, 1)
                         np.add.at(step, s + window, -1)
@@ -143,5 +164,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 kept_text = [k.decode() for k in out[2]]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip((out[0], out[1], kept_text, out[3]), types))], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    joined = _left(rows, repeated_windows(rows, window), "left").select("doc_id", "text", "starts")
+    joined = _left(rows, repeated_windows(rows, window), "left").select("doc_id", "text", "starts", "copied")
     return joined.mapInArrow(remove, f"doc_id {_id(rows)}, n_words long, n_removed long, kept string, kept_sha256 string")
