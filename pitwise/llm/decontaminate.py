@@ -7,9 +7,10 @@ length would miss it. The sketch of an item is therefore its *bottom-m* MinHash,
 ``m`` smallest of its shingle hashes, where ``m = q - ceil(threshold * q) + 1``
 follows from its size ``q``: a document that holds enough of the item lacks fewer
 than ``m`` of its shingles, so it holds one of any ``m``, and no match is missed.
-Items are partitioned by size (powers of two), each with its largest sketch hash; only
-the largest of these bounds the lookup, so the partitions do not narrow it further.
-Candidates are then verified exactly, by the whole shingle sets.
+Items are partitioned by size (powers of two). A partition has its own table of sketch
+hashes and its own bound, the largest of them, above which a document's hashes are not
+looked up in it; what it retrieves are single items. Each retrieved (document, item)
+is then verified exactly, by the whole shingle sets.
 
 A benchmark of at most ``broadcast_shingles`` shingles (8 bytes each) is broadcast
 and documents are searched and verified in one scan without a shuffle; a larger one
@@ -64,38 +65,42 @@ class Sketches:
 
     def __init__(self, item: np.ndarray, h: np.ndarray, threshold: float):
         order = np.lexsort((h, item))
-        item, h = item[order], h[order]
-        self.ids, first, q = np.unique(item, return_index=True, return_counts=True)
-        self.q, self.need = q, needed(q, threshold)
-        m = q - self.need + 1
-        place = np.arange(len(h)) - np.repeat(first, q)
-        sketched = place < np.repeat(m, q)
-        number = np.repeat(np.arange(len(q)), q)
-        by_hash = np.argsort(h, kind="stable")
-        self.h, self.item = h[by_hash], number[by_hash]  # whole sets, by hash
-        self.sketch = np.unique(h[sketched])
-        part = np.log2(np.maximum(q, 1)).astype(int)
-        #: largest sketch hash of each size partition
-        self.bounds = {int(p): int(h[sketched & (np.repeat(part, q) == p)].max()) for p in np.unique(part)}
+        item, self.h = item[order], h[order]  # whole sets, item by item, ascending
+        self.ids, self.first, self.q = np.unique(item, return_index=True, return_counts=True)
+        self.need = needed(self.q, threshold)
+        m = self.q - self.need + 1
+        number = np.repeat(np.arange(len(self.q)), self.q)
+        sketched = np.arange(len(h)) - self.first[number] < m[number]
+        part = np.log2(self.q).astype(int)
+        #: by size partition: sketch hashes, ascending, and the numbers of their items
+        self.parts = []
+        for p in np.unique(part):
+            own = np.flatnonzero(sketched & (part[number] == p))
+            own = own[np.argsort(self.h[own], kind="stable")]
+            self.parts.append((self.h[own], number[own]))
         self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.sketch.view(np.uint64) >> np.uint64(44)] = True
-
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        """Which hashes belong to a sketch."""
-        maybe = np.flatnonzero((h <= max(self.bounds.values())) & self.bits[h.view(np.uint64) >> np.uint64(44)])
-        at = np.minimum(np.searchsorted(self.sketch, h[maybe]), len(self.sketch) - 1)
-        out = np.zeros(len(h), bool)
-        out[maybe] = self.sketch[at] == h[maybe]
-        return out
-
-    def contained(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the items that a document's shingle set holds, and how much of each."""
-        lo, hi = np.searchsorted(self.h, own, "left"), np.searchsorted(self.h, own, "right")
-        n = hi - lo
-        at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-        shared = np.bincount(self.item[at], minlength=len(self.q))
-        found = np.flatnonzero((shared >= self.need) & (shared > 0))
-        return found, shared[found]
+        self.bits[self.h[sketched].view(np.uint64) >> np.uint64(44)] = True
+
+    def retrieved(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (document, number of an item) of which a sketch hash is among the
+        documents' hashes, by document."""
+        maybe = np.flatnonzero(self.bits[h.view(np.uint64) >> np.uint64(44)])
+        h, doc, docs, items = h[maybe], doc[maybe], [], []
+        for sketch, item in self.parts:
+            able = h <= sketch[-1]
+            own, of = h[able], doc[able]
+            lo = np.searchsorted(sketch, own, "left")
+            n = np.searchsorted(sketch, own, "right") - lo
+            docs.append(np.repeat(of, n))
+            items.append(item[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)])
+        pairs = np.unique(np.concatenate(docs) * len(self.q) + np.concatenate(items))
+        return pairs // len(self.q), pairs % len(self.q)
+
+    def shared(self, own: np.ndarray, item: int) -> int:
+        """How many of an item's shingles are in a document's set (ascending)."""
+        wanted = self.h[self.first[item] : self.first[item] + self.q[item]]
+        at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+        return int(np.count_nonzero(own[at] == wanted))
 
 
 def _raw_hashes(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,12 +147,16 @@ def _by_scan(docs: DataFrame, sets: DataFrame, k: int, threshold: float) -> Data
         for batch in batches:
             for chunk in chunks(batch.column(2)):
                 h, doc = _raw_hashes(chunk, k)
-                rows, item, n = [], [], []
-                for d in np.unique(doc[sketches.hits(h)]):
-                    found, some = sketches.contained(np.unique(h[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]) if chunk.n_words[d] >= k else h[doc == d])
-                    rows += [d + chunk.row] * len(found)
-                    item += found.tolist()
-                    n += some.tolist()
+                long = len(doc) - np.count_nonzero((chunk.n_words > 0) & (chunk.n_words < k))  # short texts follow the others
+                rows, item, n, before, own = [], [], [], -1, h[:0]
+                for d, i in zip(*sketches.retrieved(h, doc)):
+                    if d != before:
+                        before, own = d, np.unique(h[doc == d] if chunk.n_words[d] < k else h[np.searchsorted(doc[:long], d) : np.searchsorted(doc[:long], d, "right")])
+                    held = sketches.shared(own, i)
+                    if held >= sketches.need[i]:
+                        rows.append(d + chunk.row)
+                        item.append(i)
+                        n.append(held)
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(sketches.ids[np.array(item, int)]), pa.array(sketches.q[np.array(item, int)]), pa.array(n, pa.int64())],
@@ -167,9 +176,10 @@ def _by_shuffle(docs: DataFrame, sets: DataFrame, k: int, threshold: float) -> D
     sketch = sized.withColumn("place", place).filter(F.col("place") <= F.col("n_item") - need + 1)
     largest = sketch.agg(F.max("h")).first()[0]
     texts = docs.select("key", "text")
-    near = _sets(texts, k, "key").filter(F.col("h") <= F.lit(largest)).join(sketch.select("h").distinct(), "h").select("key").distinct()
-    own = _sets(texts.join(near, "key", "left_semi"), k, "key").distinct()
-    shared = own.join(sized, "h").groupBy("key", "item", "n_item").agg(F.count("*").alias("n_shared")).filter(F.col("n_shared") >= need)
+    met = _sets(texts, k, "key").filter(F.col("h") <= F.lit(largest)).join(sketch.select("h", "item"), "h").select("key", "item").distinct()
+    met = cut(met, "retrieved")
+    own = _sets(texts.join(met.select("key").distinct(), "key", "left_semi"), k, "key").distinct()
+    shared = met.join(sized, "item").join(own, ["key", "h"]).groupBy("key", "item", "n_item").agg(F.count("*").alias("n_shared")).filter(F.col("n_shared") >= need)
     return shared.join(docs.select("key", "doc_id").distinct(), "key").select("key", "doc_id", "item", "n_item", "n_shared")
 
 
