@@ -41,6 +41,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK_TOKENS = 512
 SHARD_TOKENS = 1 << 22
+SLOTS_A_TASK = 1 << 16
 SEED = 20240229
 
 
@@ -142,9 +143,10 @@ def mix_slots(targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens
                     take[j == slots - 1] = last
                 yield pd.DataFrame({"source": name, "shard": shard, "slot": j - first, "round": round_, "block": block, "take": take})
 
+    expected = targets.agg(F.sum(F.ceil(F.col("target") / block_tokens))).first()[0] or 0
     t = targets.withColumn("total", F.sum("source_size").over(Window.partitionBy(F.lit(0))))
     drawn = t.mapInPandas(draw, "source string, source_size long, target double, shard long, first long, count long")
-    return drawn.repartition("source", "shard").mapInPandas(fill, _SLOTS)
+    return drawn.repartition(-(-int(expected) // SLOTS_A_TASK) or 1, "source", "shard").mapInPandas(fill, _SLOTS)
 
 
 def mix_sources(
@@ -176,10 +178,10 @@ def mix_sources(
 
 
 def words_taken(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for each document."""
+    """``doc_id, size, source_size, target, taken, source`` for each document."""
     known, pieces = mix_sources(docs, **options)
     taken = pieces.groupBy("idx").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    return known.join(taken, "idx", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return known.join(taken, "idx", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
