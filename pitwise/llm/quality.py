@@ -6,8 +6,11 @@ compared with those of its language by the Jensen-Shannon distance (square root
 the divergence in bits, so between 0 and 1). The references are sums over every
 document of the language that passes the base rule: one pass counts, a second
 judges. A word is common if it makes up ``common_share`` of the language's words,
-so a language has at most ``1 / common_share`` of them, which bounds what is
-broadcast whatever the size of the corpus.
+so a language has at most ``1 / common_share`` of them. Languages of fewer than
+``min_reference_words`` words judge nobody and have no reference. References of up to
+``broadcast_rows`` rows are broadcast (checked); more, as where every document claims a
+language of its own, are joined with the documents by language instead. Both give the
+same rows.
 
 Short texts give noisy histograms, so each test has a guard: the character test
 needs ``min_chars`` word characters, the word test ``min_words`` words, and a
@@ -27,9 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import cut
 from .words import Chunk, chunks, mix, window_hashes, window_starts
 
 CLASSES = ("lower", "upper", "digit", "stop", "symbol", "other_ascii", "beyond_ascii")
@@ -41,6 +45,7 @@ COMMON_SHARE = 0.002
 MIN_WORDS = 50
 MIN_CHARS = 150
 MIN_REFERENCE_WORDS = 2_000
+BROADCAST_ROWS = 500_000  # some 1,000 languages
 MAX_CHAR_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.27
 WORD_NOISE = 1.0
@@ -127,7 +132,7 @@ def _tally(batches: Iterator[pa.RecordBatch], flush: int = 1 << 20) -> Iterator[
 
     size = 0
     for batch in batches:
-        langs = np.array(batch.column(0).fill_null("").to_pylist(), object)
+        langs = np.array(batch.column(0).to_pylist(), object)
         for chunk in chunks(batch.column(1)):
             base, classes, _ = _base(chunk)
             folded = chunk.word_hashes(fold=True) >> np.uint64(64 - _WORD_BITS)
@@ -154,13 +159,21 @@ def _rows(lang, kind, keys, counts) -> pa.RecordBatch:
     )
 
 
-def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", common_share: float = COMMON_SHARE) -> DataFrame:
+def _language(lang_col: str) -> Column:
+    """The language with a letter before it, so that null is one that no name equals."""
+    return F.when(F.col(lang_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(lang_col)))
+
+
+def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", common_share: float = COMMON_SHARE, min_reference_words: int = MIN_REFERENCE_WORDS) -> DataFrame:
     """``lang, kind, key, n, total``: each language's character classes (kind 0)
-    and common words (kind 1, by hash), with the language's sum over all words."""
-    counts = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col)).mapInArrow(_tally, "lang string, kind int, key long, n long")
+    and common words (kind 1, by hash), with the language's sum over all words. ``lang`` is
+    ``n`` for null and the name after an ``s`` for others."""
+    counts = docs.select(_language(lang_col).alias("lang"), F.col(text_col)).mapInArrow(_tally, "lang string, kind int, key long, n long")
     counts = counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    return counts.join(totals, ["lang", "kind"]).filter((F.col("kind") == 0) | (F.col("n") >= common_share * F.col("total")))
+    able = totals.filter((F.col("kind") == 1) & (F.col("total") >= min_reference_words)).select("lang")
+    common = counts.join(totals.join(able, "lang", "left_semi"), ["lang", "kind"])
+    return common.filter((F.col("kind") == 0) | (F.col("n") >= common_share * F.col("total"))).select("lang", "kind", "key", "n", "total")
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -182,22 +195,20 @@ class Judge:
         self.langs = {}
         for lang, rows in table.groupby("lang"):
             c, w = rows[rows.kind == 0].sort_values("key"), rows[rows.kind == 1].sort_values("key")
-            if not len(w) or not len(c):
-                continue
-            words = int(w.total.iloc[0])
-            share = np.append(w.n.to_numpy(), words - w.n.sum()) / words
-            self.langs[lang] = (c.n.to_numpy() / max(c.n.sum(), 1), w.key.to_numpy(), share, words)
-
-    def distances(self, chunk: Chunk, langs: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Character and word distance of each document, and its language's words."""
-        char, word, support = np.full(chunk.docs, np.nan), np.full(chunk.docs, np.nan), np.zeros(chunk.docs, np.int64)
+            if len(w):
+                words = int(w.total.iloc[0])
+                share = np.append(w.n.to_numpy(), words - w.n.sum()) / words
+                self.langs[lang] = (c.n.to_numpy() / max(c.n.sum(), 1), w.key.to_numpy(), share)
+
+    def distances(self, chunk: Chunk, langs: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Character and word distance of each document, not a number without a reference."""
+        char, word = np.full(chunk.docs, np.nan), np.full(chunk.docs, np.nan)
         folded = (chunk.word_hashes(fold=True) >> np.uint64(64 - _WORD_BITS)).view(np.int64)
         of = chunk.doc_of_word()
         for lang in set(langs) & set(self.langs):
-            of_classes, keys, share, support_of = self.langs[lang]
+            of_classes, keys, share = self.langs[lang]
             mine = np.flatnonzero(langs == lang)
             char[mine] = distance(classes[mine], of_classes)
-            support[mine] = support_of
             place = np.full(chunk.docs, -1)
             place[mine] = np.arange(len(mine))
             at = place[of] >= 0
@@ -205,7 +216,7 @@ class Judge:
             bin_ = np.where(keys[bin_] == folded[at], bin_, len(keys))
             hist = np.bincount(place[of][at] * (len(keys) + 1) + bin_, minlength=len(mine) * (len(keys) + 1))
             word[mine] = distance(hist.reshape(len(mine), -1), share)
-        return char, word, support
+        return char, word
 
 
 def quality_rules(
@@ -220,34 +231,47 @@ def quality_rules(
     max_char_distance: float = MAX_CHAR_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
     word_noise: float = WORD_NOISE,
+    broadcast_rows: int = BROADCAST_ROWS,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """A row for each document: its id, the base counts, ``char_distance`` and
-    ``word_distance`` (null where the language has no reference) and ``kept``.
-    ``carry`` names further columns to hand on unchanged."""
-    # at most len(CLASSES) + 1 / common_share rows for each language
-    judge = docs.sparkSession.sparkContext.broadcast(Judge(references(docs, lang_col, text_col, common_share).toPandas()))
+    """A row for each document: its id, the base counts, ``kept``, and ``char_distance``
+    and ``word_distance`` (null where the language has no reference). ``carry`` names
+    further columns to hand on unchanged."""
+    known = cut(references(docs, lang_col, text_col, common_share, min_reference_words), "references")
+    few = known.limit(broadcast_rows + 1).count() <= broadcast_rows
     carried = list(dict.fromkeys([id_col, *carry]))
+    needed = list(dict.fromkeys([*carried, text_col]))
+    rows = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(needed)], _language(lang_col).alias("__lang"))
+    text_at, lang_at = needed.index(text_col), len(needed)
+    if few:
+        judge = docs.sparkSession.sparkContext.broadcast(Judge(known.toPandas()))
+    else:  # a row a language, to lie beside each of its documents
+        packed = known.groupBy("lang").agg(F.collect_list(F.struct("kind", "key", "n", "total")).alias("__known"))
+        rows = rows.join(packed, F.col("__lang") == F.col("lang"), "left").drop("lang")
+
+    def own_judge(batch: pa.RecordBatch) -> Judge:
+        if few:
+            return judge.value
+        langs = batch.column(lang_at).to_pylist()
+        first = {lang: i for i, lang in reversed(list(enumerate(langs)))}
+        held = [(lang, batch.column(lang_at + 1)[i].as_py() or []) for lang, i in first.items()]
+        return Judge(pd.DataFrame([{"lang": lang, **x} for lang, some in held for x in some], columns=["lang", "kind", "key", "n", "total"]))
 
     def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_langs = np.array(batch.column(lang_at).fill_null("").to_pylist(), object)
+            current, all_langs = own_judge(batch), np.array(batch.column(lang_at).to_pylist(), object)
             for chunk in chunks(batch.column(text_at)):
                 base, classes, _ = _base(chunk)
-                langs = all_langs[chunk.row : chunk.row + chunk.docs]
-                char, word, support = judge.value.distances(chunk, langs, classes)
-                able = support >= min_reference_words
-                odd = able & (base["word_chars"] >= min_chars) & (char > max_char_distance)
-                odd |= able & (base["n_words"] >= min_words) & (word > max_word_distance + word_noise / np.sqrt(np.maximum(base["n_words"], 1)))
+                char, word = current.distances(chunk, all_langs[chunk.row : chunk.row + chunk.docs], classes)
+                odd = (base["word_chars"] >= min_chars) & (char > max_char_distance)  # never of what is not a number
+                odd |= (base["n_words"] >= min_words) & (word > max_word_distance + word_noise / np.sqrt(np.maximum(base["n_words"], 1)))
                 own = [batch.column(i).slice(chunk.row, chunk.docs) for i in range(len(carried))]
-                result = [*base.values(), *(pa.array(x, from_pandas=True) for x in (char, word)), ~base["base_failed"] & ~odd]
+                result = [*base.values(), ~base["base_failed"] & ~odd, *(pa.array(x, from_pandas=True) for x in (char, word))]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(x) for x in result)], names=names)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    names = [*carried, *base_names(), "char_distance", "word_distance", "kept"]
-    rows = docs.select(*dict.fromkeys([*carried, lang_col, text_col]))
-    lang_at, text_at = rows.columns.index(lang_col), rows.columns.index(text_col)
-    return rows.mapInArrow(rule, f"{schema}, {BASE}, char_distance double, word_distance double, kept boolean")
+    names = [*carried, *base_names(), "kept", "char_distance", "word_distance"]
+    return rows.mapInArrow(rule, f"{schema}, {BASE}, kept boolean, char_distance double, word_distance double")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", **options) -> DataFrame:
