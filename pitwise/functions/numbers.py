@@ -45,6 +45,21 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def half_even(x: Column, digits: int = 0) -> Column:
+    """Halves to the even neighbour."""
+    return F.bround(x, digits)
+
+
+def gap(percentile: Column, other: Column) -> Column:
+    return percentile - other
+
+
+def board_signal(ours: Column, theirs: Column, apart: float = 10.0, top: float = 90.0) -> Column:
+    """``bothTop10``, ``oracleAhead``, ``crowdAhead`` or none."""
+    d = gap(ours, theirs)
+    return F.when((ours >= top) & (theirs >= top), "bothTop10").when(d >= apart, "oracleAhead").when(d <= -apart, "crowdAhead").otherwise("none")
+
+
 def two_way(batting: Column, pitching: Column, full_batting: float = 600.0, full_pitching: float = 540.0, least: float = 60.0, ratio: float = 0.25) -> Column:
     """Whether both workloads are there and the smaller is ``ratio`` of the larger."""
     a, b = batting / full_batting, pitching / full_pitching

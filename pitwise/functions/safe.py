@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+#: Fixed value: what counts as a number in a text.
+_NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def json_text(doc: Column, path: str) -> Column:
@@ -15,8 +16,8 @@ def json_text(doc: Column, path: str) -> Column:
 
 
 def number_or_null(text: Column) -> Column:
-    """A double if the text is a plain decimal number; ``inf``, ``12d`` and padded
-    digits, which a bare cast takes, are null."""
+    """A double if the text is a plain decimal number (``+5``, ``.5`` and ``5.`` are);
+    ``inf``, ``12d`` and padded digits, which a bare cast takes, are null."""
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
@@ -49,9 +50,10 @@ def priority_key(*named: tuple[str, Column]) -> Column:
 
 
 def clean_identifier(text: Column, *sentinels: str) -> Column:
-    """Trimmed, without a trailing ``.0``; sentinels and nothing are null."""
-    bare = F.regexp_replace(F.trim(text), r"\.0$", "")
-    return null_if_any(bare, "", *sentinels)
+    """Trimmed, without a trailing ``.0``; sentinels (in any case) and nothing are null."""
+    trimmed = F.trim(text)
+    known = F.when(~F.lower(trimmed).isin("", *sentinels), trimmed)
+    return F.regexp_replace(known, r"\.0$", "")
 
 
 def finite_or_null(value: Column) -> Column:

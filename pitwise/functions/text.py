@@ -6,10 +6,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+#: Generation suffixes that are no part of a name.
 _SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
 
 
@@ -23,27 +24,34 @@ def without_marks(text: Column) -> Column:
     return pandas_udf(_without_marks, "string")(text)
 
 
-def search_key(text: Column, ascii_only: bool = False) -> Column:
-    """Lower case, apostrophes gone, ``-_./`` as spaces, letters and digits only,
-    spaces squeezed. ``ascii_only`` skips the decomposition and stays in the JVM."""
-    plain = F.lower(text if ascii_only else without_marks(text))
-    spaced = F.regexp_replace(F.regexp_replace(plain, "['’]", ""), r"[-_./]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(spaced, r"[^a-z0-9 ]+" if ascii_only else r"[^\p{L}\p{N} ]+", ""), " +", " "))
+def search_key(text: Column) -> Column:
+    """Without marks, lower case, apostrophes gone, all but letters and digits as spaces,
+    spaces squeezed."""
+    bare = F.regexp_replace(F.lower(without_marks(text)), "['’]", "")
+    return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
+
+
+def _search_key(text: str) -> str:
+    """``search_key`` of a query on the driver."""
+    marked = unicodedata.normalize("NFKD", text)
+    bare = "".join(c for c in marked if not unicodedata.combining(c)).lower().replace("'", "").replace("’", "")
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in bare).split())
 
 
 def matches_search(query: str, *fields: Column) -> Column:
-    """Whether a field contains the query, or does once both lose their spaces."""
-    key = " ".join(query.lower().split())
+    """Whether a field's key contains the query's, or does once both lose their spaces."""
+    key = _search_key(query)
     found = F.lit(False)
     for f in fields:
-        k = F.coalesce(search_key(f, ascii_only=True), F.lit(""))
+        k = F.coalesce(search_key(f), F.lit(""))
         found = found | k.contains(key) | F.replace(k, F.lit(" "), F.lit("")).contains(key.replace(" ", ""))
     return found
 
 
 def person_name(text: Column) -> Column:
-    """Lower-case a-z tokens without generation suffixes."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    """Lower-case a-z tokens, accents folded, without generation suffixes."""
+    ascii_only = F.regexp_replace(without_marks(text), r"[^\x00-\x7f]+", "")
+    tokens = F.regexp_extract_all(F.lower(ascii_only), F.lit("[a-z]+"), F.lit(0))
     return F.array_join(F.filter(tokens, lambda t: ~t.isin(*_SUFFIXES)), " ")
 
 
@@ -57,6 +65,12 @@ def bounded_key(text: Column, limit: int = 512) -> Column:
     return F.when(F.octet_length(text) > limit, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
 
 
+def distinct_keys(rows: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """``name``: the key, with ``#2``, ``#3`` and so on behind it where it repeats."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn(name, F.when(n > 1, F.concat_ws("#", key, n.cast("string"))).otherwise(F.col(key)))
+
+
 def row_digest(*columns: str) -> Column:
-    """SHA-256 of the row as JSON, columns in name order, nulls left out."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+    """SHA-256 of the row as JSON, columns in name order, nulls among them."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)

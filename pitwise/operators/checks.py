@@ -74,15 +74,17 @@ def exclusion_counts(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return violations(rows, ok | {"all": every}).withColumnRenamed("rule", "flag").withColumnRenamed("n", "excluded")
 
 
-def manifest_errors(manifests: DataFrame, members: DataFrame, on: str) -> DataFrame:
+def manifest_errors(manifests: DataFrame, members: DataFrame, on: str, role: str | None = None, required: tuple[str, ...] = ()) -> DataFrame:
     """``on, errors``: manifests whose members do not add up (count, bytes, ordinals
-    from 0 without gaps)."""
-    m = members.groupBy(on).agg(F.count("*").alias("__n"), F.sum("bytes").alias("__b"), F.min("ordinal").alias("__lo"), F.max("ordinal").alias("__hi"), F.countDistinct("ordinal").alias("__d"))
+    from 0 without gaps) or lack a ``required`` role."""
+    roles = [F.count_if(F.col(role) == r).alias(f"__r{i}") for i, r in enumerate(required)]
+    m = members.groupBy(on).agg(*roles, F.count("*").alias("__n"), F.sum("bytes").alias("__b"), F.min("ordinal").alias("__lo"), F.max("ordinal").alias("__hi"), F.countDistinct("ordinal").alias("__d"))
     j = manifests.join(m, on, "left")
     errors = F.array_compact(F.array(
         F.when(~F.coalesce(F.col("__n") == F.col("member_count"), F.lit(False)), "count"),
         F.when(~F.coalesce(F.col("__b") == F.col("total_bytes"), F.lit(False)), "bytes"),
         F.when(~F.coalesce((F.col("__lo") == 0) & (F.col("__hi") == F.col("__n") - 1) & (F.col("__d") == F.col("__n")), F.lit(False)), "ordinals"),
+        *[F.when(F.coalesce(f"__r{i}", F.lit(0)) == 0, f"role:{r}") for i, r in enumerate(required)],
     ))
     return j.select(on, F.array_join(errors, ",").alias("errors")).filter("errors <> ''")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitwise.operators.split import SPLIT_ROWS, running
+
 
 def complete_cohorts(rows: DataFrame, keys: list[str], member: str, size: int) -> DataFrame:
     """The keys with exactly ``size`` distinct members."""
@@ -18,53 +20,68 @@ def latest_complete_cohort(rows: DataFrame, within: list[str], slice_col: str, m
     return rows.join(F.broadcast(last) if not within else last, [*within, slice_col], "left_semi")
 
 
-def cohort_percent_rank(rows: DataFrame, keys: list[str], value: str, name: str, least_peers: int = 25, digits: int = 6) -> DataFrame:
+def cohort_percent_rank(rows: DataFrame, keys: list[str], value: str, name: str, least_peers: int = 25, digits: int = 6, alone: float | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Percent rank times 100 within the cohort; null below ``least_peers`` peers or
-    without a value."""
-    w = Window.partitionBy(*keys)
-    peers = F.count(value).over(w)
-    rank = F.percent_rank().over(Window.partitionBy(*keys, F.col(value).isNull()).orderBy(value)) * 100
-    return rows.withColumn("peers", peers).withColumn(name, F.when(F.col(value).isNotNull() & (peers >= least_peers), F.round(rank, digits)))
+    without a value. With ``least_peers`` 1, ``alone`` is given to a cohort of one."""
+    counted = running(rows, keys, value, {"rank": F.when(F.col(value).isNotNull(), 1).otherwise(0)}, split_rows)
+    peers = F.col("all_rank")
+    rank = F.when(peers > 1, 100.0 * (F.col("upto_rank") - F.col("tied_rank")) / (peers - 1)).otherwise(F.lit(0.0 if alone is None else alone))
+    out = counted.withColumn("peers", peers).withColumn(name, F.when(F.col(value).isNotNull() & (peers >= least_peers), F.round(rank, digits)))
+    return out.drop("upto_rank", "tied_rank", "all_rank")
 
 
-def mid_rank_percentile(rows: DataFrame, keys: list[str], value: str, weight: Column, name: str) -> DataFrame:
-    """``100 (below + tied / 2) / total`` in weights, in one window over the key."""
-    upto = Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    tied = Window.partitionBy(*keys, value)
-    total = Window.partitionBy(*keys)
-    return rows.withColumn(name, 100 * (F.sum(weight).over(upto) - F.sum(weight).over(tied) / 2) / F.nullif(F.sum(weight).over(total), F.lit(0)))
+def mid_rank_percentile(rows: DataFrame, keys: list[str], value: str, weight: Column, name: str, digits: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``100 (below + tied / 2) / total`` in weights; with ``digits`` values tie that agree to
+    as many decimals."""
+    if digits is None:
+        out = running(rows, keys, value, {"w": weight}, split_rows)
+    else:
+        out = running(rows.withColumn("__rounded", F.round(value, digits)), keys, "__rounded", {"w": weight}, split_rows).drop("__rounded")
+    return out.withColumn(name, 100 * (F.col("upto_w") - F.col("tied_w") / 2) / F.nullif(F.col("all_w"), F.lit(0))).drop("upto_w", "tied_w", "all_w")
 
 
 def adaptive_window_percentile(
-    targets: DataFrame, peers: DataFrame, on: list[str], age: str, value: str, entity: str, season: str, windows: tuple[int, ...] = (0, 1, 2, 3), least: int = 100, by_row: bool = False
+    targets: DataFrame, peers: DataFrame, on: list[str], age: str, value: str, entity: str, season: str, windows: tuple[int, ...] = (0, 1, 2, 3), least: int = 100, by_row: bool = False, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """The standing of each target among earlier seasons of others, in the narrowest
     age window with ``least`` distinct entities; null if none has as many. Each entity
     in the window weighs the same, however many rows it has there; with ``by_row`` each
-    row does.
+    row does. Values that agree to twelve decimals tie.
 
-    Peers are first counted to one row for each (cohort, age, season, entity, value), and
-    targets meet them by age bucket through an equi-join on every age within the widest
-    window, so nothing is compared beyond it."""
-    widest = max(windows)
-    keys = list(dict.fromkeys([*on, entity, season, age, value]))
-    t = targets.select(*keys)
-    near = t.withColumn("__age", F.explode(F.sequence(F.col(age) - widest, F.col(age) + widest)))
-    p = peers.select(*on, F.col(age).alias("__age"), F.col(season).alias("__season"), F.col(entity).alias("__peer"), F.col(value).alias("__value"))
-    p = p.groupBy(*on, "__age", "__season", "__peer", "__value").agg(F.count("*").alias("__rows"))
-    met = near.join(p, [*on, "__age"]).filter((F.col("__season") < F.col(season)) & (F.col("__peer") != F.col(entity)))
-    gap = F.abs(F.col("__age") - F.col(age))
-    score = F.when(F.col("__value") < F.col(value), 1.0).when(F.col("__value") == F.col(value), 0.5).otherwise(0.0)
-    sums = []
-    for w in windows:
-        rows = F.when(gap <= w, F.col("__rows"))
-        sums += [F.sum(rows).alias(f"rows{w}"), F.sum(rows * score).alias(f"score{w}")]
-    each = met.groupBy(*keys, "__peer").agg(*sums)
-    aggs = []
-    for w in windows:
-        share = F.sum(f"score{w}") / F.sum(f"rows{w}") if by_row else F.avg(F.col(f"score{w}") / F.col(f"rows{w}"))
-        aggs += [F.count(f"rows{w}").alias(f"n{w}"), share.alias(f"share{w}")]
-    found = each.groupBy(*keys).agg(*aggs)
-    chosen = F.coalesce(*[F.when(F.col(f"n{w}") >= least, F.lit(w)) for w in windows])
-    share = F.coalesce(*[F.when(F.col(f"n{w}") >= least, 100 * F.col(f"share{w}")) for w in windows])
-    return t.join(found.withColumn("window", chosen).withColumn("percentile", share).select(*keys, "window", "percentile"), keys, "left")
+    No target meets a peer. A *pool* is the peers of one cohort, target season, target age
+    and window; a peer row lies in as many pools as there are later seasons and ages
+    near its own. Pools are sorted by value once, with the targets among them at weight
+    nothing, so a running sum gives every target the weight below and beside it; what is
+    the target's own is then taken out."""
+    widest, keys = max(windows), list(dict.fromkeys([*on, entity, season, age, value]))
+    exact = F.round(F.col(value).cast("double"), 12)
+    t = targets.select(*keys).distinct().select("*", exact.alias("__v"))
+    pool = [*on, "__at", "__age"]  # of a target: its season and age
+    wanted = t.select(*on, F.col(season).alias("__at"), F.col(age).alias("__age")).distinct()
+    p = peers.select(*on, F.col(age).alias("__own"), F.col(season).alias("__season"), F.col(entity).alias("__peer"), exact.alias("__v"))
+    near = p.withColumn("__age", F.explode(F.sequence(F.col("__own") - widest, F.col("__own") + widest)))
+    near = near.join(wanted, [*on, "__age"]).filter(F.col("__season") < F.col("__at")).select(*pool, "__peer", "__v", F.abs(F.col("__age") - F.col("__own")).alias("__gap"))
+    # which window has entities enough, the target's own left out
+    first = near.groupBy(*pool, "__peer").agg(F.min("__gap").alias("__first"))
+    have = first.groupBy(*pool).agg(*[F.count_if(F.col("__first") <= w).alias(f"__n{w}") for w in windows])
+    own = first.select(*[F.col(c).alias({"__at": season, "__age": age}.get(c, c)) for c in pool], F.col("__peer").alias(entity), "__first")
+    t = t.join(have.select(*[F.col(c).alias({"__at": season, "__age": age}.get(c, c)) for c in pool], *[f"__n{w}" for w in windows]), [*on, season, age], "left")
+    t = t.join(own, [*on, season, age, entity], "left")
+    enough = [F.when(F.col(f"__n{w}") - F.coalesce((F.col("__first") <= w).cast("int"), F.lit(0)) >= least, F.lit(w)) for w in windows]
+    t = t.withColumn("window", F.coalesce(*enough)).drop("__first", *[f"__n{w}" for w in windows])
+    # the pools that are used, weighed
+    used = t.filter("window is not null").select(*on, F.col(season).alias("__at"), F.col(age).alias("__age"), F.col("window").alias("__window")).distinct()
+    whole = [*pool, "__window"]
+    weighed = near.join(used, pool).filter(F.col("__gap") <= F.col("__window"))
+    weight = F.lit(1.0) if by_row else 1 / F.count("*").over(Window.partitionBy(*whole, "__peer"))
+    weighed = weighed.select(*whole, "__peer", "__v", weight.alias("__w"))
+    asked = t.filter("window is not null").select(*on, F.col(season).alias("__at"), F.col(age).alias("__age"), F.col("window").alias("__window"), F.col(entity).alias("__peer"), "__v")
+    sums = weighed.groupBy(*whole, "__v").agg(F.sum("__w").alias("__w")).unionByName(asked.select(*whole, "__v").distinct().withColumn("__w", F.lit(0.0)))
+    along = running(sums.groupBy(*whole, "__v").agg(F.sum("__w").alias("__w")), whole, "__v", {"w": F.col("__w")}, split_rows)
+    mine = weighed.withColumnRenamed("__v", "__mine").join(asked.distinct(), [*whole, "__peer"]).groupBy(*whole, "__peer", "__v").agg(
+        F.sum(F.when(F.col("__mine") < F.col("__v"), F.col("__w")).when(F.col("__mine") == F.col("__v"), F.col("__w") / 2).otherwise(0.0)).alias("__mine_score"), F.sum("__w").alias("__mine_all")
+    )
+    score = F.col("upto_w") - F.col("tied_w") / 2 - F.coalesce("__mine_score", F.lit(0.0))
+    found = asked.distinct().join(along.drop("__w"), [*whole, "__v"]).join(mine, [*whole, "__peer", "__v"], "left")
+    found = found.select(*on, F.col("__at").alias(season), F.col("__age").alias(age), F.col("__peer").alias(entity), "__v", (100 * score / (F.col("all_w") - F.coalesce("__mine_all", F.lit(0.0)))).alias("percentile"))
+    return t.join(found, [*on, season, age, entity, "__v"], "left").select(*keys, "window", "percentile")

@@ -55,6 +55,23 @@ def overlay(base: DataFrame, over: DataFrame, on: list[str], columns: list[str],
     return b.join(o, on, "full").select(*on, *[F.coalesce(f"__o_{c}", f"__b_{c}").alias(c) for c in columns], kind.alias(origin))
 
 
+def overlay_chain(base: DataFrame, overs: list[tuple[str, DataFrame]], on: list[str], columns: list[str]) -> DataFrame:
+    """``base`` under named overlays, later ones over earlier; ``origin`` names the last source
+    that gave the row anything."""
+    out = base.select(*on, *columns, F.lit("base").alias("origin"))
+    for name, over in overs:
+        laid = overlay(out, over, on, columns, "__kind").join(out.select(*on, "origin"), on, "left")
+        out = laid.select(*on, *columns, F.when(F.col("__kind") == "base", F.col("origin")).otherwise(F.lit(name)).alias("origin"))
+    return out
+
+
+def removed_by_merge(first: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:
+    """One row: the rows of ``second`` that a merge adds, and those it leaves out."""
+    there = first.select(*on).distinct().withColumn("__there", F.lit(True))
+    met = second.join(there, on, "left")
+    return met.agg(F.count_if(F.col("__there").isNull()).alias("added"), F.count_if("__there").alias("removed"))
+
+
 def merge_missing(first: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:
     """All of ``first`` and the rows of ``second`` whose key it lacks."""
     return first.unionByName(second.join(first.select(*on), on, "left_anti"))
@@ -109,6 +126,7 @@ def resolve_identities(current: DataFrame, historical: DataFrame, source: str, t
     named = both.withColumn("candidate", F.coalesce("current_target", "historical_target"))
     named = named.join(claims.withColumnRenamed(target, "candidate"), "candidate", "left")
     status = (
+        # fixed values: the names of the seven statuses
         F.when(F.col("current_targets") > 1, "current_tuple_conflict")
         .when(F.col("historical_targets") > 1, "historical_tuple_conflict")
         .when(F.col("current_target") != F.col("historical_target"), "current_history_conflict")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,23 +81,51 @@ def sufficient_cells(rows: DataFrame, keys: list[str], entity: str, y: str, leas
     return t.withColumn("sufficient", (F.col("n") >= least_rows) & (F.col("event_entities") >= least_entities) & (F.col("other_entities") >= least_entities))
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, statistics: dict[str, tuple[Column, Column]], replicates: int = 200, seed: int = 29) -> DataFrame:
+def _poisson(limit: int = 20) -> np.ndarray:
+    k = np.arange(1, limit)
+    return np.cumsum(np.exp(-1.0) / np.concatenate([[1.0], np.cumprod(k)]))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def cluster_bootstrap(rows: DataFrame, cluster: str, statistics: dict[str, tuple[Column, Column]], replicates: int = 2000, seed: int = 29) -> DataFrame:
     """``replicate`` and each statistic (a ratio of two sums) with every cluster drawn
-    a Poisson(1) number of times, the same for all statistics. Rows are summed to one
-    for each cluster first, so replicates multiply clusters only."""
+    a Poisson(1) number of times (the limit of resampling as many as there are), the same
+    for all statistics. Rows are summed to one for each cluster first; a batch of clusters
+    then gives one row of sums for each replicate, so nothing grows with their product.
+    The draws follow from seed, replicate and cluster alone."""
     sums = []
     for name, (top, bottom) in statistics.items():
-        sums += [F.sum(top).alias(f"{name}_t"), F.sum(bottom).alias(f"{name}_b")]
-    per = rows.groupBy(cluster).agg(*sums)
-    spread = per.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = (F.xxhash64(F.lit(seed), F.col("replicate"), F.col(cluster).cast("string")).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
-    times, p, total = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 9):  # inverse distribution of Poisson(1); beyond 8 lies 1e-6
-        total += p
-        times = times + (u > total).cast("int")
-        p /= k
-    spread = spread.withColumn("times", times)
-    return spread.groupBy("replicate").agg(*[(F.sum(F.col("times") * F.col(f"{n}_t")) / F.nullif(F.sum(F.col("times") * F.col(f"{n}_b")), F.lit(0))).alias(n) for n in statistics])
+        sums += [F.sum(top).cast("double").alias(f"{name}_t"), F.sum(bottom).cast("double").alias(f"{name}_b")]
+    per = rows.groupBy(cluster).agg(*sums).select(F.xxhash64(F.lit(seed), F.col(cluster).cast("string")).alias("h"), *[f"{n}_{s}" for n in statistics for s in "tb"])
+    columns = [c for c in per.columns if c != "h"]
+    cdf, step = _poisson(), 50
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            h, values = f["h"].to_numpy(np.int64).view(np.uint64), f[columns].fillna(0.0).to_numpy()
+            for lo in range(0, replicates, step):
+                r = np.arange(lo, min(lo + step, replicates))
+                u = (_mixed(h[None, :] ^ _mixed(r.astype(np.uint64) + np.uint64(1))[:, None]) >> np.uint64(11)) * 2.0**-53
+                yield pd.DataFrame(np.searchsorted(cdf, u, "right") @ values, columns=columns).assign(replicate=r.astype(np.int32))
+
+    drawn = per.mapInPandas(draw, ", ".join(f"`{c}` double" for c in columns) + ", replicate int")
+    return drawn.groupBy("replicate").agg(*[(F.sum(f"{n}_t") / F.nullif(F.sum(f"{n}_b"), F.lit(0.0))).alias(n) for n in statistics])
+
+
+def bootstrap_intervals(replicates: DataFrame, names: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """One row: the interval of each statistic over the replicates that have it."""
+    return replicates.agg(*[F.percentile(n, F.lit(q)).alias(f"{n}_{w}") for n in names for w, q in (("low", low), ("high", high))])
+
+
+def macro_comparison(cells: DataFrame, keys: list[str], improvement: str) -> DataFrame:
+    """The mean improvement over the cells of each group, every cell weighing the same, and
+    the cells that are better."""
+    return cells.groupBy(*keys).agg(F.count(improvement).alias("cells"), F.avg(improvement).alias("macro"), F.count_if(F.col(improvement) > 0).alias("better"))
 
 
 def promotion_gates(cells: DataFrame, gates: dict[str, Column], share: float = 0.75) -> DataFrame:

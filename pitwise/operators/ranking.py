@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitwise.sources.scratch import cut
+
 
 def ordering(*keys: tuple[str, str]) -> list[Column]:
     """Sort keys ``(column, asc or desc)``, nulls last either way."""
@@ -16,12 +18,11 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "rank", within: lis
     are ranged and numbered by partition, so no task sees them all."""
     if within:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
-    keyed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    part = keyed.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id()).persist()
-    low = F.col("__place").bitwiseAND((1 << 33) - 1)  # the place inside the partition
-    sizes = part.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return part.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + low + 1).drop("__part", "__place", "__before")
+    ranged = cut(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranked")  # written, so that a part stays what it was
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row a part
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:

@@ -335,20 +335,10 @@ def exclusion_counts(spark, sf):
     return checks.exclusion_counts(table(spark, sf, "customer"), {"rich": F.col("c_acctbal") > 0, "nation": F.col("c_nationkey") < 20})
 
 
-@query("""WITH m AS (SELECT o_orderkey AS k, count(*) AS c, CAST(sum(l_quantity) AS BIGINT) AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 9 = 0 GROUP BY 1), d AS (SELECT k, CASE WHEN k % 2 = 0 THEN c + 1 ELSE c END AS c, CASE WHEN k % 5 = 0 THEN b + 1 ELSE b END AS b FROM m),
-l AS (SELECT l_orderkey AS k, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS b, min(l_linenumber - 1) AS lo, max(l_linenumber - 1) AS hi, count(DISTINCT l_linenumber) AS dn FROM lineitem GROUP BY 1),
-e AS (SELECT d.k, concat_ws(',', CASE WHEN NOT coalesce(n = d.c, false) THEN 'count' END, CASE WHEN NOT coalesce(l.b = d.b, false) THEN 'bytes' END, CASE WHEN NOT coalesce(lo = 0 AND hi = n - 1 AND dn = n, false) THEN 'ordinals' END) AS errors FROM d LEFT JOIN l ON l.k = d.k) SELECT k, errors FROM e WHERE errors <> ''""")
-def manifest_errors(spark, sf):
-    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("long").alias("bytes"), (F.col("l_linenumber") - 1).alias("ordinal"))
-    m = l.filter("k % 9 = 0").groupBy("k").agg(F.count("*").alias("c"), F.sum("bytes").alias("b"))
-    m = m.select("k", F.expr("case when k % 2 = 0 then c + 1 else c end").alias("member_count"), F.expr("case when k % 5 = 0 then b + 1 else b end").alias("total_bytes"))
-    return checks.manifest_errors(m, l, "k")
-
-
 @query("""WITH m AS (SELECT o_orderkey AS k, count(*) AS c, CAST(sum(l_quantity) AS BIGINT) AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), d AS (SELECT k, CASE WHEN k % 2 = 0 THEN c + 1 ELSE c END AS c, CASE WHEN k % 5 = 0 THEN b + 1 ELSE b END AS b FROM m),
 l AS (SELECT l_orderkey AS k, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS b, min(l_linenumber - 1) AS lo, max(l_linenumber - 1) AS hi, count(DISTINCT l_linenumber) AS dn FROM lineitem GROUP BY 1),
 e AS (SELECT d.k, concat_ws(',', CASE WHEN NOT coalesce(n = d.c, false) THEN 'count' END, CASE WHEN NOT coalesce(l.b = d.b, false) THEN 'bytes' END, CASE WHEN NOT coalesce(lo = 0 AND hi = n - 1 AND dn = n, false) THEN 'ordinals' END) AS errors FROM d LEFT JOIN l ON l.k = d.k) SELECT k, errors FROM e WHERE errors <> ''""")
-def manifest_errors_all(spark, sf):
+def manifest_errors(spark, sf):
     l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("long").alias("bytes"), (F.col("l_linenumber") - 1).alias("ordinal"))
     m = l.groupBy("k").agg(F.count("*").alias("c"), F.sum("bytes").alias("b"))
     m = m.select("k", F.expr("case when k % 2 = 0 then c + 1 else c end").alias("member_count"), F.expr("case when k % 5 = 0 then b + 1 else b end").alias("total_bytes"))
@@ -437,7 +427,7 @@ def promotion_gates(spark, sf):
 def cluster_bootstrap(spark, sf):
     s = _scored(spark, sf)
     err = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
-    return metrics.cluster_bootstrap(s, "doc_id", {"brier": (err, F.lit(1.0)), "rate": (F.col("y").cast("double"), F.lit(1.0))}, replicates=50)
+    return metrics.cluster_bootstrap(s, "doc_id", {"brier": (err, F.lit(1.0)), "rate": (F.col("y").cast("double"), F.lit(1.0))})
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")

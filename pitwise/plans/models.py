@@ -25,7 +25,7 @@ def classifier(kind: str, numbers: list[str], categories: list[str], label: str,
     if kind == "logistic":
         model = LogisticRegression(featuresCol="__features", labelCol=label, regParam=1 / 0.25 / 1000, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__c")
     elif kind == "trees":
-        model = GBTClassifier(featuresCol="__features", labelCol=label, maxIter=30, stepSize=0.1, maxDepth=4, seed=29, predictionCol="__c")
+        model = GBTClassifier(featuresCol="__features", labelCol=label, maxIter=150, stepSize=0.04, maxDepth=4, minInstancesPerNode=100, seed=29, predictionCol="__c")
         model.setProbabilityCol("__p").setRawPredictionCol("__r")
     else:
         raise ValueError(f"no model {kind}")
@@ -38,43 +38,64 @@ def predict(model: PipelineModel, rows: DataFrame, name: str = "probability") ->
     return model.transform(rows).select(*rows.columns, vector_to_array("__p")[1].alias(name))
 
 
-def _fit(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope on the logit by Newton's steps, pulled to (0, 1)."""
-    x = np.log(np.clip(p, CLIP, 1 - CLIP) / (1 - np.clip(p, CLIP, 1 - CLIP)))
-    a = np.array([0.0, 1.0])
-    d = np.stack([np.ones_like(x), x], 1)
+def _newton(d: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray, towards: np.ndarray) -> np.ndarray:
+    """The minimum of the weighted log loss and the ridge, which is convex: steps are halved
+    until they lower it. It is an error if that does not settle."""
+
+    def loss(a: np.ndarray) -> float:
+        x = d @ a
+        return float(np.sum(w * (np.logaddexp(0.0, x) - y * x)) + 0.5 * RIDGE * np.sum((a - towards) ** 2))
+
+    a = start.astype(float)
+    for _ in range(200):
+        q = 1 / (1 + np.exp(-np.clip(d @ a, -700, 700)))
+        gradient = d.T @ (w * (q - y)) + RIDGE * (a - towards)
+        if np.abs(gradient).max() < 1e-9:
+            return a
+        step = np.linalg.solve(d.T @ (d * (w * q * (1 - q))[:, None]) + RIDGE * np.eye(len(a)), gradient)
+        now, size = loss(a), 1.0
+        while size > 1e-12 and loss(a - size * step) > now + 1e-15:
+            size /= 2
+        a = a - size * step
+    raise ValueError("the calibration does not converge")
+
+
+def _fit(p: np.ndarray, y: np.ndarray, w: np.ndarray, cold: np.ndarray) -> tuple[float, float, float]:
+    """Intercept, slope and cold-start shift on the logit, pulled to (0, 1, 0). The slope is
+    not negative: where the free optimum is, it is 0 and the others are fitted anew."""
+    q = np.clip(p, CLIP, 1 - CLIP)
+    d = np.stack([np.ones_like(q), np.log(q) - np.log1p(-q), cold], 1)
     w = w / w.sum()
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-(d @ a)))
-        gradient = d.T @ (w * (q - y)) + RIDGE * (a - [0, 1])
-        hessian = d.T @ (d * (w * q * (1 - q))[:, None]) + RIDGE * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        a = a - step
-        if np.abs(step).max() < 1e-10:
-            break
-    return float(a[0]), float(max(a[1], 0.0))
-
-
-def calibrations(rows: DataFrame, by: str, p: str, y: str, weight: str | None = None, resolution: int = 2000) -> DataFrame:
-    """``by, intercept, slope`` of each group. Rows are first summed to ``resolution``
-    bins of the logit, so that what is fitted in one task does not grow with the data."""
+    a = _newton(d, y, w, np.array([0.0, 1.0, 0.0]), np.array([0.0, 1.0, 0.0]))
+    if a[1] < 0:
+        other = _newton(d[:, [0, 2]], y, w, np.zeros(2), np.zeros(2))
+        a = np.array([other[0], 0.0, other[1]])
+    return float(a[0]), float(a[1]), float(a[2])
+
+
+def calibrations(rows: DataFrame, by: str, p: str, y: str, weight: str | None = None, cold: str | None = None, resolution: int = 2000) -> DataFrame:
+    """``by, intercept, slope, shift`` of each group; ``cold`` names rows (1) to which the shift
+    applies. Rows are first summed to ``resolution`` bins of the logit, so that what is
+    fitted in one task does not grow with the data."""
     w = F.col(weight) if weight else F.lit(1.0)
+    c = F.coalesce(F.col(cold).cast("double"), F.lit(0.0)) if cold else F.lit(0.0)
     q = F.least(F.greatest(F.col(p), F.lit(CLIP)), F.lit(1 - CLIP))
     bin_ = F.round(F.log(q / (1 - q)) * (resolution / 28.0))
-    binned = rows.groupBy(by, bin_.alias("bin")).agg(F.sum(w).alias("w"), (F.sum(w * q) / F.sum(w)).alias("p"), (F.sum(w * F.col(y)) / F.sum(w)).alias("y"))
-    schema = T.StructType([rows.schema[by], T.StructField("intercept", T.DoubleType()), T.StructField("slope", T.DoubleType())])
+    binned = rows.groupBy(by, bin_.alias("bin"), c.alias("cold")).agg(F.sum(w).alias("w"), (F.sum(w * q) / F.sum(w)).alias("p"), (F.sum(w * F.col(y)) / F.sum(w)).alias("y"))
+    schema = T.StructType([rows.schema[by], *[T.StructField(n, T.DoubleType()) for n in ("intercept", "slope", "shift")]])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _fit(pdf.p.to_numpy(), pdf.y.to_numpy(), pdf.w.to_numpy())
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "intercept": [a], "slope": [b]})
+        a, b, c = _fit(*(pdf[n].to_numpy() for n in ("p", "y", "w", "cold")))
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "intercept": [a], "slope": [b], "shift": [c]})
 
     return binned.groupBy(by).applyInPandas(fit, schema)
 
 
-def calibrated(rows: DataFrame, table: DataFrame, by: str, p: str, name: str) -> DataFrame:
+def calibrated(rows: DataFrame, table: DataFrame, by: str, p: str, name: str, cold: str | None = None) -> DataFrame:
     q = F.least(F.greatest(F.col(p), F.lit(CLIP)), F.lit(1 - CLIP))
-    x = F.col("intercept") + F.col("slope") * F.log(q / (1 - q))
-    return rows.join(F.broadcast(table), by, "left").withColumn(name, 1 / (1 + F.exp(-x))).drop("intercept", "slope")  # a row for each group
+    shift = F.col("shift") * F.coalesce(F.col(cold).cast("double"), F.lit(0.0)) if cold else F.lit(0.0)
+    x = F.col("intercept") + F.col("slope") * F.log(q / (1 - q)) + shift
+    return rows.join(table, by, "left").withColumn(name, 1 / (1 + F.exp(-x))).drop("intercept", "slope", "shift")
 
 
 def mixture_quantiles(rows: DataFrame, zero: str, points: str, levels: tuple[float, ...], name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -54,32 +55,59 @@ def slice_matrix(spark: SparkSession, **axes: list) -> DataFrame:
 
 
 class _Tables(HTMLParser):
+    """``tables``: id and rows of every table in order of opening. A table in a cell is a
+    table of its own, and the cell and row around it go on behind it."""
+
     def __init__(self):
         super().__init__()
-        self.tables, self.row, self.cell, self.depth = [], None, None, 0
+        self.tables, self.open = [], []  # of the open tables: row and cell
+
+    def _close_cell(self):
+        row, cell, _ = self.open[-1]
+        if cell is not None and row is not None:
+            name, key, text = cell
+            row.append((name, key if key is not None else text.strip()))
+        self.open[-1][1] = None
+
+    def _close_row(self):
+        self._close_cell()
+        row = self.open[-1][0]
+        if row:
+            self.open[-1][2].append(row)
+        self.open[-1][0] = None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag == "table":
             self.tables.append((a.get("id") or "", []))
-        elif tag == "tr" and self.tables:
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            self.cell = [a.get("data-stat") or "", a.get("csk"), ""]
+            self.open.append([None, None, self.tables[-1][1]])
+        elif tag == "tr" and self.open:
+            self._close_row()
+            self.open[-1][0] = []
+        elif tag in ("td", "th") and self.open and self.open[-1][0] is not None:
+            self._close_cell()
+            self.open[-1][1] = [a.get("data-stat") or "", a.get("csk"), ""]
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell[2] += data
+        if self.open and self.open[-1][1] is not None:
+            self.open[-1][1][2] += data
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None:
-            name, key, text = self.cell
-            self.row.append((name, key if key is not None else text.strip()))
-            self.cell = None
-        elif tag == "tr" and self.row is not None:
-            if self.tables and self.row:
-                self.tables[-1][1].append(self.row)
-            self.row = None
+        if not self.open:
+            return
+        if tag in ("td", "th"):
+            self._close_cell()
+        elif tag == "tr":
+            self._close_row()
+        elif tag == "table":
+            self._close_row()
+            self.open.pop()
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._close_row()
+            self.open.pop()
 
 
 _COMMENT = re.compile(r"<!--(.*?)-->", re.S)
@@ -100,6 +128,7 @@ def html_tables(rows: DataFrame, key: str, page: str) -> DataFrame:
                         continue
                     p = _Tables()
                     p.feed(part)
+                    p.close()
                     out += [(k, t, i, j, n, v) for t, trs in p.tables for i, tr in enumerate(trs) for j, (n, v) in enumerate(tr)]
             yield pd.DataFrame(out, columns=[key, "table_id", "row", "cell", "name", "value"])
 
@@ -118,40 +147,53 @@ def embedded_json(page: Column, element_id: str = "__NEXT_DATA__") -> Column:
     return F.when(found != "", found)
 
 
-def bracketed_after(text: str | None, marker: str) -> str | None:
-    """The array or object literal that follows a marker which occurs once: brackets
-    are counted outside of strings, escapes heeded. Null if it is not closed."""
+def array_after(text: str | None, marker: str) -> tuple[str | None, str | None]:
+    """The JSON array that is assigned behind a marker, and else the reason why there is
+    none: the marker must occur once, the array follow at once, be closed outside of its
+    strings, end with a semicolon and be valid."""
     if text is None or text.count(marker) != 1:
-        return None
-    start = next((i for i in range(text.index(marker) + len(marker), len(text)) if text[i] in "[{"), None)
-    if start is None:
-        return None
-    depth, quote, i = 0, None, start
-    while i < len(text):
-        c = text[i]
-        if quote:
-            if c == "\\":
-                i += 1
-            elif c == quote:
-                quote = None
-        elif c in "\"'`":
-            quote = c
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-            if depth == 0:
-                return text[start : i + 1]
-        i += 1
-    return None
-
-
-def _bracketed(texts: pd.Series, markers: pd.Series) -> pd.Series:
-    return pd.Series([bracketed_after(t, m) for t, m in zip(texts, markers)], dtype=object)
-
-
-def embedded_array(page: Column, marker: str) -> Column:
-    return F.pandas_udf(_bracketed, "string")(page, F.lit(marker))
+        return None, "marker"
+    start = text.index(marker) + len(marker)
+    start += len(text[start:]) - len(text[start:].lstrip())
+    if text[start : start + 1] != "[":
+        return None, "no_array"
+    depth = 0
+    for m in _TOKEN.finditer(text, start):
+        if m[0] == '"':
+            return None, "unterminated"
+        depth += {"[": 1, "]": -1}.get(m[0], 0)
+        if depth == 0:
+            found = text[start : m.end()]
+            break
+    else:
+        return None, "unterminated"
+    if not text[m.end() :].lstrip().startswith(";"):
+        return None, "no_terminator"
+    try:
+        json.loads(found)
+    except ValueError:
+        return None, "invalid"
+    return found, None
+
+
+#: A whole string with its escapes, a bracket outside of strings, or a string without end.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]]|"', re.S)
+
+
+def embedded_array(page: Column, marker: str, strict: bool = True) -> Column:
+    """The text of the array behind the marker. Pages that do not have it as they must
+    are an error, or null if not ``strict``; null pages are null."""
+
+    def find(pages: pd.Series) -> pd.Series:
+        found = []
+        for page in pages:
+            value, drift = array_after(page, marker)
+            if drift and strict and page is not None:
+                raise ValueError(f"{marker}: {drift}")
+            found.append(value)
+        return pd.Series(found, dtype=object)
+
+    return F.pandas_udf(find, "string")(page)
 
 
 def records(doc: Column, schema: str) -> Column:
@@ -159,6 +201,15 @@ def records(doc: Column, schema: str) -> Column:
     return F.inline(F.from_json(doc, f"array<struct<{schema}>>"))
 
 
+def envelope(doc: Column, schema: str, identity: dict[str, Column]) -> Column:
+    """A JSON envelope read by its schema, as ``value`` and ``violation``: ``not_json`` if it
+    cannot be read, else the first identity field that is not as it must be."""
+    read = F.from_json(doc, schema)
+    wrong = [F.when(~F.coalesce(read[field] == must, F.lit(False)), f"identity:{field}") for field, must in identity.items()]
+    bad = F.coalesce(F.when(F.try_parse_json(doc).isNull(), "not_json"), *wrong)
+    return F.struct(F.when(bad.isNull(), read).alias("value"), bad.alias("violation"))
+
+
 def plain_text(page: Column) -> Column:
     """The text of HTML: scripts, styles, comments and tags out, the five named
     entities decoded, white space squeezed."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
+
+
 def content_digest(rows: DataFrame) -> str:
     """A digest of the rows in any order: of their number and the sums of the four 64-bit
     parts of the row digests, which are summed where the rows are."""
@@ -57,9 +63,11 @@ def insert_absent(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFr
 
 def merge_evidence(rows: DataFrame, key: str, target: str, season: str, stamp: str, evidence: str) -> DataFrame:
     """One row for each key: the least season, the evidence of the oldest season (the
-    newest of those), and whether targets contradict each other."""
+    newest of those), and whether targets contradict each other, in which case there is
+    no target."""
     best = F.min_by(evidence, F.struct(F.col(season), -F.unix_micros(F.col(stamp).cast("timestamp")), evidence))
-    return rows.groupBy(key).agg(F.min(target).alias(target), F.min(season).alias(season), best.alias(evidence), (F.countDistinct(target) > 1).alias("conflict"))
+    one = F.countDistinct(target) <= 1
+    return rows.groupBy(key).agg(F.when(one, F.min(target)).alias(target), F.min(season).alias(season), best.alias(evidence), (~one).alias("conflict"))
 
 
 def ordered_csv(rows: DataFrame, preferred: list[str], path: str) -> None:
@@ -74,18 +82,34 @@ def ordinals(rows: DataFrame, batch: int, order: list[Column], within: list[str]
     return rows.withColumn("ordinal", n.cast("long")).withColumn("batch", F.floor(F.col("ordinal") / batch))
 
 
+_POINTER = "CURRENT"
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """What is published at ``path`` now."""
+    fs, pointer = _files(spark, f"{path.rstrip('/')}/{_POINTER}")
+    if not fs.exists(pointer):
+        raise FileNotFoundError(f"nothing is published at {path}")
+    version = spark.read.text(str(pointer.toString())).first()[0]
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}")
+
+
 def publish(rows: DataFrame, path: str, audit: Callable[[DataFrame], bool]) -> bool:
-    """Write to a staging path, audit what was written, and only then put it in the
-    place of what is published; what is there stays if the audit fails."""
-    spark = rows.sparkSession
-    staging, old = path.rstrip("/") + ".staging", path.rstrip("/") + ".previous"
-    rows.write.mode("overwrite").parquet(staging)
-    if not audit(spark.read.parquet(staging)):
+    """Write a version of its own, audit what was written, and only then point to it. The
+    pointer is one small file that is replaced at once, so readers find the old version
+    or the new one whatever fails in between; what is there stays if the audit fails."""
+    spark, version = rows.sparkSession, f"version-{uuid.uuid4().hex}"
+    folder = path.rstrip("/")
+    rows.write.parquet(f"{folder}/{version}")
+    if not audit(spark.read.parquet(f"{folder}/{version}")):
         return False
-    fs, p = _files(spark, path)
-    _, s = _files(spark, staging)
-    _, o = _files(spark, old)
-    fs.delete(o, True)
-    if fs.exists(p):
-        fs.rename(p, o)
-    return bool(fs.rename(s, p))
+    fs, new = _files(spark, f"{folder}/.{version}.pointer")
+    out = fs.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    jvm, rename = spark._jvm, spark._jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark._sc._gateway.new_array(rename, 1)
+    overwrite[0] = rename.OVERWRITE
+    where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{_POINTER}")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, where, overwrite)
+    return True

@@ -47,18 +47,29 @@ def test_contracts(spark):
 
 def test_scalars(spark):
     t = spark.createDataFrame([("12.1", "José O'Neil-Smith Jr."), ("7.3", None), (None, "")], "inn string, name string")
-    got = t.select(numbers.innings_to_outs(F.col("inn")).alias("o"), text.search_key(F.col("name")).alias("k"), text.person_name(F.col("name")).alias("n")).collect()
+    got = t.coalesce(1).select(numbers.innings_to_outs(F.col("inn")).alias("o"), text.search_key(F.col("name")).alias("k"), text.person_name(F.col("name")).alias("n")).collect()
     assert [r.o for r in got] == [37, None, None] and got[0].k == "jose oneil smith jr"
     d = spark.createDataFrame([(2024, 2, 29), (2023, 2, 29)], "y int, m int, d int").select(safe.date_or_null(F.col("y"), F.col("m"), F.col("d")).alias("x"))
     assert [r.x is not None for r in d.collect()] == [True, False]
 
 
 def test_embedded_texts(spark):
-    page = 'x = 1; var rows = [{"a": "]}\\"", b: [1, 2]}, 3]; rest <script id="__NEXT_DATA__" type="x">{"p": 1}</script>'
-    assert readers.bracketed_after(page, "var rows =") == '[{"a": "]}\\"", b: [1, 2]}, 3]'
-    assert readers.bracketed_after(page, "no such") is None and readers.bracketed_after("a [ a [", "a") is None
-    got = spark.createDataFrame([(page,)], "p string").select(readers.embedded_json(F.col("p")).alias("j"), readers.embedded_array(F.col("p"), "var rows =").alias("a")).first()
-    assert got.j == '{"p": 1}' and got.a.startswith("[{")
+    page = 'x = 1; var rows =  [{"a": "]}\\"; [", "b": [1, 2]}, 3] ; rest <script id="__NEXT_DATA__" type="x">{"p": 1}</script>'
+    assert readers.array_after(page, "var rows =") == ('[{"a": "]}\\"; [", "b": [1, 2]}, 3]', None)
+    wrong = {"no such": "marker", "a = [1]; a = [2];": "marker", "a = {};": "no_array", "a = [1, [2];": "unterminated", 'a = ["x];': "unterminated", "a = [1]": "no_terminator", "a = ['x'];": "invalid"}
+    assert {t: readers.array_after(t, "a =")[1] for t in wrong} == wrong
+    t = spark.createDataFrame([(page,), (None,)], "p string")
+    got = t.select(readers.embedded_json(F.col("p")).alias("j"), readers.embedded_array(F.col("p"), "var rows =").alias("a")).collect()
+    assert got[0].j == '{"p": 1}' and got[0].a.startswith("[{") and got[1].a is None
+    with pytest.raises(Exception, match="marker"):
+        t.select(readers.embedded_array(F.col("p"), "var other =")).collect()
+    assert t.select(readers.embedded_array(F.col("p"), "var other =", strict=False).alias("a")).filter("a is not null").count() == 0
+
+
+def test_tables_in_cells(spark):
+    page = "<table id=o><tr><td>a</td><td>b<table id=i><tr><td>x</td></tr></table>c</td><td>d</td></tr><tr><td>e</table>"
+    got = readers.html_tables(spark.createDataFrame([(1, page)], "k int, page string"), "k", "page").collect()
+    assert sorted((r.table_id, r.row, r.cell, r.value) for r in got) == [("i", 0, 0, "x"), ("o", 0, 0, "a"), ("o", 0, 1, "bc"), ("o", 0, 2, "d"), ("o", 1, 0, "e")]
 
 
 def test_html_tables_in_comments(spark):
@@ -85,8 +96,15 @@ def test_sinks(spark, tmp_path):
     assert sinks.write_by_content(t, f"{tmp_path}/c") == sinks.write_by_content(t.repartition(3), f"{tmp_path}/c")
     path = f"{tmp_path}/p"
     assert sinks.publish(t, path, lambda x: x.count() == 10) and not sinks.publish(t.limit(3), path, lambda x: x.count() == 10)
-    assert spark.read.parquet(path).count() == 10
-    assert sinks.publish(t.limit(9), path, lambda x: True) and spark.read.parquet(path).count() == 9
+    assert sinks.published(spark, path).count() == 10
+    assert sinks.publish(t.limit(9), path, lambda x: True) and sinks.published(spark, path).count() == 9
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, f"{tmp_path}/none")
+    sinks.ordered_csv(t.withColumn("a", F.lit(1)), ["v", "x"], f"{tmp_path}/o.csv")
+    assert readers.read_any(spark, f"{tmp_path}/o.csv").columns == ["v", "a", "id"]
+    assert readers.blobs(spark, f"{tmp_path}/o.csv/*.csv").filter("length(sha256) = 64 and bytes > 0").count() > 0
+    lines = spark.createDataFrame([('﻿1,"a ""b"", c"\r',), ("2,x",)], "l string").select(readers.quoted_csv(F.col("l"), "n int, t string").alias("r")).select("r.*").collect()
+    assert [(r.n, r.t) for r in lines] == [(1, 'a "b", c'), (2, "x")]
 
 
 def test_landing_is_idempotent_and_gated(spark, tmp_path):
@@ -99,6 +117,30 @@ def test_landing_is_idempotent_and_gated(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(dst).collect()) == [1, 2, 3]
     flows.land(spark, src, schema, f"{tmp_path}/none", f"{tmp_path}/cp3", ["k"], gate=lambda rows: rows.count() > 100).awaitTermination()
     assert not sinks.exists(spark, f"{tmp_path}/none")
+    assert not flows.reclaim(spark, schema, f"{tmp_path}/none", ["k"], lambda rows: False)
+    assert flows.reclaim(spark, schema, f"{tmp_path}/none", ["k"], lambda rows: rows.count() > 0)  # what the gate kept out is not lost
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/none").collect()) == [1, 2, 3]
+
+
+def test_stale_runs_are_reclaimed(spark, tmp_path):
+    at = lambda h: f"2024-01-01 {h:02d}:00:00"
+    schema = "key string, run string, status string, at string"
+    runs = [("a", "1", "running", at(1)), ("b", "2", "failed", at(5)), ("c", "3", "succeeded", at(1)), ("d", "4", "running", at(5))]
+    made = lambda rows: spark.createDataFrame(rows, schema).withColumn("at", F.col("at").cast("timestamp"))
+    got = {r.key: r.claimable for r in flows.claimable_runs(made(runs), "key", "status", "at", F.lit("2024-01-01 05:30:00").cast("timestamp")).collect()}
+    assert got == {"a": True, "b": True, "c": False, "d": False}
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for reports in ([("a", "1", "running", at(1)), ("b", "9", "running", at(1))], [("a", "2", "running", at(1)), ("b", "9", "succeeded", at(1))], [("a", "3", "running", at(4)), ("b", "8", "running", at(2))]):
+            made(reports).coalesce(1).write.mode("append").parquet(f"{tmp_path}/r")
+            stream = flows.run_states(spark.readStream.schema(made(reports).schema).parquet(f"{tmp_path}/r"))
+            stream.writeStream.option("checkpointLocation", f"{tmp_path}/c").outputMode("append").format("parquet").trigger(availableNow=True).start(f"{tmp_path}/s").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    got = sorted((r.key, r.run, r.state) for r in spark.read.parquet(f"{tmp_path}/s").collect())
+    assert got == [("a", "1", "reclaimed"), ("a", "1", "running"), ("a", "2", "refused"), ("a", "3", "running"), ("b", "8", "running"), ("b", "9", "running"), ("b", "9", "succeeded")]
 
 
 def test_streamed_windows_equal_batch(spark, tmp_path):
@@ -125,6 +167,13 @@ def test_calibration_moves_towards_the_outcomes(spark):
     out = models.calibrated(t, models.calibrations(t, "g", "p", "y"), "g", "p", "q")
     b = out.agg(F.avg((F.col("p") - F.col("y")) ** 2), F.avg((F.col("q") - F.col("y")) ** 2)).first()
     assert b[1] < b[0]
+    # a slope that would be negative is 0, and the intercept is then the best one there is
+    y = r.integers(0, 2, 4000)
+    x = np.where(y == 1, 0.2, 0.8)
+    cold = (np.arange(4000) % 2).astype(float)
+    a, s, c = models._fit(x, y.astype(float), np.ones(4000), cold)
+    q = 1 / (1 + np.exp(-(a + c * cold)))
+    assert s == 0 and abs((q - y).mean() + models.RIDGE * a) < 1e-6
 
 
 def test_entry(spark):
