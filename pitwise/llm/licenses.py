@@ -1,21 +1,26 @@
 """License notices in texts: MinHash bands over overlapping windows, exact containment.
 
 Texts and templates are words (runs of letters and digits, lower case) and their
-``K``-word shingles. A template of ``q`` shingles is looked for in windows of ``2q``
-shingles, one every ``q``, so every whole occurrence lies in some window. Its
-signature is its bottom-m MinHash, the ``m = q - ceil(threshold * q) + 1`` smallest
-of its shingle hashes, each a band of one row: a window that holds ``threshold`` of
-the shingles lacks fewer than ``m`` of them, so at least one band of any such window
-collides (probability 1), while a false collision takes a shared shingle. Retrieved
-windows are verified by containment of the shingles themselves, as strings.
+``K``-word shingles. Templates of similar size share a size class ``s`` (``SMALLEST`` times a
+power of four, no smaller than the template) and are looked for in windows of ``2 s``
+shingles, one every ``s``, so every whole occurrence lies in some window.
+
+Every window is signed by one-permutation MinHash: the top bits of a shingle's hash
+name its bin, and the signature is the least hash of each bin that has any. A bin is a
+band of one row. A window and a template that share ``need`` shingles of ``u`` in all fail to
+collide in a band only if none of them is the least of its bin, which has about
+probability ``(u / 2 bins) ** need``; the number of bins of a class is the power of two that
+brings this below ``MISS`` for each of its templates. Retrieved windows are verified by
+containment of the shingles themselves, as strings.
 
 All of it is DataFrame functions. Templates lie in the plan (at most ``MAX_BANDS``
-bands over all of them); documents without a colliding band are dropped where they
-are read, and only the found (document, template) rows are shuffled.
+bands over all of them); windows without a colliding band are dropped where they are
+read, and only the found (document, template) rows are shuffled.
 
 Defined results: null texts and texts of fewer than ``K`` words hold no template;
-the first of equally good windows is reported; repeated rows give one result; no
-rows give none; other columns are not looked at.
+the first of equally good windows is reported; repeated rows give one result; texts of
+any length are read whole, a window at a time; no rows give none; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from .columns import let
 K = 5
 THRESHOLD = 0.8
 MAX_BANDS = 100_000
+SMALLEST = 8  # shingles of the first size class
+MISS = 1e-6
 
 #: Notices as licenses ask for them, or as they begin.
 TEMPLATES = {
@@ -64,37 +71,79 @@ def strings(tokens: Column) -> Column:
     return _shingles(tokens, lambda i: F.concat_ws(" ", F.slice(tokens, i + 1, F.lit(K))))
 
 
-def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``template, shingles, q, need, bands`` of the templates of ``K`` words or more."""
+def size_class(q: int) -> int:
+    s = SMALLEST
+    while s < q:
+        s *= 4
+    return s
+
+
+def bin_bits(q: int, need: int, span: int) -> int:
+    """Bits of the number of bins at which a window of ``span`` shingles that holds ``need`` of
+    a template's ``q`` fails to collide with it less often than ``MISS``."""
+    bits = 6
+    while ((q + span) / (2 << bits)) ** need > MISS:
+        bits += 1
+    return bits
+
+
+def signature(h: Column, bits: int) -> Column:
+    """The least hash of each bin; bins follow each other when hashes are sorted."""
+
+    def firsts(a: Column) -> Column:
+        bin_of = lambda x: F.shiftright(x, 64 - bits)
+        return F.filter(a, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(a, i - 1))))
+
+    return let(F.sort_array(h), firsts)
+
+
+def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> tuple[DataFrame, dict[int, int]]:
+    """``template, shingles, q, need, size, bands`` of the templates of ``K`` words or more,
+    and the bits of each size class."""
     values = F.array(*[F.struct(F.lit(n).alias("template"), F.lit(t).alias("text")) for n, t in templates.items()])
     t = spark.range(1).select(F.inline(values)).withColumn("tokens", words(F.col("text")))
-    t = t.filter(F.size("tokens") >= K).select("template", F.array_distinct(let(F.col("tokens"), strings)).alias("shingles"), F.array_sort(F.array_distinct(let(F.col("tokens"), hashes))).alias("h"))
+    t = t.filter(F.size("tokens") >= K).select("template", F.array_distinct(let(F.col("tokens"), strings)).alias("shingles"), F.array_distinct(let(F.col("tokens"), hashes)).alias("h"))
     need = F.expr(f"int((q * {round(threshold * 10_000)} + 9999) div 10000)")
     t = t.withColumn("q", F.size("shingles")).withColumn("need", need)
-    return t.select("template", "shingles", "q", "need", F.slice("h", F.lit(1), F.col("q") - F.col("need") + 1).alias("bands"))
+    sizes = [tuple(r) for r in t.select("q", "need").distinct().collect()]  # templates lie in the plan, so they are few
+    bits: dict[int, int] = {}
+    for q, n in sizes:
+        s = size_class(q)
+        bits[s] = max(bits.get(s, 0), bin_bits(q, n, 2 * s))
+    classes = sorted(bits)
+    size = F.coalesce(*[F.when(F.col("q") <= s, s) for s in classes], F.lit(None).cast("int"))
+    bands = F.coalesce(*[F.when(F.col("size") == s, signature(F.col("h"), bits[s])) for s in classes], F.array().cast("array<bigint>"))
+    return t.withColumn("size", size).select("template", "shingles", "q", "need", "size", bands.alias("bands")), bits
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, template, n_template, n_shared, containment, first_word``: the best
     window of each document for each template it holds."""
-    spark = docs.sparkSession
-    table = template_table(spark, templates, threshold)
-    bands = [r[0] for r in table.select(F.explode("bands")).distinct().limit(MAX_BANDS + 1).collect()]
+    table, bits = template_table(docs.sparkSession, templates, threshold)
+    bands = table.select("size", F.explode("bands")).distinct().limit(MAX_BANDS + 1).collect()
     if len(bands) > MAX_BANDS:
         raise ValueError(f"more than {MAX_BANDS} bands")
-    def bands_of(tokens):
-        placed = F.transform(hashes(tokens), lambda h, i: F.struct(i.alias("place"), h.alias("band")))
-        return F.struct(tokens.alias("tokens"), F.filter(placed, lambda s: s["band"].isin(bands)).alias("hits"))
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), let(words(F.col(text_col)), bands_of).alias("met"))
-    hits = rows.select("doc_id", "text_hash", F.col("met.tokens").alias("tokens"), F.explode("met.hits").alias("hit"))
-    by_band = table.withColumn("band", F.explode("bands")).select("band", "template", "shingles", "q", "need")
-    met = hits.select("*", F.col("hit.band").alias("band"), F.col("hit.place").alias("place")).join(F.broadcast(by_band), "band")  # MAX_BANDS rows at most
-    last = F.expr("int(place div q)")
-    windows = met.withColumn("window", F.explode(F.array_distinct(F.array(F.greatest(last - 1, F.lit(0)), last))))
-    start = F.col("window") * F.col("q")
-    inside = F.slice("tokens", start + 1, F.col("q") * 2 + K - 1)
+
+    def windows_of(size: int, h: Column) -> Column:
+        """The windows of a size class with the bands that a template of it has, if any."""
+        own = [band for s, band in bands if s == size]
+        starts = F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(size))
+        signed = F.transform(starts, lambda at: F.struct(F.lit(size).alias("size"), at.alias("start"), F.filter(signature(F.slice(h, at + 1, F.lit(2 * size)), bits[size]), lambda x: x.isin(own)).alias("hits")))
+        return F.filter(signed, lambda w: F.size(w["hits"]) > 0)
+
+    def met_by(tokens: Column) -> Column:
+        def of(h: Column) -> Column:
+            return F.concat(*[windows_of(size, h) for size in sorted(bits)])
+
+        return F.struct(tokens.alias("tokens"), let(hashes(tokens), of).alias("windows"))
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), let(words(F.col(text_col)), met_by).alias("met"))
+    windows = rows.select("doc_id", "text_hash", F.col("met.tokens").alias("tokens"), F.explode("met.windows").alias("w"))
+    hits = windows.select("doc_id", "text_hash", "tokens", F.col("w.size").alias("size"), F.col("w.start").alias("start"), F.explode("w.hits").alias("band"))
+    by_band = table.withColumn("band", F.explode("bands")).select("size", "band", "template", "shingles", "q", "need")
+    met = hits.join(F.broadcast(by_band), ["size", "band"])  # MAX_BANDS rows at most
+    inside = F.slice("tokens", F.col("start") + 1, F.col("size") * 2 + K - 1)
     shared = F.size(F.array_intersect(let(inside, strings), F.col("shingles")))
-    found = windows.select("doc_id", "text_hash", "template", "q", "need", start.alias("first_word"), shared.alias("n_shared")).filter("n_shared >= need")
+    found = met.select("doc_id", "text_hash", "template", "q", "need", F.col("start").alias("first_word"), shared.alias("n_shared")).filter("n_shared >= need")
     best = found.groupBy("doc_id", "text_hash", "template", "q").agg(F.max("n_shared").alias("n_shared"), F.max_by("first_word", F.struct("n_shared", -F.col("first_word"))).alias("first_word"))
     return best.select("doc_id", "template", F.col("q").alias("n_template"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"), "first_word")
