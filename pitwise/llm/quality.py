@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import cut
@@ -171,8 +171,8 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     counts = docs.select(_language(lang_col).alias("lang"), F.col(text_col)).mapInArrow(_tally, "lang string, kind int, key long, n long")
     counts = counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    able = totals.filter((F.col("kind") == 1) & (F.col("total") >= min_reference_words)).select("lang")
-    common = counts.join(totals.join(able, "lang", "left_semi"), ["lang", "kind"])
+    words = F.max(F.when(F.col("kind") == 1, F.col("total"))).over(Window.partitionBy("lang"))  # two rows a language
+    common = counts.join(totals.withColumn("words", words).filter(F.col("words") >= min_reference_words).drop("words"), ["lang", "kind"])
     return common.filter((F.col("kind") == 0) | (F.col("n") >= common_share * F.col("total"))).select("lang", "kind", "key", "n", "total")
 
 
