@@ -238,19 +238,33 @@ def test_arc_headers_of_both_versions(version):
 def test_licenses_match_brute_force(spark):
     import re
 
-    notice = licenses.TEMPLATES
+    notice, rand = licenses.TEMPLATES, random.Random(11)
     texts = [notice["mit"], "x " * 40 + notice["gpl-3.0"].upper() + ", y " * 30, notice["apache-2.0-grant"].replace("obtain", "get"), "nothing here at all", None, "", "Licensed under the Apache License, Version 1.0", notice["mit"] + "\n" + notice["cc-by-nc-4.0"]]
-    got = {(r.doc_id, r.template) for r in licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for text in notice.values():  # at all places, with a word in ten changed, and in a long text
+        for n in (0, 7, 8, 9, 31, 32, 33, 60):
+            changed = [w if rand.random() > 0.05 else "odd" for w in text.split()]
+            texts.append(" ".join(f"p{i}" for i in range(n)) + " " + " ".join(changed) + " tail" * rand.randrange(40))
+    texts += ["long " * 30_000 + notice["mit-grant"] + " words" * 30_000, notice["mit"] + " z" * 50 + notice["mit"]]
+    rows = list(enumerate(texts)) + [(0, notice["mit"])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"template": F.lit("x"), "size": F.lit(1), "q": F.lit(2)})
+    found = licenses.find_licenses(table).collect()
+    got = {(r.doc_id, r.template): (r.n_shared, r.first_word) for r in found}
+    assert len(found) == len(got)  # repeated rows once
     split = lambda t: [w for w in re.split("[\x00-/:-`{-\x7f]+", (t or "").lower()) if w]
-    shingle = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    want = set()
+    shingle = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    wanted = {name: set(shingle(split(text))) for name, text in notice.items()}
+    want, anywhere = {}, set()
     for d, t in enumerate(texts):
-        w = split(t)
-        for name, text in notice.items():
-            q = shingle(split(text))
-            if any(10 * len(q & shingle(w[a : a + 2 * len(q) + 4])) >= 8 * len(q) for a in range(0, max(1, len(w)), len(q))):
-                want.add((d, name))
-    assert got == want and len(want) == 4
+        w = shingle(split(t))
+        for name, q in wanted.items():
+            s = licenses.size_class(len(q))
+            best = [(len(q & set(w[a : a + 2 * s])), -a) for a in range(0, len(w), s)]
+            if best and 10 * max(best)[0] >= 8 * len(q):
+                want[d, name] = (max(best)[0], -max(best)[1])  # the first of equally good windows
+            hits = [x in q for x in w]
+            if any(sum(hits[a : a + len(q)]) * 10 >= 8 * len(q) and 10 * len(q & set(w[a : a + len(q)])) >= 8 * len(q) for a in range(len(w)) if hits[a]):
+                anywhere.add((d, name))
+    assert got == want and anywhere <= set(got) and len(want) >= 50
 
 
 def test_url_rules_and_model(spark):
