@@ -40,7 +40,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-def op4_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_links(table(spark, sf_dir, "documents"))
 
 
@@ -124,7 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_arc_to_warc": op3_arc_to_warc,
         "op4_ngram_jaccard": op4_ngram_jaccard,
-        "op4_ngram_jaccard_links": op4_ngram_jaccard_links,
+        "ngram_jaccard_links": ngram_jaccard_links,
         "op5_license_scan": op5_license_scan,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,

@@ -155,6 +155,14 @@ def _tiles(classes: DataFrame, tile_shingles: int) -> DataFrame:
     return packed.unionByName(spread)
 
 
+def merged_counts(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of ascending lists, one after another, and how many lists hold each. The
+    stable sort finds the ascending runs and merges them, as a heap over the lists would."""
+    merged = np.sort(lists, kind="stable")
+    first = np.flatnonzero(np.diff(merged, prepend=-1))
+    return merged[first], np.diff(first, append=len(merged))
+
+
 def t_occurrence_links(
     sig: np.ndarray, side: np.ndarray, n: np.ndarray, values: np.ndarray, percent: int = PERCENT, docs: np.ndarray | None = None
 ) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -199,7 +207,7 @@ def t_occurrence_links(
         short, long_lists = own[: len(own) - long], own[len(own) - long :]
         last = np.searchsorted(sizes, int(n[d]) * 100 // percent, "right")
         merged = np.concatenate([postings[starts[i] : starts[i + 1]] for i in short])
-        found, shared = np.unique(merged[(merged > x) & (merged < last)], return_counts=True)
+        found, shared = merged_counts(merged[(merged > x) & (merged < last)])
         able = (shared >= t - long) & ((sides[found] != sides[x]) | (sides[found] == 2))
         found, shared = found[able], shared[able]
         if len(found) and held is None:
