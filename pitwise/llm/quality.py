@@ -169,7 +169,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     and common words (kind 1, by hash), with the language's sum over all words. ``lang`` is
     ``n`` for null and the name after an ``s`` for others."""
     counts = docs.select(_language(lang_col).alias("lang"), F.col(text_col)).mapInArrow(_tally, "lang string, kind int, key long, n long")
-    counts = counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).filter("lang is not null and kind is not null")  # none is; so both uses below are one exchange
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     words = F.max(F.when(F.col("kind") == 1, F.col("total"))).over(Window.partitionBy("lang"))  # two rows a language
     common = counts.join(totals.withColumn("words", words).filter(F.col("words") >= min_reference_words).drop("words"), ["lang", "kind"])
