@@ -11,6 +11,13 @@ return the columns of ``documents``.
 4. ``mix``: what remains is mixed to target weights; a document comes back with the
    words taken of it, once for each round through its source that takes any.
 5. ``shard``: ``doc_id, size, text_crc32, shard, slot`` of 40 shards of equal bytes.
+
+Defined results: null and empty texts have no words and fail the base counts, so they
+go in the first stage; a null id, language or source is one of its own; texts of any
+length are read whole; rows equal in id and text are near duplicates of each other, of
+which one stays, as of any tie the least id; benchmark rows without words match nothing;
+an empty table gives an empty table; further columns go through all stages but the last
+unchanged, whatever their names, but for ``n_chars``, which follows the mixed text.
 """
 
 from __future__ import annotations
