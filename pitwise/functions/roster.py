@@ -100,7 +100,7 @@ def handling_codes(stage: Column, kind: Column, withheld: Column, has_forecast:
     """The notes that a record needs, in order, joined by commas; none for a standard one."""
     two_way = kind == "Two-way"
     late = ~stage.isin("pre_debut", "post_debut_minors", "inactive")
-    codes = [
+    codes = [  # fixed values: the codes and their order
         ("two_way_model_scope", two_way), ("post_debut_minor_assignment", stage == "post_debut_minors"), ("rookie_prior_unmatched", (stage == "recent_callup") & prior_missing), ("identity_link_missing", id_missing),
         ("forecast_withheld_other", withheld & ~warned & ~two_way), ("forecast_not_available", ~has_forecast & late),
     ]

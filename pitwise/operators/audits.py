@@ -114,6 +114,7 @@ def admission(cells: DataFrame, integrity: dict[str, Column] | None = None, limi
     worst = cells.agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in limits], *[ok.alias(f"__{n}") for n, ok in (integrity or {}).items()])
     sound = F.array_compact(F.array(*[F.when(~F.coalesce(f"__{n}", F.lit(False)), n) for n in integrity or {}], F.lit(None).cast("string")))
     shift = F.array_compact(F.array(*[F.when(F.col(c) > at, c) for c, at in limits.items()]))
+    # fixed values: the three verdicts
     status = F.when(F.size(sound) > 0, "integrity_fail_quarantine").when(F.size(shift) > 0, "admission_pass_distribution_shift_promotion_blocked").otherwise("admission_pass")
     return worst.select(*limits, F.array_join(F.concat(sound, shift), ",").alias("failed"), status.alias("status"), (F.size(sound) == 0).alias("score_allowed"), (F.size(F.concat(sound, shift)) == 0).alias("promotion_eligible"))
 

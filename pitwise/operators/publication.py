@@ -97,7 +97,7 @@ def rank_universe(rows: DataFrame, cohort: str, rank: str) -> DataFrame:
     return rows.withColumn("universe", size).withColumn("percentile", place)
 
 
-#: The named orders of a board: columns and ways, before the id that ends every order.
+#: The names of the board's orders. Columns and ways, before the id that ends every order.
 BOARD_ORDERS = {
     "prospectScore": (("prospect_rank", "asc"), ("career_index", "desc")),
     "careerIndex": (("career_index", "desc"), ("outcome_rank", "asc")),
@@ -114,7 +114,7 @@ BOARD_ORDERS = {
     "age": (("age", "asc"),),
     "name": (("name", "asc"),),
 }
-#: Newest year first, what can be acted on, the surest, then by name.
+#: Newest year first, what can be acted on, the surest, then by name.
 MARKET_ORDER = (("release_year", "desc"), ("actionable", "desc"), ("confidence", "desc"), ("release", "asc"))
 
 
