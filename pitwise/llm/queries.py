@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .arc import pages_through_archives
 from .decontaminate import find_leaks
+from .importance import resample
 from .licenses import find_licenses
 from .mixing import words_taken
 from .quality import quality_rules
@@ -77,6 +78,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 OP3 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
@@ -137,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_embedding_whitening": op11_embedding_whitening,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
