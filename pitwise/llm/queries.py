@@ -11,6 +11,7 @@ from .arc import pages_through_archives
 from .decontaminate import find_leaks
 from .importance import resample
 from .licenses import find_licenses
+from .line_crf import fit, score_documents
 from .mixing import words_taken
 from .quality import quality_rules
 from .rans import encode_and_read
@@ -78,6 +79,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
@@ -142,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_line_crf_quality": op12_line_crf_quality,
         "op13_importance_resampling": op13_importance_resampling,
     }
 
