@@ -5,26 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Positions of the compact digits, and names that stand for themselves.
-DIGIT_POSITIONS = (("2", "C"), ("3", "1B"), ("4", "2B"), ("5", "3B"), ("6", "SS"), ("7", "LF"), ("8", "CF"), ("9", "RF"))
-POSITIONS = ("C", "1B", "2B", "3B", "SS", "LF", "CF", "RF", "OF", "DH", "P", "RP")
+#: What digits, marks and words of a position code stand for, the positions
+#: that stand for themselves, and the letters that a code of digits and marks has none of.
+DIGIT_POSITIONS = {"2": "C", "3": "1B", "4": "2B", "5": "3B", "6": "SS", "7": "LF", "8": "CF", "9": "RF"}
+OTHER_MARKS = {"1": "P", "D": "DH", "H": "DH"}
+WORD_POSITIONS = {
+    "CATCHER": "C", "FIRST": "1B", "SECOND": "2B", "THIRD": "3B", "SHORTSTOP": "SS", "LEFTFIELD": "LF", "CENTERFIELD": "CF", "RIGHTFIELD": "RF",
+    "DESIGNATEDHITTER": "DH", "PITCHER": "P", "STARTER": "P", "STARTINGPITCHER": "P", "RELIEVER": "RP", "RELIEFPITCHER": "RP",
+}
+HITTER_POSITIONS = ("C", "1B", "2B", "3B", "SS", "LF", "CF", "RF")
+POSITIONS = (*HITTER_POSITIONS, "DH", "P", "RP")
+WORD_LETTERS = "[ABCEFGI-QS-Z]"
 PITCHERS = ("P", "LHP", "RHP", "SP", "RP")
 #: Gates of trait evidence.
 STRONG, COVERED_PILLARS, STRONG_PILLARS = 80.0, 3, 2
 
 
+def _looked_up(values: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
+
+
 def position_code(text: Column) -> Column:
-    """The position that a code names: itself, else in a code of digits and the marks H and
-    D the first fielding digit, then D, 1 and H; ``UNKNOWN`` if it says nothing."""
+    """The position that a code names: itself; of a code of digits and the marks H and D the
+    first fielding digit, else D, 1 or H; else that of the first token which is a position,
+    a word or mark for one, or begins with a mark. ``UNKNOWN`` if it says nothing."""
     raw = F.upper(F.trim(F.coalesce(text, F.lit(""))))
-    code = F.regexp_replace(raw, r"[*#\s,/;-]+", "")
-    digit = F.regexp_extract(code, "[2-9]", 0)
-    named = F.coalesce(*[F.when(digit == d, name) for d, name in DIGIT_POSITIONS])
-    compact = (code != "") & ~code.rlike("[ABCEFGI-QS-Z]")
-    read = F.when(named.isNotNull(), named).when(code.contains("D"), "DH").when(code.contains("1"), "P").when(code.contains("H"), "DH")
-    first = F.regexp_extract(raw, r"[A-Z0-9]+", 0)
-    spelled = F.when(first.isin(*POSITIONS), first)
-    return F.when(raw.isin("", "NAN", "NONE", "<NA>"), "UNKNOWN").when(raw.isin(*POSITIONS), raw).otherwise(F.coalesce(F.when(compact, read), spelled, F.lit("UNKNOWN")))
+    bare = F.regexp_replace(raw, "[*#]", "")
+    code = F.regexp_replace(bare, r"[\s,/;-]+", "")
+    compact = (code != "") & ~code.rlike(WORD_LETTERS)
+    read = F.coalesce(_looked_up(DIGIT_POSITIONS, F.regexp_extract(code, "[2-9]", 0)), F.when(code.contains("D"), "DH").when(code.contains("1"), "P").when(code.contains("H"), "DH"))
+
+    def position(token: Column) -> Column:
+        known = DIGIT_POSITIONS | OTHER_MARKS
+        return F.coalesce(_looked_up(known | WORD_POSITIONS | {p: p for p in POSITIONS}, token), _looked_up(known, F.substring(token, 1, 1)))
+
+    tokens = F.transform(F.split(bare, r"[\s,/;-]+"), lambda t: position(F.regexp_replace(t, "[^A-Z0-9]", "")))
+    walked = F.get(F.array_compact(tokens), F.lit(0))
+    return F.when(raw.isin("", "NAN", "NONE", "<NA>"), "UNKNOWN").when(raw.isin(*POSITIONS), raw).otherwise(F.coalesce(F.when(compact, read), walked, F.lit("UNKNOWN")))
 
 
 def role_of_positions(text: Column) -> Column:

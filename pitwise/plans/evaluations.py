@@ -354,16 +354,25 @@ def market_order(spark, sf):
 
 # --- loose roster values ---------------------------------------------------------------------
 
-_CODES = "['SS', '*7H/D3', '1', 'HD', ' c ', NULL, 'N/A', 'SP', '/D', '*987D', 'OF', 'P/OF', '2B-SS', 'lhp']"
-
-
-@query(f"""WITH t AS (SELECT p_partkey, {_CODES}[1 + p_partkey % 14] AS x FROM part) SELECT p_partkey,
- CASE p_partkey % 14 WHEN 0 THEN 'SS' WHEN 1 THEN 'LF' WHEN 2 THEN 'P' WHEN 3 THEN 'DH' WHEN 4 THEN 'C' WHEN 5 THEN 'UNKNOWN' WHEN 6 THEN 'UNKNOWN' WHEN 7 THEN 'UNKNOWN' WHEN 8 THEN 'DH' WHEN 9 THEN 'RF' WHEN 10 THEN 'OF' WHEN 11 THEN 'P' WHEN 12 THEN '2B' ELSE 'UNKNOWN' END AS position,
- CASE p_partkey % 14 WHEN 2 THEN 'hitter' WHEN 7 THEN 'pitcher' WHEN 11 THEN 'two_way' WHEN 13 THEN 'pitcher' ELSE 'hitter' END AS role FROM t""")
+#: Codes made of the row's numbers and words, and some spelled ones, by remainder.
+_CODES = (
+    "'*' || p_size || 'H/D' || (p_partkey % 10)", "p_type", "'D/' || p_size % 4", "split_part(p_type, ' ', 1) || '/' || split_part(p_brand, '#', 2)", "CAST(p_size AS VARCHAR)", "p_size || '-' || p_brand", "'H' || p_size % 3", "NULL", "' c '", "'PITCHER'", "'Catcher'",
+    "'Shortstop; 2'", "'Starter'", "'UTIL/SS'", "'7/LF'", "'H8/79'", "'9D/H'", "'D3/5H'", "'D/H'", "'*SS'", "'2B-SS'", "'relief-pitcher'", "'ReliefPitcher#'", "'P/OF'", "'OF'", "'lhp'", "'<na>'", "'1B, 3B'", "'Second base'", "'x/Dee'",
+)
+_CODE_OF = "CASE p_partkey % 30 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_CODES)) + " END"
+_MARKS = "m(k, v) AS (VALUES ('1', 'P'), ('2', 'C'), ('3', '1B'), ('4', '2B'), ('5', '3B'), ('6', 'SS'), ('7', 'LF'), ('8', 'CF'), ('9', 'RF'), ('D', 'DH'), ('H', 'DH'))"
+_NAMES = "w(k, v) AS (SELECT v, v FROM m UNION SELECT 'RP', 'RP' UNION VALUES ('CATCHER', 'C'), ('FIRST', '1B'), ('SECOND', '2B'), ('THIRD', '3B'), ('SHORTSTOP', 'SS'), ('LEFTFIELD', 'LF'), ('CENTERFIELD', 'CF'), ('RIGHTFIELD', 'RF'), ('DESIGNATEDHITTER', 'DH'), ('PITCHER', 'P'), ('STARTER', 'P'), ('STARTINGPITCHER', 'P'), ('RELIEVER', 'RP'), ('RELIEFPITCHER', 'RP'))"
+
+
+@query(f"""WITH {_MARKS}, {_NAMES}, t AS (SELECT p_partkey, {_CODE_OF} AS x FROM part), n AS (SELECT p_partkey, upper(trim(coalesce(x, ''))) AS raw, replace(replace(upper(trim(coalesce(x, ''))), '*', ''), '#', '') AS bare FROM t),
+c AS (SELECT *, regexp_replace(bare, '[\\s,/;-]+', '', 'g') AS code FROM n), k0 AS (SELECT p_partkey, regexp_replace(unnest(string_split_regex(bare, '[\\s,/;-]+')), '[^A-Z0-9]', '', 'g') AS tok, generate_subscripts(string_split_regex(bare, '[\\s,/;-]+'), 1) AS i FROM c),
+k AS (SELECT p_partkey, arg_min(coalesce(w.v, f.v, l.v), i) AS v FROM k0 LEFT JOIN w ON w.k = tok LEFT JOIN m f ON f.k = tok LEFT JOIN m l ON l.k = left(tok, 1) WHERE coalesce(w.v, f.v, l.v) IS NOT NULL GROUP BY 1),
+p AS (SELECT c.*, k.v AS walked, m.v AS fielded, code <> '' AND NOT regexp_matches(code, '[ABCEFGI-QS-Z]') AS compact FROM c LEFT JOIN k USING (p_partkey) LEFT JOIN m ON m.k = regexp_extract(code, '[2-9]'))
+SELECT p_partkey, CASE WHEN raw IN ('', 'NAN', 'NONE', '<NA>') THEN 'UNKNOWN' WHEN raw IN ('C', '1B', '2B', '3B', 'SS', 'LF', 'CF', 'RF', 'DH', 'P', 'RP') THEN raw WHEN compact AND fielded IS NOT NULL THEN fielded WHEN compact AND contains(code, 'D') THEN 'DH' WHEN compact AND contains(code, '1') THEN 'P' WHEN compact AND contains(code, 'H') THEN 'DH' ELSE coalesce(walked, 'UNKNOWN') END AS position,
+ CASE WHEN (list_contains(list_filter(string_split_regex(replace(raw, ' ', ''), '[/,;-]'), lambda z: z <> ''), 'P') OR replace(raw, ' ', '') IN ('LHP', 'RHP', 'SP', 'RP')) THEN CASE WHEN len(list_filter(string_split_regex(replace(raw, ' ', ''), '[/,;-]'), lambda z: z NOT IN ('', 'P', 'LHP', 'RHP', 'SP', 'RP'))) > 0 THEN 'two_way' ELSE 'pitcher' END ELSE 'hitter' END AS role FROM p""")
 def positions(spark, sf):
-    codes = F.array(*[F.lit(x) for x in ("SS", "*7H/D3", "1", "HD", " c ", None, "N/A", "SP", "/D", "*987D", "OF", "P/OF", "2B-SS", "lhp")])
-    x = F.get(codes, F.col("p_partkey") % 14)
-    return table(spark, sf, "part").select("p_partkey", roster.position_code(x).alias("position"), roster.role_of_positions(x).alias("role"))
+    t = table(spark, sf, "part").withColumn("x", F.expr(_CODE_OF.replace("VARCHAR", "STRING")))
+    return t.select("p_partkey", roster.position_code(F.col("x")).alias("position"), roster.role_of_positions(F.col("x")).alias("role"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN CAST(year(o_orderdate) AS DOUBLE) END AS year, CASE WHEN o_orderkey % 4 IN (0, 2) THEN CAST(1 + o_custkey % 30 AS DOUBLE) END AS round, CASE o_orderkey % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'international' WHEN 2 THEN 'draft' ELSE 'unknown' END AS acquisition FROM orders""")

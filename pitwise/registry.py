@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitwise.plans import analysis, careers, core, evaluations, learned
+from pitwise.plans import analysis, careers, core, evaluations, learned, panels
 from pitwise.plans.catalog import QUERIES, SQL
 
 
@@ -13,7 +13,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    assert analysis and careers and core and evaluations and learned  # they fill the register
+    assert analysis and careers and core and evaluations and learned and panels  # they fill the register
     return dict(QUERIES)
 
 
