@@ -14,7 +14,7 @@ and their length: of theirs every window occurs elsewhere, so only one of each s
 is extended, for the sake of others that share a part with it.
 
 Defined results: a null text has no words; documents shorter than a window keep
-everything; repeated rows are each other's copies; a null id is an id; a very long text is
+everything; repeated rows are each other's copies; a null id is an id, and rows of one id (or none) are told apart by 96 bits of hashes of id and text; a very long text is
 cut nowhere and hashed in one piece; no rows give none; other columns are not looked at. Windows are compared by 96-bit hashes.
 """
 
@@ -38,9 +38,9 @@ COVER = (0, 1, 4, 14, 16)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def _marks(text_hash: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Half of the text's hash above, the place in the document below."""
-    return (text_hash.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)).view(np.int64)
+def _marks(crc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The text's crc32 above, the place in the document below."""
+    return (crc.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)).view(np.int64)
 
 
 def _anchors(chunk: Chunk, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,24 +57,24 @@ def _anchors(chunk: Chunk, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, half, starts, copied``: for each document with windows that start
+    """``key, crc, starts, copied``: for each document with windows that start
     elsewhere too, the places where they start; or that its whole text has a copy.
-    ``docs`` has ``doc_id, half, text``; ``half`` is 32 bits of the text's hash and parts
-    rows with equal ids."""
+    ``docs`` has ``key, crc, text``: 64 bits of a hash of id and text, and the text's crc32,
+    by which rows are told apart whatever their ids are; rows alike in both are equal."""
     if window < PERIOD:
         raise ValueError(f"a window needs {PERIOD} words at least")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            half = batch.column(1).to_numpy(zero_copy_only=False)
+            crc = batch.column(1).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(2)):
                 h, doc, place = _anchors(chunk, window)
                 doc = doc + chunk.row
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(doc)), pa.array(_marks(half[doc], place))], names=["h", "doc_id", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(doc)), pa.array(_marks(crc[doc], place))], names=["h", "key", "mark"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            half = batch.column(1).to_numpy(zero_copy_only=False)
+            crc = batch.column(1).to_numpy(zero_copy_only=False)
             places = batch.column(3)
             for chunk in chunks(batch.column(2)):
                 own = places.slice(chunk.row, chunk.docs)
@@ -95,50 +95,40 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 more = (window_hashes(mix(words), window)[at] & _LOW).astype(np.uint32).view(np.int32) if len(at) else np.zeros(0, np.int32)
                 doc = of + chunk.row
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(more), batch.column(0).take(pa.array(doc)), pa.array(_marks(half[doc], at - chunk.word_at[of]))], names=["h", "more", "doc_id", "mark"]
+                    [pa.array(h.view(np.int64)), pa.array(more), batch.column(0).take(pa.array(doc)), pa.array(_marks(crc[doc], at - chunk.word_at[of]))], names=["h", "more", "key", "mark"]
                 )
 
-    whole = docs.select("doc_id", "half", F.xxhash64("text").alias("hash"), F.crc32(F.col("text").cast("binary")).alias("crc"), F.octet_length("text").alias("bytes"))
+    whole = docs.select("key", "crc", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"))
     whole = whole.filter(F.col("bytes") >= 2 * window - 1)  # shorter texts have no window
-    classes = cut(whole.groupBy("hash", "crc", "bytes").agg(F.first("half").alias("half"), F.count("*").alias("rows"), F.min("doc_id").alias("doc_id")), "texts")
-    hashed = docs.mapInArrow(anchors, f"h long, doc_id {_id(docs)}, mark long")
+    classes = cut(whole.groupBy("hash", "crc", "bytes").agg(F.min("key").alias("key"), F.count("*").alias("rows")), "texts")
+    hashed = docs.mapInArrow(anchors, "h long, key long, mark long")
     found = cut(_places(hashed.join(hashed.groupBy("h").count().filter("count >= 2").select("h"), "h"), "places"), "anchors")
-    one = _left(classes.select("doc_id", "half", (F.col("rows") > 1).alias("copied")), found, "inner").select("doc_id", "half", "copied", "places")
+    one = classes.select("key", "crc", (F.col("rows") > 1).alias("copied")).join(found, ["key", "crc"]).select("key", "crc", "copied", "places")
     one = cut(one, "anchors-of-one")
     forget(found)
-    near = _left(docs, one, "inner").select("doc_id", "half", "text", "places", "copied")
-    twice = near.mapInArrow(windows, _windows(docs)).groupBy("h", "more").count().filter("count >= 2").select("h", "more")
-    own = near.filter("not copied").mapInArrow(windows, _windows(docs))
+    near = docs.join(one, ["key", "crc"]).select("key", "crc", "text", "places", "copied")
+    twice = near.mapInArrow(windows, _WINDOWS).groupBy("h", "more").count().filter("count >= 2").select("h", "more")
+    own = near.filter("not copied").mapInArrow(windows, _WINDOWS)
     starts = cut(_places(own.join(twice, ["h", "more"]), "starts"), "windows")
     forget(one)
-    copied = whole.join(classes.filter("rows > 1").select("hash", "crc", "bytes"), ["hash", "crc", "bytes"]).select("doc_id", "half").distinct()
+    copied = whole.join(classes.filter("rows > 1").select("hash", "crc", "bytes"), ["hash", "crc", "bytes"]).select("key", "crc").distinct()
     copied = cut(copied.withColumn("starts", F.lit(None).cast("array<int>")).withColumn("copied", F.lit(True)), "copies")
     forget(classes)
     return starts.withColumn("copied", F.lit(False)).unionByName(copied)
 
 
-def _windows(docs: DataFrame) -> str:
-    return f"h long, more int, doc_id {_id(docs)}, mark long"
+_WINDOWS = "h long, more int, key long, mark long"
 
 
 def _places(rows: DataFrame, name: str) -> DataFrame:
-    own = rows.select("doc_id", F.shiftrightunsigned("mark", 32).alias("half"), F.col("mark").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
-    return own.groupBy("doc_id", "half").agg(F.collect_set("place").alias(name))
-
-
-def _id(docs: DataFrame) -> str:
-    return docs.schema["doc_id"].dataType.simpleString()
-
-
-def _left(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    found = found.withColumnRenamed("doc_id", "__id").withColumnRenamed("half", "__half")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("half") == F.col("__half")), how)
+    own = rows.select("key", F.shiftrightunsigned("mark", 32).alias("crc"), F.col("mark").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
+    return own.groupBy("key", "crc").agg(F.collect_set("place").alias(name))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (the kept words joined by one space) and
     ``kept_sha256`` of it, for each document."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).bitwiseAND(0xFFFFFFFF).alias("half"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).alias("crc"), F.col(text_col).alias("text"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,5 +154,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 kept_text = [k.decode() for k in out[2]]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip((out[0], out[1], kept_text, out[3]), types))], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    joined = _left(rows, repeated_windows(rows, window), "left").select("doc_id", "text", "starts", "copied")
-    return joined.mapInArrow(remove, f"doc_id {_id(rows)}, n_words long, n_removed long, kept string, kept_sha256 string")
+    joined = rows.join(repeated_windows(rows.drop("doc_id"), window), ["key", "crc"], "left").select("doc_id", "text", "starts", "copied")
+    return joined.mapInArrow(remove, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string, kept_sha256 string")

@@ -275,3 +275,19 @@ def test_same_rows_as_sql(spark, name):
     plain = lambda v: round(v, 9) if isinstance(v, float) else v
     theirs = sorted((tuple(plain(x) for x in r) for r in asked.select(", ".join(made.columns)).fetchall()), key=key)
     assert sorted((tuple(plain(x) for x in r) for r in made.collect()), key=key) == theirs
+
+
+def test_rows_of_one_id_whose_texts_agree_in_half_their_hash_keep_their_own_words(spark):
+    """Two texts found by search whose xxhash64 agree in the low 32 bits, with null ids and with a repeated one, beside a third that shares a window."""
+    r = random.Random(3)
+    shared = [f"s{i}" for i in range(40)]
+    base = spark.range(400_000).select(F.concat(F.lit("lead "), F.col("id").cast("string"), F.lit(" x" * 60)).alias("text"), "id")
+    low = base.withColumn("low", F.xxhash64("text").bitwiseAND(0xFFFFFFFF))
+    pair = low.groupBy("low").agg(F.collect_list("id").alias("ids")).filter("size(ids) > 1").orderBy("low").first().ids[:2]
+    one, other = (f"lead {i}" + " x" * 60 for i in pair)
+    rest = " ".join(shared) + " " + " ".join(f"t{r.random()}" for _ in range(100))
+    for ids in ((None, None, None), (1, 1, 1), (1, 2, None)):
+        rows = list(zip(ids, (one, other, rest))) + [(5, " ".join(shared)), (ids[0], one + " and more " + " ".join(shared[:36]))]
+        got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        got = sorted(((x.doc_id, x.n_words, x.n_removed, x.kept) for x in got.collect()), key=key)
+        assert got == sorted(brute.without_repeats(rows), key=key)
