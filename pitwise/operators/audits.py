@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitwise.operators.split import exact_quantiles
+
 #: Limits of an admission.
 DRIFT_LIMITS = {"missing": 0.05, "jump": 0.05, "unseen": 0.02, "psi": 0.20}
 PSI_SMOOTHING = 1e-6
@@ -81,8 +83,8 @@ def drift_cells(training: DataFrame, evaluation: DataFrame, role: str, season: s
     as_rows = F.array(*[F.struct(F.lit(c).alias("feature"), (finite(c) if c in numeric else F.lit(None).cast("double")).alias("x"), (F.lit(None).cast("string") if c in numeric else F.col(c).cast("string")).alias("s")) for c in features])
     stack = lambda rows, *keys: rows.select(*keys, F.inline(as_rows)).withColumn("gone", F.col("x").isNull() & F.col("s").isNull())
     t, e = stack(training, role), stack(evaluation, season, role)
-    deciles = F.array(*[F.lit(i / 10) for i in range(1, 10)])
-    edges = t.groupBy(role, "feature").agg(F.percentile("x", deciles).alias("inner"), F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n_training"), F.avg(F.col("gone").cast("int")).alias("training_missing"))
+    inner = exact_quantiles(t, [role, "feature"], "x", tuple(i / 10 for i in range(1, 10)), "inner")
+    edges = t.groupBy(role, "feature").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n_training"), F.avg(F.col("gone").cast("int")).alias("training_missing")).join(inner, [role, "feature"], "left")
     # the outer quantiles are no edges, nor is an inner one that equals them
     edges = edges.withColumn("inner", F.filter(F.array_distinct("inner"), lambda q: (q > F.col("low")) & (q < F.col("high"))))
 

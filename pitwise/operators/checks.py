@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitwise.operators.split import exact_quantiles
+
 
 class ContractError(ValueError):
     """A table does not have the columns that it promises."""
@@ -106,7 +108,8 @@ def stability_index(reference: DataFrame, now: DataFrame, value: str, edges: lis
 
 def decile_edges(rows: DataFrame, value: str) -> list[float]:
     """Nine edges, exact."""
-    return rows.agg(F.percentile(value, [i / 10 for i in range(1, 10)])).first()[0] or []
+    found = exact_quantiles(rows, [], value, tuple(i / 10 for i in range(1, 10))).first()
+    return found["quantiles"] if found else []
 
 
 def unseen_share(reference: DataFrame, now: DataFrame, category: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwise.operators.aggregates import weighted_quantiles
+from pitwise.operators.ranking import ranked
+from pitwise.operators.sizes import broadcast_if_small
+from pitwise.operators.split import SPLIT_ROWS, exact_quantiles, placed_values, running
 
 
 def smoothed_priors(rows: DataFrame, levels: list[list[str]], event: str, weight: str | None = None, strength: float = 20.0) -> list[DataFrame]:
@@ -29,23 +32,39 @@ def with_prior(rows: DataFrame, levels: list[list[str]], priors: list[DataFrame]
     return out.withColumn(name, F.least(F.greatest(rate, F.lit(clip)), F.lit(1 - clip))).drop("__all", *[f"__{i}" for i in range(len(levels))])
 
 
-def nearest_or_local(points: DataFrame, rows: DataFrame, on: list[str], at: str, value: str, order: str, width: float = 1.0, least: int = 20, most: int = 100) -> DataFrame:
+def nearest_or_local(points: DataFrame, rows: DataFrame, on: list[str], at: str, value: str, order: str, width: float = 1.0, least: int = 20, most: int = 100, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``on, point`` and the rows that speak for it: those within ``width``, or where they
     are fewer than ``least`` the ``most`` nearest (the first by ``order`` of equally far).
 
-    Rows are counted by distinct value first, so a point takes whole values outwards until
-    it has enough and only the values at the edge are told apart by ``order``; no point
-    meets more than the values of its group."""
-    values = rows.groupBy(*on, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    near = points.select(*on, F.col(at).alias("point")).join(values, on).withColumn("__d", F.abs(F.col("__v") - F.col("point")))
-    by = Window.partitionBy(*on, "point")
-    local = F.sum(F.when(F.col("__d") <= width, F.col("__n")).otherwise(0)).over(by)
-    closer = F.sum("__n").over(by.orderBy("__d")) - F.sum("__n").over(Window.partitionBy(*on, "point", "__d"))
-    near = near.withColumn("__local", local).withColumn("__closer", closer)
-    taken = near.filter(F.when(F.col("__local") >= least, F.col("__d") <= width).otherwise(F.col("__closer") < most))
-    met = taken.join(rows.withColumn("__v", F.col(value)), [*on, "__v"])
-    place = F.row_number().over(Window.partitionBy(*on, "point", "__d").orderBy(order)) + F.col("__closer")
-    return met.withColumn("__place", place).filter((F.col("__local") >= least) | (F.col("__place") <= most)).drop("__v", "__n", "__d", "__local", "__closer", "__place")
+    Both sides are brought into one order. What is within ``width`` meets by buckets of that
+    width. A point with too little there takes its place among the rows (a running count),
+    and meets only ``most`` rows above it and ``most`` below, by their numbers: two
+    numberings, as of equal values the first by ``order`` lie nearest on either side. So a
+    point meets a fixed number of rows whatever the size of its group."""
+    asked = points.select(*on, F.col(at).alias("point"), F.col(at).cast("double").alias("__p")).distinct()
+    bucket = lambda c: F.floor(F.col(c) / width)
+    spread = asked.withColumn("__b", F.explode(F.sequence(bucket("__p") - 2, bucket("__p") + 2)))
+    within = F.abs(F.col("__v") - F.col("__p")) <= width
+    values = rows.filter(F.col(value).isNotNull()).groupBy(*on, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    counted = spread.join(values.withColumn("__b", bucket("__v")), [*on, "__b"]).filter(within).groupBy(*on, "point").agg(F.sum("__n").alias("__local"))
+    placed = asked.join(counted, [*on, "point"], "left").withColumn("__enough", F.coalesce(F.col("__local"), F.lit(0)) >= least).drop("__local")
+    keyed = rows.filter(F.col(value).isNotNull()).withColumn("__v", F.col(value).cast("double"))
+    near = placed.filter("__enough").select(*on, "point", "__p", F.explode(F.sequence(bucket("__p") - 2, bucket("__p") + 2)).alias("__b"))
+    local = near.join(keyed.withColumn("__b", bucket("__v")), [*on, "__b"]).filter(within).drop("__b", "__v", "__p")
+
+    far = placed.filter("not __enough").select(*on, "point", "__p")
+    both = values.select(*on, "__v", "__n").unionByName(far.select(*on, F.col("__p").alias("__v"), F.lit(0).cast("long").alias("__n")))
+    before = placed_values(both, on, "__v", {"n": F.col("__n")}, split_rows).select(*on, F.col("__v").alias("__p"), (F.col("upto_n") - F.col("tied_n")).alias("__before"))
+    far = far.join(before, [*on, "__p"]).withColumn("__g", F.explode(F.sequence(F.expr(f"(__before - {most}) div {most} - 1"), F.expr(f"(__before + {most}) div {most} + 1"))))
+
+    def numbered(first: Column) -> DataFrame:
+        return ranked(keyed, [F.col("__v").asc(), first], "__r", on).withColumn("__g", F.expr(f"__r div {most}"))
+
+    above = far.join(numbered(F.col(order).asc_nulls_first()), [*on, "__g"]).filter((F.col("__v") >= F.col("__p")) & F.col("__r").between(F.col("__before") + 1, F.col("__before") + most))
+    below = far.join(numbered(F.col(order).desc_nulls_last()), [*on, "__g"]).filter((F.col("__v") < F.col("__p")) & F.col("__r").between(F.col("__before") - most + 1, F.col("__before")))
+    place = F.row_number().over(Window.partitionBy(*on, "point").orderBy(F.abs(F.col("__v") - F.col("__p")), order))  # of 2 most rows
+    taken = above.unionByName(below).withColumn("__place", place).filter(F.col("__place") <= most).drop("__v", "__p", "__r", "__g", "__before", "__place")
+    return local.unionByName(taken)
 
 
 def bridge(points: DataFrame, rows: DataFrame, on: str, at: str, start: str, order: str, event: str, values: list[str], levels: tuple[float, ...], strength: float = 25.0) -> DataFrame:
@@ -53,49 +72,49 @@ def bridge(points: DataFrame, rows: DataFrame, on: str, at: str, start: str, ord
     group's, exact quantiles of the values, and how many speak for it."""
     parent = rows.groupBy(on).agg(F.avg(F.col(event).cast("double")).alias("__parent"))
     near = nearest_or_local(points, rows, [on], at, start, order)
-    q = F.array(*[F.lit(x) for x in levels])
-    out = near.groupBy(on, "point").agg(F.sum(F.col(event).cast("double")).alias("__e"), F.count("*").alias("rows"), *[F.percentile(v, q).alias(v) for v in values]).join(parent, on)
+    out = near.groupBy(on, "point").agg(F.sum(F.col(event).cast("double")).alias("__e"), F.count("*").alias("rows")).join(parent, on)
+    for v in values:
+        out = out.join(exact_quantiles(near, [on, "point"], v, levels, v), [on, "point"], "left")
     rate = (F.col("__e") + strength * F.col("__parent")) / (F.col("rows") + strength)
     return out.select(on, "point", rate.alias("rate"), "rows", *[F.get(v, F.lit(i)).alias(f"{v}_q{round(level * 100):02d}") for v in values for i, level in enumerate(levels)])
 
 
-def reliability_by_weight(rows: DataFrame, keys: list[str], p: str, y: str, weight: str, tie: str, bins: int = 10) -> DataFrame:
+def reliability_by_weight(rows: DataFrame, keys: list[str], p: str, y: str, weight: str, tie: str, bins: int = 10, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``bin, n, weight, mean_p, mean_y`` in bins of equal weight along the score."""
-    w = Window.partitionBy(*keys).orderBy(p, tie).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(weight).over(Window.partitionBy(*keys))
-    bin_ = F.least(F.floor(F.sum(weight).over(w) * bins / total + 1e-12), F.lit(bins - 1)).cast("int")
+    t = running(rows.withColumn("__o", F.struct(p, tie)), keys, "__o", {"w": F.col(weight)}, split_rows)
+    bin_ = F.least(F.floor(F.col("upto_w") * bins / F.col("all_w") + 1e-12), F.lit(bins - 1)).cast("int")
     mean = lambda c: F.sum(F.col(weight) * F.col(c)) / F.sum(weight)
-    return rows.withColumn("bin", bin_).groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.sum(weight).alias("weight"), mean(p).alias("mean_p"), mean(y).alias("mean_y"))
+    return t.withColumn("bin", bin_).groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.sum(weight).alias("weight"), mean(p).alias("mean_p"), mean(y).alias("mean_y"))
 
 
-def reliability_by_quantile(rows: DataFrame, keys: list[str], p: str, y: str, bins: int = 10, few: int = 10) -> DataFrame:
+def reliability_by_quantile(rows: DataFrame, keys: list[str], p: str, y: str, bins: int = 10, few: int = 10, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``bin, n, mean_p, mean_y`` between the score's quantiles (right-closed), or a bin for
     each score where there are no more than ``few`` distinct ones."""
-    shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile(p, shares)).alias("__edges"), F.countDistinct(p).alias("__distinct"), F.array_sort(F.slice(F.collect_set(F.when(F.col(p).isNotNull(), F.round(p, 12))), 1, few + 1)).alias("__scores"))
+    edges = exact_quantiles(rows, keys, p, tuple(i / bins for i in range(bins + 1)), "__edges", split_rows).withColumn("__edges", F.array_distinct("__edges"))
+    scores = rows.filter(F.col(p).isNotNull()).select(*keys, p).distinct()
+    counts = scores.groupBy(*keys).agg(F.count("*").alias("__distinct"))
+    listed = scores.join(counts.filter(F.col("__distinct") <= few), keys).groupBy(*keys).agg(F.array_sort(F.collect_set(F.round(p, 12))).alias("__scores"))  # few a key
     inner = F.slice("__edges", F.lit(2), F.greatest(F.size("__edges") - 2, F.lit(0)))
-    met = rows.join(edges, keys)
+    met = rows.join(edges, keys).join(counts, keys).join(listed, keys, "left")
     bin_ = F.when(F.col("__distinct") <= few, F.size(F.filter("__scores", lambda e: e < F.round(p, 12)))).otherwise(F.size(F.filter(inner, lambda e: e < F.col(p))))
     return met.withColumn("bin", bin_).groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
 
 
-def top_by_weight(rows: DataFrame, keys: list[str], p: str, y: str, weight: str, tie: str, share: float) -> DataFrame:
+def top_by_weight(rows: DataFrame, keys: list[str], p: str, y: str, weight: str, tie: str, share: float, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``rows, rate, lift`` of the highest scores that make up ``share`` of the weight, the
     row which reaches it among them."""
-    w = Window.partitionBy(*keys).orderBy(F.col(p).desc(), tie).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum(weight).over(Window.partitionBy(*keys))
-    inside = F.coalesce(F.sum(weight).over(w), F.lit(0.0)) <= share * total - 1e-12
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(p).desc(), tie))
-    t = rows.withColumn("__in", inside | (place == 1))
+    t = running(rows.withColumn("__o", F.struct((-F.col(p)).alias("p"), tie)), keys, "__o", {"w": F.col(weight)}, split_rows)
+    before = F.col("upto_w") - F.col("tied_w")
+    t = t.withColumn("__in", (before <= share * F.col("all_w") - 1e-12) | (F.abs(before) < 1e-12))
     rate = lambda when: F.sum(F.when(when, F.col(weight) * F.col(y))) / F.sum(F.when(when, F.col(weight)))
     return t.groupBy(*keys).agg(F.count_if("__in").alias("rows"), rate(F.col("__in")).alias("rate"), (rate(F.col("__in")) / F.nullif(rate(F.lit(True)), F.lit(0.0))).alias("lift"))
 
 
 def top_by_count(rows: DataFrame, keys: list[str], p: str, y: str, tie: str, share: float) -> DataFrame:
     """``rows, rate, lift`` of exactly the ``ceil(share * n)`` highest scores."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(p).desc(), tie))
-    n = F.count("*").over(Window.partitionBy(*keys))
-    t = rows.withColumn("__in", place <= F.greatest(F.lit(1), F.ceil(n * share)))
+    n = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    t = ranked(rows, [F.col(p).desc(), F.col(tie)], "__place", keys).join(n, keys)
+    t = t.withColumn("__in", F.col("__place") <= F.greatest(F.lit(1), F.ceil(F.col("__n") * share)))
     return t.groupBy(*keys).agg(F.count_if("__in").alias("rows"), F.avg(F.when(F.col("__in"), F.col(y))).alias("rate"), (F.avg(F.when(F.col("__in"), F.col(y))) / F.nullif(F.avg(y), F.lit(0.0))).alias("lift"))
 
 
@@ -184,10 +203,9 @@ def residual_bank(rows: DataFrame, first: str, second: str, weight: str, levels:
         enough = named.groupBy("bank").agg(F.countDistinct(entity).alias("__n")).filter(F.col("__n") >= least).select("bank")
         part = named.join(enough, "bank").select("bank", F.col(first).alias("first"), F.col(second).alias("second"), F.col(weight).alias("__w"))
         out = part if out is None else out.unionByName(part)
-    pairs = out.groupBy("bank", "first", "second").agg(F.sum("__w").alias("__w"))
-    upto = Window.partitionBy("bank").orderBy("first", "second").rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum("__w").over(upto) / F.sum("__w").over(Window.partitionBy("bank"))
-    placed = pairs.withColumn("__upto", share).withColumn("__from", F.coalesce(F.lag("__upto").over(Window.partitionBy("bank").orderBy("first", "second")), F.lit(0.0)))
+    placed = placed_values(out.withColumn("__o", F.struct("first", "second")), ["bank"], "__o", {"w": F.col("__w")})
+    share = lambda c: c / F.col("all_w")
+    placed = placed.select("bank", "__o.first", "__o.second", share(F.col("upto_w")).alias("__upto"), share(F.col("upto_w") - F.col("tied_w")).alias("__from"))
     # the steps (d + 1/2) / draws that fall to the pair: above the share before it, up to its own
     lo = F.greatest(F.floor(F.col("__from") * draws - 0.5 + 1e-9) + 1, F.lit(0))
     hi = F.least(F.floor(F.col("__upto") * draws - 0.5 + 1e-9), F.lit(draws - 1))
@@ -200,7 +218,7 @@ def chosen_bank(rows: DataFrame, bank: DataFrame, levels: list[list[str]], name:
     out = rows
     for i, keys in enumerate(levels):
         key = F.concat_ws("/", F.lit(str(i)), *[F.col(k).cast("string") for k in keys])
-        out = out.withColumn(f"__k{i}", key).join(F.broadcast(there.select(F.col("bank").alias(f"__b{i}"))), F.col(f"__k{i}") == F.col(f"__b{i}"), "left")  # a row a bank
+        out = out.withColumn(f"__k{i}", key).join(broadcast_if_small(there.select(F.col("bank").alias(f"__b{i}"))), F.col(f"__k{i}") == F.col(f"__b{i}"), "left")
     picked = F.coalesce(*[F.col(f"__b{i}") for i in reversed(range(len(levels)))])
     return out.withColumn(name, picked).drop(*[f"__{c}{i}" for i in range(len(levels)) for c in "kb"])
 

@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwise.operators.ranking import ordering
+from pitwise.operators.ranking import ordering, ranked
 
 #: The order in which memberships of these statuses come first.
 STATUS_ORDER = ("rehab", "active", "development", "injured", "restricted", "inactive")
@@ -65,8 +65,7 @@ def latest_capture(captures: DataFrame, capture: str) -> DataFrame:
 
 def attention_ranks(views: DataFrame, keys: list[str], count: str, ordinal: str, entity: str) -> DataFrame:
     """Ranks by views within each capture and endpoint; the order of the source decides ties."""
-    order = Window.partitionBy(*keys).orderBy(F.col(count).desc(), F.col(ordinal), F.col(entity))
-    return views.withColumn("attention_rank", F.row_number().over(order))
+    return ranked(views, [F.col(count).desc(), F.col(ordinal), F.col(entity)], "attention_rank", keys)
 
 
 def work_queue(snapshot: DataFrame, resolved: DataFrame, attempts: DataFrame, key: str, now: Column, order: list[Column]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitwise.operators.split import running
 from pitwise.sources.scratch import cut
 
 
@@ -14,15 +15,19 @@ def ordering(*keys: tuple[str, str]) -> list[Column]:
 
 
 def ranked(rows: DataFrame, order: list[Column], name: str = "rank", within: list[str] | None = None) -> DataFrame:
-    """Ordinal ranks by a total order. Over a whole table without ``within`` the rows
-    are ranged and numbered by partition, so no task sees them all."""
-    if within:
-        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
-    ranged = cut(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranked")  # written, so that a part stays what it was
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row a part
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")
+    """Ordinal ranks by a total order, of the whole table or ``within`` groups. Rows are
+    ranged by group and order and numbered by partition, so no task sees a whole group."""
+    keys = within or []
+    ranged = cut(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranked")  # written, so that a part stays what it was
+    sizes = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    before = sizes.select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    on = F.col("__part") == F.col("__of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    met = ranged.withColumn("__own", own).join(before, on)
+    return met.withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__of", "__own", "__before", *[f"__key_{k}" for k in keys])
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -31,21 +36,24 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
 
 
 def top_k(rows: DataFrame, within: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
-    return ranked(rows, order, name, within).filter(F.col(name) <= k)
+    """The first ``k`` of each group; Spark keeps ``k`` a group of every task before it shuffles."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order))).filter(F.col(name) <= k)
 
 
 def top_share(rows: DataFrame, within: list[str], order: list[Column], share: float) -> DataFrame:
     """The first ``ceil(share * n)`` of each group."""
-    n = F.count("*").over(Window.partitionBy(*within))
-    return ranked(rows, order, "rank", within).withColumn("__n", n).filter(F.col("rank") <= F.ceil(F.col("__n") * share)).drop("__n")
+    n = rows.groupBy(*within).agg(F.count("*").alias("__n")).withColumnsRenamed({k: f"__of_{k}" for k in within})
+    on = F.lit(True)
+    for k in within:
+        on = on & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return ranked(rows, order, "rank", within).join(n, on).filter(F.col("rank") <= F.ceil(F.col("__n") * share)).drop("__n", *[f"__of_{k}" for k in within])
 
 
 def rank_among(live: DataFrame, reference: DataFrame, score: str, key: str, within: list[str]) -> DataFrame:
     """The rank each live row would take in the frozen reference, which wins ties."""
     both = live.select(*within, key, score, F.lit(1).alias("__live")).unionByName(reference.select(*within, key, score, F.lit(0).alias("__live")))
-    better = Window.partitionBy(*within).orderBy(F.col(score).desc_nulls_last(), "__live").rowsBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumn("rank", F.sum(1 - F.col("__live")).over(better) + 1)
-    return counted.filter("__live = 1").drop("__live")
+    counted = running(both, within, score, {"ref": 1 - F.col("__live")}).filter("__live = 1")
+    return counted.withColumn("rank", F.col("all_ref") - F.col("upto_ref") + F.col("tied_ref") + 1).drop("__live", "all_ref", "upto_ref", "tied_ref")
 
 
 def tail_band(percentile: Column) -> Column:

@@ -1,61 +1,73 @@
-"""Sums along a sorted column within keys, with large keys split over many tasks.
+"""Sums, places and exact quantiles along a sorted column within keys, however large a key.
 
-A window over a few keys puts each key's rows into one task. Keys of more than
-``SPLIT_ROWS`` rows are cut at quantiles of the sorted column instead: every piece is a
-window of its own and starts from the sums of the pieces before it, which are a row a
-piece. Ties never part, as a piece is a function of the value alone.
-"""
+A window over a few keys puts each key's rows into one task. Here rows are first summed by
+(key, value), with partial sums before any shuffle, so a value repeated any number of times
+is one row; the sums are written, and only if some key has more than ``SPLIT_ROWS`` distinct
+values are they dealt out by ranges of (key, value): each part then runs on its own and
+starts from the sums of the parts before it, a row a part and key."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitwise.sources.scratch import cut
+
 SPLIT_ROWS = 2_000_000
-MAX_PIECES = 1_000_000
 
 
-def cut_points(rows: DataFrame, keys: list[str], value: str, split_rows: int = SPLIT_ROWS) -> DataFrame | None:
-    """``keys, __cuts`` of the keys with more rows than ``split_rows``: where to cut them.
-    They are fixed here, once, as the quantiles are approximate. None if there are none."""
-    large = rows.groupBy(*keys).agg(F.count(value).alias("__n")).filter(F.col("__n") > split_rows)
-    pieces = large.agg(F.count("*"), F.max("__n"), F.sum("__n")).first()
-    if not pieces[0]:
-        return None
-    if pieces[2] // split_rows > MAX_PIECES:
-        raise ValueError(f"more than {MAX_PIECES} pieces: raise split_rows")
-    parts = int(pieces[1] // split_rows) + 1
-    share = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)])
-    near = rows.join(F.broadcast(large.select(*keys)), keys).groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, share, F.lit(20 * parts))).alias("__cuts"))
-    schema = near.schema
-    return rows.sparkSession.createDataFrame(near.collect(), schema)  # a value a piece, MAX_PIECES at most
+def _same(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
 
 
-def running(rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column], split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """For each of ``sums``, its sum over the key's rows of this value (``tied_``), of this
-    or a smaller one (``upto_``), and of all (``all_``). A null value is the smallest."""
-    for name, what in sums.items():
-        rows = rows.withColumn(f"__{name}", what)
-    cuts = cut_points(rows, keys, value, split_rows)
-    if cuts is None:
-        rows = rows.withColumn("__piece", F.lit(0))
-    else:
-        below = F.size(F.filter(F.coalesce("__cuts", F.array().cast(cuts.schema["__cuts"].dataType)), lambda c: c < F.col(value)))
-        rows = rows.join(F.broadcast(cuts), keys, "left").withColumn("__piece", F.coalesce(below, F.lit(0))).drop("__cuts")
-    inside, tied = Window.partitionBy(*keys, "__piece").orderBy(F.col(value).asc_nulls_first()), Window.partitionBy(*keys, "__piece", value)
-    own = rows.select("*", *[F.sum(f"__{n}").over(inside).alias(f"upto_{n}") for n in sums], *[F.sum(f"__{n}").over(tied).alias(f"tied_{n}") for n in sums])
-    if cuts is None:
-        whole = Window.partitionBy(*keys, "__piece")
-        return own.select("*", *[F.sum(f"__{n}").over(whole).alias(f"all_{n}") for n in sums]).drop("__piece", *[f"__{n}" for n in sums])
-    earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = rows.groupBy(*keys, "__piece").agg(*[F.sum(f"__{n}").alias(n) for n in sums])
-    pieces = pieces.select(*keys, "__piece", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__before_{n}") for n in sums], *[F.sum(n).over(Window.partitionBy(*keys)).alias(f"all_{n}") for n in sums])
-    pieces = pieces.withColumnsRenamed({"__piece": "__of", **{k: f"__key_{k}" for k in keys}})
-    on = F.col("__piece") == F.col("__of")
+def placed_values(rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column], split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """A row for each key and value: for each of ``sums``, its sum over the rows of this value
+    (``tied_``), of this or a smaller one (``upto_``), and of all the key's (``all_``). A null
+    value is the smallest."""
+    order = F.col(value).asc_nulls_first()
+    per = cut(rows.groupBy(*keys, value).agg(*[F.sum(what).alias(f"tied_{n}") for n, what in sums.items()]), "values")
+    large = per.groupBy(*keys).count().filter(F.col("count") > split_rows).limit(1).count() if per.limit(split_rows + 1).count() > split_rows else 0
+    if not large:
+        upto, whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
+        return per.select("*", *[F.sum(f"tied_{n}").over(upto).alias(f"upto_{n}") for n in sums], *[F.sum(f"tied_{n}").over(whole).alias(f"all_{n}") for n in sums])
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-per.count() // split_rows))
+    ranged = cut(per.repartitionByRange(parts, *keys, order).withColumn("__part", F.spark_partition_id()), "ranged")  # written, so that a part stays what it was
+    totals = ranged.groupBy(*keys, "__part").agg(*[F.sum(f"tied_{n}").alias(f"__{n}") for n in sums])
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    offsets = totals.select(
+        *[F.col(k).alias(f"__key_{k}") for k in keys], F.col("__part").alias("__of"),
+        *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__before_{n}") for n in sums], *[F.sum(f"__{n}").over(Window.partitionBy(*keys)).alias(f"all_{n}") for n in sums],
+    )
+    on = F.col("__part") == F.col("__of")
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
-    joined = own.join(pieces, on)
-    for n in sums:
-        joined = joined.withColumn(f"upto_{n}", F.col(f"upto_{n}") + F.col(f"__before_{n}"))
-    return joined.drop("__piece", "__of", *[f"__key_{k}" for k in keys], *[f"__before_{n}" for n in sums], *[f"__{n}" for n in sums])
+        on = on & _same(k, f"__key_{k}")
+    inside = Window.partitionBy(*keys, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.select("*", *[F.sum(f"tied_{n}").over(inside).alias(f"__in_{n}") for n in sums]).join(offsets, on)
+    return own.select(*keys, value, *[f"tied_{n}" for n in sums], *[(F.col(f"__in_{n}") + F.col(f"__before_{n}")).alias(f"upto_{n}") for n in sums], *[f"all_{n}" for n in sums])
+
+
+def running(rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column], split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """The rows with what ``placed_values`` has for their key and value."""
+    placed = placed_values(rows, keys, value, sums, split_rows)
+    names = [*keys, value]
+    hidden = placed.withColumnsRenamed({c: f"__p{i}" for i, c in enumerate(names)})
+    on = _same(value, f"__p{len(keys)}")
+    for i, k in enumerate(keys):
+        on = on & _same(k, f"__p{i}")
+    return rows.join(hidden, on).drop(*[f"__p{i}" for i in range(len(names))])
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, levels: tuple[float, ...], name: str = "quantiles", split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``keys, name``: an array of the quantiles of the values that are not null, linear between
+    neighbours. Ranks are found in running counts over distinct values, so no task
+    holds a group's values, as those of ``percentile`` do. Keys without values have no row."""
+    placed = placed_values(rows.filter(F.col(value).isNotNull()), keys, value, {"n": F.lit(1)}, split_rows)
+    at = [(F.col("all_n") - 1) * float(q) for q in levels]
+    reached = lambda rank: F.min(F.when(F.col("upto_n") > rank, F.col(value).cast("double")))
+    found = placed.groupBy(*keys, "all_n").agg(*[reached(end(p)).alias(f"__{w}{i}") for i, p in enumerate(at) for w, end in (("lo", F.floor), ("hi", F.ceil))])
+
+    def between(i: int, p: Column) -> Column:
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        return F.when((F.floor(p) == F.ceil(p)) | (lo == hi), lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi)
 
+    return found.select(*keys, F.array(*[between(i, p) for i, p in enumerate(at)]).alias(name))

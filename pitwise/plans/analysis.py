@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitwise.functions import numbers as N
 from pitwise.operators import aggregates as A
 from pitwise.operators import board, checks, metrics, ordered, ranking, survival, temporal
+from pitwise.operators.split import exact_quantiles
 from pitwise.plans.catalog import SEASONS, query, r6, seasons, table
 
 _S = f"WITH {SEASONS}"
@@ -62,7 +62,8 @@ def weighted_quantiles(spark, sf):
 
 @query(f"{_S} SELECT season, round(quantile_cont(value, 0.25), 4) AS q25, round(median(value), 4) AS q50 FROM seasons GROUP BY 1")
 def linear_quantiles(spark, sf):
-    return seasons(spark, sf).groupBy("season").agg(F.round(F.percentile("value", 0.25), 4).alias("q25"), F.round(F.median("value"), 4).alias("q50"))
+    q = exact_quantiles(seasons(spark, sf), ["season"], "value", (0.25, 0.5))
+    return q.select("season", F.round(F.get("quantiles", F.lit(0)), 4).alias("q25"), F.round(F.get("quantiles", F.lit(1)), 4).alias("q50"))
 
 
 _RATES = """WITH r AS (SELECT c_mktsegment AS s, c_nationkey AS n, CAST(o_orderpriority = '1-URGENT' AS INT) AS e FROM orders JOIN customer ON o_custkey = c_custkey), g AS (SELECT avg(e) AS rate FROM r),
@@ -252,8 +253,9 @@ def rank_among_reference(spark, sf):
 @query("""WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER w AS rank, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey)), p AS (SELECT *, CASE WHEN n > 1 THEN 100.0 * (n - rank) / (n - 1) ELSE 100 END AS p FROM r)
 SELECT c_custkey, round(p, 6) AS percentile, CASE WHEN p >= 99.9 THEN 'top 0.1%' WHEN p >= 99 THEN 'top 1%' WHEN p >= 95 THEN 'top 5%' WHEN p >= 90 THEN 'top 10%' WHEN p >= 75 THEN 'top 25%' ELSE 'rest' END AS band FROM p""")
 def rank_percentiles(spark, sf):
-    r = ranking.ranked(table(spark, sf, "customer"), ranking.ordering(*_NAMED["balance"]), within=["c_mktsegment"])
-    p = N.rank_percentile(F.col("rank"), F.count("*").over(Window.partitionBy("c_mktsegment")))
+    c = table(spark, sf, "customer")
+    r = ranking.ranked(c, ranking.ordering(*_NAMED["balance"]), within=["c_mktsegment"]).join(c.groupBy("c_mktsegment").agg(F.count("*").alias("n")), "c_mktsegment")
+    p = N.rank_percentile(F.col("rank"), F.col("n"))
     return r.withColumn("p", p).select("c_custkey", r6("p").alias("percentile"), ranking.tail_band(F.col("p")).alias("band"))
 
 
