@@ -192,16 +192,22 @@ def decline_boundaries(curve: DataFrame, age: str, change: str, going_on: str, s
     return t.withColumn("late_start", F.greatest(began, F.col("decline_start") + 2)).select("prime_start", "decline_start", "late_start", "decline_change", "late_rate")
 
 
-def residual_bank(rows: DataFrame, first: str, second: str, weight: str, levels: list[tuple[list[str], int]], entity: str, draws: int) -> DataFrame:
+def residual_bank(rows: DataFrame, first: str, second: str, weight: str | None, levels: list[tuple[list[str], int]], entity: str, draws: int, names: tuple[str, ...] | None = None) -> DataFrame:
     """``bank, draw, first, second``: for each group of each level with entities enough, pairs of
     residuals at ``draws`` even steps of their weight, ordered by the first, then the
-    second. ``bank`` names level and keys (``0``, ``1/hitter``)."""
+    second. ``bank`` names level and keys (``0``, ``1/hitter``), or the level by ``names``. Without
+    ``weight`` each entity of a bank weighs the same."""
     out = None
     for i, (keys, least) in enumerate(levels):
-        name = F.concat_ws("/", F.lit(str(i)), *[F.col(k).cast("string") for k in keys])
+        name = F.concat_ws("/", F.lit(names[i] if names else str(i)), *[F.col(k).cast("string") for k in keys])
         named = rows.withColumn("bank", name)
         enough = named.groupBy("bank").agg(F.countDistinct(entity).alias("__n")).filter(F.col("__n") >= least).select("bank")
-        part = named.join(enough, "bank").select("bank", F.col(first).alias("first"), F.col(second).alias("second"), F.col(weight).alias("__w"))
+        part = named.join(enough, "bank")
+        if weight is None:
+            part = part.join(named.groupBy("bank", entity).agg((1.0 / F.count("*")).alias("__w")), ["bank", entity])
+        else:
+            part = part.withColumn("__w", F.col(weight))
+        part = part.select("bank", F.col(first).alias("first"), F.col(second).alias("second"), "__w")
         out = part if out is None else out.unionByName(part)
     placed = placed_values(out.withColumn("__o", F.struct("first", "second")), ["bank"], "__o", {"w": F.col("__w")})
     share = lambda c: c / F.col("all_w")

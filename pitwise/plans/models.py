@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 CLIP, RIDGE = 1e-6, 0.01
 
 
-def classifier(kind: str, numbers: list[str], categories: list[str], label: str, weight: str | None = None) -> Pipeline:
-    """Median imputation, scaling and one-hot encoding, then ``logistic`` or ``trees``."""
+def classifier(kind: str, numbers: list[str], categories: list[str], label: str, weight: str | None = None, iterations: int = 150, least: int = 100) -> Pipeline:
+    """Median imputation, scaling and one-hot encoding, then ``logistic`` or ``trees`` (of ``least`` rows a leaf)."""
     filled, coded = [f"{c}__f" for c in numbers], [f"{c}__v" for c in categories]
     stages = [Imputer(inputCols=numbers, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="__numbers"), StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True)]
     if categories:
@@ -25,7 +25,7 @@ def classifier(kind: str, numbers: list[str], categories: list[str], label: str,
     if kind == "logistic":
         model = LogisticRegression(featuresCol="__features", labelCol=label, regParam=1 / 0.25 / 1000, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__c")
     elif kind == "trees":
-        model = GBTClassifier(featuresCol="__features", labelCol=label, maxIter=150, stepSize=0.04, maxDepth=4, minInstancesPerNode=100, seed=29, predictionCol="__c")
+        model = GBTClassifier(featuresCol="__features", labelCol=label, maxIter=iterations, stepSize=0.04, maxDepth=4, minInstancesPerNode=least, seed=29, predictionCol="__c")
         model.setProbabilityCol("__p").setRawPredictionCol("__r")
     else:
         raise ValueError(f"no model {kind}")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitwise.operators import panel
-from pitwise.plans.catalog import query, table
+from pitwise.operators import metrics, panel, scenarios
+from pitwise.operators.ordered import next_calendar_sum
+from pitwise.operators.sizes import broadcast_if_small
+from pitwise.plans import ensembles, models
+from pitwise.plans.catalog import SEASONS, query, seasons, table
+from pitwise.sources.scratch import cut
 
 #: A customer's years: orders that are filled are its batting, open ones its pitching.
 _SEASONS = """s0 AS (SELECT o_custkey AS entity, CAST(year(o_orderdate) AS INTEGER) AS season, coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN floor(o_totalprice / 1000) END), 0) AS b_pa, coalesce(sum(CASE WHEN o_orderstatus = 'O' THEN floor(o_totalprice / 1000) END), 0) AS p_ip_outs,
@@ -17,7 +22,7 @@ s2 AS (SELECT *, coalesce(age0, season + median(age0 - season) OVER (PARTITION B
 s AS (SELECT s2.*, career_end <= 2004 - 3 AND NOT coalesce(part >= career_end, false) AND c_mktsegment <> 'BUILDING' AS resolved FROM s2 JOIN customer ON c_custkey = entity WHERE season_state = 'complete')"""
 
 #: Standards of the positions as shares of what a customer may come to.
-_STANDARDS = "st AS (SELECT position, CAST(standard AS DOUBLE) AS standard FROM (VALUES ('C', 1.2), ('1B', 2.0), ('2B', 2.4), ('3B', 2.6), ('SS', 2.1), ('LF', 3.0), ('CF', 1.9), ('RF', 2.2), ('P', 1.5), ('RP', 0.8)) AS v(position, standard))"
+_STANDARDS = "st AS (SELECT position, CAST(standard AS DOUBLE) AS standard FROM (VALUES ('C', 9.5), ('1B', 11.0), ('2B', 12.25), ('3B', 13.0), ('SS', 11.5), ('LF', 14.0), ('CF', 10.0), ('RF', 12.0), ('P', 10.5), ('RP', 8.0)) AS v(position, standard))"
 
 _PANEL = f"""{_SEASONS}, {_STANDARDS}, fb AS (SELECT CASE WHEN position IN ('P', 'RP') THEN 'PITCHER_FALLBACK' ELSE 'HITTER_FALLBACK' END AS side, median(standard) AS standard FROM st GROUP BY 1),
 q AS (SELECT *, sum(b_pa) OVER w AS bat, sum(p_ip_outs) OVER w AS outs, sum(p_games) OVER w AS games, sum(p_games_started) OVER w AS starts, row_number() OVER w AS season_number,
@@ -68,3 +73,158 @@ def career_panel(spark, sf):
  FROM z WHERE resolved AND reason <> 'eligible' GROUP BY 1""")
 def career_exclusions(spark, sf):
     return panel.exclusions(_panel(spark, sf), "entity")
+
+
+# --- models over the panel ------------------------------------------------------------------
+
+_NUMBERS = ["age", "season_number", "value_to_date", "peak_to_date", "last_three", "best_to_date", "career_batting", "career_outs", "starter_share", "standard"]
+
+
+def _landmarks(spark, sf):
+    """Resolved careers, entities dealt to parts by their number; each entity weighs the same."""
+    t = _panel(spark, sf).filter("resolved")
+    bucket = F.crc32(F.col("entity").cast("string").cast("binary")) % 10
+    part = F.when(bucket < 4, "train").when(bucket < 6, "stack").when(bucket < 8, "select").otherwise("test")
+    t = t.withColumn("part", part).withColumn("y", F.col("reaches_final_standard").cast("double"))
+    n = F.count("*").over(Window.partitionBy("entity"))
+    return cut(t.withColumn("weight", 1.0 / n).withColumns({c: F.col(c).cast("double") for c in _NUMBERS}), "landmarks")
+
+
+def _families(y: str = "y"):
+    return {
+        "age_position_prior": ensembles.prior_family([["age_band", "position"], ["position"]], y, "weight"),
+        "regularized_logistic": ensembles.model_family("logistic", _NUMBERS, ["role", "position"], y, "weight"),
+        "boosted_trees": ensembles.model_family("trees", _NUMBERS, ["role", "position"], y, "weight", iterations=12, least=20),
+    }
+
+
+def _tournament(spark, sf):
+    rows = _landmarks(spark, sf).withColumn("age_band", F.floor(F.col("age") / 4))
+    return rows, ensembles.tournament(rows, "part", _families(), "y", "weight", ["entity", "season"])
+
+
+@query()
+def model_tournament(spark, sf):
+    """Champion among the prior, logistic regression, trees and their stack; a learned model has no SQL."""
+    t = _tournament(spark, sf)[1].scores
+    return t.select("part", "family", "rows", *[F.round(c, 6).alias(c) for c in ("weight", "brier", "log_loss", "base_brier")], "champion")
+
+
+@query()
+def era_sensitivity(spark, sf):
+    rows, t = _tournament(spark, sf)
+    out = ensembles.era_sensitivity(rows, "part", _families(), t.champion, "y", "weight", ["entity", "season"], "entity", "debut", (1996, 1997, 2000), least_entities=20, least_events=5)
+    return out.withColumns({c: F.round(c, 6) for c in ("brier", "log_loss")})
+
+
+@query(f"WITH {_PANEL}, fs AS (SELECT entity, CAST(et + epk >= 2 * es AS INT) AS y, row_number() OVER (ORDER BY total / standard DESC, entity) AS place, count(*) OVER () AS n, avg(CAST(et + epk >= 2 * es AS INT)) OVER () AS base FROM z WHERE season_number = 1 AND resolved), sh(share) AS (VALUES (0.01), (0.05), (0.1)) SELECT share::DOUBLE AS share, CAST(greatest(1, ceil(n * share)) AS BIGINT) AS rows, round(avg(y), 6) AS precision, round(avg(y) / any_value(base), 6) AS lift FROM fs JOIN sh ON place <= greatest(1, ceil(n * share)) GROUP BY 1, 2")
+def first_season_precision(spark, sf):
+    t = _panel(spark, sf).filter("season_number = 1 and resolved").select("entity", (F.col("value_to_date") / F.col("standard")).alias("p"), F.col("reaches_final_standard").cast("int").alias("y"))
+    return ensembles.top_precision(t, "p", "y", "entity").withColumns({c: F.round(c, 6) for c in ("precision", "lift")})
+
+
+# --- out of fold ------------------------------------------------------------------------------
+
+_ORIGINS = [1993, 1994, 1995, 1996, 1997, 1998, 1999, 2000]
+_FOLDS = f"""{SEASONS}, h0 AS (SELECT entity, season, CAST(h AS INTEGER) AS horizon, season + CAST(h AS INTEGER) AS known, c_mktsegment AS segment, value, (SELECT coalesce(sum(b.value), 0) FROM seasons b WHERE b.entity = a.entity AND b.season BETWEEN a.season + 1 AND a.season + h) > 250000 * h AS y
+ FROM seasons a JOIN customer ON c_custkey = entity CROSS JOIN (VALUES (1), (2)) v(h)), h AS (SELECT * FROM h0 WHERE known <= 2001), o AS (SELECT CAST(unnest(range(1993, 2001)) AS INTEGER) AS fold),
+tr AS (SELECT fold, h.* FROM o JOIN h ON greatest(known, season + 1) <= fold), su AS (SELECT fold, count(*) AS train_rows, count(*) FILTER (WHERE y) AS events FROM tr GROUP BY 1), te AS (SELECT season AS fold, count(*) AS test_rows FROM h GROUP BY 1),
+mg AS (SELECT h.season AS fold, count(DISTINCT horizon) FILTER (WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.fold = h.season AND tr.horizon = h.horizon)) AS missing_groups FROM h GROUP BY 1),
+fo AS (SELECT o.fold, coalesce(train_rows, 0) AS train_rows, coalesce(events, 0) AS events, coalesce(test_rows, 0) AS test_rows, coalesce(missing_groups, 0) AS missing_groups FROM o LEFT JOIN su USING (fold) LEFT JOIN te USING (fold) LEFT JOIN mg USING (fold)),
+st AS (SELECT *, CASE WHEN train_rows < 100 THEN 'few_rows' WHEN least(events, train_rows - events) < 10 THEN 'few_outcomes' WHEN test_rows = 0 THEN 'no_test_rows' WHEN missing_groups > 0 THEN 'unsupported_groups' ELSE 'fitted' END AS status FROM fo)"""
+
+
+def _folds(spark, sf):
+    s = seasons(spark, sf)
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("segment"))
+    t = next_calendar_sum(next_calendar_sum(s, "entity", "season", "value", 1, "v1"), "entity", "season", "value", 2, "v2").join(c, "entity")
+    h = F.explode(F.array(*[F.struct(F.lit(i).alias("horizon"), (F.col(f"v{i}") > 250_000 * i).alias("y")) for i in (1, 2)])).alias("h")
+    t = t.select("entity", "season", "segment", "value", h).select("*", "h.*").drop("h").withColumn("known", F.col("season") + F.col("horizon")).filter("known <= 2001")
+    return cut(t.withColumn("y", F.col("y").cast("double")).withColumn("snapshot", F.concat_ws("/", "entity", "season")), "folded")
+
+
+@query(f"""WITH {_FOLDS}, al AS (SELECT fold, avg(CAST(y AS INT)) AS r FROM tr GROUP BY 1), lv AS (SELECT fold, horizon, segment, sum(CAST(y AS INT)) AS e, count(*) AS n FROM tr GROUP BY 1, 2, 3), kn AS (SELECT entity, min(greatest(known, season + 1)) AS k FROM h GROUP BY 1),
+p AS (SELECT h.*, (e + 20 * r) / (n + 20) AS p, k > season AS cold FROM h JOIN st ON st.fold = season AND status = 'fitted' JOIN al ON al.fold = season JOIN lv ON lv.fold = season AND lv.horizon = h.horizon AND lv.segment = h.segment JOIN kn USING (entity))
+SELECT entity, season, horizon, cold, CAST(y AS INTEGER) AS y, round(least(greatest(p, 1e-6), 1 - 1e-6), 6) AS probability, round(1.0 / (SELECT count(DISTINCT q.season) FROM p q WHERE q.entity = p.entity) / count(*) OVER (PARTITION BY entity, season), 6) AS weight FROM p""")
+def out_of_fold_priors(spark, sf):
+    fit = ensembles.prior_family([["horizon", "segment"], ["horizon"]], "y")
+    made, _ = ensembles.out_of_fold(_folds(spark, sf), "season", "known", "entity", "snapshot", "y", fit, _ORIGINS, groups="horizon")
+    return made.select("entity", "season", "horizon", "cold", F.col("y").cast("int").alias("y"), F.round("probability", 6).alias("probability"), F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {_FOLDS} SELECT CAST(fold AS INTEGER) AS fold, train_rows, events, test_rows, missing_groups, status FROM st")
+def out_of_fold_support(spark, sf):
+    fit = ensembles.prior_family([["horizon"]], "y")
+    return ensembles.out_of_fold(_folds(spark, sf), "season", "known", "entity", "snapshot", "y", fit, _ORIGINS, groups="horizon")[1]
+
+
+@query()
+def out_of_fold_calibrated(spark, sf):
+    """Logistic models, one an origin, then a bounded calibration by horizon of what they said of rows they never saw."""
+    rows = _folds(spark, sf).withColumn("value", F.col("value").cast("double"))
+    fit = ensembles.model_family("logistic", ["value"], ["segment", "horizon_name"], "y")
+    made, _ = ensembles.out_of_fold(rows.withColumn("horizon_name", F.col("horizon").cast("string")), "season", "known", "entity", "snapshot", "y", fit, _ORIGINS[-3:], groups="horizon_name")
+    made = cut(made.withColumn("cold_start", F.col("cold").cast("double")), "out-of-fold")
+    out = models.calibrated(made, models.calibrations(made, "horizon", "probability", "y", "weight", "cold_start"), "horizon", "probability", "calibrated", "cold_start")
+    return out.select("entity", "season", "horizon", "cold", F.col("y").cast("int").alias("y"), F.round("probability", 6).alias("probability"), F.round("calibrated", 6).alias("calibrated"))
+
+
+# --- paired scenarios ---------------------------------------------------------------------------
+
+_LEAST = {"all": 0, "role": 20, "stage": 20, "role_stage": 20, "tier": 8}
+
+
+def _scenario_rows(spark, sf):
+    """Resolved landmarks with what was still to come and centres by role and season number (means of all)."""
+    t = _panel(spark, sf).filter("resolved").withColumn("more", F.col("final_value") - F.col("value_to_date")).withColumn("more_peak", F.col("final_peak") - F.col("peak_to_date"))
+    centre = t.groupBy("role", "season_number").agg(F.round(F.avg("more"), 7).alias("c1"), F.round(F.avg("more_peak"), 7).alias("c2"))
+    t = t.join(broadcast_if_small(centre), ["role", "season_number"])
+    return cut(t.select("entity", "season", "role", "season_number", "value_to_date", "peak_to_date", "standard", "reaches_standard", F.round(F.col("more") - F.col("c1"), 7).alias("r1"), F.round(F.col("more_peak") - F.col("c2"), 7).alias("r2"), (F.col("value_to_date") + F.col("c1")).alias("final"), (F.col("peak_to_date") + F.col("c2")).alias("second")), "scenario-rows")
+
+
+_BANKS = f"""{_PANEL}, b0 AS (SELECT entity, season, role, season_number, total AS value, et - total AS more, epk - peak AS more_peak FROM z WHERE resolved), b1 AS (SELECT *, round(avg(more) OVER w, 7) AS c1, round(avg(more_peak) OVER w, 7) AS c2 FROM b0 WINDOW w AS (PARTITION BY role, season_number)),
+b2 AS (SELECT entity, season, role, value, round(more - c1, 7) AS r1, round(more_peak - c2, 7) AS r2, CASE WHEN season_number = 1 THEN 'first' WHEN season_number <= 3 THEN 'seasons_2_3' WHEN season_number <= 6 THEN 'seasons_4_6' WHEN season_number <= 10 THEN 'seasons_7_10' ELSE 'season_11_plus' END AS stage FROM b1),
+b3 AS (SELECT role, stage, quantile_cont(value, 0.7) AS e70, quantile_cont(value, 0.9) AS e90 FROM b2 GROUP BY 1, 2 HAVING count(DISTINCT entity) >= 20),
+b4 AS (SELECT b2.*, CASE WHEN value >= e90 THEN 'top_10' WHEN value >= e70 THEN 'upper_30' WHEN e70 IS NOT NULL THEN 'base_70' END AS tier FROM b2 LEFT JOIN b3 USING (role, stage)),
+n0 AS (SELECT '0' AS bank, 0 AS least, * FROM b4 UNION ALL SELECT '1/' || role, 20, * FROM b4 UNION ALL SELECT '2/' || stage, 20, * FROM b4 UNION ALL SELECT '3/' || role || '/' || stage, 20, * FROM b4 UNION ALL SELECT '4/' || role || '/' || stage || '/' || tier, 8, * FROM b4 WHERE tier IS NOT NULL),
+n1 AS (SELECT n0.*, 1.0 / count(*) OVER (PARTITION BY bank, entity) AS w FROM n0 WHERE bank IN (SELECT bank FROM n0 GROUP BY bank, least HAVING count(DISTINCT entity) >= least)),
+n2 AS (SELECT bank, r1, r2, sum(sum(w)) OVER (PARTITION BY bank ORDER BY r1, r2) / sum(sum(w)) OVER (PARTITION BY bank) AS hi FROM n1 GROUP BY 1, 2, 3),
+dr AS (SELECT bank, draw, min((r1, r2)) AS x FROM n2 JOIN (SELECT unnest(range(0, 60)) AS draw) ON hi >= (draw + 0.5) / 60 - 1e-9 GROUP BY 1, 2), bk AS (SELECT bank, draw, struct_extract(x, 1) AS first, struct_extract(x, 2) AS second FROM dr)"""
+
+
+def _bank(rows):
+    return scenarios.paired_bank(rows, "role", "season_number", "value_to_date", "r1", "r2", "entity", draws=60, least=_LEAST)
+
+
+@query(f"WITH {_BANKS} SELECT bank, draw, round(first, 6) AS first, round(second, 6) AS second FROM bk")
+def paired_scenario_bank(spark, sf):
+    return _bank(_scenario_rows(spark, sf))[1].select("bank", "draw", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"))
+
+
+@query(f"""WITH {_BANKS}, kk AS (SELECT DISTINCT bank FROM bk) SELECT entity, season, coalesce((SELECT bank FROM kk WHERE bank = '4/' || role || '/' || stage || '/' || tier), (SELECT bank FROM kk WHERE bank = '3/' || role || '/' || stage), (SELECT bank FROM kk WHERE bank = '2/' || stage), (SELECT bank FROM kk WHERE bank = '1/' || role), '0') AS bank FROM b4""")
+def chosen_scenario_bank(spark, sf):
+    rows = _scenario_rows(spark, sf)
+    return scenarios.with_bank(rows, *_bank(rows), "role", "season_number", "value_to_date").select("entity", "season", "bank")
+
+
+@query()
+def tilted_distributions(spark, sf):
+    """Quantiles of four outputs of pairs tilted to a rate; held against plain numpy in a test."""
+    rows = _scenario_rows(spark, sf)
+    edges, bank = _bank(rows)
+    t = scenarios.with_bank(rows, edges, cut(bank, "bank"), "role", "season_number", "value_to_date").withColumn("p", F.least(F.lit(0.95), F.greatest(F.lit(0.02), F.col("final") / F.col("standard") / 4)))
+    out = scenarios.scenario_distributions(t, bank, ["entity", "season"], "final", "second", "peak_to_date", "standard", "p")
+    return out.withColumns({c: F.transform(c, lambda x: F.round(x, 6)) for c in ("final", "second", "blend", "margin")}).withColumns({c: F.round(c, 6) for c in ("probability", "shift")})
+
+
+@query()
+def bootstrap_gates(spark, sf):
+    """The model's Brier score against a flat one and a near one, cells of priority and segment, customers drawn with replacement."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    t = o.join(c, F.col("c_custkey") == F.col("o_custkey")).select(
+        "o_custkey", "o_orderpriority", "c_mktsegment", (F.col("o_totalprice") * (0.7 + F.col("o_orderkey") % 7 / 10) > 200_000).cast("double").alias("y"), F.least(F.lit(0.95), F.col("o_totalprice") / 500_000).alias("model"), F.lit(0.5).alias("half"), F.least(F.lit(0.9), F.col("o_totalprice") / 420_000).alias("near")
+    )
+    cells = ("o_orderpriority", "c_mktsegment")
+    points, drawn = metrics.paired_improvements(t, "o_custkey", cells, "y", "model", ["half", "near"], replicates=400)
+    out = metrics.macro_comparison(points, drawn, cells)
+    return out.withColumns({x: F.round(x, 8) for x in ("macro", "macro_low", "macro_high")})
