@@ -2,43 +2,95 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitwise.functions.text import person_name
+from pitwise.operators.graph import connected
 from pitwise.operators.temporal import first_by, valid_at
-from pitwise.sources.scratch import cut
+from pitwise.sources.scratch import cut, forget
 
-MAX_ROUNDS = 200
+#: Groups of up to so many rows are decided in order in one task, once rounds settle little.
+FOLD_ROWS = 500_000
+#: A round settles enough if it leaves less than this share of the rows.
+SLOW = 0.9
 
 
-def first_accepted(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
+def _in_order(order: str, keys: list[str]):
+    """A function of one group's rows: those that are accepted, going through them in order."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        seen: list[set] = [set() for _ in keys]
+        kept = []
+        for values in pdf[keys].itertuples(index=False):
+            own = [None if v is None or v != v else v for v in values]
+            ok = not any(v is not None and v in s for v, s in zip(own, seen))
+            kept.append(ok)
+            if ok:
+                for v, s in zip(own, seen):
+                    s.add(v)
+        return pdf.loc[kept, [order, *keys]]
+
+    return fold
+
+
+def first_accepted(rows: DataFrame, order: str, keys: list[str], fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Rows in ``order`` (unique) of which one is accepted if no accepted one before it has
     any of its keys; ``duplicate_of`` names the first key of ``keys`` that an accepted
-    earlier row has, null for the accepted.
+    earlier row has, null for the accepted. A null key is shared with nobody.
+
+    Each round accepts the rows that come first in all of their keys and drops those which
+    share a key with them: that settles most rows at once, but only two of a chain. When a
+    round leaves nearly all, what is left is parted into groups that hang together
+    through keys, and each group of up to ``fold_rows`` is gone through in order, in a task
+    of its own; larger ones, if there are any, go on in rounds, each of which settles rows of every group."""
+    left, accepted, folded = cut(rows.select(order, *keys), "undecided"), [], False
+    count = left.count()
+
+    def without(t: DataFrame, now: DataFrame) -> DataFrame:
+        t = t.join(now.select(order), order, "left_anti")
+        for k in keys:
+            t = t.join(now.select(k).filter(F.col(k).isNotNull()), k, "left_anti")
+        return t.select(order, *keys)
 
-    Each round accepts the rows that come first in all of their keys and drops those
-    which share a key with them, so a round settles what does not depend on a longer chain."""
-    left, accepted = cut(rows.select(order, *keys), "undecided"), None
-    for _ in range(MAX_ROUNDS):
+    while count:
         first = left
         for k in keys:
-            first = first.withColumn(f"__{k}", F.min(order).over(Window.partitionBy(k)))
-        now = first.filter(" and ".join(f"`{order}` = `__{k}`" for k in keys)).select(order, *keys)
-        now = cut(now, "accepted")
-        if now.isEmpty():
-            break
-        accepted = now if accepted is None else accepted.unionByName(now)
-        for k in keys:
-            left = left.join(now.select(k), k, "left_anti")
-        left = cut(left.select(order, *keys), "undecided")
-    else:
-        raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
-    if accepted is None:
+            least = left.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"__{k}"))
+            first = first.join(least, k, "left")
+        now = cut(first.filter(" and ".join(f"coalesce(`__{k}`, `{order}`) = `{order}`" for k in keys)).select(order, *keys), "accepted")
+        accepted.append(now)
+        before, left = left, cut(without(left, now), "undecided")
+        forget(before)
+        count, last = left.count(), count
+        if count and not folded and count > SLOW * last:
+            folded = True
+            edges = None
+            for k in keys:
+                some = left.filter(F.col(k).isNotNull())
+                least = some.groupBy(k).agg(F.min(order).alias("v"))
+                met = some.join(least, k).select(F.col(order).alias("u"), "v")
+                edges = met if edges is None else edges.unionByName(met)
+            group = connected(edges).withColumnRenamed("node", order)
+            placed = cut(left.join(group, order, "left").withColumn("group", F.coalesce("group", F.col(order))), "grouped")
+            small = placed.groupBy("group").count().filter(F.col("count") <= fold_rows).select("group")
+            kinds = T.StructType([rows.schema[c] for c in (order, *keys)])
+            now = cut(placed.join(small, "group").groupBy("group").applyInPandas(_in_order(order, keys), kinds), "accepted")
+            accepted.append(now)
+            before, left = left, cut(placed.join(small, "group", "left_anti").select(order, *keys), "undecided")
+            forget(before, placed)
+            count = left.count()
+    if not accepted:
         return rows.withColumn("duplicate_of", F.lit(None).cast("string"))
+    whole = accepted[0]
+    for t in accepted[1:]:
+        whole = whole.unionByName(t)
     out = rows
     for k in keys:
-        out = out.join(accepted.select(k, F.col(order).alias(f"__{k}")), k, "left")
+        out = out.join(whole.filter(F.col(k).isNotNull()).select(k, F.col(order).alias(f"__{k}")), k, "left")
     found = F.coalesce(*[F.when(F.col(f"__{k}") < F.col(order), k) for k in keys])
     return out.select(*rows.columns, found.alias("duplicate_of"))
 

@@ -10,6 +10,7 @@ from test_oracle import SF
 
 from pitwise import registry
 from pitwise.operators import careers, cohorts, crosswalk, evaluation, publication
+from pitwise.operators.graph import connected
 from pitwise.operators.split import running
 from pitwise.plans import careers as plans
 from pitwise.plans import models
@@ -31,6 +32,35 @@ def test_first_accepted_is_greedy_in_order(spark):
         assert {x.n: x.duplicate_of for x in got} == want
 
 
+def accepted_in_order(rows):
+    seen, want = ({}, {}), {}
+    for i, *keys in sorted(rows):
+        want[i] = next((name for name, k, s in zip("ab", keys, seen) if k is not None and k in s), None)
+        if want[i] is None:
+            for k, s in zip(keys, seen):
+                s[k] = i
+    return want
+
+
+def test_a_chain_of_ten_thousand_rows_is_decided(spark):
+    chain = [(i, f"k{i}", f"k{i + 1}x") if i % 2 else (i, f"k{i + 1}", f"k{i}x") for i in range(10_000)]  # each row shares a key with the one before and after it
+    other = [(20_000 + i, None, f"n{i % 3}") for i in range(9)] + [(30_000 + i, None, None) for i in range(3)] + [(40_000 + i, "hot", f"h{i // 2}") for i in range(50)]
+    rows = chain + other
+    t = spark.createDataFrame(rows, "n long, a string, b string").repartition(4)
+    got = {r.n: r.duplicate_of for r in crosswalk.first_accepted(t, "n", ["a", "b"]).collect()}
+    assert got == accepted_in_order(rows)
+    short = [r for r in rows if r[0] < 24 or r[0] >= 20_000]  # groups too large for one task go on in rounds
+    got = {r.n: r.duplicate_of for r in crosswalk.first_accepted(t.filter("n < 24 or n >= 20000"), "n", ["a", "b"], fold_rows=3).collect()}
+    assert got == accepted_in_order(short)
+
+
+def test_groups_through_shared_keys(spark):
+    path, star = [(i, i + 1) for i in range(100, 170)], [(9, i) for i in range(10, 40)]
+    got = {r.node: r.group for r in connected(spark.createDataFrame(path + star + [(3, 3)], "u long, v long")).collect()}
+    assert got == {i: 100 for i in range(100, 171)} | {i: 9 for i in range(9, 40)}
+    assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_composed_crosswalk_against_the_rules_in_order(spark):
     got = {r.n: (r.reason, r.crosswalk_season) for r in plans.composed_crosswalk(spark, SF).collect()}
     customers = [r[0] for r in table(spark, SF, "customer").select("c_custkey").collect()]
