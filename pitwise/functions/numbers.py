@@ -11,6 +11,19 @@ ANCHORS = ((0.0, 0.0), (5.0, 20.0), (20.0, 45.0), (40.0, 65.0), (60.0, 80.0), (8
 LEVEL_WEIGHTS = (0.5, 0.3, 0.2)
 
 
+def interpolated(at: Column, xs: Column, ys: Column) -> Column:
+    """The line through the points of two arrays (``xs`` rising) at ``at``, held at the ends;
+    null without points, where they differ in number or where ``at`` is null."""
+    n = F.size(xs)
+    below = F.size(F.filter(xs, lambda x: x <= at))
+    i = F.greatest(F.least(below, n - 1), F.lit(1))
+    x0, x1, y0, y1 = (F.try_element_at(a, k.cast("int")) for a, k in ((xs, i), (xs, i + 1), (ys, i), (ys, i + 1)))
+    inner = y0 + (at - x0) / F.nullif(x1 - x0, F.lit(0.0)) * (y1 - y0)
+    first, last = F.try_element_at(ys, F.lit(1)), F.try_element_at(ys, F.lit(-1))
+    held = F.when(at <= F.try_element_at(xs, F.lit(1)), first).when(at >= F.try_element_at(xs, F.lit(-1)), last).otherwise(inner)
+    return F.when((n == F.size(ys)) & (n > 0) & at.isNotNull(), held)
+
+
 def safe_ratio(top: Column, bottom: Column) -> Column:
     """Null over nothing."""
     return top / F.nullif(bottom, F.lit(0))

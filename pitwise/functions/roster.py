@@ -113,15 +113,41 @@ def _of(metrics: Column, keys: tuple[str, ...]) -> Column:
     return F.filter(metrics, lambda m: F.lower(F.trim(m["key"])).isin(*keys))
 
 
-def handling_codes(stage: Column, kind: Column, withheld: Column, has_forecast: Column, warned: Column, prior_missing: Column, id_missing: Column) -> Column:
-    """The notes that a record needs, in order, joined by commas; none for a standard one."""
+#: The note of each registered warning, and the order of notes.
+WARNING_NOTES = {
+    "two_way_target_not_preregistered_forecast_withheld": "two_way_model_scope",
+    "partial_only_unvalidated_forecast_withheld": "rookie_model_pending",
+    "broad_role_switch_target_not_supported_forecast_withheld": "role_transition_model_scope",
+    "current_role_transition_forecast_withheld": "role_transition_model_scope",
+    "synthetic_hall_standard_forecast_withheld": "hall_standard_model_scope",
+    "bridge_debut_age_outside_supported_range_forecast_withheld": "debut_age_model_scope",
+    "bridge_debut_age_cell_missing_forecast_withheld": "debut_age_model_scope",
+    "young_elite_distribution_gate_failed_forecast_withheld": "young_elite_model_scope",
+    "stale_return_feature_state_forecast_withheld": "stale_return_features",
+    "current_opportunity_unobserved_forecast_withheld": "current_opportunity_missing",
+}
+NOTE_ORDER = (
+    "two_way_model_scope", "role_transition_model_scope", "hall_standard_model_scope", "debut_age_model_scope", "post_debut_minor_assignment", "young_elite_model_scope", "rookie_model_pending", "stale_return_features", "current_opportunity_missing",
+    "rookie_prior_unmatched", "identity_link_missing", "forecast_not_available", "forecast_withheld_other",
+)
+
+
+def handling_codes(stage: Column, kind: Column, withheld: Column, has_forecast: Column, warnings: Column, prior_missing: Column, id_missing: Column) -> Column:
+    """The notes that a record needs, in the order of their priority, each once, joined by
+    commas; none for a standard one. ``warnings`` is the forecast's array: each registered one
+    gives its note, and a withheld forecast with any of them is not one withheld for other reasons."""
+    noted = F.coalesce(F.transform(warnings, lambda w: _looked_up(WARNING_NOTES, w)), F.array().cast("array<string>"))
+    registered = F.exists(noted, lambda n: n.isNotNull())
     two_way = kind == "Two-way"
     late = ~stage.isin("pre_debut", "post_debut_minors", "inactive")
-    codes = [  # fixed values: the codes and their order
-        ("two_way_model_scope", two_way), ("post_debut_minor_assignment", stage == "post_debut_minors"), ("rookie_prior_unmatched", (stage == "recent_callup") & prior_missing), ("identity_link_missing", id_missing),
-        ("forecast_withheld_other", withheld & ~warned & ~two_way), ("forecast_not_available", ~has_forecast & late),
-    ]
-    return F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(when, F.lit(False)), code) for code, when in codes])), ",")
+    other = withheld & ~registered & ~two_way
+    own = {
+        "two_way_model_scope": two_way, "post_debut_minor_assignment": stage == "post_debut_minors", "rookie_prior_unmatched": (stage == "recent_callup") & prior_missing, "identity_link_missing": id_missing,
+        "forecast_withheld_other": other, "forecast_not_available": ~has_forecast & late & ~other,
+    }
+    needed = lambda code: F.coalesce(own[code], F.lit(False)) if code in own else F.lit(False)
+    told = [F.when(F.array_contains(F.array_compact(noted), code) | needed(code), code) for code in NOTE_ORDER]
+    return F.array_join(F.array_compact(F.array(*told)), ",")
 
 
 def trajectory_state(number: Column, value: Column, trend: Column, exceptional: Column, expected: Column, launch_high: float, launch_median: float, upper: float, median: float, tolerance: float) -> Column:

@@ -20,8 +20,9 @@ def _without_marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def without_marks(text: Column) -> Column:
-    """Compatibility decomposition without combining marks (Spark has none)."""
-    return pandas_udf(_without_marks, "string")(text)
+    """Compatibility decomposition without combining marks (Spark has none). Texts of ASCII
+    alone are as they are; only others are sent to Python."""
+    return F.coalesce(pandas_udf(_without_marks, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def search_key(text: Column) -> Column:

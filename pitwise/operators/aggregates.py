@@ -12,11 +12,21 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * w) / F.nullif(F.sum(w), F.lit(0))
 
 
-def entity_weight(*entity: str, mean_one: bool = False) -> Column:
-    """``1 / rows of the entity``, or the same scaled to a mean of one over all rows.
-    The scaled form needs the whole table in one window; join a count instead there."""
-    w = 1.0 / F.count("*").over(Window.partitionBy(*entity))
-    return w / F.avg(w).over(Window.partitionBy()) if mean_one else w
+def entity_weight(*entity: str) -> Column:
+    """``1 / rows of the entity``."""
+    return 1.0 / F.count("*").over(Window.partitionBy(*entity))
+
+
+def mean_one_weights(rows: DataFrame, entity: list[str], name: str) -> DataFrame:
+    """``1 / rows of the entity``, scaled to a mean of one over all rows: entities weigh the
+    same, and the weights sum to the rows."""
+    per = rows.groupBy(*entity).agg(F.count("*").alias("__n")).withColumnsRenamed({k: f"__k_{k}" for k in entity})
+    mean = per.agg((F.count("*") / F.sum("__n")).alias("__mean"))  # one row: entities over rows
+    on = F.lit(True)
+    for k in entity:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    met = rows.join(per, on).join(F.broadcast(mean))
+    return met.withColumn(name, 1.0 / F.col("__n") / F.col("__mean")).drop("__n", "__mean", *[f"__k_{k}" for k in entity])
 
 
 def two_level_weights(rows: DataFrame, entity: str, snapshot: str, name: str) -> DataFrame:

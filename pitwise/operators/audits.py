@@ -157,12 +157,15 @@ def quarantine_stale(members: DataFrame, teams: DataFrame, team: str, parent: st
 
 
 def schema_fingerprint(docs: DataFrame, doc: str) -> DataFrame:
-    """One row: the keys of the JSON objects with the kinds of their values, in order, and
-    the digest of that."""
-    parsed = F.try_parse_json(F.col(doc))
-    fields = docs.select(F.explode(F.from_json(F.col(doc), "map<string,string>")).alias("key", "text"), parsed.alias("v")).filter("key is not null")
-    kind = F.when(F.col("text").isNull(), "null").when(F.trim("text").startswith("["), "array").when(F.trim("text").startswith("{"), "object").when(F.col("text").isin("true", "false"), "boolean").when(F.col("text").try_cast("double").isNotNull(), "number").otherwise("string")
-    shape = fields.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set(kind)), "|").alias("kinds"))
-    text = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "key", "kinds"))), ",")  # a row a key
+    """One row: ``shape``, a JSON array of the keys of the JSON objects, in order, each with the
+    kinds that its values have in JSON (so the string "12" is a string), and ``fingerprint``,
+    its digest. Texts that are not JSON objects have no keys."""
+    parsed = docs.select(F.try_parse_json(F.col(doc)).alias("v")).filter("schema_of_variant(v) like 'OBJECT%'")
+    fields = parsed.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer())).select("key", F.schema_of_variant("value").alias("t"))
+    named = F.when(F.col("t") == "VOID", "null").when(F.col("t").startswith("ARRAY"), "array").when(F.col("t").startswith("OBJECT"), "object").when(F.col("t") == "BOOLEAN", "boolean").when(F.col("t") == "STRING", "string").otherwise("number")
+    shape = fields.groupBy("key").agg(F.array_sort(F.collect_set(named)).alias("kinds"))  # six kinds at most
+    quoted = lambda what: F.regexp_extract(F.to_json(F.array(what)), r"(?s)^\[(.*)\]$", 1)
+    entry = F.concat(F.lit("["), quoted(F.col("key")), F.lit(","), F.to_json("kinds"), F.lit("]"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("key", entry.alias("text")))), lambda e: e["text"])  # a row a key
+    text = F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))
     return shape.agg(text.alias("shape")).withColumn("fingerprint", F.sha2("shape", 256))
-

@@ -114,6 +114,34 @@ def appearance_role(batting: Column, pitching_outs: Column, position_role: Colum
     return F.when(bats & pitches, "two_way").when(pitches, "pitcher").when(bats, "hitter").otherwise(position_role)
 
 
+#: Games, appearances and outs that are material, and tokens that are no fielding of a hitter.
+MATERIAL_GAMES, MATERIAL_BATTING, MATERIAL_OUTS = 20, 60, 60
+NO_FIELDING = ("P", "UNK")
+
+
+def aggregate_roles(rows: DataFrame, keys: list[str], games: str, batting: str, outs: str, position: str, role: str) -> DataFrame:
+    """``keys, role, basis`` of all of an entity's rows together: ``two_way`` needs both workloads
+    and fielding at another position than the mound; fielding there makes a ``hitter``;
+    outs or the position a ``pitcher``; mere batting a ``hitter``; else the sources' role, if they agree.
+    Both are null without any of these."""
+    tokens = F.filter(F.transform(F.split(F.coalesce(F.col(position), F.lit("")), "/"), lambda t: F.upper(F.trim(t))), lambda t: t != "")
+    told = F.lower(F.trim(F.col(role)))
+    total = lambda c: F.sum(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)))
+    met = rows.groupBy(*keys).agg(
+        total(games).alias("__g"), total(batting).alias("__b"), total(outs).alias("__o"), F.max(F.exists(tokens, lambda t: ~t.isin(*NO_FIELDING))).alias("__fields"), F.max(F.array_contains(tokens, "P")).alias("__pitches"),
+        F.min(F.when(told != "", told)).alias("__low"), F.max(F.when(told != "", told)).alias("__high"),
+    )
+    material = (F.col("__g") >= MATERIAL_GAMES) & (F.col("__b") >= MATERIAL_BATTING) & (F.col("__o") >= MATERIAL_OUTS)
+    agreed = F.when((F.col("__low") == F.col("__high")) & F.col("__low").isin("hitter", "pitcher"), F.col("__low"))
+    cases = [
+        (material & F.col("__fields"), F.lit("two_way"), F.lit("material_batting_and_pitching_with_position_evidence")), (F.col("__fields"), F.lit("hitter"), F.lit("position_player_with_incidental_or_no_pitching")),
+        ((F.col("__o") > 0) | F.col("__pitches"), F.lit("pitcher"), F.lit("pitcher_with_incidental_or_no_batting")), (F.col("__b") > 0, F.lit("hitter"), F.lit("batting_opportunity_without_position_evidence")),
+        (agreed.isNotNull(), agreed, F.concat(F.lit("unanimous_source_"), agreed, F.lit("_without_pa_ip_or_known_position"))),
+    ]
+    picked = F.coalesce(*[F.when(when, F.struct(r.alias("role"), basis.alias("basis"))) for when, r, basis in cases])
+    return met.select(*keys, picked["role"].alias("role"), picked["basis"].alias("basis"))
+
+
 def landmark_panel(seasons: DataFrame, entity: str, season: str, value: str, side_a: str, side_b: str, standards: DataFrame, role: str, standard: str, peak: int = 7) -> DataFrame:
     """Every season as a landmark with what was known then: the prefix features, the role
     by the greater workload so far (``side_a`` wins ties), the career-and-peak mean

@@ -250,6 +250,28 @@ def scenario_quantiles(scenarios: DataFrame, key: str, value: str, levels: tuple
     return weighted_quantiles(scenarios, [key], value, "weight", levels)
 
 
+#: The support that a signal needs, the greatest age percentile, the least
+#: workloads, probability and edge, and what makes it one of priority.
+SIGNAL_PLAYERS, SIGNAL_ROWS, SIGNAL_EVENTS = 400, 100, 5
+SIGNAL_AGE, SIGNAL_PROBABILITY, SIGNAL_EDGE = 33.0, 0.20, 0.10
+SIGNAL_BATTING, SIGNAL_INNINGS = 75.0, 20.0
+PRIORITY_EDGE, PRIORITY_AGE = 0.25, 25.0
+
+
+def signal_gates(role: Column, age_percentile: Column, age_players: Column, workload: Column, support: list[tuple[Column, Column]], primary: tuple[Column, Column], long: tuple[Column, Column], players: int = SIGNAL_PLAYERS, rows: int = SIGNAL_ROWS, events: int = SIGNAL_EVENTS) -> tuple[Column, Column, Column]:
+    """``eligibility`` by six gates. ``support`` has rows and events of the baseline at each horizon, ``primary`` and
+    ``long`` the candidate's and the baseline's probability."""
+    edge = F.round(primary[0] - primary[1], 8)
+    held = age_players >= players
+    for n, e in support:
+        held = held & (n >= rows) & (e >= events)
+    gates = {
+        "supported_context": held, "young_for_role_and_level": age_percentile <= SIGNAL_AGE, "minimum_workload": workload >= F.when(role == "hitter", SIGNAL_BATTING).otherwise(SIGNAL_INNINGS), "minimum_probability": primary[0] >= SIGNAL_PROBABILITY,
+        "primary_edge": edge >= SIGNAL_EDGE, "long_edge": F.round(long[0] - long[1], 8) > 0,
+    }
+    return eligibility(gates, (edge >= PRIORITY_EDGE) & (age_percentile <= PRIORITY_AGE))
+
+
 def eligibility(gates: dict[str, Column], priority: Column) -> tuple[Column, Column, Column]:
     """Whether all gates hold (null does not), the tier, and the gates that fail."""
     held = {name: F.coalesce(ok, F.lit(False)) for name, ok in gates.items()}

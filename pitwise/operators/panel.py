@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwise.functions.roster import HITTER_POSITIONS, position_code
+from pitwise.functions.safe import first_present
 from pitwise.operators.careers import ages_from_seasons
 from pitwise.operators.sizes import broadcast_if_small
 
@@ -57,6 +58,35 @@ def season_role(batting: Column, outs: Column, reported: Column) -> Column:
     return F.when((b > 0) | (o > 0), shown).otherwise(F.when(told.isin("hitter", "pitcher", "two_way"), told).otherwise(shown))
 
 
+#: Names under which sources have the columns, the first that is there counting.
+ALIASES = {
+    "entity": ("bbref_id", "player_id", "bbrefId", "source_player_id", "playerID"), "season": ("season", "year", "year_id", "yearID"), "season_state": ("season_state", "seasonState"), "age": ("age", "age_midseason", "ageMidseason"),
+    "position": ("position", "pos", "primary_position"), "role": ("role", "player_type", "playerType", "source_role"), "b_pa": ("b_pa", "pa", "batting_pa"), "p_ip_outs": ("p_ip_outs", "pitching_outs", "ipouts"), "p_games": ("p_games", "p_g", "pitching_g"),
+    "p_games_started": ("p_games_started", "p_gs", "pitching_gs"), "b_war": ("b_war", "batting_war", "war_bat"), "p_war": ("p_war", "pitching_war", "war_pitch"), "total_war": ("total_war", "war", "WAR"),
+}
+_TEXTS = {"entity": None, "season_state": "complete", "position": "", "role": ""}
+
+
+def season_rows(rows: DataFrame) -> DataFrame:
+    """A source's seasons under the names of ``Seasons``: columns by ``ALIASES``, numbers that cannot
+    be read as null, a missing state as complete, and ``role`` by what the season's workloads show."""
+    found = {name: first_present(rows.columns, *aliases) for name, aliases in ALIASES.items()}
+    missing = [name for name in ("entity", "season") if found[name] is None]
+    if missing:
+        raise ValueError(f"no column for {missing}")
+
+    def read(name: str) -> Column:
+        if name == "entity":
+            return F.col(found[name])
+        if name in _TEXTS:
+            return F.coalesce(F.trim(F.col(found[name]).cast("string")), F.lit(_TEXTS[name])) if found[name] else F.lit(_TEXTS[name])
+        value = F.col(found[name]).try_cast("double") if found[name] else F.lit(None).cast("double")
+        return value.cast("int") if name == "season" else value
+
+    out = rows.select(*[read(name).alias(name) for name in ALIASES])
+    return out.withColumn("season_state", F.lower("season_state")).withColumn("role", season_role(F.col("b_pa"), F.col("p_ip_outs"), F.col("role")))
+
+
 def with_fallbacks(standards: DataFrame, position: str, value: str) -> DataFrame:
     """``standard_key, standard, standard_fallback``: the standards of positions, and medians
     of the hitters' and of the pitchers' under ``HITTER_FALLBACK`` and ``PITCHER_FALLBACK``."""

@@ -285,8 +285,25 @@ def page_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", readers.plain_text(F.col("html")).alias("body"))
 
 
-@query()
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, floor(l_extendedprice), l_returnflag, l_linestatus) AS i FROM lineitem), h AS (SELECT DISTINCT l_orderkey FROM l)
+SELECT l_orderkey, table_id, CAST("row" AS INTEGER) AS "row", CAST(cell AS INTEGER) AS cell, name, value, number FROM (
+SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN 'hidden' ELSE 'lines' END AS table_id, 0 AS row, c AS cell, ['part', 'price', 'flag'][c + 1] AS name, ['Part', 'Price', 'Flag'][c + 1] AS value, NULL::DOUBLE AS number FROM h CROSS JOIN (VALUES (0), (1), (2)) v(c)
+UNION ALL SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN 'hidden' ELSE 'lines' END, i, c, ['part', 'price', 'flag'][c + 1], [CAST(l_partkey AS VARCHAR), format('{:,}', CAST(floor(l_extendedprice) AS BIGINT)), l_returnflag || ' & ' || l_linestatus][c + 1],
+ [CAST(l_partkey AS DOUBLE), floor(l_extendedprice), NULL][c + 1] FROM l CROSS JOIN (VALUES (0), (1), (2)) v(c))""")
 def html_table_cells(spark, sf):
+    c = F.col
+    row = F.concat(F.lit("<tr><td data-stat=part csk="), c("l_partkey").cast("string"), F.lit(">#</td><td data-stat=price>"), F.format_number(F.floor("l_extendedprice"), 0), F.lit("</td><td data-stat=flag> "), "l_returnflag", F.lit(" &amp; "), "l_linestatus", F.lit(" </td></tr>"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.floor("l_extendedprice").alias("price"), "l_returnflag", "l_linestatus", row.alias("html")))), lambda r: r["html"]), "\n")  # an order's lines
+    pages = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines"))
+    head = "<tr><th data-stat=part>Part</th><th data-stat=price>Price</th><th data-stat=flag>Flag</th></tr>"
+    made = lambda name: F.concat(F.lit(f"<table id={name}>{head}"), "lines", F.lit("</table>"))
+    page = F.concat(F.lit("<html><h1>Order</h1><p>1,234</p>"), F.when(c("l_orderkey") % 3 == 0, F.concat(F.lit("<!--"), made("hidden"), F.lit("-->"))).otherwise(made("lines")), F.lit("</html>"))
+    return readers.table_cells(pages.select("l_orderkey", page.alias("html")), "html")
+
+
+@query()
+def page_tables(spark, sf):
+    """Cells of the tables of crawled pages (those of the tests have none); held against made-up pages in a test."""
     return readers.html_tables(table(spark, sf, "pages"), "page_id", "html")
 
 

@@ -125,9 +125,14 @@ def quarantined_memberships(spark, sf):
     return audits.quarantine_stale(members, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("team"), "s_nationkey"), "team", "s_nationkey", "org")[1]
 
 
-@query("WITH f AS (SELECT unnest(json_keys(props)) AS key, props FROM events), k AS (SELECT key, string_agg(DISTINCT CASE json_type(props, '$.' || key) WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'DOUBLE' THEN 'number' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE lower(json_type(props, '$.' || key)) END, '|') AS kinds FROM f GROUP BY 1), s AS (SELECT string_agg(key || ':' || kinds, ',' ORDER BY key) AS shape FROM k) SELECT shape, sha256(shape) AS fingerprint FROM s")
+#: Objects whose values are of all kinds: numbers and booleans in strings, nulls, arrays and objects.
+_MIXED = """CASE event_id % 9 WHEN 0 THEN props WHEN 1 THEN '{"k": "' || event_id || '", "user": ' || user_id || '}' WHEN 2 THEN '{"k": "true", "flag": true, "type": "' || event_type || '"}' WHEN 3 THEN '{"flag": null, "list": [' || user_id || ', "x"], "in": {"k": 1}}'
+ WHEN 4 THEN '{"user": ' || user_id || '.5, "a b": false}' WHEN 5 THEN '[1, 2]' WHEN 6 THEN '{"list": "[1]", "in": "{}"}' WHEN 7 THEN '{"big": 12345678901234567890, "exp": 1e300}' ELSE '{}' END"""
+
+
+@query(f"WITH d AS (SELECT CAST({_MIXED} AS JSON) AS doc FROM events), o AS (SELECT doc FROM d WHERE json_type(doc) = 'OBJECT'), f AS (SELECT unnest(json_keys(doc)) AS key, doc FROM o), k AS (SELECT key, list_sort(list(DISTINCT CASE json_type(doc -> key) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END)) AS kinds FROM f GROUP BY 1), s AS (SELECT '[' || string_agg('[\"' || key || '\",' || CAST(to_json(kinds) AS VARCHAR) || ']', ',' ORDER BY key) || ']' AS shape FROM k) SELECT shape, sha256(shape) AS fingerprint FROM s")
 def schema_fingerprint(spark, sf):
-    return audits.schema_fingerprint(table(spark, sf, "events"), "props")
+    return audits.schema_fingerprint(table(spark, sf, "events").select(F.expr(_MIXED).alias("doc")), "doc")
 
 
 # --- evaluation ---------------------------------------------------------------------------
@@ -417,13 +422,29 @@ def trait_evidence(spark, sf):
     return table(spark, sf, "customer").select(k.alias("id"), out.alias("e")).select("id", "e.*")
 
 
-@query("""WITH t AS (SELECT c_custkey AS id, ['pre_debut', 'post_debut_minors', 'recent_callup', 'active', 'inactive'][1 + c_custkey % 5] AS stage, ['Hitter', 'Two-way', 'Pitcher'][1 + c_custkey % 3] AS kind, c_custkey % 7 = 0 AS held, c_custkey % 11 <> 0 AS there, c_custkey % 2 = 0 AS warned, c_custkey % 13 = 0 AS gone, c_custkey % 17 = 0 AS idless FROM customer)
-SELECT id, concat_ws(',', CASE WHEN kind = 'Two-way' THEN 'two_way_model_scope' END, CASE WHEN stage = 'post_debut_minors' THEN 'post_debut_minor_assignment' END, CASE WHEN stage = 'recent_callup' AND gone THEN 'rookie_prior_unmatched' END, CASE WHEN idless THEN 'identity_link_missing' END, CASE WHEN held AND NOT warned AND kind <> 'Two-way' THEN 'forecast_withheld_other' END,
- CASE WHEN NOT there AND stage IN ('recent_callup', 'active') THEN 'forecast_not_available' END) AS codes FROM t""")
+#: Warnings of a forecast by the customer's number: registered ones, one that is not, the same twice, none.
+_WARNINGS = (
+    "two_way_target_not_preregistered_forecast_withheld", "partial_only_unvalidated_forecast_withheld", "broad_role_switch_target_not_supported_forecast_withheld", "current_role_transition_forecast_withheld", "synthetic_hall_standard_forecast_withheld",
+    "bridge_debut_age_outside_supported_range_forecast_withheld", "bridge_debut_age_cell_missing_forecast_withheld", "young_elite_distribution_gate_failed_forecast_withheld", "stale_return_feature_state_forecast_withheld",
+    "current_opportunity_unobserved_forecast_withheld", "research_only",
+)
+_NOTES = f"""nt(w, code) AS (VALUES ('{_WARNINGS[0]}', 'two_way_model_scope'), ('{_WARNINGS[1]}', 'rookie_model_pending'), ('{_WARNINGS[2]}', 'role_transition_model_scope'), ('{_WARNINGS[3]}', 'role_transition_model_scope'), ('{_WARNINGS[4]}', 'hall_standard_model_scope'), ('{_WARNINGS[5]}', 'debut_age_model_scope'),
+ ('{_WARNINGS[6]}', 'debut_age_model_scope'), ('{_WARNINGS[7]}', 'young_elite_model_scope'), ('{_WARNINGS[8]}', 'stale_return_features'), ('{_WARNINGS[9]}', 'current_opportunity_missing')),
+pr AS (SELECT unnest(l) AS code, generate_subscripts(l, 1) AS place FROM (SELECT ['two_way_model_scope', 'role_transition_model_scope', 'hall_standard_model_scope', 'debut_age_model_scope', 'post_debut_minor_assignment', 'young_elite_model_scope', 'rookie_model_pending', 'stale_return_features', 'current_opportunity_missing', 'rookie_prior_unmatched', 'identity_link_missing', 'forecast_not_available', 'forecast_withheld_other'] AS l))"""
+
+
+@query(f"""WITH {_NOTES}, t AS (SELECT c_custkey AS id, ['pre_debut', 'post_debut_minors', 'recent_callup', 'active', 'inactive'][1 + c_custkey % 5] AS stage, ['Hitter', 'Two-way', 'Pitcher'][1 + c_custkey % 3] AS kind, c_custkey % 7 = 0 AS held, c_custkey % 11 <> 0 AS there, c_custkey % 13 = 0 AS gone, c_custkey % 17 = 0 AS idless,
+ CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE list_slice({list(_WARNINGS)!r}, 1 + c_custkey % 12, 1 + c_custkey % 12 + c_nationkey % 3) || CASE WHEN c_nationkey % 4 = 0 THEN ['{_WARNINGS[3]}'] ELSE [] END END AS ws FROM customer),
+w AS (SELECT id, code FROM (SELECT id, unnest(ws) AS w FROM t) JOIN nt USING (w)), g AS (SELECT t.*, EXISTS (SELECT 1 FROM w WHERE w.id = t.id) AS warned FROM t),
+a AS (SELECT id, code FROM w UNION SELECT id, 'two_way_model_scope' FROM g WHERE kind = 'Two-way' UNION SELECT id, 'post_debut_minor_assignment' FROM g WHERE stage = 'post_debut_minors' UNION SELECT id, 'rookie_prior_unmatched' FROM g WHERE stage = 'recent_callup' AND gone UNION SELECT id, 'identity_link_missing' FROM g WHERE idless
+ UNION SELECT id, 'forecast_withheld_other' FROM g WHERE held AND NOT warned AND kind <> 'Two-way' UNION SELECT id, 'forecast_not_available' FROM g WHERE NOT (held AND NOT warned AND kind <> 'Two-way') AND NOT there AND stage IN ('recent_callup', 'active'))
+SELECT t.id, coalesce(string_agg(a.code, ',' ORDER BY place), '') AS codes FROM t LEFT JOIN a ON a.id = t.id LEFT JOIN pr ON pr.code = a.code GROUP BY 1""")
 def handling_codes(spark, sf):
-    k = F.col("c_custkey")
-    pick = lambda names: F.get(F.array(*[F.lit(n) for n in names]), k % len(names))
-    codes = roster.handling_codes(pick(("pre_debut", "post_debut_minors", "recent_callup", "active", "inactive")), pick(("Hitter", "Two-way", "Pitcher")), k % 7 == 0, k % 11 != 0, k % 2 == 0, k % 13 == 0, k % 17 == 0)
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    pick = lambda names: F.get(F.array(*[F.lit(x) for x in names]), k % len(names))
+    some = F.slice(F.array(*[F.lit(w) for w in _WARNINGS]), (1 + k % 12).cast("int"), (1 + n % 3).cast("int"))
+    warnings = F.when(k % 11 != 0, F.concat(some, F.when(n % 4 == 0, F.array(F.lit(_WARNINGS[3]))).otherwise(F.array().cast("array<string>"))))
+    codes = roster.handling_codes(pick(("pre_debut", "post_debut_minors", "recent_callup", "active", "inactive")), pick(("Hitter", "Two-way", "Pitcher")), k % 7 == 0, k % 11 != 0, warnings, k % 13 == 0, k % 17 == 0)
     return table(spark, sf, "customer").select(k.alias("id"), codes.alias("codes"))
 
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitwise.operators import metrics, panel, scenarios
+from pitwise.functions import numbers
+from pitwise.operators import careers, cohorts, metrics, panel, scenarios
+from pitwise.operators.aggregates import entity_weight
+from pitwise.operators.aggregates import mean_one_weights as scaled_weights
+from pitwise.operators.evaluation import signal_gates
 from pitwise.operators.ordered import next_calendar_sum
 from pitwise.operators.sizes import broadcast_if_small
 from pitwise.plans import ensembles, models
@@ -46,11 +50,13 @@ def _panel(spark, sf):
     t = o.groupBy(c("o_custkey").alias("entity"), F.year("o_orderdate").alias("season")).agg(
         thousands("F").alias("b_pa"), thousands("O").alias("p_ip_outs"), F.count("*").alias("p_games"), F.count_if(c("o_orderpriority") < "3").alias("p_games_started"), value("F").alias("b_war"), value("O").alias("p_war"), F.min("o_orderkey").alias("k")
     )
+    names = {"entity": "player_id", "season": "year", "b_pa": "pa", "p_ip_outs": "ipouts", "p_games": "p_g", "p_games_started": "pitching_gs", "b_war": "batting_war", "p_war": "war_pitch", "position": "pos"}  # as a source has them
     last = o.agg(F.year(F.max("o_orderdate")).alias("last"))  # one row
     age = F.when((c("entity") + c("season")) % 3 != 0, c("season") - 1960.0 - c("entity") % 20 + c("season") % 2)
     t = t.join(F.broadcast(last)).select(
         "*", age.alias("age"), F.when((c("season") == c("last")) & (c("k") % 4 == 0), "in_season").otherwise("complete").alias("season_state"), F.concat(F.lit("*"), (c("k") % 10).cast("string"), F.lit("/H")).alias("position"), F.lit(None).cast("double").alias("total_war")
     )
+    t = panel.season_rows(t.drop("k", "last", "total_war").withColumnsRenamed(names))
     standards = spark.sql(f"WITH {_STANDARDS} SELECT * FROM st")
     active = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(c("c_custkey").alias("entity"))
     return panel.career_panel(t, panel.with_fallbacks(standards, "position", "standard"), as_of=2004, quiet=3, active=active)
@@ -228,3 +234,53 @@ def bootstrap_gates(spark, sf):
     points, drawn = metrics.paired_improvements(t, "o_custkey", cells, "y", "model", ["half", "near"], replicates=400)
     out = metrics.macro_comparison(points, drawn, cells)
     return out.withColumns({x: F.round(x, 8) for x in ("macro", "macro_low", "macro_high")})
+
+
+# --- roles, signals, weights ---------------------------------------------------------------------
+
+@query("""WITH r AS (SELECT l_suppkey AS id, l_partkey % 30 AS g, l_quantity AS b, CASE WHEN l_suppkey % 3 = 0 THEN l_linenumber * 9 ELSE 0 END AS o, CASE l_suppkey % 4 WHEN 0 THEN 'P' WHEN 1 THEN ' 2b/UNK ' WHEN 2 THEN 'unk' END AS p, CASE WHEN l_suppkey % 5 = 0 THEN 'Pitcher' WHEN l_suppkey % 7 = 0 THEN l_returnflag END AS role, l_suppkey % 4 = 2 AND l_suppkey % 3 > 0 AS idle FROM lineitem),
+s AS (SELECT id, sum(g) AS g, sum(CASE WHEN idle THEN 0 ELSE b END) AS b, sum(o) AS o, bool_or(coalesce(contains(p, '2b'), false)) AS f, bool_or(coalesce(p = 'P', false)) AS p, count(DISTINCT lower(role)) = 1 AND min(lower(role)) IN ('hitter', 'pitcher') AS agreed, min(lower(role)) AS told FROM r GROUP BY 1)
+SELECT id, CASE WHEN g >= 20 AND b >= 60 AND o >= 60 AND f THEN 'two_way' WHEN f THEN 'hitter' WHEN o > 0 OR p THEN 'pitcher' WHEN b > 0 THEN 'hitter' WHEN agreed THEN told END AS role, CASE WHEN g >= 20 AND b >= 60 AND o >= 60 AND f THEN 'material_batting_and_pitching_with_position_evidence' WHEN f THEN 'position_player_with_incidental_or_no_pitching'
+ WHEN o > 0 OR p THEN 'pitcher_with_incidental_or_no_batting' WHEN b > 0 THEN 'batting_opportunity_without_position_evidence' WHEN agreed THEN 'unanimous_source_' || told || '_without_pa_ip_or_known_position' END AS basis FROM s""")
+def appearance_roles(spark, sf):
+    c, k = F.col, F.col("l_suppkey")
+    position = F.when(k % 4 == 0, "P").when(k % 4 == 1, " 2b/UNK ").when(k % 4 == 2, "unk")
+    told = F.when(k % 5 == 0, "Pitcher").when(k % 7 == 0, c("l_returnflag"))
+    batting = F.when((k % 4 == 2) & (k % 3 > 0), 0.0).otherwise(c("l_quantity"))
+    rows = table(spark, sf, "lineitem").select(k.alias("id"), (c("l_partkey") % 30).alias("g"), batting.alias("b"), F.when(k % 3 == 0, c("l_linenumber") * 9).otherwise(0).alias("o"), position.alias("p"), told.alias("role"))
+    return careers.aggregate_roles(rows, ["id"], "g", "b", "o", "p", "role")
+
+
+_SIGNAL = """b AS (SELECT o_orderkey AS id, o_custkey AS entity, CASE WHEN c_custkey % 3 = 0 THEN 'pitcher' ELSE 'hitter' END AS role, c_mktsegment AS level, 17.0 + (o_orderkey % 97) / 10.0 AS age, CASE WHEN o_orderkey % 23 <> 0 THEN (o_orderkey % 131) * 1.0 END AS workload, o_orderpriority AS band, o_orderstatus = 'F' AS e36, o_orderstatus <> 'O' AS e60, (o_orderkey % 83) / 100.0 AS p36, (o_orderkey % 83) / 100.0 + (o_orderkey % 13) / 100.0 AS p60 FROM orders JOIN customer ON c_custkey = o_custkey),
+w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY role, level, entity) AS wt FROM b), pc AS (SELECT *, 100 * (coalesce(sum(wt) OVER (PARTITION BY role, level ORDER BY age RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) - sum(wt) OVER (PARTITION BY role, level, age) / 2) / sum(wt) OVER (PARTITION BY role, level) AS pct FROM w),
+ag AS (SELECT role, level, count(DISTINCT entity) AS players FROM b GROUP BY 1, 2), bl AS (SELECT role, level, band, count(*) AS n, sum(e36::INT) AS n36, sum(e60::INT) AS n60, avg(e36::INT) AS r36, avg(e60::INT) AS r60 FROM b GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_SIGNAL}, j AS (SELECT pc.*, players, n, n36, n60, r36 * 0.5 AS b36, r60 * 0.6 AS b60 FROM pc JOIN ag USING (role, level) JOIN bl USING (role, level, band)),
+g AS (SELECT id, players >= 40 AND n >= 100 AND n36 >= 5 AND n60 >= 5 AS g1, round(pct, 9) <= 33 AS g2, coalesce(workload >= CASE WHEN role = 'hitter' THEN 75 ELSE 20 END, false) AS g3, p36 >= 0.2 AS g4, round(p36 - b36, 8) >= 0.1 AS g5, round(p60 - b60, 8) > 0 AS g6, round(p36 - b36, 8) >= 0.25 AND round(pct, 9) <= 25 AS pr FROM j)
+SELECT id, g1 AND g2 AND g3 AND g4 AND g5 AND g6 AS eligible, CASE WHEN g1 AND g2 AND g3 AND g4 AND g5 AND g6 THEN CASE WHEN pr THEN 'priority' ELSE 'watch' END ELSE 'none' END AS tier,
+ concat_ws(',', CASE WHEN NOT g1 THEN 'supported_context' END, CASE WHEN NOT g2 THEN 'young_for_role_and_level' END, CASE WHEN NOT g3 THEN 'minimum_workload' END, CASE WHEN NOT g4 THEN 'minimum_probability' END, CASE WHEN NOT g5 THEN 'primary_edge' END, CASE WHEN NOT g6 THEN 'long_edge' END) AS failed FROM g""")
+def signal_eligibility(spark, sf):
+    o, k, c = table(spark, sf, "orders"), F.col("o_orderkey"), F.col
+    b = o.join(table(spark, sf, "customer"), c("c_custkey") == c("o_custkey")).select(
+        k.alias("id"), c("o_custkey").alias("entity"), F.when(c("c_custkey") % 3 == 0, "pitcher").otherwise("hitter").alias("role"), c("c_mktsegment").alias("level"), (17.0 + (k % 97) / 10.0).alias("age"), F.when(k % 23 != 0, (k % 131) * 1.0).alias("workload"), c("o_orderpriority").alias("band"),
+        (c("o_orderstatus") == "F").cast("int").alias("e36"), (c("o_orderstatus") != "O").cast("int").alias("e60"), ((k % 83) / 100.0).alias("p36"), ((k % 83) / 100.0 + (k % 13) / 100.0).alias("p60"),
+    )
+    b = b.withColumn("w", entity_weight("role", "level", "entity"))
+    t = cohorts.mid_rank_percentile(b, ["role", "level"], "age", c("w"), "percentile")
+    players = b.groupBy("role", "level").agg(F.countDistinct("entity").alias("players"))
+    rates = b.groupBy("role", "level", "band").agg(F.count("*").alias("n"), F.sum("e36").alias("n36"), F.sum("e60").alias("n60"), (F.avg("e36") * 0.5).alias("b36"), (F.avg("e60") * 0.6).alias("b60"))
+    t = t.join(broadcast_if_small(players), ["role", "level"]).join(broadcast_if_small(rates), ["role", "level", "band"])
+    ok, tier, failed = signal_gates(c("role"), F.round("percentile", 9), c("players"), c("workload"), [(c("n"), c("n36")), (c("n"), c("n60"))], (c("p36"), c("b36")), (c("p60"), c("b60")), players=40)
+    return t.select("id", ok.alias("eligible"), tier.alias("tier"), failed.alias("failed"))
+
+
+@query(f"WITH {SEASONS} SELECT entity, season, round(1.0 / count(*) OVER (PARTITION BY entity) * (SELECT count(*) FROM seasons) / (SELECT count(DISTINCT entity) FROM seasons), 6) AS w FROM seasons")
+def mean_one_weights(spark, sf):
+    return scaled_weights(seasons(spark, sf), ["entity"], "w").select("entity", "season", F.round("w", 6).alias("w"))
+
+
+@query("WITH t AS (SELECT c_custkey AS id, c_acctbal AS x FROM customer) SELECT id, round(CASE WHEN x <= -500 THEN 1 WHEN x <= 0 THEN 1 + (x + 500) / 500 * 3 WHEN x <= 4000 THEN 4 - x / 4000 * 2 WHEN x < 9000 THEN 2 + (x - 4000) / 5000 * 8 ELSE 10 END, 6) AS y FROM t")
+def interpolated(spark, sf):
+    points = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.round(numbers.interpolated(F.col("c_acctbal"), points(-500, 0, 4000, 9000), points(1, 4, 2, 10)), 6).alias("y"))

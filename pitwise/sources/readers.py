@@ -11,14 +11,16 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import StructType
 
 _FORMATS = {"csv": ("csv", {"header": True}), "tsv": ("csv", {"header": True, "sep": "\t"}), "parquet": ("parquet", {}), "json": ("json", {"multiLine": True}), "jsonl": ("json", {}), "orc": ("orc", {})}
 
 
-def read_any(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def read_any(spark: SparkSession, path: str, schema: StructType | str | None = None, columns: list[str] | None = None) -> DataFrame:
     """Read by the path's suffix. CSV without a schema is all strings; a schema makes
-    typed reads fail on the first bad line."""
+    typed reads fail on the first bad line. ``columns`` are all that is read, in this order;
+    it is an error if the file has not all of them."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix not in _FORMATS:
         raise ValueError(f"no reader for .{suffix}")
@@ -28,7 +30,13 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str | None = N
         reader = reader.schema(schema)
         if kind in ("csv", "json"):
             reader = reader.option("mode", "FAILFAST")
-    return reader.format(kind).load(path)
+    rows = reader.format(kind).load(path)
+    if columns is None:
+        return rows
+    missing = [c for c in columns if c not in rows.columns]
+    if missing:
+        raise ValueError(f"{path} has no columns {missing}")
+    return rows.select(*columns)
 
 
 def quoted_csv(lines: Column, schema: str) -> Column:
@@ -136,6 +144,38 @@ def html_tables(rows: DataFrame, key: str, page: str) -> DataFrame:
     return rows.select(key, page).mapInPandas(run, f"{key} {kind}, table_id string, row int, cell int, name string, value string")
 
 
+@udtf(returnType="table_id string, row int, cell int, name string, value string, number double", useArrow=False)
+class TableCells:
+    """A table function of a page: the cells of its tables, those in comments too, with the
+    number that a cell holds once its thousands separators are gone."""
+
+    def eval(self, page: str) -> Iterator[tuple]:
+        for part in [] if page is None else [_COMMENT.sub("", page), *_COMMENT.findall(page)]:
+            if "<table" in part:
+                p = _Tables()
+                p.feed(part)
+                p.close()
+                for table, trs in p.tables:
+                    for i, tr in enumerate(trs):
+                        for j, (name, value) in enumerate(tr):
+                            yield table, i, j, name, value, _number(value)
+
+
+#: Fixed value: what a number in a cell looks like once its separators are gone.
+_NUMBER = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?")
+
+
+def _number(text: str) -> float | None:
+    bare = text.replace(",", "").strip()
+    return float(bare) if _NUMBER.fullmatch(bare) else None
+
+
+def table_cells(rows: DataFrame, page: str) -> DataFrame:
+    """``rows`` without the page, each beside the cells of its page's tables: a lateral join
+    with ``TableCells``, so that pages are read where they are."""
+    return rows.lateralJoin(TableCells(F.col(page).outer())).drop(page)
+
+
 def cell_number(text: Column) -> Column:
     """A number without its thousands separators."""
     return F.regexp_replace(text, ",", "").try_cast("double")

@@ -8,14 +8,15 @@ stands (Spark's own clean-up at the end of an execution), so a long job holds th
 of one step at a time on its disks. The folder is read from the session; where it is
 unset a local master gets a temporary folder, as in tests, and any other an error,
 as executors would each write to their own disks. Tables lie in a folder named
-after the application, to be removed with it.
+after the application, which is removed as the driver's Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError(f"{_DIR} must name a folder that all executors of {master} share")
         where = "file://" + tempfile.mkdtemp(prefix="pitwise-")
         spark.conf.set(_DIR, where)
-    return f"{where.rstrip('/')}/pitwise-{spark.sparkContext.applicationId}"
+    own = f"{where.rstrip('/')}/pitwise-{spark.sparkContext.applicationId}"
+    if own not in _folders:
+        _folders.add(own)
+        atexit.register(_drop, spark._jvm.org.apache.hadoop.fs.Path(own), spark._jsc.hadoopConfiguration())
+    return own
+
+
+_folders: set[str] = set()
+
+
+def _drop(folder, conf) -> None:
+    """At the end of the driver's Python the application's folder goes; if the JVM went first it stays."""
+    with suppress(Exception):
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

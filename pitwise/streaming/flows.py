@@ -60,14 +60,28 @@ def claimable_runs(runs: DataFrame, key: str, status: str, started: str, now: Co
 
 
 class _Reclaim(StatefulProcessor):
-    """One live run for each key; a run that says nothing for the time given is given up."""
+    """One live run for each key; a run that says nothing for the time given is given up:
+    when another reports for the key, or, with timers, when that time has passed."""
 
-    def __init__(self, stale_ms: int):
-        self.stale_ms = stale_ms
+    def __init__(self, stale_ms: int, timers: bool):
+        self.stale_ms, self.timers = stale_ms, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.run = handle, handle.getValueState("run", "run string, at long")
 
+    def _wait(self, timers, live: bool) -> None:
+        """From now on one timer, if a run is live, else none."""
+        if self.timers:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if live:
+                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.stale_ms)
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        held = self.run.get() if self.run.exists() else None
+        self.run.clear()
+        yield pd.DataFrame([] if held is None else [(key[0], held[0], "expired")], columns=["key", "run", "state"])
+
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
         out = []
         for pdf in rows:
@@ -85,17 +99,21 @@ class _Reclaim(StatefulProcessor):
                     out.append((key[0], run, "running"))
                 else:
                     out.append((key[0], run, "refused"))
+        if any(state != "refused" for *_, state in out):
+            self._wait(timers, self.run.exists())
         yield pd.DataFrame(out, columns=["key", "run", "state"])
 
     def close(self) -> None:
         pass
 
 
-def run_states(reports: DataFrame, stale_ms: int = 3_600_000) -> DataFrame:
+def run_states(reports: DataFrame, stale_ms: int = 3_600_000, timers: bool = False) -> DataFrame:
     """``key, run, state`` of a stream of ``key, run, status, at`` reports: a second run of
-    a key is refused while one is live, and takes over when that is stale."""
+    a key is refused while one is live, and takes over when that is stale. With ``timers`` a
+    run that has not reported for ``stale_ms`` of processing time is ``expired`` without any
+    further report, and its state goes; else state ends only as its key reports."""
     schema = "key string, run string, state string"
-    return reports.groupBy("key").transformWithStateInPandas(_Reclaim(stale_ms), schema, "Append", "None")
+    return reports.groupBy("key").transformWithStateInPandas(_Reclaim(stale_ms, timers), schema, "Append", "ProcessingTime" if timers else "None")
 
 
 def freshness(events: DataFrame, keys: list[str], time: str, now: Column, stale: str = "26 hours") -> DataFrame:

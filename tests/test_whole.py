@@ -23,7 +23,7 @@ def test_whole_tables_reach_the_queries(spark, tmp_path):
     html = "<p>x</p><table id=t><tr><th data-stat=a>A</th></tr><tr><td data-stat=a csk=7>shown</td></tr></table><!--<table id=u><tr><td>é</td></tr></table>-->"
     pages = [(1, html), (2, None), (3, "no table"), (4, "<table><tr><td>z</td></tr></table>")]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    found = sorted((r.page_id, r.row, r.cell, r.name, r.value) for r in run("html_table_cells", str(tmp_path)).collect())
+    found = sorted((r.page_id, r.row, r.cell, r.name, r.value) for r in run("page_tables", str(tmp_path)).collect())
     assert found == [(1, 0, 0, "", "é"), (1, 0, 0, "a", "A"), (1, 1, 0, "a", "7"), (4, 0, 0, "", "z")]
 
 
