@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitwise.functions.numbers import interpolated
+
 CLIP, RIDGE = 1e-6, 0.01
 
 
@@ -105,11 +107,6 @@ def mixture_quantiles(rows: DataFrame, zero: str, points: str, levels: tuple[flo
 
     def at(level):
         inner = (F.lit(float(level)) - F.col(zero)) / F.nullif(1 - F.col(zero), F.lit(0.0))
-        below = F.size(F.filter(grid, lambda g: g <= inner))
-        i = F.greatest(F.least(below, F.lit(len(levels) - 1)), F.lit(1))
-        x0, x1 = F.element_at(grid, i), F.element_at(grid, i + 1)
-        y0, y1 = F.element_at(points, i), F.element_at(points, i + 1)
-        share = F.least(F.greatest((inner - x0) / (x1 - x0), F.lit(0.0)), F.lit(1.0))
-        return F.when(F.col(zero) >= level, F.lit(0.0)).otherwise(y0 + share * (y1 - y0))
+        return F.when(F.col(zero) >= level, F.lit(0.0)).otherwise(interpolated(inner, grid, F.col(points)))
 
     return rows.withColumn(name, F.array(*[at(x) for x in levels]))

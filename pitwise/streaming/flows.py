@@ -77,12 +77,12 @@ class _Reclaim(StatefulProcessor):
             if live:
                 self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.stale_ms)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self.run.get() if self.run.exists() else None
         self.run.clear()
         yield pd.DataFrame([] if held is None else [(key[0], held[0], "expired")], columns=["key", "run", "state"])
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
         for pdf in rows:
             for run, status, at in zip(pdf["run"], pdf["status"], pdf["at"]):
@@ -100,7 +100,7 @@ class _Reclaim(StatefulProcessor):
                 else:
                     out.append((key[0], run, "refused"))
         if any(state != "refused" for *_, state in out):
-            self._wait(timers, self.run.exists())
+            self._wait(timerValues, self.run.exists())
         yield pd.DataFrame(out, columns=["key", "run", "state"])
 
     def close(self) -> None:
