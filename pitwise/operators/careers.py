@@ -142,6 +142,39 @@ def aggregate_roles(rows: DataFrame, keys: list[str], games: str, batting: str,
     return met.select(*keys, picked["role"].alias("role"), picked["basis"].alias("basis"))
 
 
+#: Appearances and innings of a team's season that are material.
+TEAM_BATTING, TEAM_INNINGS = 25, 10
+
+
+def team_seasons(roster: DataFrame, batting: DataFrame, pitching: DataFrame, fielding: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row for each key that any of four tables has: the best row of each (the first by
+    ``order`` of equals), what they say together, and the batting, pitching and fielding columns under
+    prefixes. Tables have ``keys``, ``order``, ``name`` and: the roster ``born, bats, throws, first, last``; batting ``PA``; pitching ``IP``; fielding
+    ``innings`` and ``position``; and more columns each.
+
+    The tables are laid under each other and grouped once, so it is one exchange instead
+    of three full joins, and a key's rows are combined before it."""
+    parts = {"roster": (roster, "last"), "batting": (batting, "PA"), "pitching": (pitching, "IP"), "fielding": (fielding, "innings")}
+    stacked = None
+    for kind, (rows, _) in parts.items():
+        own = rows.filter(" and ".join(f"`{k}` is not null" for k in keys)).select(*keys, F.struct(*rows.columns).alias(kind))
+        stacked = own if stacked is None else stacked.unionByName(own, allowMissingColumns=True)
+    best = {k: F.max_by(k, F.when(F.col(k).isNotNull(), F.struct(F.coalesce(F.col(f"{k}.{largest}").try_cast("double"), F.lit(0.0)).alias("v"), (-F.col(f"{k}.{order}")).alias("o")))) for k, (_, largest) in parts.items()}
+    seen = F.nullif(F.col("roster.first"), F.lit("")), F.nullif(F.col("roster.last"), F.lit(""))
+    t = stacked.groupBy(*keys).agg(*[c.alias(k) for k, c in best.items()], F.min(seen[0]).alias("first_observed"), F.max(seen[1]).alias("last_observed"))
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    pa, ip = number("batting.PA"), number("pitching.IP")
+    position = F.coalesce(F.col("fielding.position"), F.when(ip > 0, "P").otherwise("UNK"))
+    role = F.when((pa >= TEAM_BATTING) & (ip >= TEAM_INNINGS), F.struct(F.lit("two_way").alias("role"), F.lit("material_batting_and_pitching_opportunity").alias("basis")))
+    role = role.when((ip > 0) | (position == "P"), F.struct(F.lit("pitcher").alias("role"), F.lit("pitching_or_primary_position_evidence").alias("basis")))
+    role = role.when(F.col("batting").isNull() & F.col("fielding").isNull(), F.struct(F.lit("hitter").alias("role"), F.lit("default_hitter_no_stat_evidence").alias("basis")))
+    role = role.otherwise(F.struct(F.lit("hitter").alias("role"), F.lit("batting_or_non_pitcher_evidence").alias("basis")))
+    t = t.withColumn("__role", role)
+    name = F.coalesce(*[F.when(F.col(k).isNotNull(), F.coalesce(F.col(f"{k}.name"), F.lit(""))) for k in parts])
+    more = [F.col(f"{k}.`{c}`").alias(f"{k}_{c}") for k in ("batting", "pitching", "fielding") for c in parts[k][0].columns if c not in (*keys, order, "name")]
+    return t.select(*keys, F.nullif(name, F.lit("")).alias("name"), F.col("__role.role").alias("role"), F.col("__role.basis").alias("role_inference"), position.alias("position"), "roster.born", "roster.bats", "roster.throws", "first_observed", "last_observed", *more)
+
+
 def landmark_panel(seasons: DataFrame, entity: str, season: str, value: str, side_a: str, side_b: str, standards: DataFrame, role: str, standard: str, peak: int = 7) -> DataFrame:
     """Every season as a landmark with what was known then: the prefix features, the role
     by the greater workload so far (``side_a`` wins ties), the career-and-peak mean

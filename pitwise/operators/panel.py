@@ -193,6 +193,45 @@ def career_panel(seasons: DataFrame, standards: DataFrame, as_of: int, quiet: in
     )
 
 
+def scoring_rows(seasons: DataFrame, standards: DataFrame, as_of: int, current: DataFrame | None = None, names: Seasons = Seasons()) -> DataFrame:
+    """The row by which each current entity is scored: its last landmark of complete seasons, or,
+    with none, that of its partial ones taken as complete (``feature_partial``). ``current`` is a table of entities;
+    without it they are those of the last partial season, or of the last season where none is partial.
+
+    Two-way entities are scored by their batting on the hitters' track (``two_way_policy``): the
+    sums, peak and means are of batting alone and the standard is the hitters' median, which is the policy and so no fallback."""
+    n, c = names, F.col
+    key, order = n.entity, n.season
+    if current is None:
+        partial = c(n.state) == "in_season"
+        last = seasons.agg(F.max(F.when(partial, c(order))).alias("__p"), F.max(order).alias("__s"))  # one row
+        met = seasons.join(F.broadcast(last)).filter((c(order) == F.coalesce("__p", "__s")) & (partial | c("__p").isNull()))
+        current = met.select(key).distinct()
+    mine = seasons.join(current.select(key).distinct(), key, "left_semi")
+    latest = lambda p: p.join(p.groupBy(key).agg(F.max(order).alias(order)), [key, order], "left_semi")
+    whole = latest(career_panel(mine, standards, as_of, names=names)).withColumn("feature_partial", F.lit(False))
+    done = mine.filter(c(n.state) == "complete").select(key).distinct()
+    fresh = mine.join(done, key, "left_anti").withColumn(n.state, F.lit("complete"))
+    rows = whole.unionByName(latest(career_panel(fresh, standards, as_of, names=names)).withColumn("feature_partial", F.lit(True)))
+    side = standards.filter("standard_key = 'HITTER_FALLBACK'").select(c("standard").alias("__hitters"))  # one row
+    # what a two-way entity's batting came to, up to the landmark, partial seasons before it included
+    past = mine.select(key, c(order).alias("__s"), F.coalesce(c(n.batting_value).cast("double"), F.lit(0.0)).alias("__v"))
+    two = rows.filter("role = 'two_way'").select(key, order).join(past, key).filter(c("__s") <= c(order)).groupBy(key, order).agg(F.transform(F.array_sort(F.collect_list(F.struct("__s", "__v"))), lambda x: x["__v"]).alias("__b"))  # a career's seasons
+    t = rows.join(two, [key, order], "left").join(broadcast_if_small(side))
+    both = c("__b").isNotNull()
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    tail = F.slice("__b", F.greatest(F.size("__b") - 2, F.lit(1)), F.lit(3))
+    total, peak = add(c("__b")), add(F.slice(F.sort_array("__b", asc=False), 1, PEAK))
+    policy = {
+        "role": F.lit("hitter"), "position": F.lit("DH"), "standard_key": F.lit("HITTER_FALLBACK"), "standard": c("__hitters"), "standard_fallback": F.lit(False), "standard_warning": F.lit(None).cast("string"), "broad_role_switch": F.lit(False),
+        "season_value": F.element_at("__b", -1), "value_to_date": total, "peak_to_date": peak, "blend_to_date": (total + peak) / 2, "last_three": add(tail) / F.size(tail), "best_to_date": F.array_max("__b"),
+        "positive_seasons": F.size(F.filter("__b", lambda x: x > 0)), "per_season": total / F.size("__b"),
+    }
+    t = t.withColumn("two_way_policy", both).withColumns({name: F.when(c("two_way_policy"), what).otherwise(c(name)) for name, what in policy.items()})
+    kept = [key, order, n.age, "season_number", *policy, "feature_partial", "two_way_policy"]
+    return t.select(*kept)
+
+
 def exclusions(panel: DataFrame, entity: str) -> DataFrame:
     """``reason, entities, landmarks, supported_entities, supported_landmarks`` of resolved careers that are no targets: supported
     are landmarks of which it could not be known then (one role so far, with a standard of its own)."""

@@ -42,7 +42,8 @@ e AS (SELECT entity, arg_max(role, season) AS er, arg_max(position, season) AS e
 z AS (SELECT x.*, e.*, (et + epk) / 2 AS blend, CASE WHEN ever THEN 'two_way_role_path' WHEN eb THEN 'broad_role_switch' WHEN ef THEN 'synthetic_standard_fallback' ELSE 'eligible' END AS reason FROM x JOIN e USING (entity))"""
 
 
-def _panel(spark, sf):
+def _source(spark, sf):
+    """Seasons, and standards with fallbacks."""
     o, c = table(spark, sf, "orders"), F.col
     state, price = c("o_orderstatus"), c("o_totalprice")
     thousands = lambda s: F.coalesce(F.sum(F.when(state == s, F.floor(price / 1000))), F.lit(0)).cast("double")
@@ -58,8 +59,14 @@ def _panel(spark, sf):
     )
     t = panel.season_rows(t.drop("k", "last", "total_war").withColumnsRenamed(names))
     standards = spark.sql(f"WITH {_STANDARDS} SELECT * FROM st")
+    return t, panel.with_fallbacks(standards, "position", "standard")
+
+
+def _panel(spark, sf):
+    t, standards = _source(spark, sf)
+    c = F.col
     active = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(c("c_custkey").alias("entity"))
-    return panel.career_panel(t, panel.with_fallbacks(standards, "position", "standard"), as_of=2004, quiet=3, active=active)
+    return panel.career_panel(t, standards, as_of=2004, quiet=3, active=active)
 
 
 _ROUNDED = ("season_value", "value_to_date", "peak_to_date", "last_three", "best_to_date", "per_season", "starter_share", "final_value", "final_peak", "target_standard", "standard")
@@ -284,3 +291,41 @@ def mean_one_weights(spark, sf):
 def interpolated(spark, sf):
     points = lambda *v: F.array(*[F.lit(float(x)) for x in v])
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.round(numbers.interpolated(F.col("c_acctbal"), points(-500, 0, 4000, 9000), points(1, 4, 2, 10)), 6).alias("y"))
+
+
+#: Entities without a complete season are scored by their partial ones.
+_PARTIAL_TOO = _PANEL.replace("WHERE season_state = 'complete')", "WHERE season_state = 'complete' OR career_end IS NULL)")
+
+
+@query(f"""WITH {_PARTIAL_TOO}, cu AS (SELECT DISTINCT entity FROM s2 WHERE season_state = 'in_season'), l AS (SELECT x.* FROM x JOIN (SELECT entity, max(season) AS season FROM x GROUP BY 1) USING (entity, season) WHERE entity IN (SELECT entity FROM cu)),
+bt AS (SELECT l.entity, list(s2.b_war ORDER BY s2.season) AS b FROM l JOIN s2 ON s2.entity = l.entity AND s2.season <= l.season GROUP BY 1), hf AS (SELECT standard AS h FROM fb WHERE side = 'HITTER_FALLBACK')
+SELECT entity, season, career_end IS NULL AS feature_partial, role = 'two_way' AS two_way_policy, CASE WHEN role = 'two_way' THEN 'hitter' ELSE role END AS role, CASE WHEN role = 'two_way' THEN 'DH' ELSE position END AS position, CASE WHEN role = 'two_way' THEN 'HITTER_FALLBACK' ELSE standard_key END AS standard_key, round(CASE WHEN role = 'two_way' THEN h ELSE standard END, 4) AS standard,
+ role <> 'two_way' AND standard_fallback AS standard_fallback, role <> 'two_way' AND broad_role_switch AS broad_role_switch, round(CASE WHEN role = 'two_way' THEN list_sum(b) ELSE total END, 4) AS value_to_date, round(CASE WHEN role = 'two_way' THEN list_sum(list_slice(list_sort(b, 'DESC'), 1, 7)) ELSE peak END, 4) AS peak_to_date,
+ round(CASE WHEN role = 'two_way' THEN list_avg(b[-3:]) ELSE list_avg(vals[-3:]) END, 4) AS last_three, CAST(CASE WHEN role = 'two_way' THEN len(list_filter(b, lambda q: q > 0)) ELSE len(list_filter(vals, lambda q: q > 0)) END AS INTEGER) AS positive_seasons FROM l JOIN bt USING (entity) CROSS JOIN hf""")
+def scoring_rows(spark, sf):
+    """Entities with a season under way."""
+    t, standards = _source(spark, sf)
+    out = panel.scoring_rows(t, standards, as_of=2004)
+    names = ("entity", "season", "feature_partial", "two_way_policy", "role", "position", "standard_key", "standard", "standard_fallback", "broad_role_switch", "value_to_date", "peak_to_date", "last_three", "positive_seasons")
+    return out.select(*names).withColumns({c: F.round(c, 4) for c in ("standard", "value_to_date", "peak_to_date", "last_three")})
+
+
+@query("""WITH r AS (SELECT l_suppkey AS id, l_partkey % 20 AS team, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey * 10 + l_suppkey % 10 AS o, l_linenumber AS k, l_quantity AS q, strftime(l_shipdate, '%Y-%m-%d') AS d, l_returnflag AS f, l_linestatus AS st FROM lineitem),
+ro AS (SELECT id, team, arg_min(f, o) AS bats, arg_min(CASE WHEN o % 2 = 0 THEN 'n' || id END, o) AS name, min(d) AS a, max(d) AS z FROM r WHERE k % 4 = 0 GROUP BY 1, 2), ba AS (SELECT id, team, arg_max(q, (q, -o)) AS pa, arg_max('b' || id, (q, -o)) AS name FROM r WHERE k % 4 = 1 GROUP BY 1, 2),
+pi AS (SELECT id, team, arg_max(q / 2, (q, -o)) AS ip, arg_max(st, (q, -o)) AS st FROM r WHERE k % 4 = 2 AND f = 'R' GROUP BY 1, 2), fi AS (SELECT id, team, arg_max(CASE WHEN q > 25 THEN 'P' ELSE 'C' END, (q, -o)) AS position FROM r WHERE k % 4 = 3 GROUP BY 1, 2),
+j AS (SELECT coalesce(ro.id, ba.id, pi.id, fi.id) AS id, coalesce(ro.team, ba.team, pi.team, fi.team) AS team, CASE WHEN ro.id IS NOT NULL THEN ro.name WHEN ba.id IS NOT NULL THEN ba.name END AS name, coalesce(pa, 0) AS pa, coalesce(ip, 0) AS ip, coalesce(position, CASE WHEN coalesce(ip, 0) > 0 THEN 'P' ELSE 'UNK' END) AS position, bats, a, z, ba.id IS NULL AND fi.id IS NULL AS bare, pa AS batting_pa, st
+ FROM ro FULL JOIN ba ON ba.id = ro.id AND ba.team = ro.team FULL JOIN pi ON pi.id = coalesce(ro.id, ba.id) AND pi.team = coalesce(ro.team, ba.team) FULL JOIN fi ON fi.id = coalesce(ro.id, ba.id, pi.id) AND fi.team = coalesce(ro.team, ba.team, pi.team))
+SELECT id, team, name, position, bats, a AS first_observed, z AS last_observed, batting_pa, st AS pitching_st, CASE WHEN pa >= 25 AND ip >= 10 THEN 'two_way' WHEN ip > 0 OR position = 'P' THEN 'pitcher' ELSE 'hitter' END AS role,
+ CASE WHEN pa >= 25 AND ip >= 10 THEN 'material_batting_and_pitching_opportunity' WHEN ip > 0 OR position = 'P' THEN 'pitching_or_primary_position_evidence' WHEN bare THEN 'default_hitter_no_stat_evidence' ELSE 'batting_or_non_pitcher_evidence' END AS role_inference FROM j""")
+def team_seasons(spark, sf):
+    c, k = F.col, F.col("l_linenumber")
+    o = (c("l_orderkey") * 10 + k) * 1_000_000 + c("l_partkey") * 10 + c("l_suppkey") % 10
+    r = table(spark, sf, "lineitem").select(c("l_suppkey").alias("id"), (c("l_partkey") % 20).alias("team"), o.alias("o"), k.alias("k"), c("l_quantity").alias("q"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("d"), c("l_returnflag").alias("f"), c("l_linestatus").alias("st"))
+    key = ("id", "team", "o")
+    name = lambda s: F.concat(F.lit(s), c("id").cast("string"))
+    roster = r.filter("k % 4 = 0").select(*key, F.when(c("o") % 2 == 0, name("n")).alias("name"), F.lit(None).cast("date").alias("born"), c("f").alias("bats"), c("st").alias("throws"), c("d").alias("first"), c("d").alias("last"))
+    batting = r.filter("k % 4 = 1").select(*key, name("b").alias("name"), c("q").alias("PA"))
+    pitching = r.filter("k % 4 = 2 and f = 'R'").select(*key, F.lit(None).cast("string").alias("name"), (c("q") / 2).alias("IP"), "st")
+    fielding = r.filter("k % 4 = 3").select(*key, F.lit(None).cast("string").alias("name"), c("q").alias("innings"), F.when(c("q") > 25, "P").otherwise("C").alias("position"))
+    out = careers.team_seasons(roster, batting, pitching, fielding, ["id", "team"], "o")
+    return out.select("id", "team", "name", "position", "bats", "first_observed", "last_observed", c("batting_PA").alias("batting_pa"), "pitching_st", "role", "role_inference")

@@ -114,3 +114,20 @@ def test_roles_of_seasons(spark):
     t = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, b double, o double, told string")
     got = t.orderBy("i").select(panel.season_role(F.col("b"), F.col("o"), F.col("told")).alias("r")).collect()
     assert [r.r for r in got] == ["pitcher", "hitter", "two_way", "pitcher", "hitter"]
+
+
+def test_scoring_rows_of_current_entities(spark):
+    standards = panel.with_fallbacks(spark.createDataFrame(STANDARDS, "position string, value double"), "position", "value")
+    two = {"b_pa": 400.0, "p_ip_outs": 200.0, "b_war": 3.0, "p_war": 2.0, "total_war": 5.0}
+    rows = [hitter("old", 2018, 2.0), hitter("on", 2019, 2.0), hitter("on", 2020, 4.0), hitter("on", 2021, 9.0, state="in_season"), hitter("new", 2021, 1.5, "8", state="in_season"), hitter("tw", 2019, 5.0) | two, hitter("tw", 2020, 5.0) | two | {"b_war": -1.0}, hitter("tw", 2021, 1.0, state="in_season")]
+    t = spark.createDataFrame([tuple(r[c.split()[0]] for c in SCHEMA.split(", ")) for r in rows], SCHEMA).repartition(3)
+    got = {r.entity: r for r in panel.scoring_rows(t, standards, 2021).collect()}
+    assert set(got) == {"on", "new", "tw"}
+    assert (got["on"].season, got["on"].value_to_date, got["on"].feature_partial) == (2020, 6.0, False) and (got["new"].season, got["new"].value_to_date, got["new"].position, got["new"].feature_partial) == (2021, 1.5, "CF", True)
+    x = got["tw"]
+    assert (x.role, x.position, x.standard_key, x.standard, x.standard_fallback, x.two_way_policy) == ("hitter", "DH", "HITTER_FALLBACK", 50.0, False, True)
+    assert (x.value_to_date, x.peak_to_date, x.season_value, x.last_three, x.best_to_date, x.positive_seasons) == (2.0, 2.0, -1.0, 1.0, 3.0, 1)
+    named = panel.scoring_rows(t, standards, 2021, current=spark.createDataFrame([("old",), ("gone",)], "entity string")).collect()
+    assert [(r.entity, r.season) for r in named] == [("old", 2018)]
+    done = panel.scoring_rows(t.filter("season_state = 'complete'"), standards, 2021).collect()
+    assert sorted(r.entity for r in done) == ["on", "tw"]  # those of the last season
