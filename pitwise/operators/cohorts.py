@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwise.operators.split import SPLIT_ROWS, running
+from pitwise.operators.split import SPLIT_ROWS, placed_values, running
+from pitwise.sources.scratch import cut
 
 
 def complete_cohorts(rows: DataFrame, keys: list[str], member: str, size: int) -> DataFrame:
@@ -49,39 +50,42 @@ def adaptive_window_percentile(
     row does. Values that agree to twelve decimals tie.
 
     No target meets a peer. A *pool* is the peers of one cohort, target season, target age
-    and window; a peer row lies in as many pools as there are later seasons and ages
-    near its own. Pools are sorted by value once, with the targets among them at weight
-    nothing, so a running sum gives every target the weight below and beside it; what is
-    the target's own is then taken out."""
+    and window. Which window is wide enough is read from the season in which each peer first
+    came within each window of an age, so that takes no row per later season; only the pools
+    that are then used are laid out, sorted by value once, with the targets among them at
+    weight nothing, so a running sum gives every target the weight below and beside it; what
+    the target's own rows weigh there is worked out from those rows and taken out."""
     widest, keys = max(windows), list(dict.fromkeys([*on, entity, season, age, value]))
     exact = F.round(F.col(value).cast("double"), 12)
     t = targets.select(*keys).distinct().select("*", exact.alias("__v"))
-    pool = [*on, "__at", "__age"]  # of a target: its season and age
-    wanted = t.select(*on, F.col(season).alias("__at"), F.col(age).alias("__age")).distinct()
     p = peers.select(*on, F.col(age).alias("__own"), F.col(season).alias("__season"), F.col(entity).alias("__peer"), exact.alias("__v"))
-    near = p.withColumn("__age", F.explode(F.sequence(F.col("__own") - widest, F.col("__own") + widest)))
-    near = near.join(wanted, [*on, "__age"]).filter(F.col("__season") < F.col("__at")).select(*pool, "__peer", "__v", F.abs(F.col("__age") - F.col("__own")).alias("__gap"))
-    # which window has entities enough, the target's own left out
-    first = near.groupBy(*pool, "__peer").agg(F.min("__gap").alias("__first"))
-    have = first.groupBy(*pool).agg(*[F.count_if(F.col("__first") <= w).alias(f"__n{w}") for w in windows])
-    own = first.select(*[F.col(c).alias({"__at": season, "__age": age}.get(c, c)) for c in pool], F.col("__peer").alias(entity), "__first")
-    t = t.join(have.select(*[F.col(c).alias({"__at": season, "__age": age}.get(c, c)) for c in pool], *[f"__n{w}" for w in windows]), [*on, season, age], "left")
-    t = t.join(own, [*on, season, age, entity], "left")
-    enough = [F.when(F.col(f"__n{w}") - F.coalesce((F.col("__first") <= w).cast("int"), F.lit(0)) >= least, F.lit(w)) for w in windows]
-    t = t.withColumn("window", F.coalesce(*enough)).drop("__first", *[f"__n{w}" for w in windows])
+    wanted = t.select(*on, F.col(season).alias("__at"), F.col(age).alias("__age")).distinct()
+    near = p.withColumn("__age", F.explode(F.sequence(F.col("__own") - widest, F.col("__own") + widest))).withColumn("__gap", F.abs(F.col("__age") - F.col("__own")))
+    near = near.join(wanted.select(*on, "__age").distinct(), [*on, "__age"], "left_semi")
+    # the season in which each peer first comes within each window of an age, and how many had by each target's
+    first = near.groupBy(*on, "__age", "__peer").agg(*[F.min(F.when(F.col("__gap") <= w, F.col("__season"))).alias(f"__f{w}") for w in windows])
+    first = cut(first, "first-seasons")
+    came = first.unpivot([*on, "__age"], [f"__f{w}" for w in windows], "__w", "__f").filter("__f is not null").groupBy(*on, "__age", "__w", "__f").agg(F.count("*").alias("__n"))
+    have = wanted.join(came, [*on, "__age"]).filter(F.col("__f") < F.col("__at"))  # seasons by seasons
+    have = have.groupBy(*on, "__at", "__age").agg(*[F.coalesce(F.sum(F.when(F.col("__w") == f"__f{w}", F.col("__n"))), F.lit(0)).alias(f"__n{w}") for w in windows])
+    named = lambda rows: rows.withColumnsRenamed({k: v for k, v in {"__at": season, "__age": age, "__peer": entity}.items() if k in rows.columns})
+    t = t.join(named(have), [*on, season, age], "left").join(named(first), [*on, age, entity], "left")
+    own = lambda w: F.coalesce((F.col(f"__f{w}") < F.col(season)).cast("int"), F.lit(0))
+    t = t.withColumn("window", F.coalesce(*[F.when(F.col(f"__n{w}") - own(w) >= least, F.lit(w)) for w in windows])).drop(*[f"__{c}{w}" for c in "nf" for w in windows])
+    t = cut(t, "windows")
     # the pools that are used, weighed
-    used = t.filter("window is not null").select(*on, F.col(season).alias("__at"), F.col(age).alias("__age"), F.col("window").alias("__window")).distinct()
-    whole = [*pool, "__window"]
-    weighed = near.join(used, pool).filter(F.col("__gap") <= F.col("__window"))
-    weight = F.lit(1.0) if by_row else 1 / F.count("*").over(Window.partitionBy(*whole, "__peer"))
-    weighed = weighed.select(*whole, "__peer", "__v", weight.alias("__w"))
-    asked = t.filter("window is not null").select(*on, F.col(season).alias("__at"), F.col(age).alias("__age"), F.col("window").alias("__window"), F.col(entity).alias("__peer"), "__v")
-    sums = weighed.groupBy(*whole, "__v").agg(F.sum("__w").alias("__w")).unionByName(asked.select(*whole, "__v").distinct().withColumn("__w", F.lit(0.0)))
-    along = running(sums.groupBy(*whole, "__v").agg(F.sum("__w").alias("__w")), whole, "__v", {"w": F.col("__w")}, split_rows)
-    mine = weighed.withColumnRenamed("__v", "__mine").join(asked.distinct(), [*whole, "__peer"]).groupBy(*whole, "__peer", "__v").agg(
-        F.sum(F.when(F.col("__mine") < F.col("__v"), F.col("__w")).when(F.col("__mine") == F.col("__v"), F.col("__w") / 2).otherwise(0.0)).alias("__mine_score"), F.sum("__w").alias("__mine_all")
-    )
+    asked = t.filter("window is not null").select(*on, F.col(season).alias("__at"), F.col(age).alias("__age"), F.col("window").alias("__window"), F.col(entity).alias("__peer"), "__v").distinct()
+    whole = [*on, "__at", "__age", "__window"]
+    weighed = near.join(asked.select(*whole).distinct(), [*on, "__age"]).filter((F.col("__season") < F.col("__at")) & (F.col("__gap") <= F.col("__window")))
+    each = weighed.groupBy(*whole, "__peer", "__v").agg(F.count("*").alias("__c"))
+    weight = F.col("__c").cast("double") if by_row else F.col("__c") / F.sum("__c").over(Window.partitionBy(*whole, "__peer"))
+    sums = each.select(*whole, "__v", weight.alias("__w")).unionByName(asked.select(*whole, "__v").distinct().withColumn("__w", F.lit(0.0)))
+    along = placed_values(sums, whole, "__v", {"w": F.col("__w")}, split_rows)
+    mine = asked.join(p.withColumnRenamed("__v", "__mine"), [*on, "__peer"]).filter((F.col("__season") < F.col("__at")) & (F.abs(F.col("__age") - F.col("__own")) <= F.col("__window")))
+    below = F.sum(F.when(F.col("__mine") < F.col("__v"), 1.0).when(F.col("__mine") == F.col("__v"), 0.5).otherwise(0.0))
+    n = F.lit(1) if by_row else F.count("*")
+    mine = mine.groupBy(*whole, "__peer", "__v").agg((below / n).alias("__mine_score"), (F.count("*") / n).alias("__mine_all"))
     score = F.col("upto_w") - F.col("tied_w") / 2 - F.coalesce("__mine_score", F.lit(0.0))
-    found = asked.distinct().join(along.drop("__w"), [*whole, "__v"]).join(mine, [*whole, "__peer", "__v"], "left")
-    found = found.select(*on, F.col("__at").alias(season), F.col("__age").alias(age), F.col("__peer").alias(entity), "__v", (100 * score / (F.col("all_w") - F.coalesce("__mine_all", F.lit(0.0)))).alias("percentile"))
+    found = asked.join(along, [*whole, "__v"]).join(mine, [*whole, "__peer", "__v"], "left")
+    found = named(found.select(*on, "__at", "__age", "__peer", "__v", (100 * score / (F.col("all_w") - F.coalesce("__mine_all", F.lit(0.0)))).alias("percentile")))
     return t.join(found, [*on, season, age, entity, "__v"], "left").select(*keys, "window", "percentile")
