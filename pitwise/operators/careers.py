@@ -9,6 +9,7 @@ from pitwise.functions.numbers import age_years, safe_ratio
 from pitwise.operators.aggregates import latest_non_null
 from pitwise.operators.identity import unique_keys
 from pitwise.operators.ordered import prefix_features
+from pitwise.operators.sizes import broadcast_if_small
 from pitwise.operators.temporal import as_of_join
 
 SEPARATOR = " | "
@@ -50,7 +51,7 @@ def risk_set(census: DataFrame, members: DataFrame, register: DataFrame, stats:
     if the register has the source's id once, the age, and the last season's statistics
     that end on the date or before it (by season, then by their end)."""
     known = unique_keys(register.filter(F.col(source_id).isNotNull()), source_id).select(source_id, entity_id)
-    joined = members.join(F.broadcast(census), census_key).join(known, source_id, "left")
+    joined = members.join(broadcast_if_small(census), census_key).join(known, source_id, "left")
     aged = joined.withColumn("age", F.when(F.col(born) <= F.col(as_of), age_years(F.col(born), F.col(as_of)))).withColumn("identity_resolved", F.col(entity_id).isNotNull())
     last = stats.select(source_id, season, through, *features)
     out = as_of_join(aged, last, [source_id], as_of, through, [season, through, *features], [census_key, source_id], tie=season)
@@ -184,7 +185,7 @@ def landmark_panel(seasons: DataFrame, entity: str, season: str, value: str, sid
     a, b = (F.sum(F.coalesce(c, F.lit(0.0))).over(upto) for c in (side_a, side_b))
     p = p.withColumn(role, F.when(a >= b, "a").otherwise("b")).withColumn("blend", (F.col("total_so_far") + F.col("peak_so_far")) / 2)
     own, general = standards.filter(F.col(role).isNotNull()), standards.filter(F.col(role).isNull()).select(F.col(standard).alias("__general"))
-    p = p.join(F.broadcast(own), role, "left").join(F.broadcast(general)).withColumn("fallback", F.col(standard).isNull()).withColumn(standard, F.coalesce(standard, "__general")).drop("__general")
+    p = p.join(broadcast_if_small(own), role, "left").join(F.broadcast(general)).withColumn("fallback", F.col(standard).isNull()).withColumn(standard, F.coalesce(standard, "__general")).drop("__general")
     return p.withColumn("margin", F.col("blend") - F.col(standard))
 
 

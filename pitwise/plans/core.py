@@ -160,12 +160,12 @@ def full_merge(spark, sf):
     return identity.full_merge(a, b, ["entity", "season"], ["v"])
 
 
-@query("""WITH b AS (SELECT c_custkey AS id, c_acctbal AS bal, c_mktsegment AS seg FROM customer WHERE c_custkey % 3 <> 0), o AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE -1.0 END AS bal, 'X' AS seg FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH b AS (SELECT c_custkey AS id, c_acctbal AS bal, c_mktsegment AS seg FROM customer WHERE c_acctbal > 0), o AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE -1.0 END AS bal, 'X' AS seg FROM customer WHERE c_acctbal < 5000)
 SELECT coalesce(b.id, o.id) AS id, coalesce(o.bal, b.bal) AS bal, coalesce(o.seg, b.seg) AS seg, CASE WHEN o.id IS NULL THEN 'base' WHEN b.id IS NULL THEN 'added' ELSE 'overlaid' END AS origin FROM b FULL JOIN o ON b.id = o.id""")
 def overlay(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
-    over = c.filter("id % 2 = 0").select("id", F.when(F.col("id") % 4 != 0, -1.0).alias("bal"), F.lit("X").alias("seg"))
-    return identity.overlay(c.filter("id % 3 <> 0"), over, ["id"], ["bal", "seg"])
+    over = c.filter("bal < 5000").select("id", F.when(F.col("id") % 4 != 0, -1.0).alias("bal"), F.lit("X").alias("seg"))
+    return identity.overlay(c.filter("bal > 0"), over, ["id"], ["bal", "seg"])
 
 
 @query("SELECT c_custkey AS id, 'first' AS src FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'second' FROM customer WHERE c_custkey % 3 <> 0")
@@ -329,7 +329,7 @@ def append_ordinals(spark, sf):
     return sinks.ordinals(table(spark, sf, "events"), 20, [F.col("ts"), F.col("event_id")], ["user_id"]).select("event_id", "ordinal", "batch")
 
 
-@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
 def insert_absent(spark, sf):
-    there = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    there = table(spark, sf, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
     return sinks.insert_absent(there, table(spark, sf, "orders").select("o_custkey"), ["o_custkey"])

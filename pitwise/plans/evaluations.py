@@ -301,12 +301,12 @@ def latest_attention(spark, sf):
     return publication.attention_ranks(views, ["event_type"], "views", "ordinal", "user_id").drop("ordinal")
 
 
-@query("""WITH a AS (SELECT o_custkey AS id, max(o_orderdate) AS last_attempted_at, max(o_orderdate) + INTERVAL 90 DAY AS next_attempt_at, CASE WHEN count(*) % 3 = 0 THEN 'failed' ELSE 'retryable' END AS status FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1)
+@query("""WITH a AS (SELECT o_custkey AS id, max(o_orderdate) AS last_attempted_at, max(o_orderdate) + INTERVAL 90 DAY AS next_attempt_at, CASE WHEN count(*) % 3 = 0 THEN 'failed' ELSE 'retryable' END AS status FROM orders WHERE o_orderpriority < '2' GROUP BY 1)
 SELECT c_custkey AS id, status, last_attempted_at FROM customer LEFT JOIN a ON a.id = c_custkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 490000) AND (status IS NULL OR (status = 'retryable' AND next_attempt_at <= TIMESTAMP '1999-01-01'))""")
 def work_queue(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
     last = F.max("o_orderdate")
-    a = o.filter("o_orderkey % 4 = 0").groupBy(F.col("o_custkey").alias("id")).agg(last.alias("last_attempted_at"), (last + F.expr("interval 90 days")).alias("next_attempt_at"), F.when(F.count("*") % 3 == 0, "failed").otherwise("retryable").alias("status"))
+    a = o.filter("o_orderpriority < '2'").groupBy(F.col("o_custkey").alias("id")).agg(last.alias("last_attempted_at"), (last + F.expr("interval 90 days")).alias("next_attempt_at"), F.when(F.count("*") % 3 == 0, "failed").otherwise("retryable").alias("status"))
     done = o.filter("o_totalprice > 490000").select(F.col("o_custkey").alias("id")).distinct()
     return publication.work_queue(c, done, a, "id", F.lit("1999-01-01").cast("timestamp_ntz"), [F.col("c_acctbal").desc_nulls_last(), F.col("id")]).select("id", "status", "last_attempted_at")
 
