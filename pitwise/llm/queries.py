@@ -133,6 +133,36 @@ k AS (SELECT u.doc_id, count(g.j) AS n_removed, string_agg(word, ' ' ORDER BY u.
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 """
 
+#: The table of CRC-32 by its rule, and the checksum of bytes written in hexadecimal as ``x``.
+_CRC_TABLE = "t AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], CAST(range(8) AS BIGINT[])), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i)))"
+_CRC = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, len(x) + 1, 2), lambda i: CAST((strpos('0123456789ABCDEF', x[i]) - 1) * 16 + strpos('0123456789ABCDEF', x[i + 1]) - 1 AS BIGINT))), lambda a, y: xor(a >> 8, crc[(xor(a, y) & 255) + 1])), 4294967295)"
+
+OP7 = f"""
+WITH {_CRC_TABLE}, b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, hex(encode(coalesce(text, ''))) AS x, crc FROM documents CROSS JOIN t), c AS (SELECT doc_id, size, {_CRC} AS text_crc32 FROM b),
+o AS (SELECT *, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total, row_number() OVER w AS i FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)), s AS (SELECT *, CAST(least((2 * before + size) * 40 // (2 * total), 39) AS INTEGER) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY i) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+#: Every feature's checksum once, then counts, gains and draws.
+OP13 = rf"""
+WITH {_CRC_TABLE},
+x AS (SELECT 0 AS side, doc_id, row_number() OVER () AS k, text FROM documents UNION ALL SELECT 1, NULL, row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, doc_id, k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+g AS (SELECT side, k, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT side, k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w CROSS JOIN (VALUES (1), (2), (3)) v(n))),
+c AS (SELECT side, k, g, count(*) AS c FROM g GROUP BY 1, 2, 3), u AS (SELECT DISTINCT g FROM c),
+h AS (SELECT g, hex(encode(g)) AS x, t.crc AS crc FROM u CROSS JOIN t),
+b AS (SELECT g, {_CRC} % 10000 AS b FROM h),
+f AS (SELECT side, k, b, sum(c) AS c FROM c JOIN b USING (g) GROUP BY 1, 2, 3),
+n AS (SELECT b, sum(c) FILTER (WHERE side = 0) AS s, coalesce(sum(c) FILTER (WHERE side = 1), 0) AS t FROM f GROUP BY 1),
+a AS (SELECT sum(s) AS s, sum(t) AS t FROM n),
+y AS (SELECT b, CAST(floor(1000 * ln(CAST(n.t + 1 AS DOUBLE) * CAST(a.s + 10000 AS DOUBLE) / (CAST(n.s + 1 AS DOUBLE) * CAST(a.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n, a WHERE n.s IS NOT NULL),
+d AS (SELECT k, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * gain) AS BIGINT) AS weight FROM f JOIN y USING (b) WHERE side = 0 GROUP BY 1),
+e AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) AS words, list_reduce(list_concat([0], list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substr(sha256('42:' || doc_id), i, 1)) - 1)), lambda p, q: p * 16 + q) AS h FROM w LEFT JOIN d USING (k) WHERE side = 0),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE words >= 20) OVER () AS entered FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * entered // 100 THEN place END AS rank FROM r
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -154,4 +184,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op3_arc_to_warc": OP3, "op4_ngram_jaccard": OP4, "op10_substring_dedup": OP10}
+    return {"op2_decontamination": OP2, "op3_arc_to_warc": OP3, "op4_ngram_jaccard": OP4, "op7_sharding": OP7, "op10_substring_dedup": OP10, "op13_importance_resampling": OP13}
