@@ -189,7 +189,9 @@ _LEAST = {"all": 0, "role": 20, "stage": 20, "role_stage": 20, "tier": 8}
 
 def _scenario_rows(spark, sf):
     """Resolved landmarks with what was still to come and centres by role and season number (means of all)."""
-    t = _panel(spark, sf).filter("resolved").withColumn("more", F.col("final_value") - F.col("value_to_date")).withColumn("more_peak", F.col("final_peak") - F.col("peak_to_date"))
+    needed = ("entity", "season", "role", "season_number", "value_to_date", "peak_to_date", "standard", "reaches_standard", "final_value", "final_peak")
+    t = cut(_panel(spark, sf).filter("resolved").select(*needed), "resolved")  # used for the centres and beside them
+    t = t.withColumn("more", F.col("final_value") - F.col("value_to_date")).withColumn("more_peak", F.col("final_peak") - F.col("peak_to_date"))
     centre = t.groupBy("role", "season_number").agg(F.round(F.avg("more"), 7).alias("c1"), F.round(F.avg("more_peak"), 7).alias("c2"))
     t = t.join(broadcast_if_small(centre), ["role", "season_number"])
     return cut(t.select("entity", "season", "role", "season_number", "value_to_date", "peak_to_date", "standard", "reaches_standard", F.round(F.col("more") - F.col("c1"), 7).alias("r1"), F.round(F.col("more_peak") - F.col("c2"), 7).alias("r2"), (F.col("value_to_date") + F.col("c1")).alias("final"), (F.col("peak_to_date") + F.col("c2")).alias("second")), "scenario-rows")
