@@ -15,7 +15,7 @@ from .line_crf import fit, score_documents
 from .mixing import words_taken
 from .quality import quality_rules
 from .rans import encode_and_read
-from .setjoin import near_duplicate_groups, near_duplicate_links
+from .setjoin import near_duplicate_links
 from .sharding import shard_by_bytes
 from .substrings import without_repeats
 from .url_filter import filter_urls, labelled_urls, train
@@ -40,7 +40,7 @@ def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return near_duplicate_links(table(spark, sf_dir, "documents"))
 
 
 def ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,8 @@ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM d x JOIN d y ON x.
 l AS (SELECT a, b FROM p JOIN d_n x ON x.doc_id = a JOIN d_n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.doc_id WHERE r.least < e.b)
-SELECT r.doc_id, coalesce(any_value(d_n.n), 0) AS n_shingles, min(least) AS component_id FROM r LEFT JOIN d_n ON d_n.doc_id = r.doc_id GROUP BY 1
+SELECT r.doc_id, coalesce(any_value(d_n.n), 0) AS n_shingles, min(least) AS component_id, coalesce(any_value(c.n), 0) AS n_links
+FROM r LEFT JOIN d_n ON d_n.doc_id = r.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) c ON c.a = r.doc_id GROUP BY 1
 """
 
 OP10 = f"""
@@ -184,4 +185,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op3_arc_to_warc": OP3, "op4_ngram_jaccard": OP4, "op7_sharding": OP7, "op10_substring_dedup": OP10, "op13_importance_resampling": OP13}
+    return {"op2_decontamination": OP2, "op3_arc_to_warc": OP3, "op4_ngram_jaccard": OP4, "ngram_jaccard_links": OP4, "op7_sharding": OP7, "op10_substring_dedup": OP10, "op13_importance_resampling": OP13}

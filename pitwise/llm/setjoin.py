@@ -24,7 +24,9 @@ components of the links.
    for the first time there, so a group of any density yields no more links than sets.
    Where links are counted, every candidate is verified and a tile also gives off one
    number a set: the documents of the sets that it links with there. Two sets meet in
-   one tile only, so the numbers add up, and no pairs are written.
+   one tile only, so the numbers add up, and no pairs are written. Lists that an eighth
+   of a tile's sets are on lie as bitmaps there, and sets that could link by those alone
+   are probed a block at a time, so groups of thousands of near copies stay cheap.
 5. *Components* of the links name the groups.
 
 Defined results: null texts and texts without words have no shingles, link with
@@ -50,6 +52,8 @@ K = 5
 PERCENT = 80  # of the union
 SIEVES = (5, 40)  # per cent
 TILE_SHINGLES = 1 << 21
+DENSE = 8  # a list that one in so many of the tile's sets is on lies as a bitmap
+CELLS = 1 << 21  # of a block of bitmap counts
 
 
 def _sets(docs: DataFrame, k: int, percent: int, what: str, more: int = 0) -> DataFrame:
@@ -163,11 +167,47 @@ def merged_counts(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return merged[first], np.diff(first, append=len(merged))
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of some slices, one after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def _bitmap_links(
+    rows: np.ndarray, sizes: np.ndarray, sides: np.ndarray, own: np.ndarray, first: np.ndarray, postings: np.ndarray, starts: np.ndarray, dense: np.ndarray, percent: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For blocks of ``rows``: the pairs ``x, y`` (places, ``x < y``) that link. Lists in
+    ``dense`` are probed as bitmaps, a block of sets against all later ones at once; the
+    others are merged and counted. ``own`` has the lists of each set, from ``first`` on."""
+    count, lengths = len(sizes), np.diff(starts)
+    held = _ranges(starts[:-1][dense], lengths[dense])
+    bits = np.zeros((count, int(dense.sum())), np.float32)  # counts stay far below 2 ** 24
+    bits[postings[held], np.repeat(np.arange(bits.shape[1]), lengths[dense])] = 1
+    sparse = np.where(dense | (lengths < 2), 0, lengths)
+    volume = np.array([sparse[own[first[x] : first[x] + sizes[x]]].sum() for x in rows])
+    block = np.cumsum(np.maximum(volume, count)) // CELLS
+    for some in np.split(rows, np.flatnonzero(np.diff(block)) + 1):
+        low, high = int(some[0]), int(np.searchsorted(sizes, int(sizes[some[-1]]) * 100 // percent, "right"))
+        shared = (bits[some] @ bits[low:high].T).astype(np.int64)
+        lists = own[_ranges(first[some], sizes[some])]
+        at = np.repeat(np.arange(len(some)), sizes[some])
+        at, lists = at[sparse[lists] > 0], lists[sparse[lists] > 0]
+        met = postings[_ranges(starts[lists], lengths[lists])]
+        at = np.repeat(at, lengths[lists])
+        within = (met >= low) & (met < high)
+        shared += np.bincount(at[within] * (high - low) + met[within] - low, minlength=shared.size).reshape(shared.shape)
+        near = 100 * shared >= percent * (sizes[some][:, None] + sizes[low:high] - shared)
+        near &= (np.arange(low, high) > some[:, None]) & ((sides[low:high] != sides[some][:, None]) | (sides[low:high] == 2))
+        x, y = np.nonzero(near)
+        yield some[x], low + y
+
+
 def t_occurrence_links(
     sig: np.ndarray, side: np.ndarray, n: np.ndarray, values: np.ndarray, percent: int = PERCENT, docs: np.ndarray | None = None
 ) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that join the groups of some sets, with each set's values ascending; and,
-    if the sets' ``docs`` are given, how many documents each set links with (else 0)."""
+    if the sets' ``docs`` are given, how many documents each set links with (else 0). A
+    set whose long lists alone may reach the overlap has nothing to merge that would thin
+    its candidates: where links are counted, such sets are probed in blocks."""
     first = np.cumsum(n) - n
     order = np.lexsort((sig, n))
     place = np.empty(len(order), np.int64)
@@ -193,8 +233,25 @@ def t_occurrence_links(
             group[i] = i = group[group[i]]
         return i
 
+    def join(x, near):
+        for y in near[group[near] != root(x)]:
+            a, b = root(x), root(y)
+            if a != b:
+                group[max(a, b)] = min(a, b)
+                links.append((int(sig[order[x]]), int(sig[order[y]])))
+
     links = []
-    for x in range(len(order)):
+    todo = np.arange(len(order))
+    if held is not None:
+        dense = (lengths > 1) & (lengths * DENSE >= len(order))
+        on = np.bincount(owner, weights=dense[list_of], minlength=len(order))
+        able = on >= -(-sizes * percent // 100)
+        for x, y in _bitmap_links(todo[able], sizes, sides, list_of, first[order], postings, starts, dense, percent) if able.any() else ():
+            count += np.bincount(x, held[y], len(order)).astype(np.int64) + np.bincount(y, held[x], len(order)).astype(np.int64)
+            for one in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else ():
+                join(x[one[0]], y[one])
+        todo = todo[~able]
+    for x in todo:
         d = order[x]
         own = list_of[first[d] : first[d] + n[d]]
         own = own[lengths[own] > 1]
@@ -227,11 +284,7 @@ def t_occurrence_links(
         if held is not None:
             count[x] += held[near].sum()
             count[near] += held[x]
-        for y in near[group[near] != root(x)]:
-            a, b = root(x), root(y)
-            if a != b:
-                group[max(a, b)] = min(a, b)
-                links.append((int(sig[d]), int(sig[order[y]])))
+        join(x, near)
     return links, count[place]
 
 

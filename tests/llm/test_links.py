@@ -27,3 +27,19 @@ def test_a_dense_tile_counts_all_pairs_by_probes_and_by_counting():
     n = np.array([len(s) for s in sets])
     _, count = t_occurrence_links(np.arange(len(sets)), np.full(len(sets), 2), n, np.concatenate(sets), 80, docs)
     assert count.tolist() == want
+
+
+def test_two_sides_meet_only_each_other_whether_lists_are_bitmaps_or_merged():
+    rng = np.random.default_rng(5)
+    base = np.arange(10**6, 10**6 + 120)
+    sets = [np.unique(np.concatenate([base[rng.random(120) > 0.08], rng.integers(0, 10**5, rng.integers(0, 15))])) for _ in range(150)]
+    sets += [np.unique(rng.integers(0, 300, 40)) for _ in range(150)]  # long lists, few links
+    sets += [np.unique(np.append(np.arange(7000 + i // 2 * 60, 7050 + i // 2 * 60), rng.integers(0, 300, 2))) for i in range(60)]  # pairs that share short lists
+    side = rng.integers(0, 2, len(sets))
+    docs, n = rng.integers(1, 9, len(sets)), np.array([len(s) for s in sets])
+    near = [[i != j and side[i] != side[j] and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(map(set, sets))] for i, a in enumerate(map(set, sets))]
+    links, count = t_occurrence_links(np.arange(len(sets)), side, n, np.concatenate(sets), 80, docs)
+    assert count.tolist() == (np.array(near) @ docs).tolist()
+    assert (count[300:] > 0).any() and all(near[a][b] for a, b in links)
+    plain, none = t_occurrence_links(np.arange(len(sets)), side, n, np.concatenate(sets), 80)
+    assert not none.any() and len(plain) == len(links)
