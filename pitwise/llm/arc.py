@@ -10,8 +10,13 @@ body, and block and payload digests.
 
 Archives go through Spark's own writers and readers, so they may lie in any store
 that Spark reaches: a record's bytes are a row of the text sink, whose line end is
-the record's last LF, and whole files come back through ``binaryFile``. Files are
-gzipped; their size follows the partitions they were written from.
+the record's last LF, and files come back through ``binaryFile``. Files are gzipped;
+their size follows the partitions they were written from. An archive is unpacked as a
+stream, so a task holds its packed bytes and one record, not its contents.
+
+Archives are read twice: once for an index without bodies, from which repeated payloads
+are told, once to write each archive's records. Bodies are never shuffled; what the
+second reading needs to know is a list an archive.
 
 Defined results: a null payload is empty; a null URL is written ``-`` and has no
 target; a declared length beyond the end of the file marks the record truncated and
@@ -22,6 +27,7 @@ equal in every respect one is the response; no pages give empty archives.
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -31,7 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from pitwise.operators.sizes import BROADCAST_ROWS
+
+from .scratch import cut, forget, new_path, remove
 
 #: The header fields of each ARC version, as its filedesc body names them.
 ARC_FIELDS = {
@@ -40,6 +48,8 @@ ARC_FIELDS = {
 }
 _SAFE = re.compile(rb"[\x00-\x20\x7f]")
 _ROWS = 200
+_BATCH_BYTES = 8 << 20
+_PIECE = 1 << 20  # read at once; no header line is longer
 
 
 def _encoded(url: str | None) -> bytes:
@@ -58,37 +68,70 @@ def arc_filedesc(version: int, name: str, date: str) -> bytes:
     return arc_record(version, f"filedesc://{name}", "0.0.0.0", date, body, mime="text/plain")
 
 
-def unzipped(data: bytes) -> bytes:
-    """``data`` without its gzip members, if it has any."""
+class _Unzipped(io.RawIOBase):
+    """What the gzip members of a file hold, unpacked as it is read; a member cut short ends it."""
+
+    def __init__(self, packed):
+        self._packed, self._member, self._rest = packed, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while True:
+            if len(self._rest) < 2:
+                self._rest += self._packed.read(1 << 16)
+            if self._member is None:
+                if self._rest[:2] != b"\x1f\x8b":
+                    return 0
+                self._member = zlib.decompressobj(31)
+            had = len(self._rest)
+            out = self._member.decompress(self._rest, len(into))
+            self._rest = self._member.unconsumed_tail
+            if self._member.eof:
+                self._rest, self._member = self._member.unused_data, None
+            into[: len(out)] = out
+            if out or not had:
+                return len(out)
+
+
+def opened(data: bytes | pa.Buffer) -> io.BufferedReader:
+    """An archive as a stream, unpacked if it is gzipped."""
+    packed = pa.BufferReader(data)
+    zipped = packed.read(2) == b"\x1f\x8b"
+    packed.seek(0)
+    return io.BufferedReader(_Unzipped(packed) if zipped else packed, 1 << 16)
+
+
+def _taken(stream: io.BufferedReader, size: int) -> bytes:
+    """The next ``size`` bytes, or what there is of them, whatever size is declared."""
     parts = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        parts.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(parts) if parts else data
+    while size > 0 and (part := stream.read(min(size, _PIECE))):
+        parts.append(part)
+        size -= len(part)
+    return b"".join(parts)
 
 
-def arc_records(data: bytes, name: str = "") -> Iterator[dict]:
+def arc_records(data: bytes | pa.Buffer, name: str = "") -> Iterator[dict]:
     """The records of one archive, the filedesc included: a dict of the version's
     fields, with ``version``, ``body``, ``truncated``, ``archive`` (as the filedesc
     names it) and ``offset``."""
-    data = unzipped(data)
+    stream = opened(data)
     at, version, fields, archive = 0, None, ARC_FIELDS[1].split(), name
-    while True:
-        while data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-        if at >= len(data):
-            return
-        end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].rstrip(b"\r")
+    while whole := stream.readline(_PIECE):
+        line = whole.lstrip(b"\r\n")
+        at += len(whole) - len(line)
+        if not line:
+            continue
+        ended, size, line = line.endswith(b"\n"), len(line), line.rstrip(b"\r\n")
         if version is None and line.startswith(b"filedesc:"):  # its line has the fields that its own body names
-            first = data[end + 1 : end + 2]
+            first = stream.peek(1)[:1]
             fields = ARC_FIELDS.get(int(first) if first.isdigit() else 0, ARC_FIELDS[1]).split()
         values = line.rsplit(b" ", len(fields) - 1)
-        if len(values) != len(fields) or not values[-1].isdigit() or end < 0:
+        if len(values) != len(fields) or not values[-1].isdigit() or not ended:
             raise ValueError(f"{name or 'archive'}: no header line of version {version or 1} at byte {at}: {line[:80]!r}")
         length = int(values[-1])
-        body = data[end + 1 : end + 1 + length]
+        body = _taken(stream, length)
         record = dict(zip([f.lower() for f in fields], (v.decode("utf-8", "replace") for v in values)))
         if version is None:
             version = 1
@@ -98,7 +141,7 @@ def arc_records(data: bytes, name: str = "") -> Iterator[dict]:
                 version = int(head[0].split(b" ")[0])
                 fields = head[1].decode().split() if len(head) > 1 and head[1] else ARC_FIELDS[version].split()
         yield record | {"version": version, "body": body, "truncated": len(body) < length, "archive": archive, "offset": at}
-        at = end + 1 + length
+        at += size + length
 
 
 def split_http(body: bytes) -> int | None:
@@ -155,7 +198,7 @@ def converted(record: dict) -> dict:
 
 _CONVERTED = (
     "arc_version int, record_id string, type string, date string, uri string, ip string, mime string, truncated boolean, block binary, "
-    "head_bytes int, block_digest string, payload_digest string, payload_bytes long, sort_key long"
+    "head_bytes int, block_digest string, payload_digest string, payload_bytes long, sort_key long, path string"
 )
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 
@@ -164,13 +207,14 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in ddl.split(", "))])
 
 
-def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held = []
+def _batched(rows: Iterator[dict], schema: pa.Schema, body: str) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for row in rows:
         held.append(row)
-        if len(held) == _ROWS:
+        size += len(row[body] or b"")
+        if len(held) == _ROWS or size > _BATCH_BYTES:
             yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema)
 
@@ -179,35 +223,40 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_arc(spark: SparkSession, path: str, sort_header: str = "X-Page-Id") -> DataFrame:
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``path``, packed bytes (not copied) and the other columns of each file."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            path, content, *more = (batch.column(c)[i] for c in range(batch.num_columns))
+            yield path.as_py(), content.as_buffer(), *(m.as_py() for m in more)
+
+
+def read_arc(spark: SparkSession, path: str, sort_header: str = "X-Page-Id", with_blocks: bool = True) -> DataFrame:
     """All records of the ARC archives at ``path``, converted; ``sort_key`` is the
-    integer in the HTTP header ``sort_header``, if it holds one."""
+    integer in the HTTP header ``sort_header``, if it holds one; ``path`` is the archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    for record in arc_records(batch.column(1)[i].as_py(), batch.column(0)[i].as_py()):
-                        out = converted(record)
-                        key = http_header(out["block"][: out["head_bytes"]], sort_header)
-                        yield out | {"sort_key": int(key) if key and key.lstrip("-").isdigit() else None}
+            for name, content in _archives(batches):
+                for record in arc_records(content, name):
+                    out = converted(record)
+                    key = http_header(out["block"][: out["head_bytes"]], sort_header)
+                    yield out | {"sort_key": int(key) if key and key.lstrip("-").isdigit() else None, "path": name, "block": out["block"] if with_blocks else None}
 
-        yield from _batched(rows(), arrow_schema(_CONVERTED))
+        yield from _batched(rows(), arrow_schema(_CONVERTED), "block")
 
     return _files(spark, path).mapInArrow(run, _CONVERTED)
 
 
-def with_revisits(records: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """Of the responses with equal payloads of ``min_bytes`` or more, all but the
-    first in ``(sort_key, record_id)`` (nulls last) become revisits of it."""
-    able = (F.col("type") == "response") & (F.col("payload_bytes") >= min_bytes)
+def revisits(records: DataFrame, min_bytes: int = 100) -> DataFrame:
+    """Of the responses with equal payloads of ``min_bytes`` or more, all but the first
+    in ``(sort_key, record_id)`` (nulls last): ``path, record_id`` and the first one's
+    ``refers_to_id, refers_to_uri, refers_to_date``. ``records`` is read more than once."""
+    able = records.filter((F.col("type") == "response") & (F.col("payload_bytes") >= min_bytes))
     order = F.struct(F.col("sort_key").isNull().alias("no_key"), "sort_key", "record_id", "uri", "date")  # ids differ
-    first = records.filter(able).groupBy("payload_digest").agg(F.min(order).alias("first")).withColumnRenamed("payload_digest", "__digest")
-    later = able & ~F.col("first").eqNullSafe(order)
-    return records.join(first, able & (F.col("payload_digest") == F.col("__digest")), "left").select(
-        "*", later.alias("__later"), F.when(later, F.col("first.record_id")).alias("refers_to_id"),
-        F.when(later, F.col("first.uri")).alias("refers_to_uri"), F.when(later, F.col("first.date")).alias("refers_to_date"),
-    ).withColumn("type", F.when(F.coalesce("__later", F.lit(False)), "revisit").otherwise(F.col("type"))).drop("__digest", "first", "__later")
+    first = able.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    later = able.join(first, "payload_digest").filter(F.col("first.record_id") != F.col("record_id"))
+    return later.select("path", "record_id", F.col("first.record_id").alias("refers_to_id"), F.col("first.uri").alias("refers_to_uri"), F.col("first.date").alias("refers_to_date"))
 
 
 def warc_record(r: dict) -> bytes:
@@ -238,30 +287,47 @@ def _write_bytes(rows: DataFrame, path: str, level: str) -> None:
     rows.select(F.col("value").cast("string")).write.option("compression", "gzip").option("zlib.compress.level", level).text(path)
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write converted records as WARC archives."""
+def arc_to_warc(spark: SparkSession, arc: str, warc: str, sort_header: str = "X-Page-Id", min_bytes: int = 100) -> None:
+    """Convert the ARC archives at ``arc`` into WARC archives at ``warc``, with revisit
+    records for repeated payloads (see ``revisits``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, _ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array([warc_record(r)[:-1] for r in batch.slice(lo, _ROWS).to_pylist()], pa.binary())], names=["value"])
+        def rows():
+            for name, content, later in _archives(batches):
+                later = {r["record_id"]: r | {"type": "revisit"} for r in later or ()}
+                for record in arc_records(content, name):
+                    out = converted(record)
+                    yield {"value": warc_record(out | later.get(out["record_id"], {}))[:-1]}
+
+        yield from _batched(rows(), arrow_schema("value binary"), "value")
 
-    _write_bytes(records.mapInArrow(run, "value binary"), path, "THREE")
+    index = cut(read_arc(spark, arc, sort_header, with_blocks=False).select("path", "record_id", "type", "uri", "date", "payload_digest", "payload_bytes", "sort_key"), "arc-index")
+    later = cut(revisits(index, min_bytes), "revisits")
+    lists = later.groupBy("path").agg(F.collect_list(F.struct("record_id", "refers_to_id", "refers_to_uri", "refers_to_date")).alias("later"))  # no longer than an archive
+    lists = F.broadcast(lists) if later.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lists.hint("merge")
+    _write_bytes(_files(spark, arc).join(lists, "path", "left").select("path", "content", "later").mapInArrow(run, "value binary"), warc, "THREE")
+    forget(index, later)
+
+
+def _write_bytes(rows: DataFrame, path: str, level: str) -> None:
+    """Rows of bytes, each followed by LF, in gzipped files below ``path``."""
+    rows.select(F.col("value").cast("string")).write.option("compression", "gzip").option("zlib.compress.level", level).text(path)
 
 
-def warc_records(data: bytes, name: str = "") -> Iterator[tuple[dict[str, str], bytes]]:
+def warc_records(data: bytes | pa.Buffer, name: str = "") -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record of one archive."""
-    data = unzipped(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+    stream, at = opened(data), 0
+    while line := stream.readline(_PIECE):
+        start, head, size = line, {}, len(line)
+        while (line := stream.readline(_PIECE)) not in (b"\r\n", b""):
+            key, _, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(": ")
+            head[key.lower()] = value
+            size += len(line)
+        if not start.startswith(b"WARC/") or not line:
             raise ValueError(f"{name or 'archive'}: no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        length = int(head["content-length"])
+        yield head, _taken(stream, length)
+        at += size + 2 + length + len(stream.read(4))
 
 
 _READ = (
@@ -277,25 +343,24 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    for head, block in warc_records(batch.column(1)[i].as_py(), batch.column(0)[i].as_py()):
-                        if f"sha256:{hashlib.sha256(block).hexdigest()}" != head["warc-block-digest"]:
-                            raise ValueError(f"record {head['warc-record-id']} is damaged")
-                        kind = head["warc-type"]
-                        if kind == "warcinfo":
-                            continue
-                        at = split_http(block) or 0
-                        stated = head.get("warc-payload-digest", ":").split(":", 1)[1]
-                        size = http_header(block[:at], "Content-Length") if kind == "revisit" else None
-                        yield {
-                            "record_id": head["warc-record-id"], "record_type": kind, "uri": head.get("warc-target-uri"), "date": head["warc-date"],
-                            "http_head": block[:at].decode("utf-8", "replace"), "payload": block[at:] if with_payload else None,
-                            "payload_bytes": int(size) if size else len(block) - at,
-                            "payload_digest": stated if kind == "revisit" else hashlib.sha256(block[at:]).hexdigest(), "refers_to_id": head.get("warc-refers-to"),
-                        }
-
-        yield from _batched(rows(), arrow_schema(_READ))
+            for name, content in _archives(batches):
+                for head, block in warc_records(content, name):
+                    if f"sha256:{hashlib.sha256(block).hexdigest()}" != head["warc-block-digest"]:
+                        raise ValueError(f"record {head['warc-record-id']} is damaged")
+                    kind = head["warc-type"]
+                    if kind == "warcinfo":
+                        continue
+                    at = split_http(block) or 0
+                    stated = head.get("warc-payload-digest", ":").split(":", 1)[1]
+                    size = http_header(block[:at], "Content-Length") if kind == "revisit" else None
+                    yield {
+                        "record_id": head["warc-record-id"], "record_type": kind, "uri": head.get("warc-target-uri"), "date": head["warc-date"],
+                        "http_head": block[:at].decode("utf-8", "replace"), "payload": block[at:] if with_payload else None,
+                        "payload_bytes": int(size) if size else len(block) - at,
+                        "payload_digest": stated if kind == "revisit" else hashlib.sha256(block[at:]).hexdigest(), "refers_to_id": head.get("warc-refers-to"),
+                    }
+
+        yield from _batched(rows(), arrow_schema(_READ), "payload")
 
     return _files(spark, path).mapInArrow(run, _READ)
 
@@ -330,7 +395,8 @@ def pages_through_archives(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_pages_as_arc(pages, arc)
-    write_warc(with_revisits(read_arc(spark, arc)), warc)
+    arc_to_warc(spark, arc, warc)
+    remove(spark, arc)
     found = read_warc(spark, warc, with_payload=False)
     found = found.withColumn("page_id", F.expr(r"try_cast(regexp_extract(http_head, '(?m)^X-Page-Id: (-?\\d+)', 1) as long)"))
     targets = found.filter("record_type = 'response'").select(F.col("record_id").alias("__target"), F.col("page_id").alias("refers_to"))

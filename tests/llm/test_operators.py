@@ -236,6 +236,36 @@ def test_arc_headers_of_both_versions(version):
         list(arc.arc_records(data + b"not a header\n"))
 
 
+def test_archives_are_unpacked_as_a_stream():
+    import gzip
+
+    parts = [arc.arc_filedesc(1, "f.arc", "20010203040506"), *(arc.arc_record(1, f"http://h/{i}", "1.2.3.4", "2001", b"HTTP/1.0 200 OK\n\n" + b"x\r\n" * i * 40_000) for i in range(4))]
+    plain = b"".join(p + b"\r\n\n" for p in parts)
+    packed = b"".join(gzip.compress(p + b"\r\n\n") for p in parts)  # a member a record
+    want = list(arc.arc_records(plain, "f"))
+    assert [len(r["body"]) for r in want[1:]] == [17 + 120_000 * i for i in range(4)]
+    assert [plain.find(p) for p in parts] == [r["offset"] for r in want]
+    for data in (packed, gzip.compress(plain), gzip.compress(plain[:50]) + gzip.compress(plain[50:]) + b"tail that is no member"):
+        assert list(arc.arc_records(data, "f")) == want
+    cut = list(arc.arc_records(packed[:-40], "f"))
+    assert cut[:-1] == want[:-1] and cut[-1]["truncated"]
+    huge = list(arc.arc_records(plain + b"http://h/z 1.2.3.4 2001 text/html 99999999999999\nrest", "f"))
+    assert huge[-1]["body"] == b"rest" and huge[-1]["truncated"]
+    assert not list(arc.arc_records(b"")) and not list(arc.warc_records(b"\n"[:0]))
+    with pytest.raises(ValueError, match="no WARC record at byte 0"):
+        list(arc.warc_records(plain))
+
+
+def test_repeats_beyond_a_broadcast_are_joined_by_archive(spark, monkeypatch):
+    rows = [(i, f"http://h/{i}", "y" * 150 if i % 3 else str(i) * 120) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    found = [sorted(map(tuple, arc.pages_through_archives(pages).select("page_id", "payload_digest", "record_type", "refers_to").collect()))]
+    monkeypatch.setattr(arc, "BROADCAST_ROWS", 3)
+    found.append(sorted(map(tuple, arc.pages_through_archives(pages).select("page_id", "payload_digest", "record_type", "refers_to").collect())))
+    assert found[0] == found[1]
+    assert [r[3] for r in found[0]] == [1 if i % 3 and i != 1 else None for i in range(60)]
+
+
 def test_licenses_match_brute_force(spark):
     import re
 
