@@ -60,7 +60,10 @@ def running(rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, levels: tuple[float, ...], name: str = "quantiles", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``keys, name``: an array of the quantiles of the values that are not null, linear between
     neighbours. Ranks are found in running counts over distinct values, so no task
-    holds a group's values, as those of ``percentile`` do. Keys without values have no row."""
+    holds a group's values, as those of ``percentile`` do. Keys without values have no row.
+
+    The sum of the two shares is rounded once (``Math.fma``), as DuckDB rounds it: neighbours may
+    be one number with two roundings, and a bit more or less then moves rows over the quantile."""
     placed = placed_values(rows.filter(F.col(value).isNotNull()), keys, value, {"n": F.lit(1)}, split_rows)
     at = [(F.col("all_n") - 1) * float(q) for q in levels]
     reached = lambda rank: F.min(F.when(F.col("upto_n") > rank, F.col(value).cast("double")))
@@ -68,6 +71,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, levels: tuple[
 
     def between(i: int, p: Column) -> Column:
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        return F.when((F.floor(p) == F.ceil(p)) | (lo == hi), lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi)
+        once = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), lo, F.ceil(p) - p, hi * (p - F.floor(p))).cast("double")
+        return F.when((F.floor(p) == F.ceil(p)) | (lo == hi), lo).otherwise(once)
 
     return found.select(*keys, F.array(*[between(i, p) for i, p in enumerate(at)]).alias(name))

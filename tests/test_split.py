@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pitwise.operators import evaluation, ranking, split
@@ -76,3 +77,14 @@ def test_nearest_rows_are_those_of_a_full_comparison(spark):
         for size in (split.SPLIT_ROWS, 20):
             got = evaluation.nearest_or_local(p, t, ["g"], "at", "v", "i", width, least, most, split_rows=size)
             assert sorted((x.g, x.point, x.i) for x in got.collect()) == neighbours(points, rows, width, least, most)
+
+
+def test_quantiles_of_noisy_sums_are_duckdbs_to_the_last_bit(spark):
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(8)
+    rows = [(g, r.randrange(200) / 100 + r.randrange(200) / 100 + r.randrange(200) / 100) for g in range(150) for _ in range(r.randrange(2, 60))]
+    t = spark.createDataFrame(rows, "g int, v double")
+    got = {x.g: list(x.quantiles) for x in split.exact_quantiles(t, ["g"], "v", (0.7, 0.9)).collect()}
+    con = duckdb.connect()
+    con.register("t", t.toPandas())
+    assert got == {g: [a, b] for g, a, b in con.sql("SELECT g, quantile_cont(v, 0.7), quantile_cont(v, 0.9) FROM t GROUP BY 1").fetchall()}
