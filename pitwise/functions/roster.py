@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,29 +90,39 @@ def trait_evidence(metrics: Column, pillars: dict[str, tuple[str, ...]], source:
 
     Metrics of other keys are passed over; those of other sources or without a percentile
     from 0 to 100 do not count, nor does a key that comes twice."""
-    able = F.filter(metrics, lambda m: (m["source"] == source) & m["percentile"].between(0.0, 100.0))
     supported = [k for keys in pillars.values() for k in keys]
-    foreign = F.size(F.filter(metrics, lambda m: F.lower(F.trim(m["key"])).isin(*supported) & (m["source"] != source)))
-    keys = F.transform(able, lambda m: F.lower(F.trim(m["key"])))
-    once = F.filter(able, lambda m: F.size(F.filter(keys, lambda k: k == F.lower(F.trim(m["key"])))) == 1)
-    best = []
-    for name, own in pillars.items():
-        mine = _of(once, own)
-        top = F.get(F.array_sort(F.transform(mine, lambda m: F.struct((-m["percentile"]).alias("p"), F.lower(F.trim(m["key"])).alias("key")))), F.lit(0))
-        best.append(F.struct(F.lit(name).alias("pillar"), top["key"].alias("key"), (-top["p"]).alias("percentile")))
-    found = F.filter(F.array(*best), lambda b: b["key"].isNotNull())
-    strong = F.filter(found, lambda b: b["percentile"] >= STRONG)
-    enough = F.size(found) >= COVERED_PILLARS
     names = lambda a: F.array_join(F.transform(a, lambda b: b["pillar"]), ",")
-    warnings = F.array_join(F.array_compact(F.array(F.when(~enough, "insufficient_pillar_coverage"), F.when(foreign > 0, "unsupported_metric_source_excluded"))), ",")
-    return F.struct(
-        names(found).alias("covered"), names(strong).alias("strong"), F.array_join(F.transform(found, lambda b: b["key"]), ",").alias("strongest"),
-        enough.alias("coverage_sufficient"), (F.size(strong) >= STRONG_PILLARS).alias("multi_pillar"), warnings.alias("warnings"),
-    )
+
+    def best(once: Column) -> Column:
+        tops = [F.array_min(F.transform(_of(once, own), lambda m: F.struct((-m["percentile"]).alias("p"), m["key"].alias("key")))) for own in pillars.values()]
+        each = F.zip_with(F.array(*map(F.lit, pillars)), F.array(*tops), lambda name, t: F.struct(name.alias("pillar"), t["key"].alias("key"), (-t["p"]).alias("percentile")))
+        return F.filter(each, lambda b: b["key"].isNotNull())
+
+    def told(found: Column, strong: Column, foreign: Column) -> Column:
+        enough = F.size(found) >= COVERED_PILLARS
+        warnings = F.array_join(F.array_compact(F.array(F.when(~enough, "insufficient_pillar_coverage"), F.when(foreign, "unsupported_metric_source_excluded"))), ",")
+        return F.struct(
+            names(found).alias("covered"), names(strong).alias("strong"), F.array_join(F.transform(found, lambda b: b["key"]), ",").alias("strongest"),
+            enough.alias("coverage_sufficient"), (F.size(strong) >= STRONG_PILLARS).alias("multi_pillar"), warnings.alias("warnings"),
+        )
+
+    def judged(named: Column) -> Column:
+        foreign = F.coalesce(F.exists(named, lambda m: m["key"].isin(*supported) & (m["source"] != source)), F.lit(False))
+        able = F.filter(named, lambda m: (m["source"] == source) & m["percentile"].between(0.0, 100.0))
+        once = _bound(able, lambda a: F.filter(a, lambda m: F.size(F.filter(a, lambda o: o["key"] == m["key"])) == 1))
+        return _bound(_bound(once, best), lambda found: _bound(F.filter(found, lambda b: b["percentile"] >= STRONG), lambda strong: told(found, strong, foreign)))
+
+    read = F.transform(metrics, lambda m: F.struct(F.lower(F.trim(m["key"])).alias("key"), m["percentile"].alias("percentile"), m["source"].alias("source")))
+    return _bound(read, judged)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the value, which is worked out once a row however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _of(metrics: Column, keys: tuple[str, ...]) -> Column:
-    return F.filter(metrics, lambda m: F.lower(F.trim(m["key"])).isin(*keys))
+    return F.filter(metrics, lambda m: m["key"].isin(*keys))
 
 
 #: The note of each registered warning, and the order of notes.
