@@ -41,12 +41,19 @@ def census(members: DataFrame, entity: str, known_at: str, kind: str, status: st
     by_status = F.lit(len(STATUS_ORDER) + 1)
     for i, name in enumerate(STATUS_ORDER):
         by_status = F.when(F.col(status) == name, i + 1).otherwise(by_status)
-    place = F.struct(by_kind.alias("a"), by_status.alias("b"), (-level_ordinal(F.col(level))).alias("c"), F.col(team).alias("d"))
-    staged = members.withColumn("__place", place)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("__place", F.struct(team, organization, level, status, kind).alias("m")))), lambda x: x["m"])
-    return staged.groupBy(entity).agg(
-        *[F.min_by(c, F.struct(-F.unix_micros(F.col(known_at).cast("timestamp")), "__place")).alias(c) for c in columns],
-        F.count("*").alias("memberships"), F.count_if(F.col(kind) == "affiliate").alias("affiliate_memberships"), F.countDistinct(role).alias("roles"), F.countDistinct(organization).alias("organizations"), F.to_json(listed).alias("memberships_json"),
+    place = [by_kind.alias("__a"), by_status.alias("__b"), (-level_ordinal(F.col(level))).alias("__c")]
+    shown = [team, organization, level, status, kind]
+    carried = [*shown, *(c for c in dict.fromkeys([role, *columns]) if c not in shown)]
+    latest = (-F.unix_micros(F.col(known_at).cast("timestamp"))).alias("__at")
+    # memberships are dealt out once, as they are, and all that is told of them is read from the one list
+    dealt = members.select(entity, F.struct(*place, *carried, latest).alias("__m")).repartition(entity)
+    listed = dealt.groupBy(entity).agg(F.array_sort(F.collect_list("__m")).alias("__list"))
+    first = F.array_min(F.transform("__list", lambda m: F.struct(m["__at"].alias("at"), *[m[x].alias(x) for x in ("__a", "__b", "__c", team)], F.struct(*[m[x].alias(x) for x in columns]).alias("own"))))
+    distinct = lambda c: F.size(F.array_distinct(F.array_compact(F.transform("__list", lambda m: m[c])))).cast("long")
+    return listed.withColumn("__first", first["own"]).select(
+        entity, *[F.col("__first")[c].alias(c) for c in columns],
+        F.size("__list").cast("long").alias("memberships"), F.size(F.filter("__list", lambda m: m[kind] == "affiliate")).cast("long").alias("affiliate_memberships"), distinct(role).alias("roles"), distinct(organization).alias("organizations"),
+        F.to_json(F.transform("__list", lambda m: F.struct(*[m[x].alias(x) for x in shown]))).alias("memberships_json"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitwise.functions import roster
+from pitwise.operators import publication
 
 
 def plan(df) -> str:
@@ -25,3 +26,12 @@ def test_evidence_reads_each_metric_once(spark):
         (5, "speed", "speed", "sprint", False, False, few),
     ]
     assert plan(out).count("lower(") == 1
+
+
+def test_census_deals_memberships_once(spark):
+    rows = [(1, "2020-01-01", "affiliate", "active", "AA", 5, 9, "a"), (1, "2020-02-01", "parent", "rehab", "AAA", 6, None, "b"), (1, "2020-02-01", "affiliate", "injured", None, 7, 9, "a"), (2, None, "parent", "x", "A", 8, 1, None), (2, "2021-01-01", "affiliate", "active", "A", 8, 1, None)]
+    t = spark.createDataFrame(rows, "id int, at string, kind string, status string, level string, team int, org int, role string").withColumn("at", F.to_date("at"))
+    out = publication.census(t, "id", "at", "kind", "status", "level", "team", "org", "role", ["team", "status", "level"])
+    assert "Expand" not in plan(out) and out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r.id: tuple(r)[1:8] for r in out.collect()}
+    assert got == {1: (7, "injured", None, 3, 2, 2, 1), 2: (8, "x", "A", 2, 1, 0, 1)}
