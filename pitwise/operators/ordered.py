@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,15 +83,29 @@ def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def isotonic(rows: DataFrame, keys: list[str], order: str, value: str, weight: str, name: str) -> DataFrame:
-    """``pool_adjacent`` within each entity's few ordered points."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
-
-    def project(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        pdf[name] = pool_adjacent(pdf[value].to_numpy(float), pdf[weight].to_numpy(float))
-        return pdf
-
-    return rows.groupBy(*keys).applyInPandas(project, schema)
+    """``pool_adjacent`` within each entity's few ordered points. A batch has the points of many
+    entities; those that never fall are as they are fitted."""
+    columns = rows.columns
+    own = [c for c in columns if c not in keys]
+    point = F.struct(F.col(order).isNull().alias("__null"), F.col(order).alias("__order"), *own)
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("__points"))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            points = dict(zip(["__null", "__order", *own], lists.flatten().flatten()))
+            v, w = (points[c].to_numpy(zero_copy_only=False).astype(float) for c in (value, weight))
+            ends = np.cumsum(n)
+            entity = np.repeat(np.arange(len(n)), n)
+            falls = np.unique(entity[1:][(v[1:] < v[:-1]) & (entity[1:] == entity[:-1])])
+            fitted = v.copy()
+            for i in falls:
+                fitted[ends[i] - n[i] : ends[i]] = pool_adjacent(v[ends[i] - n[i] : ends[i]].tolist(), w[ends[i] - n[i] : ends[i]].tolist())
+            of_keys = dict(zip(keys, (batch.column(i).take(pa.array(entity)) for i in range(len(keys)))))
+            yield pa.RecordBatch.from_arrays([*(of_keys[c] if c in of_keys else points[c] for c in columns), pa.array(fitted)], names=[*columns, name])
+
+    return listed.mapInArrow(project, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def forward_target(snapshots: DataFrame, values: DataFrame, key: str, edition: str, season: str, value: str, years: int, last_complete: int, thresholds: tuple[float, ...] = ()) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pitwise.functions import roster
-from pitwise.operators import publication
+from pitwise.operators import ordered, publication
 
 
 def plan(df) -> str:
@@ -35,3 +36,17 @@ def test_census_deals_memberships_once(spark):
     assert "Expand" not in plan(out) and out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     got = {r.id: tuple(r)[1:8] for r in out.collect()}
     assert got == {1: (7, "injured", None, 3, 2, 2, 1), 2: (8, "x", "A", 2, 1, 0, 1)}
+
+
+def test_isotonic_of_many_entities_is_that_of_each(spark):
+    r = np.random.default_rng(3)
+    rows = [(f"e{e}", g, int(i), float(v), float(w), f"x{i}") for e in range(40) for g in (0, 1) for i, (v, w) in enumerate(zip(r.normal(size=e % 7 + 1).cumsum(), r.uniform(0.1, 2, size=7)))]
+    t = spark.createDataFrame(rows, "e string, g int, i int, v double, w double, more string").repartition(5)
+    out = ordered.isotonic(t.select("i", "e", "v", "w", "more", "g"), ["e", "g"], "i", "v", "w", "fitted")
+    assert out.columns == ["i", "e", "v", "w", "more", "g", "fitted"]
+    got = {(x.e, x.g, x.i): x for x in out.collect()}
+    for e, g in {(x[0], x[1]) for x in rows}:
+        own = [x for x in rows if x[:2] == (e, g)]
+        want = ordered.pool_adjacent(np.array([x[3] for x in own]), np.array([x[4] for x in own]))
+        assert [got[x[:3]].more for x in own] == [x[5] for x in own] and np.allclose([got[x[:3]].fitted for x in own], want, rtol=0, atol=1e-12)
+    assert "FlatMapGroupsInPandas" not in plan(out)
