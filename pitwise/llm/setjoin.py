@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -58,11 +58,12 @@ CELLS = 1 << 21  # of a block of bitmap counts
 
 def _sets(docs: DataFrame, k: int, percent: int, what: str, more: int = 0) -> DataFrame:
     """The columns of ``docs`` (the text last) with, instead of the text, ``n``, ``sig``
-    and, if asked for, ``entries`` (the sketch, ``more`` per cent over the least) or the whole
-    ``set``."""
+    and, if asked for, ``entries`` (the sketch, ``more`` per cent over the least; of the equal
+    sets of a task one has it, the others none) or the whole ``set``."""
     carried = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for chunk in chunks(batch.column(len(carried))):
                 h, n = shingle_sets(chunk, k)
@@ -74,6 +75,8 @@ def _sets(docs: DataFrame, k: int, percent: int, what: str, more: int = 0) -> Da
                     own += [pa.array(n), pa.array(sig, mask=n == 0)]
                 if what != "sig":
                     size = n if what == "set" else np.minimum(n, n - -(-n * percent // 100) + np.maximum(1, n * more // 100))
+                    if what == "entries":
+                        size = np.where([s not in seen and not seen.add(s) for s in sig.tolist()], size, 0)
                     at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
                     own.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(h[at])))
                 yield pa.RecordBatch.from_arrays(own, names=names)
@@ -84,30 +87,31 @@ def _sets(docs: DataFrame, k: int, percent: int, what: str, more: int = 0) -> Da
     return docs.mapInArrow(run, schema)
 
 
-def _sieved(entries: DataFrame, percent: int, more: int) -> tuple[DataFrame, DataFrame]:
-    """``h, sig, n``: shared entries of the classes that have enough of them; and the
-    table that this reads."""
-    twice = entries.groupBy("h").count().filter("count >= 2").select("h")
-    met = entries.join(twice, "h").distinct()  # copies go; their lists may be of one class now
-    met = cut(_listed(met).select("h", "sig", "n"), "entries")
-    able = met.groupBy("sig", "n").agg(F.count("*").alias("found"))
-    able = able.filter(F.col("found") >= F.greatest(F.lit(1), F.expr(f"n * {more * percent} div 10000"))).select("sig")
-    return met.join(able, "sig"), met
+def _met(entries: DataFrame) -> DataFrame:
+    """``h, sig, n``: the entries of ``entries`` lists that two classes or more have, each once."""
+    each = entries.select("sig", "n", F.explode("entries").alias("h"))
+    return _listed(each).select("h", "sig", "n").distinct()
+
+
+def _enough(percent: int, more: int) -> Column:
+    """Whether a class has as many shared entries as any linked pair shares."""
+    return F.col("found") >= F.greatest(F.lit(1), F.expr(f"n * {more * percent} div 10000"))
 
 
 def _clusters(texts: DataFrame, scanned: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """``sig, n, cluster`` of the classes that may link with another; and the texts
     (``key, text``) that the first sieve left, one a class."""
     entries = _sets(texts.select("text"), k, percent, "entries", SIEVES[0])
-    left, first = _sieved(entries.select("sig", "n", F.explode("entries").alias("h")), percent, SIEVES[0])
+    met = _met(entries)
+    able = met.groupBy("sig", "n").agg(F.count("*").alias("found")).filter(_enough(percent, SIEVES[0])).select("sig")
     # the tables that pick texts grow with the corpus: they are merged, never broadcast
-    some = cut(_documents(scanned, left.select("sig").distinct()), "representatives")
-    forget(first)
+    some = cut(_documents(scanned, able.distinct()), "representatives")
     chosen = cut(texts.join(some.select("key").hint("merge"), "key").select("key", "text"), "chosen")
     entries = _sets(chosen.select("text"), k, percent, "entries", SIEVES[1])
-    left, second = _sieved(entries.select("sig", "n", F.explode("entries").alias("h")), percent, SIEVES[1])
+    met = _met(entries)
+    left = met.withColumn("found", F.count("*").over(Window.partitionBy("sig", "n"))).filter(_enough(percent, SIEVES[1]))
     stars = cut(_listed(left).select("sig", "n", "hub"), "stars")
-    forget(some, second)
+    forget(some)
     named = components(stars.filter("sig <> hub").select(F.col("sig").alias("u"), F.col("hub").alias("v")))
     named = named.withColumnRenamed("node", "sig").withColumnRenamed("component", "cluster")
     clusters = cut(stars.select("sig", "n").distinct().join(named, "sig"), "clusters")
@@ -121,9 +125,11 @@ def _documents(scanned: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _listed(entries: DataFrame) -> DataFrame:
-    """The entries whose list has two classes or more, with the list's least, ``hub``."""
-    hubs = entries.groupBy("h").agg(F.min("sig").alias("hub"), F.max("sig").alias("last")).filter("hub <> last").select("h", "hub")
-    return entries.join(hubs, "h")
+    """The entries whose list has two classes or more, with the list's least, ``hub``. Entries
+    are dealt out by list once: their least and greatest class are read where they lie."""
+    whole = Window.partitionBy("h")
+    ends = entries.withColumns({"hub": F.min("sig").over(whole), "last": F.max("sig").over(whole)})
+    return ends.filter("hub <> last").select("h", "sig", "n", "hub")
 
 
 def _tiles(classes: DataFrame, tile_shingles: int) -> DataFrame:
@@ -358,8 +364,6 @@ def near_duplicate_links(
 def one_of_each_group(docs: DataFrame, k: int = K, percent: int = PERCENT, tile_shingles: int = TILE_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the least id of each group, and all documents without
     shingles; all columns as they are. Of rows equal in id and text one stays."""
-    from pyspark.sql import Window
-
     keyed = _keyed(docs, id_col, text_col)
     grouped = _grouped(keyed, k, percent, tile_shingles)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")

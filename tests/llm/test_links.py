@@ -4,7 +4,7 @@ import brute
 import numpy as np
 from test_operators import ROWS, docs, key, rows_of  # noqa: F401
 
-from pitwise.llm.setjoin import near_duplicate_links, t_occurrence_links
+from pitwise.llm.setjoin import _listed, _sets, near_duplicate_links, t_occurrence_links
 
 
 def test_every_document_has_all_its_links_in_small_and_in_tiled_clusters(docs):  # noqa: F811
@@ -43,3 +43,13 @@ def test_two_sides_meet_only_each_other_whether_lists_are_bitmaps_or_merged():
     assert (count[300:] > 0).any() and all(near[a][b] for a, b in links)
     plain, none = t_occurrence_links(np.arange(len(sets)), side, n, np.concatenate(sets), 80)
     assert not none.any() and len(plain) == len(links)
+
+
+def test_entries_are_dealt_out_once_and_those_of_copies_in_a_task_are_given_off_once(spark):
+    rows = [(1, 5, 3), (1, 5, 3), (2, 5, 3), (2, 6, 4), (2, 5, 3), (3, 7, 1), (3, 4, 1), (3, 7, 1)]
+    listed = _listed(spark.createDataFrame(rows, "h long, sig long, n long"))
+    assert listed._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, listed.collect())) == [(2, 5, 3, 5), (2, 5, 3, 5), (2, 6, 4, 5), (3, 4, 1, 4), (3, 7, 1, 4), (3, 7, 1, 4)]
+    texts = spark.createDataFrame([("a b c d e f g",), ("A b c d e f g",), ("b c d e f",), (None,), ("",)], "text string").coalesce(1)
+    given = [(r.n, len(r.entries)) for r in _sets(texts, 5, 80, "entries", 5).collect()]
+    assert [n for n, _ in given] == [3, 3, 1, 0, 0] and given[0][1] > 0 and [e for _, e in given[1:]] == [0, 1, 0, 0]
