@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitwise.operators.sizes import broadcast_if_small
 from pitwise.operators.split import SPLIT_ROWS, placed_values, running
 from pitwise.sources.scratch import cut
 
@@ -47,45 +48,50 @@ def adaptive_window_percentile(
     """The standing of each target among earlier seasons of others, in the narrowest
     age window with ``least`` distinct entities; null if none has as many. Each entity
     in the window weighs the same, however many rows it has there; with ``by_row`` each
-    row does. Values that agree to twelve decimals tie.
+    row does. Values that agree to twelve decimals tie; a peer without a value weighs as any, and lies neither below nor beside.
 
     No target meets a peer. A *pool* is the peers of one cohort, target season, target age
     and window. Which window is wide enough is read from the season in which each peer first
     came within each window of an age, so that takes no row per later season; only the pools
     that are then used are laid out, sorted by value once, with the targets among them at
     weight nothing, so a running sum gives every target the weight below and beside it; what
-    the target's own rows weigh there is worked out from those rows and taken out."""
+    the target's own rows weigh there is worked out from those rows and taken out.
+
+    Peers are dealt out by entity, and what ages and pools they meet is broadcast where it is small,
+    so the rows laid out for them are counted and weighed where they lie: only sums are
+    shuffled. Both inputs are read more than once; give tables."""
     widest, keys = max(windows), list(dict.fromkeys([*on, entity, season, age, value]))
     exact = F.round(F.col(value).cast("double"), 12)
-    t = targets.select(*keys).distinct().select("*", exact.alias("__v"))
-    p = peers.select(*on, F.col(age).alias("__own"), F.col(season).alias("__season"), F.col(entity).alias("__peer"), exact.alias("__v"))
-    wanted = t.select(*on, F.col(season).alias("__at"), F.col(age).alias("__age")).distinct()
+    t = targets.select(*keys).repartition(*on, entity).distinct().select("*", exact.alias("__v"))
+    p = peers.select(*on, F.col(age).alias("__own"), F.col(season).alias("__season"), F.col(entity).alias("__peer"), exact.alias("__v")).repartition(*on, "__peer")
+    wanted = cut(targets.select(*on, F.col(season).alias("__at"), F.col(age).alias("__age")).distinct(), "wanted")
+    ages = broadcast_if_small(wanted.select(*on, "__age").distinct())
     near = p.withColumn("__age", F.explode(F.sequence(F.col("__own") - widest, F.col("__own") + widest))).withColumn("__gap", F.abs(F.col("__age") - F.col("__own")))
-    near = near.join(wanted.select(*on, "__age").distinct(), [*on, "__age"], "left_semi")
     # the season in which each peer first comes within each window of an age, and how many had by each target's
-    first = near.groupBy(*on, "__age", "__peer").agg(*[F.min(F.when(F.col("__gap") <= w, F.col("__season"))).alias(f"__f{w}") for w in windows])
-    first = cut(first, "first-seasons")
+    first = near.join(ages, [*on, "__age"], "left_semi").groupBy(*on, "__age", "__peer").agg(*[F.min(F.when(F.col("__gap") <= w, F.col("__season"))).alias(f"__f{w}") for w in windows])
     came = first.unpivot([*on, "__age"], [f"__f{w}" for w in windows], "__w", "__f").filter("__f is not null").groupBy(*on, "__age", "__w", "__f").agg(F.count("*").alias("__n"))
     have = wanted.join(came, [*on, "__age"]).filter(F.col("__f") < F.col("__at"))  # seasons by seasons
-    have = have.groupBy(*on, "__at", "__age").agg(*[F.coalesce(F.sum(F.when(F.col("__w") == f"__f{w}", F.col("__n"))), F.lit(0)).alias(f"__n{w}") for w in windows])
-    named = lambda rows: rows.withColumnsRenamed({k: v for k, v in {"__at": season, "__age": age, "__peer": entity}.items() if k in rows.columns})
-    t = t.join(named(have), [*on, season, age], "left").join(named(first), [*on, age, entity], "left")
-    own = lambda w: F.coalesce((F.col(f"__f{w}") < F.col(season)).cast("int"), F.lit(0))
-    t = t.withColumn("window", F.coalesce(*[F.when(F.col(f"__n{w}") - own(w) >= least, F.lit(w)) for w in windows])).drop(*[f"__{c}{w}" for c in "nf" for w in windows])
-    t = cut(t, "windows")
+    have = cut(have.groupBy(*on, "__at", "__age").agg(*[F.coalesce(F.sum(F.when(F.col("__w") == f"__f{w}", F.col("__n"))), F.lit(0)).alias(f"__n{w}") for w in windows]), "peers")
+    named = lambda rows: rows.withColumnsRenamed({"__at": season, "__age": age})
+    # the target's own rows in each window: how many, and how many of them lie below it
+    mine = p.withColumnsRenamed({**{k: f"__on_{k}" for k in on}, "__v": "__mine"})
+    gap, met = F.abs(F.col(age) - F.col("__own")), F.col(entity) == F.col("__peer")
+    for k in on:
+        met = met & (F.col(k) == F.col(f"__on_{k}"))
+    t = t.join(mine, met & (F.col("__season") < F.col(season)) & (gap <= widest), "left")
+    below = F.when(F.col("__mine") < F.col("__v"), 1.0).when(F.col("__mine") == F.col("__v"), 0.5).otherwise(0.0)
+    own = [x for w in windows for x in (F.count_if(gap <= w).alias(f"__c{w}"), F.sum(F.when(gap <= w, below)).alias(f"__s{w}"))]
+    t = t.groupBy(*keys, "__v").agg(*own).join(broadcast_if_small(named(have)), [*on, season, age], "left")
+    t = t.withColumn("window", F.coalesce(*[F.when(F.col(f"__n{w}") - (F.col(f"__c{w}") > 0).cast("int") >= least, F.lit(w)) for w in windows]))
+    count, score = (F.coalesce(*[F.when(F.col("window") == w, F.col(f"__{c}{w}")) for w in windows], F.lit(0)) for c in "cs")
+    t = cut(t.select(*keys, "__v", "window", (count if by_row else F.least(count, F.lit(1))).alias("__all"), (score if by_row else score / F.greatest(count, F.lit(1))).alias("__score")), "windows")
     # the pools that are used, weighed
-    asked = t.filter("window is not null").select(*on, F.col(season).alias("__at"), F.col(age).alias("__age"), F.col("window").alias("__window"), F.col(entity).alias("__peer"), "__v").distinct()
     whole = [*on, "__at", "__age", "__window"]
-    weighed = near.join(asked.select(*whole).distinct(), [*on, "__age"]).filter((F.col("__season") < F.col("__at")) & (F.col("__gap") <= F.col("__window")))
-    each = weighed.groupBy(*whole, "__peer", "__v").agg(F.count("*").alias("__c"))
-    weight = F.col("__c").cast("double") if by_row else F.col("__c") / F.sum("__c").over(Window.partitionBy(*whole, "__peer"))
-    sums = each.select(*whole, "__v", weight.alias("__w")).unionByName(asked.select(*whole, "__v").distinct().withColumn("__w", F.lit(0.0)))
-    along = placed_values(sums, whole, "__v", {"w": F.col("__w")}, split_rows)
-    mine = asked.join(p.withColumnRenamed("__v", "__mine"), [*on, "__peer"]).filter((F.col("__season") < F.col("__at")) & (F.abs(F.col("__age") - F.col("__own")) <= F.col("__window")))
-    below = F.sum(F.when(F.col("__mine") < F.col("__v"), 1.0).when(F.col("__mine") == F.col("__v"), 0.5).otherwise(0.0))
-    n = F.lit(1) if by_row else F.count("*")
-    mine = mine.groupBy(*whole, "__peer", "__v").agg((below / n).alias("__mine_score"), (F.count("*") / n).alias("__mine_all"))
-    score = F.col("upto_w") - F.col("tied_w") / 2 - F.coalesce("__mine_score", F.lit(0.0))
-    found = asked.join(along, [*whole, "__v"]).join(mine, [*whole, "__peer", "__v"], "left")
-    found = named(found.select(*on, "__at", "__age", "__peer", "__v", (100 * score / (F.col("all_w") - F.coalesce("__mine_all", F.lit(0.0)))).alias("percentile")))
-    return t.join(found, [*on, season, age, entity, "__v"], "left").select(*keys, "window", "percentile")
+    asked = t.filter("window is not null").select(*on, F.col(season).alias("__at"), F.col(age).alias("__age"), F.col("window").alias("__window"), "__v").distinct()
+    pools = asked.select(*whole).distinct().withColumn("__own", F.explode(F.sequence(F.col("__age") - F.col("__window"), F.col("__age") + F.col("__window"))))
+    weighed = p.join(broadcast_if_small(pools), [*on, "__own"]).filter(F.col("__season") < F.col("__at"))
+    weight = F.lit(1.0) if by_row else 1 / F.count("*").over(Window.partitionBy(*whole, "__peer"))
+    sums = weighed.select(*whole, "__v", weight.alias("__w")).unionByName(asked.withColumn("__w", F.lit(0.0)))
+    along = named(placed_values(sums, whole, "__v", {"w": F.when(F.col("__v").isNotNull(), F.col("__w")).otherwise(0.0), "any": F.col("__w")}, split_rows)).withColumnRenamed("__window", "window")
+    percentile = 100 * (F.col("upto_w") - F.col("tied_w") / 2 - F.col("__score")) / (F.col("all_any") - F.col("__all"))
+    return t.join(along, [*on, season, age, "window", "__v"], "left").select(*keys, "window", percentile.alias("percentile"))

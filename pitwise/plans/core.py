@@ -11,6 +11,7 @@ from pitwise.functions import text as X
 from pitwise.operators import cohorts, identity, temporal
 from pitwise.plans.catalog import SEASONS, query, r6, seasons, table
 from pitwise.sources import readers, sinks
+from pitwise.sources.scratch import cut
 
 _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)"""
 
@@ -123,6 +124,7 @@ def adaptive_window_percentile(spark, sf):
     born = s.groupBy("entity").agg(F.min("season").alias("born"))
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("cohort"))
     p = s.join(born, "entity").join(c, "entity").select("entity", "season", (F.col("season") - F.col("born")).alias("age"), "value", "cohort")
+    p = cut(p, "standings")
     out = cohorts.adaptive_window_percentile(p, p, ["cohort"], "age", "value", "entity", "season", least=20)
     return out.select("cohort", "entity", "season", "age", "window", r6("percentile").alias("percentile"))
 

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pitwise.functions import roster
-from pitwise.operators import ordered, publication
+from pitwise.operators import cohorts, ordered, publication
+from pitwise.sources import scratch
 
 
 def plan(df) -> str:
@@ -50,3 +51,29 @@ def test_isotonic_of_many_entities_is_that_of_each(spark):
         want = ordered.pool_adjacent(np.array([x[3] for x in own]), np.array([x[4] for x in own]))
         assert [got[x[:3]].more for x in own] == [x[5] for x in own] and np.allclose([got[x[:3]].fitted for x in own], want, rtol=0, atol=1e-12)
     assert "FlatMapGroupsInPandas" not in plan(out)
+
+
+
+def test_peers_of_a_window_are_weighed_where_they_lie(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    rows = {(int(e), int(s)): ("ab"[e % 2], int(e), int(s), int(s) - 2000 + int(e) % 4, float(r.integers(0, 9)) if (e + s) % 11 else None) for e, s in r.integers([0, 2000], [60, 2009], (300, 2))}
+    t = spark.createDataFrame(list(rows.values()), "g string, e int, s int, age int, v double")
+    written = []
+    monkeypatch.setattr(cohorts, "cut", lambda df, name: written.append(df._jdf.queryExecution().executedPlan().toString()) or scratch.cut(df, name))
+    out = cohorts.adaptive_window_percentile(t.union(t.limit(5)), t, ["g"], "age", "v", "e", "s", least=6)
+    laid = [p for p in written if "explode(sequence" in p]
+    # between the ages that a peer is laid out for and their first sums there is no exchange
+    assert laid and all("Exchange" not in p[: p.index("Generate explode")].split("min(CASE")[-1] for p in laid)
+    got = {(x.e, x.s): (x.window, x.percentile) for x in out.collect()}
+    assert got.keys() == rows.keys() and {w for w, _ in got.values()} == {None, 0, 1, 2, 3}
+    for g, e, s, age, v in rows.values():
+        pools = {w: [x for x in rows.values() if x[0] == g and x[2] < s and x[1] != e and abs(x[3] - age) <= w] for w in (0, 1, 2, 3)}
+        wide = next((w for w, near in pools.items() if len({x[1] for x in near}) >= 6), None)
+        assert got[e, s][0] == wide
+        if wide is None or v is None:
+            assert got[e, s][1] is None
+            continue
+        shares = {}
+        for x in pools[wide]:
+            shares.setdefault(x[1], []).append(0.0 if x[4] is None else 1.0 if x[4] < v else (x[4] == v) / 2)
+        assert abs(got[e, s][1] - 100 * np.mean([np.mean(x) for x in shares.values()])) < 1e-9
