@@ -105,7 +105,7 @@ def prefix_mode(category: Column, weight: Column, at: Column, entity: str, seaso
     return F.max(F.struct(F.sum(weight).over(own).alias("w"), at.alias("at"), category.alias("category"))).over(upto)["category"]
 
 
-def career_panel(seasons: DataFrame, standards: DataFrame, as_of: int, quiet: int = 3, active: DataFrame | None = None, names: Seasons = Seasons()) -> DataFrame:
+def career_panel(seasons: DataFrame, standards: DataFrame, as_of: int, quiet: int = 3, active: DataFrame | None = None, names: Seasons = Seasons(), over: bool = False) -> DataFrame:
     """A row for each complete season, with what was known at its end.
 
     ``role`` is ``two_way`` once any season so far was balanced, else that of the greater
@@ -114,7 +114,8 @@ def career_panel(seasons: DataFrame, standards: DataFrame, as_of: int, quiet: in
     else the side's median (``standard_fallback``, ``standard_warning``). Sums, peaks and means are
     of the value that follows the role: batting, pitching or total. A career is ``resolved`` when its last
     complete season lies ``quiet`` seasons before ``as_of``, no partial season follows and the
-    entity is not in ``active`` (a table of entities); targets of others are null. ``standards`` is what ``with_fallbacks`` gives."""
+    entity is not in ``active`` (a table of entities); targets of others are null. ``standards`` is what ``with_fallbacks`` gives.
+    With ``over`` only resolved careers are gone through and returned."""
     if quiet < 2:
         raise ValueError("a career needs two quiet seasons at least to be over")
     n, c = names, F.col
@@ -134,6 +135,8 @@ def career_panel(seasons: DataFrame, standards: DataFrame, as_of: int, quiet: in
         t = t.join(broadcast_if_small(now), c(key) == c("__active"), "left")
     resolved = (c("career_end") <= as_of - quiet) & ~c("__later")
     t = t.withColumn("resolved", resolved & c("__active").isNull() if active is not None else resolved)
+    if over:  # as all windows are of one career, the others' need not be worked out
+        t = t.filter("resolved")
 
     sums = {"career_batting": n.batting, "career_outs": n.outs, "career_games": n.games, "career_starts": n.starts, "career_batting_value": n.batting_value, "career_pitching_value": n.pitching_value}
     t = t.withColumns({name: F.sum(x).over(upto) for name, x in sums.items()}).withColumn("season_number", F.count("*").over(upto).cast("int"))

@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -60,6 +62,28 @@ def model_family(kind: str, numbers: list[str], categories: list[str], y: str, w
     return fit
 
 
+def model_families(kinds: dict[str, tuple[str, dict]], numbers: list[str], categories: list[str], y: str, weight: str | None = None) -> dict[str, Family]:
+    """``model_family`` by name, of a kind and its options: medians, scales and codes are learnt once for all
+    that are fitted on the same table of training rows."""
+    lock, last = Lock(), []
+
+    def prepared(train: DataFrame) -> PipelineModel:
+        with lock:
+            if not last or last[0] is not train:
+                last[:] = [train, models.preparation(numbers, categories).fit(train)]
+            return last[1]
+
+    def family(kind: str, options: dict) -> Family:
+        def fit(train: DataFrame) -> Predict:
+            first = prepared(train)
+            second = models.learner(kind, y, weight, **options).fit(first.transform(train))
+            return lambda rows, name: models.predict(PipelineModel([first, second]), rows, name)
+
+        return fit
+
+    return {name: family(kind, options) for name, (kind, options) in kinds.items()}
+
+
 def logit(p: str) -> Column:
     q = F.least(F.greatest(F.col(p), F.lit(CLIP)), F.lit(1 - CLIP))
     return F.log(q / (1 - q))
@@ -89,10 +113,10 @@ class Tournament:
     predict: Predict
 
 
-def tournament(rows: DataFrame, part: str, families: dict[str, Family], y: str, weight: str, ids: list[str], stack_c: float = 0.5, sigmoid_c: float = 1.0) -> Tournament:
+def tournament(rows: DataFrame, part: str, families: dict[str, Family], y: str, weight: str, ids: list[str], stack_c: float = 0.5, sigmoid_c: float = 1.0, stacked: bool = True) -> Tournament:
     """``part`` of a row is ``train``, ``stack``, ``select`` or ``test``. Families are fitted on ``train``; each is
     calibrated, and all are stacked, on ``stack``; the least Brier score on ``select`` (the name
-    on ties) makes the champion; scores on ``test`` are told, never looked at."""
+    on ties) makes the champion; scores on ``test`` are told, never looked at. Unless ``stacked`` there is no stack."""
     train = rows.filter(F.col(part) == "train")
     fitted = together(rows.sparkSession, {name: lambda fit=fit: fit(train) for name, fit in families.items()})
     names = sorted(families)
@@ -101,14 +125,17 @@ def tournament(rows: DataFrame, part: str, families: dict[str, Family], y: str,
         scored = fitted[name](scored, f"raw_{name}")
     raw = cut(scored.select(*ids, part, F.col(y).cast("double").alias(y), weight, *[f"raw_{n}" for n in names]), "raw-predictions")
     stack = raw.filter(F.col(part) == "stack")
-    second = together(rows.sparkSession, {**{n: lambda n=n: on_logits(stack, [f"raw_{n}"], y, weight, sigmoid_c) for n in names}, ENSEMBLE: lambda: on_logits(stack, [f"raw_{n}" for n in names], y, weight, stack_c)})
+    wanted = {n: lambda n=n: on_logits(stack, [f"raw_{n}"], y, weight, sigmoid_c) for n in names}
+    if stacked:
+        wanted[ENSEMBLE] = lambda: on_logits(stack, [f"raw_{n}" for n in names], y, weight, stack_c)
+    second = together(rows.sparkSession, wanted)
 
     def adjusted(t: DataFrame) -> DataFrame:
         for name, add in second.items():
             t = add(t, name)
         return t
 
-    entrants = [*names, ENSEMBLE]
+    entrants = list(wanted)
     judged = cut(adjusted(raw).select(*ids, part, y, weight, *entrants), "judged-predictions")
     scores = cut(model_scores(judged.filter(F.col(part) != "stack"), [part], entrants, y, weight), "scores")
     chosen = scores.filter(F.col(part) == "select").orderBy("brier", "family").first()
@@ -147,7 +174,7 @@ def era_sensitivity(rows: DataFrame, part: str, families: dict[str, Family], cha
             continue
         kept = rows.filter((F.col(part) == "test") | (F.col(debut) >= c))
         own = families if champion == ENSEMBLE else {champion: families[champion]}
-        again = tournament(kept, part, own, y, weight, ids)
+        again = tournament(kept, part, own, y, weight, ids, stacked=champion == ENSEMBLE)
         s = again.scores.filter((F.col(part) == "test") & (F.col("family") == champion)).first()
         out.append((c, "descriptive", n, e, s["brier"], s["log_loss"]))
     return spark.createDataFrame(out, "cutoff int, status string, entities long, events long, brier double, log_loss double")

@@ -17,13 +17,17 @@ from pitwise.functions.numbers import interpolated
 CLIP, RIDGE = 1e-6, 0.01
 
 
-def classifier(kind: str, numbers: list[str], categories: list[str], label: str, weight: str | None = None, iterations: int = 150, least: int = 100) -> Pipeline:
-    """Median imputation, scaling and one-hot encoding, then ``logistic`` or ``trees`` (of ``least`` rows a leaf)."""
+def preparation(numbers: list[str], categories: list[str]) -> Pipeline:
+    """Median imputation, scaling and one-hot encoding."""
     filled, coded = [f"{c}__f" for c in numbers], [f"{c}__v" for c in categories]
     stages = [Imputer(inputCols=numbers, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="__numbers"), StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True)]
     if categories:
         stages += [StringIndexer(inputCols=categories, outputCols=[f"{c}__i" for c in categories], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}__i" for c in categories], outputCols=coded)]
-    stages.append(VectorAssembler(inputCols=["__scaled", *coded], outputCol="__features"))
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=["__scaled", *coded], outputCol="__features")])
+
+
+def learner(kind: str, label: str, weight: str | None = None, iterations: int = 150, least: int = 100) -> LogisticRegression | GBTClassifier:
+    """``logistic`` or ``trees`` (of ``least`` rows a leaf) over what ``preparation`` gives."""
     if kind == "logistic":
         model = LogisticRegression(featuresCol="__features", labelCol=label, regParam=1 / 0.25 / 1000, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__c")
     elif kind == "trees":
@@ -33,7 +37,12 @@ def classifier(kind: str, numbers: list[str], categories: list[str], label: str,
         raise ValueError(f"no model {kind}")
     if weight:
         model.setWeightCol(weight)
-    return Pipeline(stages=[*stages, model])
+    return model
+
+
+def classifier(kind: str, numbers: list[str], categories: list[str], label: str, weight: str | None = None, iterations: int = 150, least: int = 100) -> Pipeline:
+    """``preparation`` and a ``learner``."""
+    return Pipeline(stages=[*preparation(numbers, categories).getStages(), learner(kind, label, weight, iterations, least)])
 
 
 def predict(model: PipelineModel, rows: DataFrame, name: str = "probability") -> DataFrame:

@@ -62,11 +62,11 @@ def _source(spark, sf):
     return t, panel.with_fallbacks(standards, "position", "standard")
 
 
-def _panel(spark, sf):
+def _panel(spark, sf, over=False):
     t, standards = _source(spark, sf)
     c = F.col
     active = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(c("c_custkey").alias("entity"))
-    return panel.career_panel(t, standards, as_of=2004, quiet=3, active=active)
+    return panel.career_panel(t, standards, as_of=2004, quiet=3, active=active, over=over)
 
 
 _ROUNDED = ("season_value", "value_to_date", "peak_to_date", "last_three", "best_to_date", "per_season", "starter_share", "final_value", "final_peak", "target_standard", "standard")
@@ -95,7 +95,7 @@ _NUMBERS = ["age", "season_number", "value_to_date", "peak_to_date", "last_three
 
 def _landmarks(spark, sf):
     """Resolved careers, entities dealt to parts by their number; each entity weighs the same."""
-    t = _panel(spark, sf).filter("resolved")
+    t = _panel(spark, sf, over=True)
     bucket = F.crc32(F.col("entity").cast("string").cast("binary")) % 10
     part = F.when(bucket < 4, "train").when(bucket < 6, "stack").when(bucket < 8, "select").otherwise("test")
     t = t.withColumn("part", part).withColumn("y", F.col("reaches_final_standard").cast("double"))
@@ -106,8 +106,7 @@ def _landmarks(spark, sf):
 def _families(y: str = "y"):
     return {
         "age_position_prior": ensembles.prior_family([["age_band", "position"], ["position"]], y, "weight"),
-        "regularized_logistic": ensembles.model_family("logistic", _NUMBERS, ["role", "position"], y, "weight"),
-        "boosted_trees": ensembles.model_family("trees", _NUMBERS, ["role", "position"], y, "weight", iterations=12, least=20),
+        **ensembles.model_families({"regularized_logistic": ("logistic", {}), "boosted_trees": ("trees", {"iterations": 12, "least": 20})}, _NUMBERS, ["role", "position"], y, "weight"),
     }
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitwise.operators import metrics, scenarios
-from pitwise.plans import ensembles
+from pitwise.plans import ensembles, models
 
 SEED = 29
 
@@ -72,6 +72,27 @@ def test_an_era_with_too_few_is_only_told(labelled):
     assert got[0].brier == pytest.approx(whole.brier, abs=1e-12)
 
 
+def test_an_era_fits_only_what_its_champion_needs(labelled, monkeypatch):
+    few, fits, own = {"flat": families()["flat"], "banded": families()["banded"]}, [], ensembles.on_logits
+    monkeypatch.setattr(ensembles, "on_logits", lambda rows, names, *a: fits.append(names) or own(rows, names, *a))
+    era = lambda champion: ensembles.era_sensitivity(labelled, "part", few, champion, "y", "weight", ["id"], "e", "debut", (0,)).first().brier
+    assert era("banded") > 0 and fits == [["raw_banded"]]
+    assert era(ensembles.ENSEMBLE) > 0 and sorted(fits[1:]) == [["raw_banded"], ["raw_banded", "raw_flat"], ["raw_flat"]]
+
+
+def test_models_side_by_side_are_prepared_once(labelled, monkeypatch):
+    made, own = [], models.preparation
+    monkeypatch.setattr(models, "preparation", lambda *a: made.append(a) or own(*a))
+    kinds = {"a": ("logistic", {}), "b": ("trees", {"iterations": 2, "least": 5})}
+    both, train = ensembles.model_families(kinds, ["x", "z"], ["part"], "y", "weight"), labelled.filter("part = 'train'")
+    fitted = ensembles.together(labelled.sparkSession, {n: lambda f=f: f(train) for n, f in both.items()})
+    assert len(made) == 1
+    for n, (kind, options) in kinds.items():
+        alone = models.classifier(kind, ["x", "z"], ["part"], "y", "weight", **options).fit(train)
+        got = {r.id: r.p for r in fitted[n](labelled, "p").select("id", "p").collect()}
+        assert got == pytest.approx({r.id: r.p for r in models.predict(alone, labelled, "p").select("id", "p").collect()}, abs=1e-12)
+
+
 def test_out_of_fold_rows_are_predicted_once_by_what_lay_before(spark):
     r = np.random.default_rng(2)
     rows = [(f"e{i % 40}", f"e{i % 40}/{i // 40}/{h}" if i % 3 else f"e{i % 40}/{i // 40}", 2000 + i // 40, 2000 + i // 40 + h, "ab"[h % 2], int(r.random() < 0.4)) for i in range(400) for h in (1, 2)]

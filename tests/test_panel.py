@@ -131,3 +131,9 @@ def test_scoring_rows_of_current_entities(spark):
     assert [(r.entity, r.season) for r in named] == [("old", 2018)]
     done = panel.scoring_rows(t.filter("season_state = 'complete'"), standards, 2021).collect()
     assert sorted(r.entity for r in done) == ["on", "tw"]  # those of the last season
+
+
+def test_only_careers_that_are_over_are_gone_through_if_asked(of):
+    rows = [hitter("a", y, 3.0) for y in (2001, 2002, 2003)] + [hitter("b", y, 4.0) for y in (2017, 2018)] + [pitcher("c", 2004, 2.0), hitter("c", 2005, 1.0, state="in_season"), pitcher("d", 2010, 5.0)]
+    every, done = of(rows), of(rows, over=True)
+    assert done == [r for r in every if r.resolved] and {r.entity for r in done} == {"a", "d"} and len(every) > len(done)
